@@ -98,7 +98,7 @@ def rules() -> list[Rule]:
             out.append(_rule(f"{family}-{v.replace(' ', '.')}", f"spdx license identifier {family} {v}( 0)?(?: only| or later)?", 0, 1.0))
         out.append(_rule(family, f"spdx license identifier {family}", 1, 0.97))
         for name, v in product(names, versions):
-            word = "" if name in (family, f"gnu {family}", "ms pl", "ms rl") else f" {license_}"
+            word = f"(?: {license_})?"
             out.append(_rule(f"{family}-{v.replace(' ', '.')}", f"{under}{name}{word} {version}{v}{later}", 2, 0.95))
         for name in names:
             out.append(_rule(family, f"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?: {license_})?", 3, 0.9))
