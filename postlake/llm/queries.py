@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, quality, secrets, simhash, substring_dedup, vector_dedup
+from . import exact_dedup, licenses, mixing, pieces, pii, quality, secrets, simhash, substring_dedup, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_docs(spark, sf_dir)).drop("found")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(_docs(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(_docs(spark, sf_dir))
 
@@ -25,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_docs(spark, sf_dir)).drop("detections")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(_docs(spark, sf_dir))))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.label_near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -45,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_docs(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_license_scan, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_exact_dedup, op4_license_scan, op5_sentencepiece, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_simhash_near_dedup, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """

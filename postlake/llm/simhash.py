@@ -52,7 +52,7 @@ def _fingerprints(size: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             prints = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "uid", "fp"])
 
     return scan
 
@@ -167,12 +167,29 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_block_links(radius), "src long, dst long")
 
 
-def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, uid, fp); fingerprints (fp, class); classes (class, component_id, and uid of the row that stays)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    prints = materialize(own.mapInArrow(_fingerprints(shingle), "doc_id long, uid long, fp long"))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     parts = components(near_links(firsts.select("fp"), radius))
     joined = firsts.join(parts, firsts.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
-    lowest = joined.groupBy("class").agg(F.min("first").alias("component_id"))
-    of = salted_lookup(joined.select("fp", "class"), lowest, ["class"], "fp").select("fp", "component_id")
+    lowest = joined.groupBy("class").agg(F.min("first").alias("first")).select("class", F.col("first.doc_id").alias("component_id"), F.col("first.uid").alias("uid"))
+    return prints, joined.select("fp", "class"), lowest
+
+
+def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    prints, classes, lowest = _classes(docs, id_col, text_col, radius, shingle)
+    of = salted_lookup(classes, lowest.select("class", "component_id"), ["class"], "fp").select("fp", "component_id")
     return salted_lookup(prints, of, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each class, the one with the smallest id (null last).
+
+    docs: a table as read, whose rows come in the same partitions each time.
+    """
+    _, _, lowest = _classes(docs, id_col, text_col, radius, shingle)
+    stay = lowest.select(F.col("uid").alias("_uid"))
+    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(stay, "_uid", "left_semi").select(*docs.columns)
