@@ -7,14 +7,14 @@ windows long. A segment is the anchor extended both ways as far as its windows r
 
 1. Segments with the same anchor and the same words are brought together; all windows of a segment that also stands in
    a smaller document are repeats.
-2. Anchors with several different segments are extended word by word: their first documents' segments are cut from the
-   text again, and each 50-word window around the anchor is looked up among those of the same anchor. A window that a
-   smaller document has is a repeat.
+2. Anchors with several different segments are extended word by word: the segments are cut from the text of the first
+   documents that have them, and each 50-word window around the anchor is looked up among those of the same anchor. A
+   window that a smaller document has is a repeat.
 3. Overlapping repeats of a document merge to maximal ones, and the words these cover are removed.
 
 Rows meet by segment or by window, both combined in map tasks first, so a passage that a third of all documents hold
-is a few rows to each task, and no pairs of documents are listed. Segments and windows are identified by 128 bits of
-hashes of their words.
+is a few rows to each task, and no pairs of documents are listed; joins back to a hot segment or window are salted. A
+segment or a window is identified by 128 bits: 64 of its anchor's words and 64 of its own.
 
 Defined results: a null text has no words; a null doc_id is above every other; repeats within one document alone, or
 among rows of the same doc_id, remove nothing; repeated rows give a row each; an empty table gives no row.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_safe_join, materialize
 
 LENGTH = 50
 GRAM = 10
@@ -80,22 +80,22 @@ def anchors(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
 
 
 def segments(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray] | None:
-    """anchor, seg1, seg2 (hashes), first (its first window), n (its windows) of each segment; None if words are too few."""
+    """anchor, seg (hashes), first (its first window), n (its windows) of each segment; None if words are too few."""
     if len(words) < length:
         return None
     hashes = word_hashes(words)
     place = anchors(hashes, length, gram)
     first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
     last = np.append(first[1:], len(place))
-    one, two = _Runs(hashes, 0xD1342543DE82EF95), _Runs(_mixed(hashes), 0xAF251AF3B0F025B5)
+    anchored, run = _Runs(_mixed(hashes), 0xAF251AF3B0F025B5), _Runs(hashes, 0xD1342543DE82EF95)
     end, at = last + length - 1, place[first]
     where = (at - first).astype(np.uint64)  # segments are the same only with the anchor at the same place
-    return {"anchor": one.of(at, at + gram), "seg1": one.of(first, end) + where, "seg2": two.of(first, end) ^ where, "first": first, "n": last - first}
+    return {"anchor": anchored.of(at, at + gram), "seg": run.of(first, end) + where, "first": first, "n": last - first}
 
 
 def _scan(length: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg1", "seg2", "first", "n"]
+        names = ["anchor", "seg", "first", "n"]
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             found, whose, held = [], [], 0
@@ -116,43 +116,41 @@ def _scan(length: int, gram: int):
 def _rows(found, whose, ids, keys, names) -> pa.RecordBatch:
     k = np.repeat(*(np.array(x) for x in zip(*whose, strict=True)))
     cols = {c: np.concatenate([s[c] for s in found]) for c in names}
-    return pa.record_batch([pa.array(x) for x in (ids[k], keys[k], *(cols[c].view(np.int64) for c in names[:3]), cols["first"].astype(np.int32), cols["n"].astype(np.int32))], names=["did", "key", *names])
+    return pa.record_batch([pa.array(x) for x in (ids[k], keys[k], *(cols[c].view(np.int64) for c in names[:2]), cols["first"].astype(np.int32), cols["n"].astype(np.int32))], names=["did", "key", *names])
 
 
 def _extend(length: int):
-    """Rows (did, key, text, list of segments); yields a row for each window of each: its anchor and hashes of its words."""
+    """Rows (did, text, list of segments); yields each window of each segment: its place there and a hash of its words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for did, key, text, segs in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3))), strict=True):
-                hashes = word_hashes((text or b"").split())
-                one, two = _Runs(hashes, 0xD1342543DE82EF95), _Runs(_mixed(hashes), 0xAF251AF3B0F025B5)
+            for did, text, segs in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))), strict=True):
+                run = _Runs(word_hashes((text or b"").split()), 0xD1342543DE82EF95)
                 for a in range(0, len(segs), 4096):
                     part = segs[a : a + 4096]
                     n = np.array([s["n"] for s in part])
-                    start = np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in part])
-                    anchor = np.repeat(np.array([s["anchor"] for s in part], np.int64), n)
-                    yield pa.record_batch([pa.array(x) for x in (np.full(len(start), did), np.full(len(start), key), anchor, one.of(start, start + length).view(np.int64), two.of(start, start + length).view(np.int64), start.astype(np.int32))], names=["did", "key", "anchor", "win1", "win2", "start"])
+                    at = np.concatenate([np.arange(k) for k in n])
+                    start = np.repeat(np.array([s["first"] for s in part]), n) + at
+                    anchor, seg = (np.repeat(np.array([s[c] for s in part], np.int64), n) for c in ("anchor", "seg"))
+                    yield pa.record_batch([pa.array(x) for x in (np.full(len(start), did), anchor, seg, at.astype(np.int32), run.of(start, start + length).view(np.int64))], names=["did", "anchor", "seg", "at", "win"])
 
     return windows
 
 
 def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: did, key, text. Rows (did, key, first, n): n windows from first on are repeats."""
-    found = docs.mapInArrow(_scan(length, gram), "did long, key long, anchor long, seg1 long, seg2 long, first int, n int")
-    found = materialize(found)
-    seg = ["anchor", "seg1", "seg2"]
-    least = found.groupBy(*seg).agg(F.min("did").alias("least"), F.max("did").alias("most"))
-    same = found.join(least.where("least < most").select(*seg, "least"), seg).where("did > least").select("did", "key", "first", "n")
-    contested = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("anchor")
-    firsts = found.join(least.select(*seg, F.col("least").alias("did")).join(contested, "anchor"), [*seg, "did"])
-    todo = firsts.groupBy("did", "key").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("segs"))
-    wins = docs.join(todo, ["did", "key"]).select("did", "key", "text", "segs").mapInArrow(_extend(length), "did long, key long, anchor long, win1 long, win2 long, start int")
-    wins = materialize(wins)
-    win = ["anchor", "win1", "win2"]
-    low = wins.groupBy(*win).agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select(*win, "least")
-    new = wins.join(low, win).where("did > least").select("did", "key", F.col("start").alias("first"), F.lit(1).alias("n"))
-    return same.unionByName(new)
+    found = materialize(docs.mapInArrow(_scan(length, gram), "did long, key int, anchor long, seg long, first int, n int"))
+    segs = found.groupBy("anchor", "seg").agg(F.min(F.struct("did", "key", "first", "n")).alias("one"), F.max("did").alias("most"), F.count(F.lit(1)).alias("rows"))
+    contested = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("anchor")
+    todo = segs.join(contested, "anchor").groupBy("one.did", "one.key").agg(F.collect_list(F.struct("one.first", "one.n", "anchor", "seg")).alias("segs"))
+    wins = materialize(docs.join(todo, ["did", "key"]).select("did", "text", "segs").mapInArrow(_extend(length), "did long, anchor long, seg long, at int, win long"))
+    lows = wins.groupBy("anchor", "win").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most").drop("most")
+    partial = hot_safe_join(wins, lows, ["anchor", "win"], "rows", "seg").where("did > least").groupBy("anchor", "seg").agg(F.collect_list("at").alias("at"))
+    known = segs.select("anchor", "seg", F.col("one.did").alias("least"), "most", "rows").join(partial, ["anchor", "seg"], "left").where("least < most OR at IS NOT NULL").drop("most")
+    whole = F.array(F.struct(F.col("first"), F.col("n")))
+    some = F.transform("at", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("n")))
+    spans = F.when(F.col("did") > F.col("least"), whole).otherwise(F.coalesce(some, F.array().cast("array<struct<first: int, n: int>>")))
+    return hot_safe_join(found, known, ["anchor", "seg"], "rows", "did").select("did", "key", F.explode(spans).alias("s")).select("did", "key", "s.first", "s.n")
 
 
 def _cut(length: int):
@@ -176,7 +174,7 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
     spans = repeats(own.select("did", "key", "text"), length, gram).groupBy("did", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     return own.join(spans, ["did", "key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
 
