@@ -20,7 +20,6 @@ the library; repeated rows give a row each; an empty table gives no row.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 LONGEST_FREQUENT = 48
 LOCAL_COUNT = 16
 _CACHE = 200_000
@@ -40,13 +41,15 @@ _CACHE = 200_000
 
 @dataclass(frozen=True)
 class Pieces:
-    """pieces: text -> (id, score); raw: what each id decodes to; byte_ids: ids of the 256 byte pieces; unknown: the penalty."""
+    """pieces: text -> (id, score); starts: the same and None for every other start of a piece; raw: what each id decodes to; byte_ids: ids of the 256 byte pieces; unknown: the penalty."""
 
     pieces: dict[str, tuple[int, float]]
+    starts: dict[str, tuple[int, float] | None]
     raw: list[bytes]
     byte_ids: list[int]
     unknown: float
     longest: int
+    alone: str
     cut: str
 
     @classmethod
@@ -68,26 +71,42 @@ class Pieces:
             raise ValueError("a piece spans the start of a word")
         alone = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in table))
         cut = f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")
-        return cls(table, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), cut)
+        starts = {p[:k]: None for p in table for k in range(1, len(p))} | table
+        return cls(table, starts, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), alone, cut)
 
 
 def words_of(text: str, cut: re.Pattern) -> list[str]:
     return cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def tokens_of(text: str, table: Pieces) -> list[str] | None:
+    """The text split at spaces, line breaks being the start of a token: each token is one word or more (see word_of).
+
+    None where marks may follow each other, so that a word is more than a token.
+    """
+    if "  " in text or text[:1] == " " or MARK in text or "\n" not in table.alone:
+        return None
+    return text.replace("\n", " \n").split(" ") if text else []
+
+
+def word_of(token: str) -> str:
+    return token if token[:1] == "\n" else MARK + token
+
+
 def best_path(word: str, table: Pieces) -> list[int]:
-    """The fold of encode_words() for one word."""
-    n, pieces = len(word), table.pieces
+    """The fold of encode_words() for one word. An edge is looked for as long as some piece starts so."""
+    n, get, unknown = len(word), table.starts.get, (-1, table.unknown)
     score, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
     for a in range(n):
-        s = score[a]
-        if (own := pieces.get(word[a])) is None:
-            own = (-1, table.unknown)
-        if s + own[1] > score[a + 1]:
-            score[a + 1], back[a + 1] = s + own[1], (a, own[0])
-        for b in range(a + 2, min(n, a + table.longest) + 1):
-            if (own := pieces.get(word[a:b])) is not None and s + own[1] > score[b]:
-                score[b], back[b] = s + own[1], (a, own[0])
+        s, b = score[a], a + 1
+        own = get(word[a], 0) or unknown
+        while own != 0:
+            if own is not None and (now := s + own[1]) > score[b]:
+                score[b], back[b] = now, (a, own[0])
+            b += 1
+            if b > n:
+                break
+            own = get(word[a:b], 0)
     out: list[int] = []
     while n:
         a, k = back[n]
@@ -105,7 +124,7 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     spark = words.sparkSession
     pieces = F.broadcast(spark.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items()], "piece string, id int, score double"))
     n = F.length("word")
-    starts = words.repartition("word").withColumn("a", F.explode(F.sequence(F.lit(1), n)))
+    starts = words.repartition(shuffle_partitions(spark), "word").withColumn("a", F.explode(F.sequence(F.lit(1), n)))
     parts = starts.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(n, F.col("a") + table.longest - 1)))).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
     edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR a = b")
     edge = F.struct("b", "a", F.coalesce("id", -F.col("a")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
@@ -123,21 +142,20 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 
 def frequent_words(docs: DataFrame, table: Pieces, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
     """The most frequent words: counted in each partition, small local counts left out, summed, and the first ``most`` taken. Any choice gives the same encoding."""
-    pattern, longest = table.cut, LONGEST_FREQUENT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        cut, seen = re.compile(pattern), Counter()
+        seen: Counter[str] = Counter()
 
         def out(least: int) -> pa.RecordBatch:
-            full = [(w, n) for w, n in seen.items() if n >= least and len(w) <= longest]
+            full = [(word_of(w), n) for w, n in seen.items() if n >= least and len(w) < LONGEST_FREQUENT]
             return pa.record_batch([pa.array([w for w, _ in full], pa.string()), pa.array([n for _, n in full], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(words_of(text.as_py() or "", cut))
-                if len(seen) > 400_000:
+                seen.update(tokens_of(text.as_py() or "", table) or ())
+                if len(seen) > 300_000:
                     yield out(LOCAL_COUNT)
                     seen.clear()
         yield out(LOCAL_COUNT if len(seen) > 20_000 else 1)
@@ -151,20 +169,28 @@ def _encoder(table, frequent):
         own: Pieces = table.value
 
         class Known(dict):
-            def __missing__(self, word: str) -> bytes:
+            """Word -> ids, as bytes: the frequent ones, and those met lately."""
+
+            def __missing__(self, token: str) -> bytes:
                 if len(self) > _CACHE + len(frequent.value):
                     self.clear()
                     self.update(frequent.value)
-                self[word] = ids = np.array(best_path(word, own), "<i4").tobytes()
+                self[token] = ids = np.array(best_path(word_of(token), own), "<i4").tobytes()
                 return ids
 
         known, cut = Known(frequent.value), re.compile(own.cut)
+
+        def ids_of(text: str) -> bytes:
+            if (tokens := tokens_of(text, own)) is not None:
+                return b"".join([known[t] for t in tokens])
+            return np.array([k for w in words_of(text, cut) for k in best_path(w, own)], "<i4").tobytes()
+
         for batch in batches:
             a = 0
             while a < batch.num_rows:  # an output batch holds some million ids
                 ids, offsets, b = [], [0], a
-                while b < batch.num_rows and offsets[-1] < 1 << 22:
-                    ids.append(b"".join([known[w] for w in words_of(batch.column(1)[b].as_py() or "", cut)]))
+                while b < batch.num_rows and offsets[-1] < 1 << 20:
+                    ids.append(ids_of(batch.column(1)[b].as_py() or ""))
                     offsets.append(offsets[-1] + len(ids[-1]) // 4)
                     b += 1
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -179,11 +205,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark: SparkSession = docs.sparkSession
     table = Pieces.load(model)
     known = {}
-    for row in encode_words(frequent_words(docs, table, text_col), table).toLocalIterator():  # at most FREQUENT short rows
+    for row in encode_words(frequent_words(docs, table, text_col), table).collect():  # at most FREQUENT short rows
         ids: list[int] = []
         for k in row["ids"]:
             ids += [k] if k >= 0 else [table.byte_ids[c] for c in row["word"][-k - 1].encode()]
-        known[row["word"]] = np.array(ids, "<i4").tobytes()
+        known[row["word"].removeprefix(MARK)] = np.array(ids, "<i4").tobytes()
     sc = spark.sparkContext
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encoder(sc.broadcast(table), sc.broadcast(known)), "doc_id long, ids array<int>")
 
@@ -207,11 +233,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids as 32-bit little-endian numbers), decoded_sha256, n_chars of what decodes."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [x.values.to_numpy().astype("<i4").tobytes() for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in own], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in own]), batch.column(2)], names=["doc_id", "n_pieces", "ids_sha256", "text"])
-
-    return decoded.mapInArrow(digest, "doc_id long, n_pieces long, ids_sha256 string, text string").select("doc_id", "n_pieces", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("n_chars"))
+    """doc_id, n_pieces, ids_sha256 (of the ids joined by commas), decoded_sha256, n_chars of what decodes."""
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("n_chars"))

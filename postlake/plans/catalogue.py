@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import canonical
+from . import canonical, runs
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "canonical"]
+__all__ = ["ORACLE_SQL", "QUERIES", "canonical", "runs"]
