@@ -1,59 +1,81 @@
-"""Reading of semi-structured payloads (VARIANT): typed access that yields null where a level has another shape."""
+"""Reading of semi-structured payloads (VARIANT): typed access that yields null where a level has another shape.
+
+Each function takes the name of a variant column and a path, and gives one parsed expression: a flat row has over forty
+of them, and building each from single column calls would take longer than running it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
+def quoted(s: str | None) -> str:
+    """A SQL literal."""
+    return "CAST(NULL AS STRING)" if s is None else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def get(v: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({v}, {quoted(path)}, '{kind}')"
+
+
+def shape(v: str, path: str) -> str:
+    return f"schema_of_variant({get(v, path)})"
 
-def at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
 
+def is_object(v: str, path: str = "$") -> Column:
+    return F.expr(f"coalesce(startswith({shape(v, path)}, 'OBJECT'), false)")
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
+def has_block(v: str, path: str) -> Column:
+    """An object with something in it."""
+    return F.expr(f"coalesce(startswith({shape(v, path)}, 'OBJECT') AND to_json({get(v, path)}) <> '{{}}', false)")
 
-def is_container(v: Column) -> Column:
-    return F.coalesce(kind(v).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
+def text_sql(v: str, path: str) -> str:
+    s, k = get(v, path, "string"), shape(v, path)
+    return f"CASE WHEN {k} RLIKE '^(OBJECT|ARRAY)' THEN NULL WHEN {k} = 'BOOLEAN' THEN initcap({s}) ELSE {s} END"
 
-def text(v: Column, path: str) -> Column:
-    """Strings and numbers as text, booleans as True or False; lists and objects are null."""
-    x = at(v, path)
-    return F.when(is_container(x), None).when(kind(x) == "BOOLEAN", F.initcap(F.try_variant_get(v, path, "string"))).otherwise(F.try_variant_get(v, path, "string"))
 
+def text(v: str, *paths: str) -> Column:
+    """Strings and numbers as text, booleans as True or False; lists and objects are null. Of several paths, the first not null."""
+    return F.expr(f"coalesce({', '.join(text_sql(v, p) for p in paths)})" if len(paths) > 1 else text_sql(v, paths[0]))
 
-def whole(v: Column, path: str) -> Column:
+
+def whole(v: str, path: str) -> Column:
     """Numbers and numeric strings, truncated toward zero; all else is null."""
-    x = at(v, path)
-    number = F.expr("null").cast("double")
-    s = F.regexp_replace(F.try_variant_get(v, path, "string"), r"^\s+|\s+$", "")
-    return F.when(is_container(x) | (kind(x) == "BOOLEAN"), number).otherwise(s.try_cast("double")).cast("long")
+    return F.expr(f"CASE WHEN NOT {shape(v, path)} RLIKE '^(OBJECT|ARRAY|BOOLEAN)' THEN try_cast(try_cast(regexp_replace({get(v, path, 'string')}, '^\\\\s+|\\\\s+$', '') AS DOUBLE) AS BIGINT) END")
+
+
+def long(v: str, path: str) -> Column:
+    return F.expr(get(v, path, "long"))
+
+
+def string(v: str, path: str) -> Column:
+    return F.expr(get(v, path, "string"))
 
 
-def flag(v: Column, path: str) -> Column:
-    return F.when(kind(at(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+def flag(v: str, path: str) -> Column:
+    return F.expr(f"CASE WHEN {shape(v, path)} = 'BOOLEAN' THEN {get(v, path, 'boolean')} END")
 
 
-def number(v: Column, path: str) -> Column:
-    return F.when(kind(at(v, path)).rlike(_NUMBER), F.try_variant_get(v, path, "double"))
+def number(v: str, path: str) -> Column:
+    return F.expr(f"CASE WHEN {shape(v, path)} RLIKE '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$' THEN {get(v, path, 'double')} END")
 
 
-def nested(v: Column, path: str) -> Column:
+def nested(v: str, path: str) -> Column:
     """A list or object as a variant; empty ones, and booleans, are null."""
-    x = at(v, path)
-    bare = F.to_json(x).isin("[]", "{}") | (kind(x) == "BOOLEAN")
-    return F.when(~F.coalesce(bare, F.lit(False)), x)
+    x = get(v, path)
+    return F.expr(f"CASE WHEN NOT coalesce(to_json({x}) IN ('[]', '{{}}') OR {shape(v, path)} = 'BOOLEAN', false) THEN {x} END")
 
 
-def values(v: Column) -> Column:
+def values(v: str) -> Column:
     """A list's items, an object's values, or a scalar alone, each as its label (localizedName, name or label of an object)."""
-    items = F.when(kind(v).startswith("ARRAY"), v.try_cast("array<variant>")).when(kind(v).startswith("OBJECT"), F.map_values(v.try_cast("map<string,variant>"))).when(v.isNotNull() & (kind(v) != "VOID"), F.array(v)).otherwise(F.array().cast("array<variant>"))
-    label = lambda x: F.coalesce(*[F.try_variant_get(x, f"$.{k}", "string") for k in ("localizedName", "name", "label")], F.when(~is_container(x) & (kind(x) == "STRING"), F.try_variant_get(x, "$", "string")))
-    return F.transform(items, label)
+    label = ", ".join(get("x", f"$.{k}", "string") for k in ("localizedName", "name", "label"))
+    return F.expr(
+        f"""transform(CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN try_cast({v} AS ARRAY<VARIANT>) WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN map_values(try_cast({v} AS MAP<STRING, VARIANT>))
+        WHEN schema_of_variant({v}) <> 'VOID' THEN array({v}) ELSE CAST(array() AS ARRAY<VARIANT>) END, x -> coalesce({label}, CASE WHEN schema_of_variant(x) = 'STRING' THEN try_variant_get(x, '$', 'string') END))"""
+    )
 
 
 def iso_date(c: Column) -> Column:

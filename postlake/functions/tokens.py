@@ -11,11 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
+from .payload import quoted
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """A constant map's value, or null."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.expr(f"map({', '.join(quoted(x) for pair in table.items() for x in pair)})"), key)
 
 
 def stripped(c: Column) -> Column:
@@ -53,7 +54,7 @@ def epoch_ms(c: Column) -> Column:
 def by_precedence(values: Column, table: dict[str, str], order: Sequence[str]) -> Column:
     """values: an array of spellings. The first token of order that any of them means; their order does not matter."""
     mapped = F.transform(values, lambda v: lookup(table, norm_token(v)))
-    return F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda p: F.array_contains(mapped, p)), F.lit(1))
+    return F.try_element_at(F.filter(F.expr(f"array({', '.join(map(quoted, order))})"), lambda p: F.array_contains(mapped, p)), F.lit(1))
 
 
 def unknown_values(values: Column, table: dict[str, str]) -> Column:

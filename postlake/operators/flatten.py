@@ -36,85 +36,76 @@ GLASSDOOR_LD = {
 }
 
 
-def _entity(included: Column, urn: Column) -> Column:
-    """The first of the included entities with the given name: a join within the row."""
-    items = included.try_cast("array<variant>")
-    return F.try_element_at(F.filter(items, lambda e: F.try_variant_get(e, "$.entityUrn", "string") == urn), F.lit(1))
+def _entity(urn: str) -> Column:
+    """The first of the included entities with the given name: a join within the row. urn: SQL."""
+    return F.expr(f"try_element_at(filter(try_cast({P.get('v', '$.included')} AS ARRAY<VARIANT>), e -> try_variant_get(e, '$.entityUrn', 'string') = {urn}), 1)")
 
 
-def company_urn(v: Column) -> Column:
-    details = P.at(v, "$.data.companyDetails")
-    own = P.text(details, "$.company")
-    inner = F.filter(F.transform(F.map_values(details.try_cast("map<string,variant>")), lambda x: F.try_variant_get(x, "$.company", "string")), lambda u: u.startswith("urn:li:"))
-    return F.when(own.startswith("urn:li:"), own).otherwise(F.try_element_at(inner, F.lit(1)))
+def company_urn() -> str:
+    """SQL of the company's name: the one given, or the first nested one."""
+    own = P.text_sql("v", "$.data.companyDetails.company")
+    inner = f"map_values(try_cast({P.get('v', '$.data.companyDetails')} AS MAP<STRING, VARIANT>))"
+    return f"CASE WHEN startswith({own}, 'urn:li:') THEN {own} ELSE try_element_at(filter(transform({inner}, x -> try_variant_get(x, '$.company', 'string')), u -> startswith(u, 'urn:li:')), 1) END"
 
 
-def linkedin(df: DataFrame, v: str = "v") -> DataFrame:
+def linkedin(df: DataFrame) -> DataFrame:
     """36 columns; df has the parsed payload in column v, and scan_run_id."""
-    x, d = F.col(v), "$.data."
-    kept = [c for c in df.columns if c != v]
-    df = df.withColumn("_company", _entity(P.at(x, "$.included"), company_urn(x))).withColumn("_title", _entity(P.at(x, "$.included"), P.text(x, d + "standardizedTitle")))
-    pay = P.at(x, d + "salaryInsights.compensationBreakdown[0]")
-    method = F.try_variant_get(x, d + "applyMethod['$type']", "string")
-    company = F.col("_company")
-    cols = {k: P.text(x, d + p) for k, p in LINKEDIN_TEXT.items()} | {k: P.nested(x, d + p) for k, p in LINKEDIN_NESTED.items()}
+    d = "$.data."
+    kept = [c for c in df.columns if c != "v"]
+    df = df.withColumns({"_company": _entity(company_urn()), "_title": _entity(P.text_sql("v", d + "standardizedTitle"))})
+    pay = d + "salaryInsights.compensationBreakdown[0]."
+    cols = {k: P.text("v", d + p) for k, p in LINKEDIN_TEXT.items()} | {k: P.nested("v", d + p) for k, p in LINKEDIN_NESTED.items()}
     cols |= {
-        "listed_at": F.try_variant_get(x, d + "listedAt", "long"), "original_listed_at": F.try_variant_get(x, d + "originalListedAt", "long"),
-        "work_remote_allowed": P.flag(x, d + "workRemoteAllowed"), "standardized_title": P.text(F.col("_title"), "$.localizedName"),
-        "skills_description": F.coalesce(P.text(x, d + "skillsDescription.text"), P.text(x, d + "skillsDescription")), "apply_method_type": F.substring_index(method, ".", -1),
-        "company_apply_url": P.text(x, d + "applyMethod.companyApplyUrl"), "salary_min": P.number(pay, "$.minSalary"), "salary_max": P.number(pay, "$.maxSalary"),
-        "salary_currency": P.text(pay, "$.currencyCode"), "salary_period": P.text(pay, "$.payPeriod"), "salary_provided_by_employer": P.flag(x, d + "salaryInsights.providedByEmployer"),
-        "description_text": P.text(x, d + "description.text"), "company_name": P.text(company, "$.name"), "company_universal_name": P.text(company, "$.universalName"),
-        "company_url": F.coalesce(F.nullif(P.text(company, "$.url"), F.lit("")), P.text(company, "$.companyPageUrl")), "company_description": P.text(company, "$.description"),
+        "listed_at": P.long("v", d + "listedAt"), "original_listed_at": P.long("v", d + "originalListedAt"),
+        "work_remote_allowed": P.flag("v", d + "workRemoteAllowed"), "standardized_title": P.text("_title", "$.localizedName"),
+        "skills_description": P.text("v", d + "skillsDescription.text", d + "skillsDescription"), "apply_method_type": F.substring_index(P.string("v", d + "applyMethod['$type']"), ".", -1),
+        "company_apply_url": P.text("v", d + "applyMethod.companyApplyUrl"), "salary_min": P.number("v", pay + "minSalary"), "salary_max": P.number("v", pay + "maxSalary"),
+        "salary_currency": P.text("v", pay + "currencyCode"), "salary_period": P.text("v", pay + "payPeriod"), "salary_provided_by_employer": P.flag("v", d + "salaryInsights.providedByEmployer"),
+        "description_text": P.text("v", d + "description.text"), "company_name": P.text("_company", "$.name"), "company_universal_name": P.text("_company", "$.universalName"),
+        "company_url": F.coalesce(F.nullif(P.text("_company", "$.url"), F.lit("")), P.text("_company", "$.companyPageUrl")), "company_description": P.text("_company", "$.description"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], x.alias("source_raw"))
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))
 
 
-def indeed_key(x: Column) -> Column:
-    return F.coalesce(P.text(x, "$.mosaic.jobkey"), F.nullif(P.text(x, "$.graphql.jobKey"), F.lit("")), P.text(x, "$.graphql.jobkey"))
+def indeed_key() -> Column:
+    return F.coalesce(P.text("v", "$.mosaic.jobkey"), F.nullif(P.text("v", "$.graphql.jobKey"), F.lit("")), P.text("v", "$.graphql.jobkey"))
 
 
-def has_block(x: Column, path: str) -> Column:
-    return F.coalesce(P.kind(P.at(x, path)).startswith("OBJECT") & (F.to_json(P.at(x, path)) != "{}"), F.lit(False))
-
-
-def indeed(df: DataFrame, v: str = "v") -> DataFrame:
+def indeed(df: DataFrame) -> DataFrame:
     """42 columns."""
-    x = F.col(v)
-    kept = [c for c in df.columns if c != v]
-    key = indeed_key(x)
+    kept = [c for c in df.columns if c != "v"]
+    key = indeed_key()
     m, g = "$.mosaic.", "$.graphql."
-    cols = {k: P.text(x, m + p) for k, p in INDEED_TEXT.items()} | {k: P.text(x, g + p) for k, p in INDEED_GRAPHQL.items()}
+    cols = {k: P.text("v", m + p) for k, p in INDEED_TEXT.items()} | {k: P.text("v", g + p) for k, p in INDEED_GRAPHQL.items()}
     cols |= {
-        "job_url": F.concat(F.lit("https://ca.indeed.com/viewjob?jk="), key), "jobkey": key, "mosaic_present": has_block(x, "$.mosaic"), "graphql_present": has_block(x, "$.graphql"),
-        "pub_date": F.try_variant_get(x, m + "pubDate", "long"), "expiration_date": F.try_variant_get(x, m + "expirationDate", "long"), "job_types": P.nested(x, m + "jobTypes"),
-        "taxonomy_attributes": P.nested(x, m + "taxonomyAttributes"), "location_count": P.whole(x, m + "locationCount"), "remote_location": P.flag(x, m + "remoteLocation"),
-        "salary_min": P.number(x, m + "extractedSalary.min"), "salary_max": P.number(x, m + "extractedSalary.max"), "indeed_apply_enabled": P.flag(x, m + "indeedApplyEnabled"),
-        "num_hires": P.whole(x, m + "numHires"), "attributes": P.nested(x, g + "attributes"),
+        "job_url": F.concat(F.lit("https://ca.indeed.com/viewjob?jk="), key), "jobkey": key, "mosaic_present": P.has_block("v", "$.mosaic"), "graphql_present": P.has_block("v", "$.graphql"),
+        "pub_date": P.long("v", m + "pubDate"), "expiration_date": P.long("v", m + "expirationDate"), "job_types": P.nested("v", m + "jobTypes"),
+        "taxonomy_attributes": P.nested("v", m + "taxonomyAttributes"), "location_count": P.whole("v", m + "locationCount"), "remote_location": P.flag("v", m + "remoteLocation"),
+        "salary_min": P.number("v", m + "extractedSalary.min"), "salary_max": P.number("v", m + "extractedSalary.max"), "indeed_apply_enabled": P.flag("v", m + "indeedApplyEnabled"),
+        "num_hires": P.whole("v", m + "numHires"), "attributes": P.nested("v", g + "attributes"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], x.alias("source_raw"))
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))
 
 
-def listing_id(x: Column) -> Column:
-    return P.text(x, "$.jobListing.jobDetailsData.listingId")
+def listing_id() -> Column:
+    return P.text("v", "$.jobListing.jobDetailsData.listingId")
 
 
-def glassdoor(df: DataFrame, v: str = "v") -> DataFrame:
+def glassdoor(df: DataFrame) -> DataFrame:
     """45 columns."""
-    x = F.col(v)
-    kept = [c for c in df.columns if c != v]
-    key = listing_id(x)
+    kept = [c for c in df.columns if c != "v"]
+    key = listing_id()
     d, ld, h, mp = "$.jobListing.jobDetailsData.", "$.json_ld.", "$.jobListing.jobDetailsRawData.jobview.header.", "$.jobListing.jobDetailsRawData.jobview.map."
-    cols = {k: P.text(x, d + p) for k, p in GLASSDOOR_DETAILS.items()} | {k: P.text(x, ld + p) for k, p in GLASSDOOR_LD.items()}
+    cols = {k: P.text("v", d + p) for k, p in GLASSDOOR_DETAILS.items()} | {k: P.text("v", ld + p) for k, p in GLASSDOOR_LD.items()}
     cols |= {
-        "job_url": F.concat(F.lit("https://www.glassdoor.ca/job-listing/listing-"), key, F.lit(".htm?jl="), key), "listing_id": key, "goc_id": P.whole(x, d + "gocId"),
-        "job_country_id": P.whole(x, d + "jobCountryId"), "is_easy_apply": P.flag(x, d + "isEasyApply"), "pay_period_adjusted_pay": P.nested(x, d + "payPeriodAdjustedPay"),
-        "location": P.nested(x, d + "location"), "employer_overview": F.to_json(P.nested(x, d + "employerOverview")), "employer_benefits_reviews": P.nested(x, d + "employerBenefitsReviews"),
-        "indeed_job_attribute": P.nested(x, h + "indeedJobAttribute"), "skills_labels": P.nested(x, h + "indeedJobAttribute.skillsLabel"), "education_labels": P.nested(x, h + "indeedJobAttribute.educationLabel"),
-        "date_posted": P.iso_date(P.text(x, ld + "datePosted")), "employment_type": P.nested(x, ld + "employmentType"), "jsonld_salary_min": P.number(x, ld + "baseSalary.value.minValue"),
-        "jsonld_salary_max": P.number(x, ld + "baseSalary.value.maxValue"), "job_location": P.nested(x, ld + "jobLocation"), "hiring_organization": P.nested(x, ld + "hiringOrganization"),
-        "direct_apply": P.flag(x, ld + "directApply"), "header_goc": P.text(x, h + "goc"), "job_type": P.nested(x, h + "jobType"), "job_type_keys": P.nested(x, h + "jobTypeKeys"),
-        "remote_work_types": P.nested(x, h + "remoteWorkTypes"), "header_apply_url": P.text(x, h + "applyUrl"), "header_employer": P.nested(x, h + "employer"),
-        "map_city_name": P.text(x, mp + "cityName"), "map_country": P.text(x, mp + "country"), "map_state_name": P.text(x, mp + "stateName"),
+        "job_url": F.concat(F.lit("https://www.glassdoor.ca/job-listing/listing-"), key, F.lit(".htm?jl="), key), "listing_id": key, "goc_id": P.whole("v", d + "gocId"),
+        "job_country_id": P.whole("v", d + "jobCountryId"), "is_easy_apply": P.flag("v", d + "isEasyApply"), "pay_period_adjusted_pay": P.nested("v", d + "payPeriodAdjustedPay"),
+        "location": P.nested("v", d + "location"), "employer_overview": F.to_json(P.nested("v", d + "employerOverview")), "employer_benefits_reviews": P.nested("v", d + "employerBenefitsReviews"),
+        "indeed_job_attribute": P.nested("v", h + "indeedJobAttribute"), "skills_labels": P.nested("v", h + "indeedJobAttribute.skillsLabel"), "education_labels": P.nested("v", h + "indeedJobAttribute.educationLabel"),
+        "date_posted": P.iso_date(P.text("v", ld + "datePosted")), "employment_type": P.nested("v", ld + "employmentType"), "jsonld_salary_min": P.number("v", ld + "baseSalary.value.minValue"),
+        "jsonld_salary_max": P.number("v", ld + "baseSalary.value.maxValue"), "job_location": P.nested("v", ld + "jobLocation"), "hiring_organization": P.nested("v", ld + "hiringOrganization"),
+        "direct_apply": P.flag("v", ld + "directApply"), "header_goc": P.text("v", h + "goc"), "job_type": P.nested("v", h + "jobType"), "job_type_keys": P.nested("v", h + "jobTypeKeys"),
+        "remote_work_types": P.nested("v", h + "remoteWorkTypes"), "header_apply_url": P.text("v", h + "applyUrl"), "header_employer": P.nested("v", h + "employer"),
+        "map_city_name": P.text("v", mp + "cityName"), "map_country": P.text("v", mp + "country"), "map_state_name": P.text("v", mp + "stateName"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], x.alias("source_raw"))
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))

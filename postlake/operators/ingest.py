@@ -28,28 +28,28 @@ def route(envelopes: DataFrame) -> DataFrame:
     gates = [
         ("skipped", F.col("skip_reason") != ""),
         ("no_source_raw", F.col("source_raw").isNull()),
-        ("malformed", v.isNull() | ~P.kind(v).startswith("OBJECT")),
+        ("malformed", v.isNull() | ~P.is_object("v")),
         ("unknown_site", ~F.coalesce(site.isin(*vocab.SITES), F.lit(False))),
         ("no_scan_run_id", F.coalesce(F.col("scan_run_id"), F.lit("")) == ""),
-        ("no_job_url", (site == "linkedin") & (F.coalesce(P.text(v, "$.data.jobPostingUrl"), F.lit("")) == "")),
-        ("no_surface", (site == "indeed") & ~flatten.has_block(v, "$.mosaic") & ~flatten.has_block(v, "$.graphql")),
-        ("no_jobkey", (site == "indeed") & (F.coalesce(flatten.indeed_key(v), F.lit("")) == "")),
-        ("no_listing_id", (site == "glassdoor") & (F.coalesce(flatten.listing_id(v), F.lit("")) == "")),
+        ("no_job_url", (site == "linkedin") & (F.coalesce(P.text("v", "$.data.jobPostingUrl"), F.lit("")) == "")),
+        ("no_surface", (site == "indeed") & ~P.has_block("v", "$.mosaic") & ~P.has_block("v", "$.graphql")),
+        ("no_jobkey", (site == "indeed") & (F.coalesce(flatten.indeed_key(), F.lit("")) == "")),
+        ("no_listing_id", (site == "glassdoor") & (F.coalesce(flatten.listing_id(), F.lit("")) == "")),
     ]
     return df.withColumn("outcome", ordered(gates, "accepted"))
 
 
-def job_url(v: Column, site: Column) -> Column:
-    key = flatten.listing_id(v)
+def job_url(site: Column) -> Column:
+    key = flatten.listing_id()
     return (
-        F.when(site == "linkedin", P.text(v, "$.data.jobPostingUrl"))
-        .when(site == "indeed", F.concat(F.lit("https://ca.indeed.com/viewjob?jk="), flatten.indeed_key(v)))
+        F.when(site == "linkedin", P.text("v", "$.data.jobPostingUrl"))
+        .when(site == "indeed", F.concat(F.lit("https://ca.indeed.com/viewjob?jk="), flatten.indeed_key()))
         .when(site == "glassdoor", F.concat(F.lit("https://www.glassdoor.ca/job-listing/listing-"), key, F.lit(".htm?jl="), key))
     )
 
 
 def accepted(routed: DataFrame) -> DataFrame:
-    return routed.where("outcome = 'accepted'").withColumn("job_url", job_url(F.col("v"), F.col("site")))
+    return routed.where("outcome = 'accepted'").withColumn("job_url", job_url(F.col("site")))
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:

@@ -53,11 +53,11 @@ def _finish(df: DataFrame, site: str, cols: dict[str, Column], events: list[Colu
 
 
 def linkedin(df: DataFrame) -> DataFrame:
-    labels, status = P.values(F.col("workplace_types_labels")), F.array(F.col("formatted_employment_status"))
+    labels, status = P.values("workplace_types_labels"), F.array(F.col("formatted_employment_status"))
     place, remote = T.workplace_type(labels), F.col("work_remote_allowed")
     cols = {
         "site_job_id": F.col("job_posting_id"), "title": F.col("title"), "company": F.col("company_name"), "location_text": F.col("formatted_location"), "description": F.col("description_text"),
-        "remote": remote, "apply_url": F.col("company_apply_url"), "experience_level": F.col("formatted_experience_level"), "industry": T.first_text(P.values(F.col("formatted_industries"))),
+        "remote": remote, "apply_url": F.col("company_apply_url"), "experience_level": F.col("formatted_experience_level"), "industry": T.first_text(P.values("formatted_industries")),
         "salary_min": F.col("salary_min"), "salary_max": F.col("salary_max"), "salary_currency": F.col("salary_currency"), "salary_period": T.salary_period(F.col("salary_period")),
         "posted_at": T.epoch_ms(F.col("listed_at")), "employment_type": T.employment_type(status), "workplace_type": place, "language": _none(), "education_requirements": _none(),
         "salary_disclosed": F.col("salary_provided_by_employer"),
@@ -71,7 +71,7 @@ def linkedin(df: DataFrame) -> DataFrame:
 
 
 def indeed(df: DataFrame) -> DataFrame:
-    types, language, remote = P.values(F.col("job_types")), F.col("language"), F.col("remote_location")
+    types, language, remote = P.values("job_types"), F.col("language"), F.col("remote_location")
     cols = {
         "site_job_id": F.col("jobkey"), "title": F.col("title"), "company": F.coalesce("company", "employer_name"), "location_text": F.col("formatted_location"), "description": F.col("description_text"),
         "remote": remote, "apply_url": F.col("third_party_apply_url"), "experience_level": _none(), "industry": _none(), "salary_min": F.col("salary_min"), "salary_max": F.col("salary_max"),
@@ -87,7 +87,7 @@ def indeed(df: DataFrame) -> DataFrame:
 
 
 def glassdoor(df: DataFrame) -> DataFrame:
-    own, header, work = P.values(F.col("employment_type")), P.values(F.col("job_type")), P.values(F.col("remote_work_types"))
+    own, header, work = P.values("employment_type"), P.values("job_type"), P.values("remote_work_types")
     types = F.when(F.size(own) > 0, own).otherwise(header)
     prose = F.col("experience_requirements_description")
     cols = {
@@ -95,7 +95,7 @@ def glassdoor(df: DataFrame) -> DataFrame:
         "remote": F.when(F.col("remote_work_types").isNotNull(), True), "apply_url": F.col("header_apply_url"), "experience_level": prose, "industry": F.col("industry"),
         "salary_min": F.col("jsonld_salary_min"), "salary_max": F.col("jsonld_salary_max"), "salary_currency": F.col("jsonld_salary_currency_top"),
         "salary_period": T.salary_period(F.col("salary_period")), "posted_at": F.col("date_posted").cast("timestamp"), "employment_type": T.employment_type(types), "workplace_type": T.workplace_type(work),
-        "language": _none(), "education_requirements": F.coalesce(T.joined_labels(P.values(F.col("education_labels"))), F.when(T.present(prose), prose)),
+        "language": _none(), "education_requirements": F.coalesce(T.joined_labels(P.values("education_labels")), F.when(T.present(prose), prose)),
         "salary_disclosed": T.salary_disclosed(F.col("salary_source")),
     }
     events = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 DUCK_STAMP = "'%Y-%m-%d %H:%M:%S'"
 
 
+@lru_cache(maxsize=8)  # of plans, not rows: building one takes seconds
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.canonical(adapter.payloads(spark, sf_dir))
 

@@ -62,7 +62,7 @@ def message_ring_in_row(spark, sf_dir):
     return logs.select("conv_id", F.array_join(F.transform(R.ring_of(F.col("log"), 3), lambda e: e["role"]), ",").alias("roles"))
 
 
-@query("SELECT event_id, user_id, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS dt FROM events")
+@query("SELECT event_id, user_id, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS dt FROM events")
 def run_elapsed(spark, sf_dir):
     return R.elapsed(events(spark, sf_dir), "user_id", "at").select("event_id", "user_id", "dt")
 
@@ -181,7 +181,7 @@ def row_window(spark, sf_dir):
 
 
 @query("""SELECT n_nationkey AS id, array_to_string(list_filter([CASE WHEN s = 0 THEN 'sites_empty' END, CASE WHEN k = 0 THEN 'keywords_empty' END, CASE WHEN k > 10 THEN 'too_many_keywords' END, CASE WHEN s * k > 30 THEN 'too_many_scans' END,
-    CASE WHEN n_nationkey * 90 NOT BETWEEN 1 AND 1440 THEN 'interval_out_of_range' END, CASE WHEN n_nationkey * 40 NOT BETWEEN 0 AND 600 THEN 'delay_out_of_range' END, CASE WHEN n_nationkey * 3 NOT BETWEEN 1 AND 60 THEN 'timeout_out_of_range' END], x -> x IS NOT NULL), ',') AS errors,
+    CASE WHEN n_nationkey * 90 NOT BETWEEN 1 AND 1440 THEN 'interval_out_of_range' END, CASE WHEN n_nationkey * 40 NOT BETWEEN 0 AND 600 THEN 'delay_out_of_range' END, CASE WHEN n_nationkey * 3 NOT BETWEEN 1 AND 60 THEN 'timeout_out_of_range' END], lambda x: x IS NOT NULL), ',') AS errors,
     CASE WHEN s * k BETWEEN 15 AND 30 THEN 'many_scans' ELSE '' END AS warnings FROM (SELECT *, n_nationkey % 4 AS s, n_nationkey % 13 AS k FROM nation)""")
 def config_validation(spark, sf_dir):
     n = F.col("n_nationkey")
@@ -195,7 +195,7 @@ def counter_reset(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), L.reset_counters(m).alias("m")).select("id", F.col("m")["consecutive_a"].alias("consecutive_a"), F.col("m")["total"].alias("total"))
 
 
-@query("""SELECT n_nationkey AS id, array_to_string(list_filter([CASE WHEN n NOT BETWEEN 0 AND 1 THEN 'nth_weight' END, CASE WHEN s <= 0 OR s > 1 THEN 'strong' END, CASE WHEN b <= 0 OR b >= s THEN 'binary' END], x -> x IS NOT NULL), ',') AS errors
+@query("""SELECT n_nationkey AS id, array_to_string(list_filter([CASE WHEN n NOT BETWEEN 0 AND 1 THEN 'nth_weight' END, CASE WHEN s <= 0 OR s > 1 THEN 'strong' END, CASE WHEN b <= 0 OR b >= s THEN 'binary' END], lambda x: x IS NOT NULL), ',') AS errors
     FROM (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) / 20 AS n, CAST(n_nationkey AS DOUBLE) / 16 AS s, CAST(n_nationkey % 7 AS DOUBLE) / 8 AS b FROM nation)""")
 def scoring_validation(spark, sf_dir):
     n = F.col("n_nationkey").cast("double")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.payload import quoted
+
 EMPLOYMENT = ("Full-time", "full time", "FULL_TIME", "Part-time", "Contractor", "temp", "Intern", "Permanent", "Volunteer", "Other", "Freelance", "  ", None)
 WORKPLACE = ("urn:li:fs_workplaceType:1", "urn:li:fs_workplaceType:2", "urn:li:fs_workplaceType:3", "Remote", "Hybrid", "On-site", "In person", "Moon base", None)
 PERIOD = ("YEARLY", "per hour", "Monthly", "week", "DAILY", "FORTNIGHTLY", None, "Hourly-rate")
@@ -18,7 +20,7 @@ BASE_MS = 1704067200000
 
 
 def pick(values: tuple, k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.expr(f"array({', '.join(map(quoted, values))})"), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

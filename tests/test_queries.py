@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA, compare
+from support import DATA, compare
 
 from postlake.plans import catalogue
 
