@@ -131,4 +131,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns. docs: a table as read, whose rows come in the same partitions each time."""
     copies = mix(docs, id_col, text_col, source_col, weights, share).where("copies > 0").select(F.col("uid").alias("_uid"), "copies")
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(copies, "_uid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid"))
+    return rows.join(copies, "_uid").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -192,4 +192,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     _, _, lowest = _classes(docs, id_col, text_col, radius, shingle)
     stay = lowest.select(F.col("uid").alias("_uid"))
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(stay, "_uid", "left_semi").select(*docs.columns)
+    return docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")).join(stay, "_uid", "left_semi").select("_row.*")
