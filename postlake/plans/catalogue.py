@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import canonical, runs
+from . import canonical, dedup, match, runs, streams, substrate, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "canonical", "runs"]
+__all__ = ["ORACLE_SQL", "QUERIES", "canonical", "dedup", "match", "runs", "streams", "substrate", "text"]
