@@ -21,6 +21,7 @@ the library; repeated rows give a row each; an empty table gives no row.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,6 +116,36 @@ def best_path(word: str, table: Pieces) -> list[int]:
     return out[::-1]
 
 
+def path_finder(table: Pieces):
+    """best_path() as a function of the word alone. Of a word whose characters all are pieces, an automaton lists the lattice's edges by their end, longest first."""
+    import ahocorasick
+
+    edges = ahocorasick.Automaton()
+    for p, (k, score) in table.pieces.items():
+        edges.add_word(p, (len(p), k, score))
+    edges.make_automaton()
+    known = frozenset(p for p in table.pieces if len(p) == 1)
+    sizes = {k: len(p) for p, (k, _) in table.pieces.items()}
+    low, find = float("-inf"), edges.iter
+
+    def path(word: str) -> list[int]:
+        if not known.issuperset(word):
+            return best_path(word, table)
+        n = len(word)
+        score, back = [low] * n + [0.0], [0] * n  # the start's score is at -1
+        for end, (size, k, own) in find(word):
+            now = score[end - size] + own
+            if now > score[end]:
+                score[end], back[end] = now, k
+        out, end = [], n - 1
+        while end >= 0:
+            out.append(k := back[end])
+            end -= sizes[k]
+        return out[::-1]
+
+    return path
+
+
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """words: distinct column word, not empty. (word, ids); an id below 0 is the place (from -1) of a character without a piece.
 
@@ -167,6 +198,7 @@ def frequent_words(docs: DataFrame, table: Pieces, text_col: str = "text", most:
 def _encoder(table, frequent):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Pieces = table.value
+        path, pack = path_finder(own), lambda ids: array("i", ids).tobytes()
 
         class Known(dict):
             """Word -> ids, as bytes: the frequent ones, and those met lately."""
@@ -175,7 +207,7 @@ def _encoder(table, frequent):
                 if len(self) > _CACHE + len(frequent.value):
                     self.clear()
                     self.update(frequent.value)
-                self[token] = ids = np.array(best_path(word_of(token), own), "<i4").tobytes()
+                self[token] = ids = pack(path(word_of(token)))
                 return ids
 
         known, cut = Known(frequent.value), re.compile(own.cut)
@@ -183,7 +215,7 @@ def _encoder(table, frequent):
         def ids_of(text: str) -> bytes:
             if (tokens := tokens_of(text, own)) is not None:
                 return b"".join([known[t] for t in tokens])
-            return np.array([k for w in words_of(text, cut) for k in best_path(w, own)], "<i4").tobytes()
+            return np.array([k for w in words_of(text, cut) for k in path(w)], "<i4").tobytes()
 
         for batch in batches:
             a = 0

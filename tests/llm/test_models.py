@@ -119,6 +119,13 @@ def test_pieces(spark, both):
                 assert list(r.ids or []) == [k for w in pieces.words_of(text[r.doc_id] or "", cut) for k in brute_path(w[:200] if len(w) > 400 else w, table)] or len(text[r.doc_id] or "") > 2500
 
 
+def test_path_finder():
+    table = pieces.Pieces.load()
+    path = pieces.path_finder(table)
+    for w in ("▁the", "▁▁▁", "\n", "▁internationalisation", "▁aaaaaaaaaaaa", "▁漢\U0001f600x", "▁0123456789abcdef", "▁Straße-und-Größe", "x" * 300):
+        assert path(w) == pieces.best_path(w, table) == brute_path(w, table)
+
+
 def test_pieces_relational(spark):
     table = pieces.Pieces.load()
     words = ["▁hello", "▁漢\U0001f600x", "▁" + "ab" * 20, "\n", "▁", "▁internationalisation"]
