@@ -8,7 +8,6 @@ from ..functions import text as X
 from ..operators import dedup as D
 from .registry import query, table
 
-N = F.col("doc_id")
 _HEAD = """SELECT doc_id, source, 'Role ' || CASE doc_id % 9 WHEN 0 THEN 'Intern' WHEN 1 THEN 'CO-OP' WHEN 2 THEN 'Sales' WHEN 3 THEN 'Manager' ELSE 'Engineer' END AS title, CASE doc_id % 11 WHEN 0 THEN 'Bad Corp' WHEN 1 THEN 'ABC Staffing' WHEN 2 THEN NULL ELSE 'Good' END AS company,
     CASE doc_id % 13 WHEN 0 THEN 'Far North' WHEN 1 THEN NULL ELSE 'City' END AS location, CASE doc_id % 10 WHEN 0 THEN 'A contract position' WHEN 1 THEN 'On-site only' WHEN 2 THEN 'NO SPONSORSHIP' WHEN 3 THEN 'for our client' WHEN 4 THEN ' ' WHEN 5 THEN NULL ELSE 'plain' END AS jd FROM documents"""
 _GATE0 = "CASE WHEN company = 'Bad Corp' THEN 'company_blacklist' WHEN location = 'Far North' THEN 'location' WHEN doc_id % 9 = 2 THEN 'title' WHEN doc_id % 9 < 2 THEN 'job_type' WHEN company = 'ABC Staffing' THEN 'agency' END"
@@ -43,6 +42,7 @@ def dedup_pass1(spark, sf_dir):
 
 def aged(spark, sf_dir):
     """Documents as postings: id, text, bucket, created_at (days; some share one)."""
+    N = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(N.alias("id"), "text", "source", "lang", F.concat_ws("/", "source", "lang").alias("bucket"), (N * 37 % 1009).alias("created_at"))
 
 
@@ -91,6 +91,7 @@ def dedup_bucketed_audit(spark, sf_dir):
     SELECT l.id, l.original, coalesce(root, l.original) AS root, CAST(depth AS BIGINT) AS depth FROM l LEFT JOIN ends USING (id)""")
 def dedup_chain_resolve(spark, sf_dir):
     """Chains of up to 29 links, and some cycles."""
+    N = F.col("doc_id")
     links = table(spark, sf_dir, "documents").where("doc_id % 30 <> 0 AND doc_id > 0").select(N.alias("id"), F.when(N % 60 == 58, N + 1).otherwise(N - 1).alias("original"))
     return D.resolve_chains(links)
 

@@ -9,13 +9,13 @@ from .canonical import canon
 from .expected import CANON
 from .registry import query, table
 
-N = F.col("doc_id")
 HAVE = ("python", "spark", "sql")
 PROFILE = {"yoe": 4.0, "salary_min": 60000.0, "degree": "bachelor", "needs_sponsorship": True}
 
 
 def texts(spark, sf_dir):
     """Postings' texts made from doc_id: years, pay, degree, visa, required and nice skills, each sometimes left out."""
+    N = F.col("doc_id")
     word = lambda k, *v: F.expr(f"element_at(array({', '.join(repr(x) for x in v)}), cast(doc_id % {k} + 1 AS INT))")
     body = F.concat(
         F.lit("About us\n"), F.when(N % 4 > 0, F.concat(N % 9, F.lit("+ Years of work\n"))).otherwise(""), F.when(N % 3 > 0, F.concat(F.lit("Pay $"), N % 50 + 30, F.lit(",000 - $"), N % 50 + 40, F.lit(",000\n"))).otherwise(""),
@@ -106,6 +106,7 @@ def blacklist(spark, sf_dir):
 @query(f"""{_ROUTED}, old AS (SELECT doc_id, 'old' AS verdict, TIMESTAMP '2024-01-01' + CAST(doc_id % 40 AS INTEGER) * INTERVAL 1 DAY AS expires_at FROM documents WHERE doc_id % 2 = 0), new AS (SELECT doc_id, verdict FROM r WHERE doc_id % 5 = 0)
     SELECT doc_id, verdict, strftime(expires_at, '%Y-%m-%d') AS expires FROM old WHERE expires_at > TIMESTAMP '2024-01-10' AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, verdict, '2024-02-09' FROM new WHERE verdict = 'matched'""")
 def shortlist_upsert(spark, sf_dir):
+    N = F.col("doc_id")
     old = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("verdict"), (F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval((N % 40).cast("int"))).alias("expires_at"))
     new = routed(spark, sf_dir).where("doc_id % 5 = 0").select("doc_id", "verdict")
     out = M.upsert_expiring(old, new, ["doc_id"], "2024-01-10", 30, F.col("verdict") != "matched")

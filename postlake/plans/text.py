@@ -21,7 +21,6 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-N = F.col("doc_id")
 
 _TEXT = _chain("html", (r"'(?i)<br\s*/?>'", "chr(10)"), ("'(?i)</p>'", "chr(10) || chr(10)"), ("'(?i)</li>'", "chr(10)"), ("'(?i)<li[^>]*>'", "'• '"), ("'(?i)</h[1-6]>'", "chr(10) || chr(10)"), ("'<[^>]+>'", "''"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&nbsp;'", "' '"), (r"'\n{3,}'", "chr(10) || chr(10)"))
 
@@ -51,6 +50,7 @@ _CITY, _REGION = "(['Toronto', 'Remote', NULL, 'Laval'])[doc_id % 4 + 1]", "(['O
     WHEN r IS NOT NULL AND r <> 'Canada' THEN s WHEN doc_id % 2 = 0 THEN 'Remote' END AS location FROM (SELECT *, CASE r WHEN 'Ontario' THEN 'ON' WHEN 'Quebec' THEN 'QC' ELSE r END AS s, CASE doc_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n FROM (SELECT doc_id, {_CITY} AS c, {_REGION} AS r FROM documents))""")
 def jsonld_postings(spark, sf_dir):
     """Pages made around documents: none, one, or a graph of two postings, with a broken script before them."""
+    N = F.col("doc_id")
     pick = lambda v, k: F.element_at(F.array(*[F.lit(x) for x in v]), (N % k + 1).cast("int"))
     address = F.struct(pick(("Toronto", "Remote", None, "Laval"), 4).alias("addressLocality"), pick(("Ontario", "Quebec", "Canada", None, "Texas"), 5).alias("addressRegion"))
     posting = F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Role "), N).alias("title"), F.struct(address.alias("address")).alias("jobLocation"), F.when(N % 2 == 0, "TELECOMMUTE").alias("jobLocationType"))
@@ -66,6 +66,7 @@ def jsonld_postings(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS listing_id, CASE WHEN doc_id % 3 < 2 THEN regexp_replace(doc_id || CASE doc_id % 3 WHEN 1 THEN 'x' ELSE '' END, '[^0-9]', '') END AS card_id,
     'https://www.glassdoor.ca/p?' || CASE doc_id % 3 WHEN 2 THEN 'q=1' ELSE 'jl=' || doc_id || CASE doc_id % 3 WHEN 1 THEN 'x' ELSE '' END END AS own, 'https://h.example.com/p' AS bare, 'data-engineer-' || doc_id AS slug, 'Acme ' || doc_id AS company, 'First' AS line FROM documents""")
 def listing_urls(spark, sf_dir):
+    N = F.col("doc_id")
     url = F.concat(F.lit("https://h.example.com/p?"), F.when(N % 3 == 2, "q=1").otherwise(F.concat(F.lit("jl="), N, F.when(N % 3 == 1, "x").otherwise(""))))
     return docs(spark, sf_dir).select(
         "doc_id", X.listing_id_of_url(url).alias("listing_id"), X.card_listing_id(url).alias("card_id"), X.same_origin(url, "www.glassdoor.ca").alias("own"), X.posting_url(url).alias("bare"),
@@ -90,6 +91,7 @@ _SYM, _SUF = "(['$', '€', 'CHF ', '', ''])[doc_id % 5 + 1]", "(['/hr', '/yr',
 @query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_SYM} || (doc_id % 90 + 10) || '–' || {_SYM} || (doc_id % 90 + 20) || '.50' || {_SUF} WHEN 1 THEN 'From ' || {_SYM} || (doc_id % 90 + 10) || {_SUF} WHEN 2 THEN 'Up to ' || {_SYM} || (doc_id % 90 + 20) || '.50' || {_SUF} ELSE '—' END AS salary,
     (['Remote', 'On-site', '—'])[doc_id % 3 + 1] AS remote FROM documents""")
 def format_salary(spark, sf_dir):
+    N = F.col("doc_id")
     low = F.when(N % 4 < 2, (N % 90 + 10).cast("string")).otherwise(" ")
     high = F.when(N % 2 == 0, F.concat(N % 90 + 20, F.lit(".5"))).when(N % 4 == 3, "NaN")
     code, period = F.expr("element_at(array('CAD', 'EUR', 'CHF', '', NULL), cast(doc_id % 5 + 1 AS INT))"), F.expr("element_at(array('HOURLY', 'ANNUAL', NULL), cast(doc_id % 3 + 1 AS INT))")
@@ -111,11 +113,13 @@ def redact_trace(spark, sf_dir):
 
 @query("""SELECT doc_id, 'Role ' || doc_id AS title, '{"a":{"b":"}"},"n":' || doc_id || '}' AS fragment, 'say "hi" ' || doc_id AS pushed FROM documents""")
 def embedded_page_data(spark, sf_dir):
+    N = F.col("doc_id")
     html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"title":"Role '), N, F.lit('"}</script> var x = {"job":{"a":{"b":"}"},"n":'), N, F.lit('}}; self.__next_f.push([1,"say \\"hi\\" "])self.__next_f.push([1, "'), N, F.lit('"])'))
     return docs(spark, sf_dir).select("doc_id", F.try_variant_get(X.next_data(html), "$.title", "string").alias("title"), X.object_after_key(html, "job").alias("fragment"), X.pushed_strings(html).alias("pushed"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1704067200000 WHEN 1 THEN 1704067200000 - (doc_id % 28) * 86400000 WHEN 2 THEN 1704067200000 - (doc_id % 23) * 3600000 WHEN 3 THEN 1704067200000 - 60000 * 30 END AS posted_at FROM documents")
 def posted_snippets(spark, sf_dir):
+    N = F.col("doc_id")
     s = F.when(N % 5 == 0, "Just posted").when(N % 5 == 1, F.concat(F.lit("Posted "), N % 28, F.lit(" days ago"))).when(N % 5 == 2, F.concat(F.lit("Active "), N % 23, F.lit(" hours ago"))).when(N % 5 == 3, "posted 30 minutes ago").otherwise("Hiring")
     return docs(spark, sf_dir).select("doc_id", X.posted_ms(s, F.lit(1704067200000)).alias("posted_at"))
