@@ -61,4 +61,15 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM texts),
+        keyed AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 49], ' ') AS win FROM windows),
+        repeats AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS least FROM keyed) WHERE doc_id > least),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM repeats),
+        places AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM texts),
+        stay AS (SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.pos) AS kept FROM places p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+        SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM texts t LEFT JOIN stay s USING (doc_id)
+    """,
 }

@@ -60,6 +60,12 @@ def test_exact_sql(spark, duck):
     compare(queries.op3_exact_dedup(spark, str(DATA)), duck, queries.ORACLE_SQL["op3_exact_dedup"])
 
 
+def test_substring_sql(spark, duck):
+    from support import compare
+
+    compare(queries.op10_substring_dedup(spark, str(DATA)), duck, queries.ORACLE_SQL["op10_substring_dedup"])
+
+
 def prints(text):
     import xxhash
 
