@@ -207,27 +207,39 @@ def _scored(network: Network, threshold: float):
     return score
 
 
-def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_rows: int):
-    """(pooling function, Network) fitted on docs and labels, and the pooled table."""
-    sc = docs.sparkSession.sparkContext
-    pool = _pooled(*map(sc.broadcast, word_vectors(docs, text_col)))
-    pooled = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pool, "doc_id long, pooled binary"))
+def _learnable(labels: DataFrame, id_col: str, label_col: str, most_rows: int) -> DataFrame:
+    """(doc_id, y) of the labelled rows to learn from: at most most_rows."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    known = known.where(~is_held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    return known.where(~is_held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+
+
+def _pool(docs: DataFrame, pool, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pool, "doc_id long, pooled binary")
+
+
+def _fitted(pooled: DataFrame, known: DataFrame) -> Network:
     rows = pooled.join(known, "doc_id").groupBy("doc_id").agg(F.first("pooled").alias("pooled"), F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    y = np.array([r["y"] for r in rows], float)
-    return pool, Network(_stack([r["pooled"] for r in rows]), np.round(y)), pooled
+    return Network(_stack([r["pooled"] for r in rows]), np.round(np.array([r["y"] for r in rows], float)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    _, network, pooled = _model(docs, labels, id_col, text_col, label_col, most_rows)
+    sc = docs.sparkSession.sparkContext
+    pooled = materialize(_pool(docs, _pooled(*map(sc.broadcast, word_vectors(docs, text_col))), id_col, text_col))
+    network = _fitted(pooled, _learnable(labels, id_col, label_col, most_rows))
     return pooled.select("doc_id", is_held_out().alias("held_out"), "pooled").mapInArrow(_scored(network, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
-    """The rows of docs predicted 1, with all their columns; texts are scored where they are, without a shuffle."""
-    pool, network, _ = _model(docs, labels, id_col, text_col, label_col, most_rows)
+    """The rows of docs predicted 1, with all their columns; texts are scored where they are, without a shuffle.
+
+    Only documents to learn from are pooled before that; their ids are at most most_rows and are broadcast.
+    """
+    sc = docs.sparkSession.sparkContext
+    pool = _pooled(*map(sc.broadcast, word_vectors(docs, text_col)))
+    known = materialize(_learnable(labels, id_col, label_col, most_rows))
+    own = docs.join(F.broadcast(known.select(F.col("doc_id").alias("_known"))), F.col(id_col).cast("long") == F.col("_known"), "left_semi")
+    network = _fitted(_pool(own, pool, id_col, text_col), known)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
