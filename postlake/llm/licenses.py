@@ -48,8 +48,10 @@ class Rule:
 
 def _rule(label: str, words: str, priority: int, score: float) -> Rule:
     """Keywords are the pattern's plain words but the commonest; every match has all of them."""
-    plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*]?", " ", words)
-    plain = re.sub(r"\[[^]]*\]\w*", " ", plain)
+    plain, groups = re.sub(r"\[[^]]*\]\w*", " ", words), 1
+    while groups:  # from the innermost outwards
+        plain, groups = re.subn(r"\([^()]*\)[?*]?", " ", plain)
+    plain = re.sub(r"\w\?", " ", plain)
     return Rule(label, words, tuple(sorted(set(re.findall(r"[a-z0-9]{2,}", plain)) - _COMMON)), priority, score)
 
 
@@ -57,7 +59,7 @@ def rules() -> list[Rule]:
     """Some hundred rules, in order of priority."""
     out: list[Rule] = []
     license_ = "licen[sc]es?"
-    version = "(?:version |v )?"
+    version = "(?:version |v ?)?"
     under = "(?:(?:licensed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of (?:the )?)?)?"
     later = "( or (?:any )?later(?: version)?)?"
     named = {  # family: names, versions

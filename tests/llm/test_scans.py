@@ -96,6 +96,43 @@ def test_licenses_suppress(spark):
     assert len(licenses.rules()) >= 200
 
 
+def shortest(tree) -> list[str]:
+    """Texts that a parsed pattern matches: optional parts left out, each branch once."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            more = ["x"]
+        elif op == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else "x" for o, v in arg[:1]]
+        elif op == "BRANCH":
+            more = [t for b in arg[1] for t in shortest(b)]
+        elif op == "SUBPATTERN":
+            more = shortest(arg[3])
+        else:
+            assert op == "MAX_REPEAT"
+            more = [t * arg[0] for t in shortest(arg[2])] if arg[0] else [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    from re import _parser
+
+    for rule in licenses.rules():
+        for text in shortest(_parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text)
+            assert all(k in text for k in rule.keywords), (rule, text)
+
+
+def test_licenses_without_under(spark):
+    want = {"GPL v3": "gpl-3", "gnu gpl v3 or later": "gpl-3", "GPL-2.0": "gpl-2", "Apache License, Version 2.0": "apache,apache-2.0", "CC BY-NC 4.0": "cc-by,cc-by-nc-4.0", "CC BY-SA": "cc-by,cc-by-sa", "Creative Commons Attribution 4.0": "cc-by-4.0", "mpl 2.0": "mpl-2.0", "gplvs 3": ""}
+    df = spark.createDataFrame([(k, t, "", "", 1) for k, t in enumerate(want)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {list(want)[r.doc_id]: r.labels for r in licenses.scan_licenses(df).collect()} == want
+
+
 def test_empty_and_clashing(none, clashing, odd):
     for scan in (secrets.scan_secrets, pii.scan_pii, licenses.scan_licenses):
         assert scan(none).count() == 0
