@@ -125,6 +125,30 @@ def test_vectors(spark):
     assert vector_dedup.label_near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "cosine", "groups"), [(20_000, 0.0, 1), (20_000, 0.9, 1), (20_000, 0.9, 20)])
+def test_vectors_clustered_label(spark, n, cosine, groups):
+    """One label whose vectors share a direction; queries with one planted partner each, compared with all in blocks."""
+    x, queries_ = clustered(n, cosine, groups)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit[queries_] @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in vector_dedup.label_near_vectors(df).collect()}
+    assert want.sum() >= len(queries_) and sum(got[k] for k in queries_) >= 0.93 * want.sum()
+    assert all(got[k] <= w for k, w in zip(queries_, want, strict=True))
+
+
+def clustered(n, cosine, groups, pairs=500, dims=64):
+    """n vectors with median cosine near the given one in each of some groups; the last pairs ones are at 0.982 of the first."""
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(groups, dims)))
+    x = unit(np.sqrt(cosine) * centres[rng.integers(0, groups, n)] + np.sqrt(1 - cosine) * unit(rng.normal(size=(n, dims))))
+    a, u = x[:pairs], rng.normal(size=(pairs, dims))
+    u = unit(u - (u * a).sum(1, keepdims=True) * a)
+    x[n - pairs :] = 0.982 * a + np.sqrt(1 - 0.982**2) * u
+    return x.astype(np.float32), list(range(pairs))
+
+
 def brute_removed(rows, length=50):
     first: dict[tuple, int] = {}
     texts = [(r[1] or "").encode().split() for r in rows]
