@@ -6,6 +6,11 @@ scored in rounds: a pattern's score is the mean score of its distinct instances
 unseen instance's score is one minus the product of what its patterns miss. Patterns above a bound then report their
 unseen instances as spans of the kind context.
 
+What looks like an identifier only starts this: patterns that are sure of such instances then propose whatever fills
+their slots, of any shape, in a second scan. The pattern's score is then taken again over all instances and fillers,
+where only seeds count for it, so that a pattern which leads to ordinary words is no longer sure; those still sure
+report their fillers.
+
 The graph has one edge for each distinct pattern and instance, so it is as small as the vocabulary of contexts; sums by
 pattern are combined in map tasks, and scores go back to edges by salted joins, since one pattern may lead to a large
 part of all instances. Instances leave the scan as hashes.
@@ -23,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, salted_lookup
@@ -41,6 +46,10 @@ _LIKE = re.compile(r"[0-9][A-Za-z0-9-]*+")  # from a token's first digit on
 _INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-")
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 _NEAR = 48
+_TOKEN = re.compile(r"\S+")
+_DIGIT = re.compile(r"[0-9]")
+#: Marks around a filler that are not of it, and the length after which it takes no more tokens.
+_BEFORE, _AFTER, _LONGEST = "\"'`<[{,;:=", "\"'`>]},;:.!?", 64
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -105,6 +114,95 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return [p for p, ok in ((f"{one} _", one), (f"{two} {one} _", one and two), (f"{one} _ {after}", one and after)) if ok]
 
 
+def _letters(token: str) -> str:
+    return "".join(c for c in token.lower() if c.isalpha())
+
+
+def fillers(text: str, taken: list[tuple[int, int, int]], sure: _Sure) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, sure patterns) of what fills the slots of sure patterns, apart from taken.
+
+    A filler is a token between spaces without the marks around it; tokens with digits, and those that "at" or "dot"
+    join, are one.
+    """
+    ones, spans, s = sure.ones, sorted((a, b) for _, a, b in taken), 0
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    words: dict[str, str] = {}
+    two = one = ""
+    k = 0
+    while k < len(tokens):
+        a, b = tokens[k]
+        first = k
+        if one in ones:
+            while k + 1 < len(tokens) and tokens[k + 1][0] - b <= 2 and b - a <= _LONGEST:
+                c, d = tokens[k + 1]
+                if text[b - 1] not in ",;!?" and _DIGIT.search(text, tokens[k][0], b) and _DIGIT.search(text, c, d):
+                    k += 1
+                elif k + 2 < len(tokens) and text[c:d].strip("()[]{}<>").lower() in ("at", "dot"):
+                    k += 2
+                else:
+                    break
+                b = tokens[k][1]
+            x, y = a, b
+            while x < y and text[x] in _BEFORE:
+                x += 1
+            while x < y and text[y - 1] in _AFTER:
+                y -= 1
+            while s < len(spans) and spans[s][1] <= x:
+                s += 1
+            if x < y and (s == len(spans) or spans[s][0] >= y):
+                after = _letters(text[tokens[k + 1][0] : tokens[k + 1][1]]) if k + 1 < len(tokens) else ""
+                own = [p for p, ok in ((f"{one} _", True), (f"{two} {one} _", two), (f"{one} _ {after}", after)) if ok and p in sure]
+                if own:
+                    yield x, y, own
+                else:
+                    k = first
+            else:
+                k = first
+        for j in range(max(first, k - 1), k + 1):
+            token = text[tokens[j][0] : tokens[j][1]]
+            word = words.get(token)
+            if word is None:
+                word = words[token] = _letters(token)
+            two, one = one, word
+        k += 1
+
+
+class _Sure(frozenset):
+    """Patterns, with their words before the slot."""
+
+    @property
+    def ones(self) -> set[str]:
+        if not hasattr(self, "_ones"):
+            self._ones = {p.split(" _")[0].split(" ")[-1] for p in self}
+        return self._ones
+
+
+def _slots(sure: list[str], places: bool):
+    """Fillers of the slots of sure patterns: (uid, start, end, instance), or the distinct edges (pattern, instance) of a batch."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Sure(sure)
+        for batch in batches:
+            out: dict[tuple, None] = {}
+            for text, uid in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py() or ""
+                for a, b, own in fillers(text, base_spans(text), known):
+                    key = instance(text[a:b])
+                    if places:
+                        out[uid, a, b, key] = None
+                    else:
+                        out.update(dict.fromkeys((p, key) for p in own))
+            names = ["uid", "start", "end", "instance"] if places else ["pattern", "instance"]
+            types = [pa.int64()] * 4 if places else [pa.string(), pa.int64()]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names=names)
+
+    return slots
+
+
+def instance(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -121,7 +219,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
             spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
             own = base + [(4, *s) for s in unseen(text, base)]
-            found.append([{"kind": k, "start": a, "end": b, "instance": int.from_bytes(hashlib.blake2b(text[a:b].encode(), digest_size=8).digest(), "big", signed=True), "patterns": patterns(text, a, b)} for k, a, b in own])
+            found.append([{"kind": k, "start": a, "end": b, "instance": instance(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in own])
         yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.list_(_SPAN)), pa.array(found, kind)], names=["doc_id", "uid", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"])
 
 
@@ -142,15 +240,25 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE, seeds: int = SEEDS) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    own = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid")))
     each = "array<struct<kind: int, start: long, end: long, instance: long, patterns: array<string>>>"
     scanned = materialize(own.mapInArrow(_scan, f"doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind: int, start: long, end: long>>, found {each}"))
     found = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     edges = found.select(F.explode("patterns").alias("pattern"), "instance", (F.col("kind") < 4).alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = materialize(edges)
     pats, insts = score_graph(edges, rounds)
-    sure = pats.where((F.col("score") >= pattern_score) & (F.col("seeds") >= seeds)).select("pattern", F.lit(True).alias("sure"))
+    sure = materialize(pats.where((F.col("score") >= pattern_score) & (F.col("seeds") >= seeds)).select("pattern", F.lit(True).alias("sure")))
+    slots = own.select("text", "uid")
+    filled = slots.mapInArrow(_slots([r.pattern for r in sure.collect()], False), "pattern string, instance long").withColumn("seed", F.lit(False))
+    rated = edges.unionByName(filled).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).groupBy("pattern").agg((F.count_if("seed") / (F.count(F.lit(1)) + 1.0)).alias("score"))
+    still = rated.join(sure, "pattern", "left_semi").where(F.col("score") >= pattern_score)
+    filled = slots.mapInArrow(_slots([r.pattern for r in still.collect()], True), "uid long, start long, end long, instance long")
     led = salted_lookup(found.where("kind = 4").select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure")
     led = salted_lookup(led.select("uid", "start", "end", "instance").distinct(), insts, ["instance"], "uid").where(F.col("score") >= pattern_score)
+    led = led.select("uid", "start", "end").unionByName(filled.select("uid", "start", "end")).distinct()
+    # Of spans that lie within each other the longest stays.
+    before = Window.partitionBy("uid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    led = led.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached < end")
     more = led.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("more"))
     every = F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind: int, start: long, end: long>>")))
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)

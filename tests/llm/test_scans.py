@@ -73,6 +73,15 @@ def test_personal_context(spark):
     assert out[50].spans == "context:11:23" and out[51].n_context == 0
 
 
+def test_personal_context_of_any_shape(spark):
+    ids = ["555 010 9999", "555.010.9999", "(555) 010 9999", "4111 1111 1111 1112", "DE89 3704 0044 0532 0130 00", "2001:db8::ff00:42:8329", "jane at example dot org", "jane.doe"]
+    rows = [(k, f"now call me at +1 555 010 {1000 + k} today", "en", "s", 1) for k in range(60)] + [(100 + k, f"now call me at {i} today", "en", "s", 1) for k, i in enumerate(ids)]
+    rows += [(200 + k, f"put the +1 555 010 {2000 + k} here", "en", "s", 1) for k in range(60)] + [(300 + k, f"put the {w}", "en", "s", 1) for k, w in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    out = {r.doc_id: r for r in pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert [out[100 + k].spans for k in range(len(ids))] == [f"context:15:{15 + len(i)}" for i in ids]
+    assert all(out[300 + k].n_context == 0 for k in range(26))
+
+
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
