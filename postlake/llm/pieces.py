@@ -1,57 +1,63 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text, with a space mark before it and for each space, is cut into words before every run of marks and around line
-breaks; no piece spans such a cut, so words can be encoded apart. The lattice of all words: every substring up to the
-longest piece is exploded and equi-joined to the piece table; the edges that result are grouped by word, and the best
-path (the highest sum of scores) is folded over the word's places with a higher-order aggregate. A character without a
-piece of its own is an edge with a penalty and becomes byte pieces. Of equal sums the one whose last piece is longest is
-taken, place by place.
-
-encode_words() is this lattice for any table of words. encode() runs it for the ``FREQUENT`` most frequent words of the
-corpus, which is a list of a proven size and goes to every task; the words beyond it, most of them seen once or twice,
-get the same lattice and fold inside the task that holds their text. So no table of (document, word) is ever shuffled.
-
-The sum of scores is the rule of unigram piece tables. With a table from merges (BPE) the scores are ranks: the result
-is the best path by rank, decodes to the same text, and need not be the merges' own segmentation.
+A text, with a space mark before it and for each space, is cut wherever no piece holds the two characters that meet
+there: no piece spans such a cut, so the words between cuts can be encoded apart. The lattice of all words: every
+substring up to the longest piece is exploded and equi-joined to the piece table; the edges that result are grouped by
+word, and a higher-order aggregate folds them to the path taken. A character without a piece of its own is an edge
+without score and becomes byte pieces.
+
+The fold is the one that the table's scores are made for. Scores of a unigram table are log-probabilities: the fold is
+Viterbi's, place by place, the path with the highest sum; of equal sums the one whose last piece is longest. Scores of a
+table of merges (BPE) are ranks, whose sums mean nothing: there the fold takes the edges in order of rank, then place,
+and an edge replaces the pieces within it if both its ends are still ends of pieces. That is the merging itself, since
+every piece of such a table is what its own text merges to: while its ends stand, nothing outside touches it.
+
+Every word of the corpus takes this way once. A first scan packs documents into chunks: the distinct words of a chunk
+and its documents as places in that list. The words meet by word and are encoded; their ids go back by chunk, and each
+chunk's documents are put together from them. A chunk holds at most ``WORDS`` words or one document, so the list of a
+chunk is bounded, and a word, however frequent, is a row for each chunk, not for each document.
+
+A word of over ``LONGEST`` characters (a run that no cut divides) is encoded by the same rule in the task that packs it,
+since its edges would be one row too large for a fold.
 
 Defined results: a null text counts as empty and has no pieces; a mark (U+2581) in a text decodes to a space, as with
-the library; repeated rows give a row each; an empty table gives no row.
+the library; repeated rows give a row each; an empty table gives no row; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import materialize, shuffle_partitions
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-FREQUENT = 1 << 18
-LONGEST_FREQUENT = 48
-LOCAL_COUNT = 16
-_CACHE = 200_000
+#: Words and distinct words of a chunk, at which it is closed.
+WORDS = 1 << 20
+DISTINCT = 1 << 16
+LONGEST = 4096
+_INNER = -(1 << 31)
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """pieces: text -> (id, score); starts: the same and None for every other start of a piece; raw: what each id decodes to; byte_ids: ids of the 256 byte pieces; unknown: the penalty."""
+    """pieces: text -> (id, score); joined: pairs of characters that some piece holds; raw: what each id decodes to; byte_ids: ids of the 256 byte pieces; unknown: the penalty; merges: whether scores are ranks of merges."""
 
     pieces: dict[str, tuple[int, float]]
-    starts: dict[str, tuple[int, float] | None]
+    joined: frozenset[str]
     raw: list[bytes]
     byte_ids: list[int]
     unknown: float
     longest: int
-    alone: str
-    cut: str
+    merges: bool
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -68,98 +74,71 @@ class Pieces:
                 raw[k] = bytes([int(p.piece[3:5], 16)])
             elif p.type in (1, 4):
                 table[p.piece] = (k, float(p.score))
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in table):
-            raise ValueError("a piece spans the start of a word")
-        alone = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in table))
-        cut = f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")
-        starts = {p[:k]: None for p in table for k in range(1, len(p))} | table
-        return cls(table, starts, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), alone, cut)
-
-
-def words_of(text: str, cut: re.Pattern) -> list[str]:
-    return cut.findall(MARK + text.replace(" ", MARK)) if text else []
-
+        return cls.of(table, raw, byte_ids, model.trainer_spec.model_type == 2)
 
-def tokens_of(text: str, table: Pieces) -> list[str] | None:
-    """The text split at spaces, line breaks being the start of a token: each token is one word or more (see word_of).
-
-    None where marks may follow each other, so that a word is more than a token.
-    """
-    if "  " in text or text[:1] == " " or MARK in text or "\n" not in table.alone:
-        return None
-    return text.replace("\n", " \n").split(" ") if text else []
-
-
-def word_of(token: str) -> str:
-    return token if token[:1] == "\n" else MARK + token
-
-
-def best_path(word: str, table: Pieces) -> list[int]:
-    """The fold of encode_words() for one word. An edge is looked for as long as some piece starts so."""
-    n, get, unknown = len(word), table.starts.get, (-1, table.unknown)
-    score, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-    for a in range(n):
-        s, b = score[a], a + 1
-        own = get(word[a], 0) or unknown
-        while own != 0:
-            if own is not None and (now := s + own[1]) > score[b]:
-                score[b], back[b] = now, (a, own[0])
-            b += 1
-            if b > n:
-                break
-            own = get(word[a:b], 0)
-    out: list[int] = []
+    @classmethod
+    def of(cls, table: dict[str, tuple[int, float]], raw: list[bytes], byte_ids: list[int], merges: bool) -> Pieces:
+        joined = frozenset(p[k : k + 2] for p in table for k in range(len(p) - 1))
+        return cls(table, joined, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), merges)
+
+
+def cut(token: str, joined: frozenset[str]) -> list[str]:
+    """The token's words: it is cut between characters that no piece holds together."""
+    at = [k for k in range(1, len(token)) if token[k - 1 : k + 1] not in joined]
+    return [token[a:b] for a, b in zip([0, *at], [*at, len(token)], strict=True)]
+
+
+def merged(word: str, table: Pieces) -> list[str]:
+    """The merges of one long word: best rank first, of equal ones the leftmost."""
+    n, get = len(word), table.pieces.get
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = after[a]
+        if b < n and end[b] - a <= table.longest and (own := get(word[a : end[b]])):
+            heapq.heappush(heap, (-own[1], a, end[b]))
+
+    for a in range(n - 1):
+        offer(a)
+    while heap:
+        _, a, to = heapq.heappop(heap)
+        b = after[a]
+        if end[a] == 0 or b >= n or end[b] != to:
+            continue
+        end[a], after[a], end[b] = to, after[b], 0
+        if after[a] < n:
+            before[after[a]] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    return [word[a : end[a]] for a in range(n) if end[a]]
+
+
+def best_path(word: str, table: Pieces) -> list[str]:
+    """Viterbi's path of one long word."""
+    n = len(word)
+    score, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    for b in range(1, n + 1):
+        for a in range(max(0, b - table.longest), b):
+            own = table.pieces.get(word[a:b]) or ((-1, table.unknown) if b - a == 1 else None)
+            if own and score[a] + own[1] > score[b]:
+                score[b], back[b] = score[a] + own[1], a
+    out: list[str] = []
     while n:
-        a, k = back[n]
-        out += [k] if k >= 0 else [table.byte_ids[c] for c in reversed(word[a].encode())]
-        n = a
+        out.append(word[back[n] : n])
+        n = back[n]
     return out[::-1]
 
 
-def path_finder(table: Pieces):
-    """best_path() as a function of the word alone. Of a word whose characters all are pieces, an automaton lists the lattice's edges by their end, longest first."""
-    import ahocorasick
-
-    edges = ahocorasick.Automaton()
-    for p, (k, score) in table.pieces.items():
-        edges.add_word(p, (len(p), k, score))
-    edges.make_automaton()
-    known = frozenset(p for p in table.pieces if len(p) == 1)
-    sizes = {k: len(p) for p, (k, _) in table.pieces.items()}
-    low, find = float("-inf"), edges.iter
-
-    def path(word: str) -> list[int]:
-        if not known.issuperset(word):
-            return best_path(word, table)
-        n = len(word)
-        score, back = [low] * n + [0.0], [0] * n  # the start's score is at -1
-        for end, (size, k, own) in find(word):
-            now = score[end - size] + own
-            if now > score[end]:
-                score[end], back[end] = now, k
-        out, end = [], n - 1
-        while end >= 0:
-            out.append(k := back[end])
-            end -= sizes[k]
-        return out[::-1]
-
-    return path
-
+def ids_of(word: str, table: Pieces) -> list[int]:
+    """What encode_words() gives, for one word."""
+    parts = (merged if table.merges else best_path)(word, table)
+    return [k for p in parts for k in ([table.pieces[p][0]] if p in table.pieces else [table.byte_ids[c] for c in p.encode("utf-8", "replace")])]
 
-def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
-    """words: distinct column word, not empty. (word, ids); an id below 0 is the place (from -1) of a character without a piece.
 
-    The piece table is a parameter of fixed size. Edges are grouped where their word is: explode and broadcast join keep
-    the partitioning by word.
-    """
-    spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items()], "piece string, id int, score double"))
-    n = F.length("word")
-    starts = words.repartition(shuffle_partitions(spark), "word").withColumn("a", F.explode(F.sequence(F.lit(1), n)))
-    parts = starts.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(n, F.col("a") + table.longest - 1)))).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
-    edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR a = b")
-    edge = F.struct("b", "a", F.coalesce("id", -F.col("a")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-    lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+def _viterbi(n):
+    """ids of the column edges, grouped by end: the best sum of scores, place by place."""
     start = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.array().cast("array<int>")).alias("path"))
 
     def step(acc, b):
@@ -167,94 +146,161 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
         best = F.array_max(F.transform(ends, lambda e: F.struct((F.element_at(acc["score"], e["a"]) + e["score"]).alias("score"), (-e["a"]).alias("a"), e["id"].alias("id"))))
         return F.struct(F.array_append(acc["score"], best["score"]).alias("score"), F.array_append(acc["path"], F.array_append(F.element_at(acc["path"], -best["a"]), best["id"])).alias("path"))
 
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.element_at(acc["path"], -1))
-    return lattice.select("word", folded.alias("ids"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.element_at(acc["path"], -1))
 
 
-def frequent_words(docs: DataFrame, table: Pieces, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """The most frequent words: counted in each partition, small local counts left out, summed, and the first ``most`` taken. Any choice gives the same encoding."""
+def _merging(n):
+    """ids of the column edges, sorted by rank and place, single characters first: at each place the id of the piece that starts there, or _INNER."""
+    start, inner = F.transform(F.slice("edges", 1, n), lambda e: e["id"]), F.lit(_INNER)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    def step(acc, e):
+        ends = (F.element_at(acc, e["a"]) != inner) & ((e["b"] == n) | (F.element_at(acc, F.least(e["b"] + 1, n)) != inner))
+        join = lambda x, k: F.when(k + 1 == e["a"], e["id"]).when((k + 1 > e["a"]) & (k < e["b"]), inner).otherwise(x)
+        return F.when(ends, F.transform(acc, join)).otherwise(acc)
 
-        seen: Counter[str] = Counter()
+    rest = F.slice("edges", n + 1, F.greatest(F.size("edges") - n, F.lit(1)))
+    return F.filter(F.aggregate(rest, start, step), lambda x: x != inner)
 
-        def out(least: int) -> pa.RecordBatch:
-            full = [(word_of(w), n) for w, n in seen.items() if n >= least and len(w) < LONGEST_FREQUENT]
-            return pa.record_batch([pa.array([w for w, _ in full], pa.string()), pa.array([n for _, n in full], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens_of(text.as_py() or "", table) or ())
-                if len(seen) > 300_000:
-                    yield out(LOCAL_COUNT)
-                    seen.clear()
-        yield out(LOCAL_COUNT if len(seen) > 20_000 else 1)
+def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
+    """words: distinct column word, not empty, dealt by word. (word, ids).
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    The piece table is a parameter of fixed size. Edges are grouped where their word is: explode and broadcast join keep
+    the partitioning by word.
+    """
+    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items()], "piece string, id int, score double"))
+    n = F.length("word")
+    starts = words.withColumn("a", F.explode(F.sequence(F.lit(1), n)))
+    parts = starts.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(n, F.col("a") + table.longest - 1)))).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
+    edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR a = b")
+    rank = F.when(F.col("a") == F.col("b"), -1.0).otherwise(-F.col("score"))
+    edge = F.struct(*([rank.alias("rank")] if table.merges else []), *([] if table.merges else [F.col("b")]), "a", *([F.col("b")] if table.merges else []), F.coalesce("id", -F.col("a")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    folded = lattice.select("word", (_merging(n) if table.merges else _viterbi(n)).alias("ids"))
+    byte_ids = F.array(*map(F.lit, table.byte_ids))
 
+    def bytes_of(place):
+        c = F.encode(F.substring("word", -place, F.lit(1)), "utf-8")
+        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10).cast("int") + 1))
 
-def _encoder(table, frequent):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Pieces = table.value
-        path, pack = path_finder(own), lambda ids: array("i", ids).tobytes()
+    whole = F.flatten(F.transform("ids", lambda k: F.when(k >= 0, F.array(k)).otherwise(bytes_of(k))))
+    return folded.select("word", F.when(F.exists("ids", lambda k: k < 0), whole).otherwise(F.col("ids")).alias("ids"))
 
-        class Known(dict):
-            """Word -> ids, as bytes: the frequent ones, and those met lately."""
 
-            def __missing__(self, token: str) -> bytes:
-                if len(self) > _CACHE + len(frequent.value):
-                    self.clear()
-                    self.update(frequent.value)
-                self[token] = ids = pack(path(word_of(token)))
-                return ids
+_CHUNK = "chunk long, words array<string>, long array<struct<pos: int, ids: array<int>>>, doc_ids array<long>, ends array<long>, body binary"
+_LONG = pa.list_(pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 
-        known, cut = Known(frequent.value), re.compile(own.cut)
 
-        def ids_of(text: str) -> bytes:
-            if (tokens := tokens_of(text, own)) is not None:
-                return b"".join([known[t] for t in tokens])
-            return np.array([k for w in words_of(text, cut) for k in path(w)], "<i4").tobytes()
+def _packed(table):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
 
-        for batch in batches:
-            a = 0
-            while a < batch.num_rows:  # an output batch holds some million ids
-                ids, offsets, b = [], [0], a
-                while b < batch.num_rows and offsets[-1] < 1 << 20:
-                    ids.append(ids_of(batch.column(1)[b].as_py() or ""))
-                    offsets.append(offsets[-1] + len(ids[-1]) // 4)
-                    b += 1
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "ids"])
-                a = b
+        own: Pieces = table.value
+        tokens, squeeze = re.compile(f"{MARK}+[^{MARK}]*").findall, zstandard.ZstdCompressor(level=3).compress
+        chunk = TaskContext.get().partitionId() << 33
 
-    return encode
+        class Places(dict):
+            """Token -> its words' places in the chunk's list, as bytes."""
+
+            def __init__(self):
+                self.words: dict[str, int] = {}
+
+            def __missing__(self, token: str) -> bytes:
+                words = self.words
+                self[token] = places = np.array([words.setdefault(w, len(words)) for w in cut(token, own.joined)], "<u4").tobytes()
+                return places
+
+        def closed() -> pa.RecordBatch:
+            nonlocal chunk
+            words = list(known.words)
+            far = [{"pos": k, "ids": ids_of(w, own)} for k, w in enumerate(words) if len(w) > LONGEST]
+            places = np.frombuffer(b"".join(body), "<u4")
+            places = places.astype("<u2") if len(words) <= 1 << 16 else places
+            row = [[chunk], [[w if len(w) <= LONGEST else None for w in words]], [far], [doc_ids], [ends], [squeeze(places.tobytes())]]
+            types = [pa.int64(), pa.list_(pa.string()), _LONG, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            chunk += 1
+            return pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["chunk", "words", "long", "doc_ids", "ends", "body"])
+
+        known, doc_ids, ends, body, size = Places(), [], [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if text := text.as_py():
+                    body.append(b"".join([known[t] for t in tokens(MARK + text.replace(" ", MARK))]))
+                    size += len(body[-1]) // 4
+                doc_ids.append(doc_id)
+                ends.append(size)
+                if size >= WORDS or len(known.words) >= DISTINCT or len(known) >= 4 * DISTINCT:
+                    yield closed()
+                    known, doc_ids, ends, body, size = Places(), [], [], [], 0
+        if doc_ids:
+            yield closed()
+
+    return pack
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds runs of the given sizes. The runs at the given places one after the other, and where each ends."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts[at] - (ends - own), own) + np.arange(total)], ends
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with the ids of their words; a row for each document."""
+    import zstandard
+
+    unsqueeze = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for k in range(batch.num_rows):
+            far, doc_ids, doc_ends, body, n, coded = (batch.column(c)[k] for c in range(6))
+            n, coded = n.as_py(), coded.values if coded.is_valid else None
+            ids, sizes = np.zeros(0, np.int32), np.zeros(n, np.int64)
+            if coded is not None:
+                pos, lists = coded.field("pos").to_numpy(), coded.field("ids")
+                ids, sizes[pos] = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            if far := far.as_py() or []:  # beside the others, in order of place
+                lists = np.split(ids, np.cumsum(sizes)[:-1])
+                for f in far:
+                    lists[f["pos"]] = np.array(f["ids"], np.int32)
+                ids, sizes = np.concatenate(lists), np.array(list(map(len, lists)), np.int64)
+            at = np.frombuffer(unsqueeze(body.as_py()), "<u2" if n <= 1 << 16 else "<u4")
+            out, ends = gathered(ids, sizes, at)
+            ends = np.concatenate(([0], ends))[np.concatenate(([0], doc_ends.values.to_numpy()))]
+            yield pa.record_batch([doc_ids.values, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
-    spark: SparkSession = docs.sparkSession
-    table = Pieces.load(model)
-    known = {}
-    for row in encode_words(frequent_words(docs, table, text_col), table).collect():  # at most FREQUENT short rows
-        ids: list[int] = []
-        for k in row["ids"]:
-            ids += [k] if k >= 0 else [table.byte_ids[c] for c in row["word"][-k - 1].encode()]
-        known[row["word"].removeprefix(MARK)] = np.array(ids, "<i4").tobytes()
-    sc = spark.sparkContext
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encoder(sc.broadcast(table), sc.broadcast(known)), "doc_id long, ids array<int>")
+    spark = docs.sparkSession
+    table, n = Pieces.load(model), shuffle_partitions(spark)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chunks = materialize(own.mapInArrow(_packed(spark.sparkContext.broadcast(table)), _CHUNK))
+    words = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).where("word IS NOT NULL")
+    coded = encode_words(words.select("word").repartition(n, "word").distinct(), table)
+    ids = words.join(coded, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("coded"))
+    whole = chunks.withColumn("n", F.size("words")).drop("words").join(ids, "chunk", "left")
+    return whole.select("long", "doc_ids", "ends", "body", "n", "coded").mapInArrow(_unpacked, "doc_id long, ids array<int>")
 
 
 def _decoder(raw: list[bytes]):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, piece = MARK.encode(), np.array(raw, object)
+        mark, flat, sizes = MARK.encode(), np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw)), np.int64)
         for batch in batches:
-            texts = []
-            for ids in batch.column(1):
-                own = b"".join(piece[ids.values.to_numpy()].tolist()) if ids.is_valid else b""
-                texts.append(own.replace(mark, b" ")[1:].decode("utf-8", "replace"))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            ids, a = batch.column(1), 0
+            while a < batch.num_rows:  # a part holds some hundred thousand ids
+                b, held = a, 0
+                while b < batch.num_rows and (held < 1 << 18 or b == a):
+                    held += len(ids[b].values) if ids[b].is_valid else 0
+                    b += 1
+                part = ids.slice(a, b - a)
+                text, ends = gathered(flat, sizes, part.flatten().to_numpy())
+                ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(part.value_lengths().fill_null(0).to_numpy())))].tolist()
+                whole = text.tobytes()
+                texts = [whole[x:y].replace(mark, b" ")[1:].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), part, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                a = b
 
     return decode
 

@@ -89,6 +89,7 @@ def test_mixed_rows(docs, none, clashing):
 
 
 def brute_path(word, table):
+    """Viterbi's path, every start tried for every end."""
     best = [(0.0, [])] + [None] * len(word)
     for b in range(1, len(word) + 1):
         for a in range(b):
@@ -104,36 +105,47 @@ def brute_path(word, table):
     return best[-1][1]
 
 
-def test_pieces(spark, both):
-    table = pieces.Pieces.load()
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def test_pieces_are_the_librarys(spark, both):
     for rows, df in both:
         got = pieces.decode(pieces.encode(df)).collect()
-        text = {r[0]: r[1] for r in rows if r[0] is not None}
+        text = {r[0]: r[1] or "" for r in rows if r[0] is not None}
         assert len(got) == len(rows)
-        for r in got:
-            if r.doc_id in text:
-                assert r.text == (text[r.doc_id] or "").replace("▁", " ")
-        cut = re.compile(table.cut)
-        for r in got[:40]:
-            if r.doc_id in text:
-                assert list(r.ids or []) == [k for w in pieces.words_of(text[r.doc_id] or "", cut) for k in brute_path(w[:200] if len(w) > 400 else w, table)] or len(text[r.doc_id] or "") > 2500
-
-
-def test_path_finder():
-    table = pieces.Pieces.load()
-    path = pieces.path_finder(table)
-    for w in ("▁the", "▁▁▁", "\n", "▁internationalisation", "▁aaaaaaaaaaaa", "▁漢\U0001f600x", "▁0123456789abcdef", "▁Straße-und-Größe", "x" * 300):
-        assert path(w) == pieces.best_path(w, table) == brute_path(w, table)
-
-
-def test_pieces_relational(spark):
-    table = pieces.Pieces.load()
-    words = ["▁hello", "▁漢\U0001f600x", "▁" + "ab" * 20, "\n", "▁", "▁internationalisation"]
-    for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table).collect():
-        ids = []
-        for k in r.ids:
-            ids += [k] if k >= 0 else [table.byte_ids[c] for c in r.word[-k - 1].encode()]
-        assert ids == brute_path(r.word, table) == pieces.best_path(r.word, table)
+        own = [r for r in got if r.doc_id in text]
+        assert [list(r.ids) for r in own] == library().encode([text[r.doc_id] for r in own])
+        assert all(r.text == text[r.doc_id].replace("▁", " ") for r in own)
+
+
+def test_pieces_odd_texts(spark, monkeypatch):
+    """Runs of spaces and marks, long runs that nothing cuts, many chunks of a task; equal to the library's ids."""
+    monkeypatch.setattr(pieces, "LONGEST", 40)
+    texts = [" ", "  ", " " * 50, "a  b   c", " lead", "trail ", "\n\n a\tb", "\u2581x\u2581\u2581y", "x" * 1000, "ab" * 500, "e" * 39 + " " + "e" * 41, "Donaudampfschifffahrtsgesellschaft" * 9, "漢字かな交じり文" * 30, "\U0001f600" * 9, "0123456789abcdef" * 20, "\u00a0\u200b", "é" * 100]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(pieces, "WORDS", size)
+        got = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
+        for k, want in enumerate(library().encode(texts)):
+            assert list(got[k].ids) == want, texts[k]
+            assert got[k].text == texts[k].replace("▁", " ")
+
+
+def test_pieces_of_a_unigram_table(spark):
+    """The fold is Viterbi's where scores are log-probabilities."""
+    rng = np.random.default_rng(3)
+    table = {c: (256 + k, -9.0 - float(rng.random())) for k, c in enumerate("abcd▁")}
+    while len(table) < 60:
+        p = "".join(rng.choice(list("abcd"), int(rng.integers(2, 7))))
+        table.setdefault(p, (256 + len(table), -float(rng.random()) * 12))
+    own = pieces.Pieces.of(table, [bytes([k]) for k in range(256)] + [p.encode() for p in table], list(range(256)), False)
+    words = ["a", "abcd", "dcbaabcd", "abxcd", "é", "aaaa", *("".join(rng.choice(list("abcd"), 12)) for _ in range(40))]
+    got = {r.word: list(r.ids) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), own).collect()}
+    for w in words:
+        assert got[w] == brute_path(w, own) == pieces.ids_of(w, own)
 
 
 def test_pieces_empty(none, clashing, odd):
