@@ -12,13 +12,13 @@ table of merges (BPE) are ranks, whose sums mean nothing: there the fold takes t
 and an edge replaces the pieces within it if both its ends are still ends of pieces. That is the merging itself, since
 every piece of such a table is what its own text merges to: while its ends stand, nothing outside touches it.
 
-Every word of the corpus takes this way once. A first scan packs documents into chunks: the distinct words of a chunk
-and its documents as places in that list. The words meet by word and are encoded; their ids go back by chunk, and each
-chunk's documents are put together from them. A chunk holds at most ``WORDS`` words or one document, so the list of a
-chunk is bounded, and a word, however frequent, is a row for each chunk, not for each document.
+Every word of the corpus takes this way once. The ``FREQUENT`` most frequent words, a list of a proven size, go to every
+task as they are encoded. Documents are dealt to chunks of some ``CHUNK`` characters by a hash of id and text; for
+every chunk the other words in it meet by word, are encoded and go back by chunk, where the chunk's texts follow
+them: each is put together from both lists. So what is shuffled beside the texts is rare words, once for each chunk.
 
-A word of over ``LONGEST`` characters (a run that no cut divides) is encoded by the same rule in the task that packs it,
-since its edges would be one row too large for a fold.
+A word of over ``LONGEST`` characters (a run that no cut divides) is encoded by the same rule in the task that has its
+text, since its edges would be one row too large for a fold.
 
 Defined results: a null text counts as empty and has no pieces; a mark (U+2581) in a text decodes to a space, as with
 the library; repeated rows give a row each; an empty table gives no row; a text of any length is encoded whole.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,11 +41,14 @@ from .common import materialize, shuffle_partitions
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and distinct words of a chunk, at which it is closed.
-WORDS = 1 << 20
-DISTINCT = 1 << 16
+FREQUENT = 1 << 18
+CHUNK = 1 << 23
+#: A part of a partition's distinct tokens is counted at once; words that occur fewer times in a full part are not offered as frequent ones.
+_PART, _LEAST = 300_000, 3
 LONGEST = 4096
 _INNER = -(1 << 31)
+_FEW = 0x250
+_TOKENS = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
 @dataclass(frozen=True)
@@ -82,8 +86,15 @@ class Pieces:
         return cls(table, joined, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), merges)
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """The text with a mark for each space, split before every run of marks."""
+    return _TOKENS(MARK + text.replace(" ", MARK)) if text else []
+
+
 def cut(token: str, joined: frozenset[str]) -> list[str]:
-    """The token's words: it is cut between characters that no piece holds together."""
+    """The token's words: it is cut between characters that no piece holds together (short runs of plain letters are left)."""
+    if len(token) < 64 and (own := token[1:]).isascii() and own.isalpha():
+        return [token]
     at = [k for k in range(1, len(token)) if token[k - 1 : k + 1] not in joined]
     return [token[a:b] for a, b in zip([0, *at], [*at, len(token)], strict=True)]
 
@@ -137,12 +148,13 @@ def ids_of(word: str, table: Pieces) -> list[int]:
     return [k for p in parts for k in ([table.pieces[p][0]] if p in table.pieces else [table.byte_ids[c] for c in p.encode("utf-8", "replace")])]
 
 
-def _viterbi(n):
-    """ids of the column edges, grouped by end: the best sum of scores, place by place."""
+def _viterbi(n, score_of):
+    """ids of the column edges: the best sum of scores, place by place; a character alone is minus its place."""
     start = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.array().cast("array<int>")).alias("path"))
 
     def step(acc, b):
-        ends = F.filter("edges", lambda e: e["b"] == b)
+        longer = F.transform(F.filter("edges", lambda e: e["b"] == b), lambda e: F.struct(e["a"].alias("a"), e["id"].alias("id"), e["score"].alias("score")))
+        ends = F.concat(F.array(F.struct(b.alias("a"), (-b).alias("id"), score_of(b).alias("score"))), longer)
         best = F.array_max(F.transform(ends, lambda e: F.struct((F.element_at(acc["score"], e["a"]) + e["score"]).alias("score"), (-e["a"]).alias("a"), e["id"].alias("id"))))
         return F.struct(F.array_append(acc["score"], best["score"]).alias("score"), F.array_append(acc["path"], F.array_append(F.element_at(acc["path"], -best["a"]), best["id"])).alias("path"))
 
@@ -150,138 +162,214 @@ def _viterbi(n):
 
 
 def _merging(n):
-    """ids of the column edges, sorted by rank and place, single characters first: at each place the id of the piece that starts there, or _INNER."""
-    start, inner = F.transform(F.slice("edges", 1, n), lambda e: e["id"]), F.lit(_INNER)
+    """ids of the column edges, sorted by rank and place: at each place the id of the piece that starts there, or _INNER; a character alone is minus its place."""
+    inner = F.lit(_INNER)
 
     def step(acc, e):
         ends = (F.element_at(acc, e["a"]) != inner) & ((e["b"] == n) | (F.element_at(acc, F.least(e["b"] + 1, n)) != inner))
         join = lambda x, k: F.when(k + 1 == e["a"], e["id"]).when((k + 1 > e["a"]) & (k < e["b"]), inner).otherwise(x)
         return F.when(ends, F.transform(acc, join)).otherwise(acc)
 
-    rest = F.slice("edges", n + 1, F.greatest(F.size("edges") - n, F.lit(1)))
-    return F.filter(F.aggregate(rest, start, step), lambda x: x != inner)
+    return F.filter(F.aggregate("edges", F.transform(F.sequence(F.lit(1), n), lambda a: -a), step), lambda x: x != inner)
 
 
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """words: distinct column word, not empty, dealt by word. (word, ids).
 
     The piece table is a parameter of fixed size. Edges are grouped where their word is: explode and broadcast join keep
-    the partitioning by word.
+    the partitioning by word. Characters alone are edges of every lattice; they are looked up where the fold takes them,
+    so that only pieces of two characters and more are exploded and joined.
     """
-    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items()], "piece string, id int, score double"))
+    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items() if len(p) > 1], "piece string, id int, score double"))
     n = F.length("word")
+    last = F.least(n, F.col("a") + table.longest - 1)
+    ends = F.when(F.col("a") == 1, F.sequence(F.lit(1), last)).when(F.col("a") < n, F.sequence(F.col("a") + 1, last))  # the first character stands for its word
     starts = words.withColumn("a", F.explode(F.sequence(F.lit(1), n)))
-    parts = starts.withColumn("b", F.explode(F.sequence(F.col("a"), F.least(n, F.col("a") + table.longest - 1)))).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
-    edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR a = b")
-    rank = F.when(F.col("a") == F.col("b"), -1.0).otherwise(-F.col("score"))
-    edge = F.struct(*([rank.alias("rank")] if table.merges else []), *([] if table.merges else [F.col("b")]), "a", *([F.col("b")] if table.merges else []), F.coalesce("id", -F.col("a")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    folded = lattice.select("word", (_merging(n) if table.merges else _viterbi(n)).alias("ids"))
-    byte_ids = F.array(*map(F.lit, table.byte_ids))
+    parts = starts.withColumn("b", F.explode(ends)).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
+    edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR b = 1")
+    order = [(-F.col("score")).alias("rank"), "a", "b", "id"] if table.merges else ["b", "a", "id", "score"]
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*order)))).alias("edges"))
+
+    # Ids and scores of characters: by code point below _FEW, the others by their place in a string.
+    others = sorted((c for c in table.pieces if len(c) == 1 and ord(c) >= _FEW), key=lambda c: (c != MARK, c))
+    alone = [table.pieces.get(c, (_INNER, table.unknown)) for c in (*map(chr, range(_FEW)), *others)]
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    ids, scores, byte_ids = listed([k for k, _ in alone], "int"), listed([s for _, s in alone], "double"), listed(table.byte_ids, "int")
+
+    def at(place):
+        c = F.substring("word", place, F.lit(1))
+        far = F.instr(F.lit("".join(others)), c)
+        return F.when(F.ascii(c) < _FEW, F.ascii(c) + 1).when(far > 0, far + _FEW)
+
+    def pieces_of(place):
+        c = F.encode(F.substring("word", place, F.lit(1)), "utf-8")
+        each = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10).cast("int") + 1))
+        own = F.element_at(ids, at(place))
+        return F.when(own >= 0, F.array(own)).otherwise(each)
+
+    fold = _merging(n) if table.merges else _viterbi(n, lambda place: F.coalesce(F.element_at(scores, at(place)), F.lit(table.unknown)))
+    whole = F.flatten(F.transform("ids", lambda k: F.when(k >= 0, F.array(k)).otherwise(pieces_of(-k))))
+    return lattice.select("word", fold.alias("ids")).select("word", F.when(F.exists("ids", lambda k: k < 0), whole).otherwise(F.col("ids")).alias("ids"))
+
+
+def frequent_words(docs: DataFrame, table: Pieces, most: int = FREQUENT) -> DataFrame:
+    """docs: text. The most frequent words, near enough: it decides which words go to every task, not what they become."""
+    joined = table.joined
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words: Counter[str] = Counter()
+            for token, k in seen.items():
+                for w in cut(token, joined):
+                    words[w] += k
+            least = _LEAST if len(seen) >= _PART else 1
+            full = [(w, k) for w, k in words.items() if k >= least and len(w) <= LONGEST]
+            return pa.record_batch([pa.array([w for w, _ in full], pa.string()), pa.array([k for _, k in full], pa.int64())], names=["word", "n"])
 
-    def bytes_of(place):
-        c = F.encode(F.substring("word", -place, F.lit(1)), "utf-8")
-        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10).cast("int") + 1))
-
-    whole = F.flatten(F.transform("ids", lambda k: F.when(k >= 0, F.array(k)).otherwise(bytes_of(k))))
-    return folded.select("word", F.when(F.exists("ids", lambda k: k < 0), whole).otherwise(F.col("ids")).alias("ids"))
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(tokens_of(text.as_py()))
+                if len(seen) >= _PART:
+                    yield out()
+                    seen.clear()
+        yield out()
 
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
 
-_CHUNK = "chunk long, words array<string>, long array<struct<pos: int, ids: array<int>>>, doc_ids array<long>, ends array<long>, body binary"
-_LONG = pa.list_(pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 
+def _rare(frequent, joined: frozenset[str]):
+    """Rows (chunk, text): the words of each chunk that are not frequent; each once for a part of a partition."""
 
-def _packed(table):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from pyspark import TaskContext
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
 
-        own: Pieces = table.value
-        tokens, squeeze = re.compile(f"{MARK}+[^{MARK}]*").findall, zstandard.ZstdCompressor(level=3).compress
-        chunk = TaskContext.get().partitionId() << 33
+        class Rare(dict):
+            def __missing__(self, token: str) -> tuple[str, ...]:
+                if len(self) > _PART:
+                    self.clear()
+                self[token] = words = tuple(w for w in cut(token, joined) if w not in known and len(w) <= LONGEST)
+                return words
 
-        class Places(dict):
-            """Token -> its words' places in the chunk's list, as bytes."""
+        of, chunks, size = Rare(), {}, 0
 
-            def __init__(self):
-                self.words: dict[str, int] = {}
+        def out() -> pa.RecordBatch:
+            k = np.repeat(np.fromiter(chunks, np.int64, len(chunks)), list(map(len, chunks.values())))
+            return pa.record_batch([pa.array(k), pa.array([w for own in chunks.values() for w in own], pa.string())], names=["chunk", "word"])
 
-            def __missing__(self, token: str) -> bytes:
-                words = self.words
-                self[token] = places = np.array([words.setdefault(w, len(words)) for w in cut(token, own.joined)], "<u4").tobytes()
-                return places
-
-        def closed() -> pa.RecordBatch:
-            nonlocal chunk
-            words = list(known.words)
-            far = [{"pos": k, "ids": ids_of(w, own)} for k, w in enumerate(words) if len(w) > LONGEST]
-            places = np.frombuffer(b"".join(body), "<u4")
-            places = places.astype("<u2") if len(words) <= 1 << 16 else places
-            row = [[chunk], [[w if len(w) <= LONGEST else None for w in words]], [far], [doc_ids], [ends], [squeeze(places.tobytes())]]
-            types = [pa.int64(), pa.list_(pa.string()), _LONG, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            chunk += 1
-            return pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["chunk", "words", "long", "doc_ids", "ends", "body"])
-
-        known, doc_ids, ends, body, size = Places(), [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if text := text.as_py():
-                    body.append(b"".join([known[t] for t in tokens(MARK + text.replace(" ", MARK))]))
-                    size += len(body[-1]) // 4
-                doc_ids.append(doc_id)
-                ends.append(size)
-                if size >= WORDS or len(known.words) >= DISTINCT or len(known) >= 4 * DISTINCT:
-                    yield closed()
-                    known, doc_ids, ends, body, size = Places(), [], [], [], 0
-        if doc_ids:
-            yield closed()
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = chunks.setdefault(chunk, set())
+                before = len(own)
+                for words in map(of.__getitem__, tokens_of(text.as_py())):
+                    if words:
+                        own.update(words)
+                size += len(own) - before
+                if size > _PART:
+                    yield out()
+                    chunks.clear()
+                    size = 0
+        if chunks:
+            yield out()
+
+    return rare
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
 
-    return pack
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [squeeze(t) if (t := text.as_py()) else None for text in batch.column(2).cast(pa.binary())]
+        yield pa.record_batch([batch.column(0), pa.array([True] * len(texts), pa.bool_()), batch.column(1), pa.array(texts, pa.binary())], names=["chunk", "text_row", "doc_id", "body"])
 
 
-def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values holds runs of the given sizes. The runs at the given places one after the other, and where each ends."""
-    starts, own = np.cumsum(sizes) - sizes, sizes[at]
-    ends = np.cumsum(own)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts[at] - (ends - own), own) + np.arange(total)], ends
+def _encoder(table, frequent):
+    """Rows by chunk: first those of its words (word, ids), then those of its texts. A row for each text."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks with the ids of their words; a row for each document."""
-    import zstandard
+        own, common, unsqueeze = table.value, frequent.value, zstandard.ZstdDecompressor().decompress
+        rare: dict[str, bytes] = {}
 
-    unsqueeze = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for k in range(batch.num_rows):
-            far, doc_ids, doc_ends, body, n, coded = (batch.column(c)[k] for c in range(6))
-            n, coded = n.as_py(), coded.values if coded.is_valid else None
-            ids, sizes = np.zeros(0, np.int32), np.zeros(n, np.int64)
-            if coded is not None:
-                pos, lists = coded.field("pos").to_numpy(), coded.field("ids")
-                ids, sizes[pos] = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            if far := far.as_py() or []:  # beside the others, in order of place
-                lists = np.split(ids, np.cumsum(sizes)[:-1])
-                for f in far:
-                    lists[f["pos"]] = np.array(f["ids"], np.int32)
-                ids, sizes = np.concatenate(lists), np.array(list(map(len, lists)), np.int64)
-            at = np.frombuffer(unsqueeze(body.as_py()), "<u2" if n <= 1 << 16 else "<u4")
-            out, ends = gathered(ids, sizes, at)
-            ends = np.concatenate(([0], ends))[np.concatenate(([0], doc_ends.values.to_numpy()))]
-            yield pa.record_batch([doc_ids.values, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))], names=["doc_id", "ids"])
+        class Ids(dict):
+            """Token -> ids, as bytes; those with rare words go with their chunk."""
+
+            passing: list[str] = []
+
+            def __missing__(self, token: str) -> bytes:
+                if len(self) > _PART:
+                    self.clear()
+                    self.passing.clear()
+                out = []
+                for w in cut(token, own.joined):
+                    if (ids := common.get(w)) is None:
+                        ids = rare[w] if len(w) <= LONGEST else np.array(ids_of(w, own), "<i4").tobytes()
+                        self.passing.append(token)
+                    out.append(ids)
+                self[token] = ids = b"".join(out)
+                return ids
+
+        ids_by, chunk = Ids(), None
+        for batch in batches:
+            chunks, is_text, doc_ids, bodies, words, ids = batch.columns
+            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+            out, sizes, whose = [], [0], []
+
+            def done() -> pa.RecordBatch:
+                got = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                return pa.record_batch([pa.array(whose, pa.int64()), got], names=["doc_id", "ids"])
+
+            for k, (now, text_row) in enumerate(zip(chunks.to_pylist(), is_text.to_pylist(), strict=True)):
+                if now != chunk:
+                    chunk = now
+                    rare.clear()
+                    for token in ids_by.passing:
+                        ids_by.pop(token, None)
+                    ids_by.passing.clear()
+                if not text_row:
+                    rare[words[k].as_py()] = values[offsets[k] : offsets[k + 1]].astype("<i4").tobytes()
+                    continue
+                body = bodies[k].as_py()
+                out.append(b"".join(map(ids_by.__getitem__, tokens_of(unsqueeze(body).decode()))) if body else b"")
+                sizes.append(len(out[-1]) // 4)
+                whose.append(doc_ids[k].as_py())
+                if len(whose) >= 1000:
+                    yield done()
+                    out, sizes, whose = [], [0], []
+            if whose:
+                yield done()
+
+    return encode
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
     spark = docs.sparkSession
-    table, n = Pieces.load(model), shuffle_partitions(spark)
+    table, n, share = Pieces.load(model), shuffle_partitions(spark), spark.sparkContext.broadcast
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = materialize(own.mapInArrow(_packed(spark.sparkContext.broadcast(table)), _CHUNK))
-    words = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).where("word IS NOT NULL")
-    coded = encode_words(words.select("word").repartition(n, "word").distinct(), table)
-    ids = words.join(coded, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("coded"))
-    whole = chunks.withColumn("n", F.size("words")).drop("words").join(ids, "chunk", "left")
-    return whole.select("long", "doc_ids", "ends", "body", "n", "coded").mapInArrow(_unpacked, "doc_id long, ids array<int>")
+    often = encode_words(frequent_words(own, table).repartition(n, "word"), table)
+    frequent = share({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in often.toLocalIterator()})  # at most FREQUENT short words
+    chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
+    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string"))
+    coded = encode_words(words.select("word").distinct().repartition(n, "word"), table)
+    rare = words.join(coded, "word").select("chunk", F.lit(False).alias("text_row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "word", "ids")
+    texts = dealt.mapInArrow(_squeezed, "chunk long, text_row boolean, doc_id long, body binary")
+    texts = texts.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
+    rows = texts.unionByName(rare).repartition(n, "chunk").sortWithinPartitions("chunk", "text_row")
+    return rows.mapInArrow(_encoder(share(table), frequent), "doc_id long, ids array<int>")
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds runs of the given sizes. The runs at the given places one after the other, and where each ends."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts[at] - (ends - own), own) + np.arange(total)], ends
 
 
 def _decoder(raw: list[bytes]):

@@ -38,6 +38,20 @@ def test_quality_odd(spark, odd, none, clashing):
     assert quality.keep_good(clashing, labels).columns == clashing.columns
 
 
+def test_quality_is_the_same_however_partitioned(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    one, many = (sorted((r.doc_id, r.score) for r in quality.score_quality(docs.repartition(n, "text"), labels).collect()) for n in (1, 7))
+    assert [r[0] for r in one] == [r[0] for r in many] and max(abs(a[1] - b[1]) for a, b in zip(one, many, strict=True)) < 1e-9
+
+
+def test_quality_repeated_ids(spark):
+    """Two texts of one id: any order of rows gives the same scores."""
+    rows = [(k // 2, ("good plain words here " if k % 4 < 2 else "BUY NOW !!! ") * (k % 5 + 1)) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    score = lambda own: sorted((r.doc_id, r.score) for r in quality.score_quality(spark.createDataFrame(own, "doc_id long, text string").repartition(3), labels).collect())
+    assert np.allclose(score(rows), score(rows[::-1]), atol=1e-9)
+
+
 def targets(rows):
     size = {}
     for r in rows:
@@ -79,6 +93,17 @@ def test_mixing_tree(spark):
         assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 9
 
 
+def test_mixing_many_rows_of_one_id(spark):
+    """A third of all rows have no id and one size: they are dealt to groups all the same."""
+    rows = [(None if k % 3 else k, "w w w" if k % 3 else "w " * (k % 9 + 1), "en", "a" if k % 5 else "b", 1) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = mixing.mix(df, group=16).collect()
+    _, target = targets(rows)
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 5
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in got)
+
+
 def test_mixed_rows(docs, none, clashing):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixed_rows(docs)
@@ -122,12 +147,13 @@ def test_pieces_are_the_librarys(spark, both):
 
 
 def test_pieces_odd_texts(spark, monkeypatch):
-    """Runs of spaces and marks, long runs that nothing cuts, many chunks of a task; equal to the library's ids."""
+    """Runs of spaces and marks, long runs that nothing cuts, many chunks, few frequent words; equal to the library's ids."""
     monkeypatch.setattr(pieces, "LONGEST", 40)
     texts = [" ", "  ", " " * 50, "a  b   c", " lead", "trail ", "\n\n a\tb", "\u2581x\u2581\u2581y", "x" * 1000, "ab" * 500, "e" * 39 + " " + "e" * 41, "Donaudampfschifffahrtsgesellschaft" * 9, "漢字かな交じり文" * 30, "\U0001f600" * 9, "0123456789abcdef" * 20, "\u00a0\u200b", "é" * 100]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    for size in (1, 30, 1 << 20):
-        monkeypatch.setattr(pieces, "WORDS", size)
+    for frequent, chunk in ((1, 100), (20, 1000), (1 << 18, 1 << 23)):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        monkeypatch.setattr(pieces.frequent_words, "__defaults__", (frequent,))
         got = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
         for k, want in enumerate(library().encode(texts)):
             assert list(got[k].ids) == want, texts[k]
