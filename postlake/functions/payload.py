@@ -69,12 +69,23 @@ def nested(v: str, path: str) -> Column:
     return F.expr(f"CASE WHEN NOT coalesce(to_json({x}) IN ('[]', '{{}}') OR {shape(v, path)} = 'BOOLEAN', false) THEN {x} END")
 
 
+def _items(v: str) -> str:
+    """A list's items, an object's values, or a scalar alone."""
+    return f"""CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN try_cast({v} AS ARRAY<VARIANT>) WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN map_values(try_cast({v} AS MAP<STRING, VARIANT>))
+        WHEN schema_of_variant({v}) <> 'VOID' THEN array({v}) ELSE CAST(array() AS ARRAY<VARIANT>) END"""
+
+
 def values(v: str) -> Column:
     """A list's items, an object's values, or a scalar alone, each as its label (localizedName, name or label of an object)."""
     label = ", ".join(get("x", f"$.{k}", "string") for k in ("localizedName", "name", "label"))
+    return F.expr(f"transform({_items(v)}, x -> coalesce({label}, CASE WHEN schema_of_variant(x) = 'STRING' THEN try_variant_get(x, '$', 'string') END))")
+
+
+def odd_values(v: str) -> Column:
+    """Of the items that values() looks at, those it can't read as text (numbers, booleans, lists, objects without a label), as JSON."""
+    label = ", ".join(get("x", f"$.{k}", "string") for k in ("localizedName", "name", "label"))
     return F.expr(
-        f"""transform(CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN try_cast({v} AS ARRAY<VARIANT>) WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN map_values(try_cast({v} AS MAP<STRING, VARIANT>))
-        WHEN schema_of_variant({v}) <> 'VOID' THEN array({v}) ELSE CAST(array() AS ARRAY<VARIANT>) END, x -> coalesce({label}, CASE WHEN schema_of_variant(x) = 'STRING' THEN try_variant_get(x, '$', 'string') END))"""
+        f"""transform(filter({_items(v)}, x -> schema_of_variant(x) NOT IN ('VOID', 'STRING') AND coalesce({label}) IS NULL), x -> to_json(x))"""
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 
+#: Where each source keeps what (fixed values): columns of the flat rows and paths of the payloads.
 LINKEDIN_TEXT = {
     "job_url": "jobPostingUrl", "job_posting_id": "jobPostingId", "job_posting_url": "jobPostingUrl", "formatted_location": "formattedLocation", "country_urn": "country",
     "location_urn": "locationUrn", "location_visibility": "locationVisibility", "formatted_employment_status": "formattedEmploymentStatus", "employment_status_urn": "employmentStatus",
@@ -36,6 +37,13 @@ GLASSDOOR_LD = {
 }
 
 
+EVENTS = "array<struct<event: string, site: string, field: string, raw: string>>"
+
+
+def no_events() -> Column:
+    return F.array().cast(EVENTS)
+
+
 def _entity(urn: str) -> Column:
     """The first of the included entities with the given name: a join within the row. urn: SQL."""
     return F.expr(f"try_element_at(filter(try_cast({P.get('v', '$.included')} AS ARRAY<VARIANT>), e -> try_variant_get(e, '$.entityUrn', 'string') = {urn}), 1)")
@@ -49,7 +57,7 @@ def company_urn() -> str:
 
 
 def linkedin(df: DataFrame) -> DataFrame:
-    """36 columns; df has the parsed payload in column v, and scan_run_id."""
+    """36 columns and ingest_events; df has the parsed payload in column v, and scan_run_id."""
     d = "$.data."
     kept = [c for c in df.columns if c != "v"]
     df = df.withColumns({"_company": _entity(company_urn()), "_title": _entity(P.text_sql("v", d + "standardizedTitle"))})
@@ -64,7 +72,7 @@ def linkedin(df: DataFrame) -> DataFrame:
         "description_text": P.text("v", d + "description.text"), "company_name": P.text("_company", "$.name"), "company_universal_name": P.text("_company", "$.universalName"),
         "company_url": F.coalesce(F.nullif(P.text("_company", "$.url"), F.lit("")), P.text("_company", "$.companyPageUrl")), "company_description": P.text("_company", "$.description"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"), no_events().alias("ingest_events"))
 
 
 def indeed_key() -> Column:
@@ -72,7 +80,7 @@ def indeed_key() -> Column:
 
 
 def indeed(df: DataFrame) -> DataFrame:
-    """42 columns."""
+    """42 columns and ingest_events."""
     kept = [c for c in df.columns if c != "v"]
     key = indeed_key()
     m, g = "$.mosaic.", "$.graphql."
@@ -84,7 +92,7 @@ def indeed(df: DataFrame) -> DataFrame:
         "salary_min": P.number("v", m + "extractedSalary.min"), "salary_max": P.number("v", m + "extractedSalary.max"), "indeed_apply_enabled": P.flag("v", m + "indeedApplyEnabled"),
         "num_hires": P.whole("v", m + "numHires"), "attributes": P.nested("v", g + "attributes"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"), no_events().alias("ingest_events"))
 
 
 def listing_id() -> Column:
@@ -92,7 +100,7 @@ def listing_id() -> Column:
 
 
 def glassdoor(df: DataFrame) -> DataFrame:
-    """45 columns."""
+    """45 columns and ingest_events: a date that is there but can't be read is told."""
     kept = [c for c in df.columns if c != "v"]
     key = listing_id()
     d, ld, h, mp = "$.jobListing.jobDetailsData.", "$.json_ld.", "$.jobListing.jobDetailsRawData.jobview.header.", "$.jobListing.jobDetailsRawData.jobview.map."
@@ -108,4 +116,7 @@ def glassdoor(df: DataFrame) -> DataFrame:
         "remote_work_types": P.nested("v", h + "remoteWorkTypes"), "header_apply_url": P.text("v", h + "applyUrl"), "header_employer": P.nested("v", h + "employer"),
         "map_city_name": P.text("v", mp + "cityName"), "map_country": P.text("v", mp + "country"), "map_state_name": P.text("v", mp + "stateName"),
     }
-    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"))
+    given = P.text("v", ld + "datePosted")
+    bad = F.struct(F.lit("ingest_iso_date_parse_failed").alias("event"), F.lit("glassdoor").alias("site"), F.lit("date_posted").alias("field"), F.substring(given, 1, 64).alias("raw"))
+    unread = F.when(F.coalesce(F.trim(given) != "", F.lit(False)) & cols["date_posted"].isNull(), F.array(bad)).otherwise(no_events())
+    return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"), unread.alias("ingest_events"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions import vocab
+from ..sources import store
 from . import flatten, project
 
 
@@ -74,13 +75,22 @@ def outcome_of_insert(batch: DataFrame, target: DataFrame, keys: list[str], orde
     return batch.withColumn("_rank", rank).join(there, keys, "left").withColumn("already_exists", F.coalesce("_there", F.lit(False)) | (F.col("_rank") > 1)).drop("_rank", "_there")
 
 
-def write_batch(routed: DataFrame, path: str, batch_id: int) -> None:
-    """Publishes one batch: accepted flat and canonical rows, and rejects, each under its batch's own folder.
+def write_batch(routed: DataFrame, path: str, batch_id: int) -> str:
+    """Publishes one batch as one folder, and returns it: flat rows by source, canonical rows with their warnings, and rejects.
 
-    The folder's name is the batch, and it is overwritten, so a batch that is run again changes nothing.
+    All is written under another name first, the canonical rows from the flat tables beside them, and the folder appears
+    by one rename: readers see a batch whole or not at all, and a batch that is run again takes its own place.
     """
-    ok = first_wins(accepted(routed).select("site", "job_url", "scan_run_id", "scrape_time", "arrival", F.col("source_raw").alias("raw")), ["site", "job_url"], "arrival")
-    rows = project.canonical(ok.drop("job_url", "arrival"))
-    project.complete(rows).write.mode("overwrite").parquet(f"{path}/canonical/batch={batch_id}")
-    rows.select("job_url", F.explode("warnings").alias("w")).select("job_url", "w.*").write.mode("overwrite").parquet(f"{path}/warnings/batch={batch_id}")
-    routed.where("outcome NOT IN ('accepted', 'skipped')").select("website", "scan_run_id", "source_raw", "outcome").write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
+    spark, building, done = routed.sparkSession, f"{path}/_building/{batch_id}", f"{path}/batch={batch_id}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{building}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{building}/{name}")
+
+    rows = accepted(routed).select("site", "job_url", "scan_run_id", "scrape_time", "arrival", F.col("source_raw").alias("raw"))
+    flat = project.flat_rows(kept(first_wins(rows, ["site", "job_url"], "arrival").drop("job_url", "arrival"), "payloads"))
+    flat = {site: kept(df.drop("site"), f"{site}_jobs") for site, df in flat.items()}
+    kept(project.complete(project.canonical_of(flat), keep_warnings=True), "canonical")
+    kept(routed.where("outcome NOT IN ('accepted', 'skipped')").select("website", "scan_run_id", "source_raw", "outcome"), "rejects")
+    store.move(spark, building, done)
+    return done

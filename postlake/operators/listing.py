@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a listing shows: all but the five filter attributes.
+#: What a listing shows: all but the five filter attributes (fixed values).
 SHOWN = (
     "id", "source_site", "source_row_id", "site_job_id", "scan_run_id", "job_url", "scrape_time", "matched", "dismissed", "title", "company", "location_text", "description", "remote",
     "apply_url", "experience_level", "industry", "salary_min", "salary_max", "salary_currency", "salary_period", "posted_at",

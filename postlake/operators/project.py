@@ -16,7 +16,6 @@ CANONICAL = (
     "experience_level", "industry", "salary_min", "salary_max", "salary_currency", "salary_period", "posted_at", "employment_type", "workplace_type", "language",
     "education_requirements", "salary_disclosed",
 )
-_EVENT = "array<struct<event: string, site: string, field: string, raw: string>>"
 
 
 def _none() -> Column:
@@ -25,13 +24,18 @@ def _none() -> Column:
 
 def _event(cond: Column, event: str, site: str, field: str, raw: Column) -> Column:
     one = F.struct(F.lit(event).alias("event"), F.lit(site).alias("site"), F.lit(field).alias("field"), F.substring(raw.cast("string"), 1, 64).alias("raw"))
-    return F.when(F.coalesce(cond, F.lit(False)), F.array(one)).otherwise(F.array().cast(_EVENT))
+    return F.when(F.coalesce(cond, F.lit(False)), F.array(one)).otherwise(flatten.no_events())
 
 
 def _unknown(values: Column, table: dict[str, str], event: str, site: str, field: str) -> Column:
     return F.transform(T.unknown_values(values, table), lambda v: F.struct(F.lit(event).alias("event"), F.lit(site).alias("site"), F.lit(field).alias("field"), F.substring(v, 1, 64).alias("raw")))
 
 
+def _odd(v: str, site: str, field: str) -> Column:
+    """Values that are no text at all: the source has changed its shape, and nothing else would tell."""
+    return F.transform(P.odd_values(v), lambda x: F.struct(F.lit("bad_value_shape").alias("event"), F.lit(site).alias("site"), F.lit(field).alias("field"), F.substring(x, 1, 64).alias("raw")))
+
+
 def _period_events(site: str) -> Column:
     c = F.col("salary_period")
     return _event(T.present(c) & T.salary_period(c).isNull(), "unknown_salary_period", site, "salary_period", c)
@@ -49,7 +53,7 @@ def _finish(df: DataFrame, site: str, cols: dict[str, Column], events: list[Colu
     fixed = {"source_site": F.lit(site), "source_row_id": F.sha2(F.concat(F.lit(f"row:{site}:"), "job_url"), 256), "scan_run_id": F.col("scan_run_id"), "job_url": F.col("job_url"), "scrape_time": F.col("scrape_time")}
     if set(cols) | set(fixed) != set(CANONICAL):
         raise ValueError("a projection must have exactly the canonical columns")
-    return df.select(*[(cols | fixed)[c].alias(c) for c in CANONICAL], F.concat(*events).alias("warnings"))
+    return df.select(*[(cols | fixed)[c].alias(c) for c in CANONICAL], F.concat("ingest_events", *events).alias("warnings"))
 
 
 def linkedin(df: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def linkedin(df: DataFrame) -> DataFrame:
     events = [
         _period_events("linkedin"), _epoch_events(F.col("listed_at"), "linkedin", "listed_at"), _unknown(status, vocab.EMPLOYMENT, "unknown_employment_type", "linkedin", "employment_type"),
         _unknown(labels, vocab.WORKPLACE, "unknown_workplace_type", "linkedin", "workplace_type"),
-        _event((place == "REMOTE") != remote, "workplace_remote_conflict", "linkedin", "workplace_type", place),
+        _odd("workplace_types_labels", "linkedin", "workplace_type"), _event((place == "REMOTE") != remote, "workplace_remote_conflict", "linkedin", "workplace_type", place),
     ]
     return _finish(df, "linkedin", cols, events)
 
@@ -81,7 +85,7 @@ def indeed(df: DataFrame) -> DataFrame:
     }
     events = [
         _period_events("indeed"), _epoch_events(F.col("pub_date"), "indeed", "pub_date"), _unknown(types, vocab.EMPLOYMENT, "unknown_employment_type", "indeed", "employment_type"),
-        _source_events(F.col("salary_snippet_source"), "indeed"), _event(T.present(language) & T.language_base(language).isNull(), "bad_language", "indeed", "language", language),
+        _odd("job_types", "indeed", "employment_type"), _source_events(F.col("salary_snippet_source"), "indeed"), _event(T.present(language) & T.language_base(language).isNull(), "bad_language", "indeed", "language", language),
     ]
     return _finish(df, "indeed", cols, events)
 
@@ -100,7 +104,7 @@ def glassdoor(df: DataFrame) -> DataFrame:
     }
     events = [
         _period_events("glassdoor"), _unknown(types, vocab.EMPLOYMENT, "unknown_employment_type", "glassdoor", "employment_type"),
-        _unknown(work, vocab.WORKPLACE, "unknown_workplace_type", "glassdoor", "workplace_type"), _source_events(F.col("salary_source"), "glassdoor"),
+        _unknown(work, vocab.WORKPLACE, "unknown_workplace_type", "glassdoor", "workplace_type"), _odd("employment_type", "glassdoor", "employment_type"), _odd("remote_work_types", "glassdoor", "workplace_type"), _source_events(F.col("salary_source"), "glassdoor"),
     ]
     return _finish(df, "glassdoor", cols, events)
 
@@ -113,13 +117,17 @@ def flat_rows(payloads: DataFrame) -> dict[str, DataFrame]:
 
 def canonical(payloads: DataFrame) -> DataFrame:
     """One canonical row per payload, with its warnings."""
-    flat = flat_rows(payloads)
+    return canonical_of(flat_rows(payloads))
+
+
+def canonical_of(flat: dict[str, DataFrame]) -> DataFrame:
+    """From flat rows. Those are best tables: of columns that are paths into a payload, each use is one more evaluation."""
     return linkedin(flat["linkedin"]).unionByName(indeed(flat["indeed"])).unionByName(glassdoor(flat["glassdoor"]))
 
 
-def complete(df: DataFrame) -> DataFrame:
+def complete(df: DataFrame, keep_warnings: bool = False) -> DataFrame:
     """The stored table: id and the two flags that ingest leaves false."""
-    return df.select(F.sha2(F.concat(F.lit("job:"), "source_site", F.lit(":"), "job_url"), 256).alias("id"), *CANONICAL, F.lit(False).alias("matched"), F.lit(False).alias("dismissed"))
+    return df.select(F.sha2(F.concat(F.lit("job:"), "source_site", F.lit(":"), "job_url"), 256).alias("id"), *CANONICAL, F.lit(False).alias("matched"), F.lit(False).alias("dismissed"), *[c for c in ("warnings",) if keep_warnings])
 
 
 def warning_counts(canonical_rows: DataFrame) -> DataFrame:

@@ -34,15 +34,28 @@ def elapsed(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.join(first, key).withColumn("dt", F.col(at) - F.col("_first")).drop("_first")
 
 
-def session_fold(df: DataFrame, key: str, order: list[str], dead: Column) -> DataFrame:
-    """Each key's state after all its probes: a notice when it goes from live to dead, a back-off that doubles with each dead probe up to 64."""
+#: Probes that find a session dead.
+DEAD = ("expired", "captcha")
+
+
+def session_fold(df: DataFrame, key: str, order: list[str], status: Column) -> DataFrame:
+    """Each key's state after all its probes (live, expired, captcha, rate_limited, unknown).
+
+    Failures count dead probes since the last live one. A dead probe right after a live one gives a notice, one at most
+    until the next live. The back-off doubles with each rate_limited probe, up to 64, and nothing resets it.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("_dead", dead).withColumn("_before", F.lag("_dead").over(w))
-    return rows.groupBy(key).agg(
-        F.count_if(F.col("_dead") & ~F.coalesce("_before", F.lit(False))).alias("notices"),
-        F.least(F.lit(64.0), F.pow(F.lit(2.0), F.count_if("_dead"))).cast("long").alias("backoff"),
-        F.when(F.max_by("_dead", F.struct(*order)), "dead").otherwise("live").alias("status"),
-    )
+    rows = df.withColumn("_status", status).withColumn("_before", F.lag("_status").over(w))
+    rows = rows.withColumn("_lives", F.count_if(F.col("_status") == "live").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dead = F.col("_status").isin(*DEAD)
+    since = rows.groupBy(key, "_lives").agg(
+        F.count_if(dead).alias("failures"), F.count_if(dead & (F.col("_before") == "live")).alias("notices"), F.count_if(F.col("_status") == "rate_limited").alias("limited"),
+        F.max_by("_status", F.struct(*order)).alias("status"),
+    )
+    return since.groupBy(key).agg(
+        F.max_by("status", "_lives").alias("status"), F.max_by("failures", "_lives").alias("failures"), F.max_by(F.col("notices") > 0, "_lives").alias("notified"), F.sum("notices").alias("notices"),
+        F.least(F.lit(64.0), F.pow(F.lit(2.0), F.sum("limited"))).cast("long").alias("backoff"),
+    )
 
 
 def terminal_lock(df: DataFrame, key: str, order: list[str], status: Column) -> DataFrame:

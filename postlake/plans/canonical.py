@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, lifecycle, listing, project
 from ..sources import adapter
+from ..sources.store import stored as stored_table
 from .expected import CANON, EMP, stored
 from .registry import query
 
@@ -16,9 +17,15 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 DUCK_STAMP = "'%Y-%m-%d %H:%M:%S'"
 
 
+@lru_cache(maxsize=8)
+def flat_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The flat tables as ingest leaves them, written once for each input of a session."""
+    return {site: stored_table(df.drop("source_raw", "site")) for site, df in project.flat_rows(adapter.payloads(spark, sf_dir)).items()}
+
+
 @lru_cache(maxsize=8)  # of plans, not rows: building one takes seconds
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.canonical(adapter.payloads(spark, sf_dir))
+    return project.canonical_of(flat_tables(spark, sf_dir))
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +52,9 @@ def canonical_projection(spark, sf_dir):
     UNION ALL SELECT 'unknown_employment_type', ['linkedin','indeed','glassdoor'][s + 1], 'employment_type', x FROM (
        SELECT s, unnest(CASE s WHEN 0 THEN [({EMP})[m % 13 + 1]] WHEN 1 THEN CASE m % 4 WHEN 0 THEN [] WHEN 2 THEN [({EMP})[m % 13 + 1], ({EMP})[(m + 5) % 13 + 1]] ELSE [({EMP})[m % 13 + 1]] END
        ELSE CASE m % 5 WHEN 1 THEN [] WHEN 0 THEN [({EMP})[(m + 3) % 13 + 1]] ELSE [({EMP})[m % 13 + 1]] END END) AS x FROM b) WHERE x = 'Freelance'
-    UNION ALL SELECT 'unknown_workplace_type', 'linkedin', 'workplace_type', 'Moon base' FROM b WHERE s = 0 AND m % 9 = 7
+    UNION ALL SELECT 'unknown_workplace_type', 'linkedin', 'workplace_type', 'Moon base' FROM b WHERE s = 0 AND m % 9 = 7 AND m % 2 = 1
+    UNION ALL SELECT 'bad_value_shape', 'linkedin', 'workplace_type', '{{"odd":1}}' FROM b WHERE s = 0 AND m % 9 = 7 AND m % 2 = 0
+    UNION ALL SELECT 'ingest_iso_date_parse_failed', 'glassdoor', 'date_posted', 'not a date' FROM b WHERE s = 2 AND m % 19 = 0
     UNION ALL SELECT 'workplace_remote_conflict', 'linkedin', 'workplace_type', p FROM (SELECT m, ['ONSITE','REMOTE','HYBRID','REMOTE','HYBRID','ONSITE','ONSITE',NULL,NULL][m % 9 + 1] AS p FROM b WHERE s = 0) WHERE p IS NOT NULL AND m % 3 < 2 AND (p = 'REMOTE') <> (m % 3 = 0)
     UNION ALL SELECT 'unknown_salary_source', ['', 'indeed','glassdoor'][s + 1], 'salary_source', 'MYSTERY' FROM b WHERE s > 0 AND m % 6 = 4
     UNION ALL SELECT 'bad_language', 'indeed', 'language', 'english' FROM b WHERE s = 1 AND m % 11 = 0)
@@ -83,19 +92,19 @@ def posted_at_unified(spark, sf_dir):
 
 @query("SELECT doc_id AS site_job_id, 'OffsiteApply' AS apply_method_type, CASE WHEN doc_id // 3 % 23 <> 0 THEN source END AS company_name, CASE WHEN doc_id // 3 % 9 <> 8 THEN 1 ELSE 0 END AS n_labels FROM documents WHERE doc_id % 3 = 0")
 def flatten_linkedin(spark, sf_dir):
-    flat = project.flat_rows(adapter.payloads(spark, sf_dir))["linkedin"]
+    flat = flat_tables(spark, sf_dir)["linkedin"]
     return flat.select(F.col("job_posting_id").cast("long").alias("site_job_id"), "apply_method_type", "company_name", F.when(F.col("workplace_types_labels").isNull(), 0).otherwise(1).alias("n_labels"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS jobkey, 'https://ca.indeed.com/viewjob?jk=' || doc_id AS job_url, TRUE AS mosaic_present, TRUE AS graphql_present, CAST([3, 12, NULL][doc_id // 3 % 3 + 1] AS BIGINT) AS num_hires, doc_id // 3 % 9 AS location_count, doc_id // 3 % 4 <> 0 AS has_types FROM documents WHERE doc_id % 3 = 1")
 def flatten_indeed(spark, sf_dir):
-    flat = project.flat_rows(adapter.payloads(spark, sf_dir))["indeed"]
+    flat = flat_tables(spark, sf_dir)["indeed"]
     return flat.select("jobkey", "job_url", "mosaic_present", "graphql_present", "num_hires", "location_count", F.col("job_types").isNotNull().alias("has_types"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS listing_id, doc_id // 3 % 900 AS goc_id, CASE doc_id // 3 % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_easy_apply, strftime(CASE WHEN doc_id // 3 % 19 <> 0 THEN CAST(epoch_ms(1704067200000 + doc_id * 3600000) AS DATE) END, '%Y-%m-%d') AS date_posted, doc_id // 3 % 4 < 2 AS has_remote FROM documents WHERE doc_id % 3 = 2")
 def flatten_glassdoor(spark, sf_dir):
-    flat = project.flat_rows(adapter.payloads(spark, sf_dir))["glassdoor"]
+    flat = flat_tables(spark, sf_dir)["glassdoor"]
     return flat.select("listing_id", "goc_id", "is_easy_apply", F.date_format("date_posted", "yyyy-MM-dd").alias("date_posted"), F.col("remote_work_types").isNotNull().alias("has_remote"))
 
 
@@ -195,7 +204,7 @@ def expire_shelf_life(spark, sf_dir):
 
 @query(stored(f"SELECT 'scraped_jobs' AS name, count(*) AS deleted FROM stored WHERE scrape_time < {_NOW} - INTERVAL 7 DAY UNION ALL SELECT v || '_jobs', (SELECT count(*) FROM stored WHERE source_site = v AND scrape_time < {_NOW} - INTERVAL 7 DAY) FROM (SELECT unnest(['linkedin', 'indeed', 'glassdoor']) AS v)"))
 def expire_counts_by_table(spark, sf_dir):
-    flat = project.flat_rows(adapter.payloads(spark, sf_dir))
+    flat = flat_tables(spark, sf_dir)
     tables = {f"{k}_jobs": df for k, df in flat.items()} | {"scraped_jobs": table(spark, sf_dir)}
     return lifecycle.expired_counts(tables, "2024-01-08 08:00:00", 7)
 

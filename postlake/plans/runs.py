@@ -51,15 +51,15 @@ def trace_level_histogram(spark, sf_dir):
     return events(spark, sf_dir).groupBy(F.expr(_LEVEL).alias("level"), F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10000")
 def trace_ring_buffer(spark, sf_dir):
-    return R.ring(events(spark, sf_dir), "user_id", ["at", "event_id"], 5).select("user_id", "event_id", "event_type")
+    return R.ring(events(spark, sf_dir), "user_id", ["at", "event_id"], 10000).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY ALL")
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10000) GROUP BY ALL")
 def message_ring_in_row(spark, sf_dir):
     logs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("log"))
-    return logs.select("conv_id", F.array_join(F.transform(R.ring_of(F.col("log"), 3), lambda e: e["role"]), ",").alias("roles"))
+    return logs.select("conv_id", F.array_join(F.transform(R.ring_of(F.col("log"), 10000), lambda e: e["role"]), ",").alias("roles"))
 
 
 @query("SELECT event_id, user_id, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS dt FROM events")
@@ -67,10 +67,20 @@ def run_elapsed(spark, sf_dir):
     return R.elapsed(events(spark, sf_dir), "user_id", "at").select("event_id", "user_id", "dt")
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS dead, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
-    SELECT user_id, count(*) FILTER (dead AND NOT coalesce(was, FALSE)) AS notices, CAST(least(64, pow(2, count(*) FILTER (dead))) AS BIGINT) AS backoff, CASE WHEN arg_max(dead, (ts, event_id)) THEN 'dead' ELSE 'live' END AS status FROM e GROUP BY user_id""")
+PROBE = "CASE event_type WHEN 'click' THEN 'live' WHEN 'error' THEN 'expired' WHEN 'signup' THEN 'captcha' WHEN 'purchase' THEN 'rate_limited' ELSE 'unknown' END"
+#: The rule as it is stated, one probe after the other.
+FOLD_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, {PROBE} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'unknown' AS status, CAST(0 AS BIGINT) AS failures, FALSE AS notified, CAST(0 AS HUGEINT) AS notices, 1.0::DOUBLE AS backoff FROM e
+      UNION ALL SELECT e.user_id, e.k, e.s, CASE WHEN e.s = 'live' THEN 0 WHEN e.s IN ('expired', 'captcha') THEN failures + 1 ELSE failures END,
+        CASE WHEN e.s = 'live' THEN FALSE WHEN e.s IN ('expired', 'captcha') AND status = 'live' THEN TRUE ELSE notified END,
+        CASE WHEN e.s IN ('expired', 'captcha') AND status = 'live' AND NOT notified THEN notices + 1 ELSE notices END, CASE WHEN e.s = 'rate_limited' THEN least(backoff * 2, 64.0) ELSE backoff END
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT user_id, status, failures, notified, CAST(notices AS BIGINT) AS notices, CAST(backoff AS BIGINT) AS backoff FROM f QUALIFY k = max(k) OVER (PARTITION BY user_id)"""
+
+
+@query(FOLD_SQL)
 def session_state_fold(spark, sf_dir):
-    return R.session_fold(events(spark, sf_dir), "user_id", ["at", "event_id"], F.col("event_type") == "error")
+    return R.session_fold(events(spark, sf_dir), "user_id", ["at", "event_id"], F.expr(PROBE))
 
 
 @query("""WITH e AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
@@ -159,13 +169,14 @@ def scan_admission(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(out.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_S = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
+LOCK_STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
+LOCK_SQL = f"""WITH e AS (SELECT user_id, {LOCK_STATUS} AS s, last_value({LOCK_STATUS} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, ts, event_id FROM events)
+    SELECT user_id, count(*) FILTER (NOT (s IS NULL AND coalesce(p = 'completed', FALSE))) AS applied, count(*) FILTER (s IS NULL AND coalesce(p = 'completed', FALSE)) AS ignored FROM e GROUP BY ALL"""
 
 
-@query(f"""WITH e AS (SELECT user_id, {_S} AS s, last_value({_S} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, ts, event_id FROM events)
-    SELECT user_id, count(*) FILTER (NOT (s IS NULL AND coalesce(p = 'completed', FALSE))) AS applied, count(*) FILTER (s IS NULL AND coalesce(p = 'completed', FALSE)) AS ignored FROM e GROUP BY ALL""")
+@query(LOCK_SQL)
 def run_log_terminal_lock(spark, sf_dir):
-    rows = R.terminal_lock(events(spark, sf_dir), "user_id", ["at", "event_id"], F.expr(_S))
+    rows = R.terminal_lock(events(spark, sf_dir), "user_id", ["at", "event_id"], F.expr(LOCK_STATUS))
     return R.counters(rows, ["user_id"], {"applied": F.col("applied"), "ignored": ~F.col("applied")})
 
 

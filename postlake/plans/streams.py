@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..sources.store import shared
 from ..streaming import jobs as S
-from .registry import query
-
-_own: list[str] = []
-
-
-def shared(spark) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="postlake-stream-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return "file://" + _own[0]
-
+from .registry import query, table
+from .runs import FOLD_SQL, LOCK_SQL, LOCK_STATUS, PROBE
 
 @query("SELECT strftime(date_trunc('minute', ts) - k * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest(range(5)) AS k) GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
@@ -37,8 +21,50 @@ def stream_first_per_key(spark, sf_dir):
     return S.to_table(S.first_per_key(S.read(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"]), shared(spark), "append").select("user_id", "event_type")
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS dead, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
-    SELECT user_id, count(*) FILTER (dead AND NOT coalesce(was, FALSE)) AS notices, CAST(least(64, pow(2, count(*) FILTER (dead))) AS BIGINT) AS backoff, CASE WHEN arg_max(dead, (ts, event_id)) THEN 'dead' ELSE 'live' END AS status FROM e GROUP BY user_id""")
+@query(FOLD_SQL)
 def stream_session_fold(spark, sf_dir):
-    out = S.to_table(S.session_fold(S.read(spark, f"{sf_dir}/events.parquet")), shared(spark), "update")
-    return S.latest(out, ["user_id"]).select("user_id", "notices", "backoff", "status")
+    out = S.to_table(S.session_fold(S.read(spark, f"{sf_dir}/events.parquet"), F.expr(PROBE)), shared(spark), "update")
+    return S.latest(out, ["user_id"]).select("user_id", "status", "failures", "notified", "notices", "backoff")
+
+
+@query(LOCK_SQL)
+def stream_terminal_lock(spark, sf_dir):
+    out = S.to_table(S.terminal_lock(S.read(spark, f"{sf_dir}/events.parquet"), F.expr(LOCK_STATUS)), shared(spark), "update")
+    return S.latest(out, ["user_id"]).select("user_id", "applied", "ignored")
+
+
+@query("""SELECT user_id, strftime(time_bucket(INTERVAL 10 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS span, arg_max(value, (ts, event_id)) AS value, count(*) AS n FROM events GROUP BY ALL""")
+def stream_progress(spark, sf_dir):
+    out = S.to_table(S.latest_progress(S.read(spark, f"{sf_dir}/events.parquet")), shared(spark), "update")
+    return S.latest(out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("span"), "value", "n", "batch"), ["user_id", "span"]).select("user_id", "span", "value", "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_beat, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_beat, count(*) AS beats FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_heartbeats(spark, sf_dir):
+    """Only spans that are closed when the stream ends: those whose end the watermark has passed."""
+    out = S.to_table(S.heartbeats(S.read(spark, f"{sf_dir}/events.parquet")), shared(spark), "append")
+    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("first_beat"), F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"), "beats")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id)")
+def stream_without_known(spark, sf_dir):
+    history = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    events = S.read(spark, f"{sf_dir}/events.parquet")
+    return S.to_table(S.without_known(events, ["user_id", "event_type"], history, ["user_id"]), shared(spark), "append").select("user_id", "event_type")
+
+
+@query("SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-22' - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-22' - INTERVAL 7 DAY) AS late FROM events GROUP BY ALL")
+def stream_split_late(spark, sf_dir):
+    parts = S.split_late(S.read(spark, f"{sf_dir}/events.parquet"), F.to_timestamp(F.lit("2024-01-22")), 7)
+    kept, late = (S.to_table(p.select("event_type"), shared(spark), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias(n)) for p, n in zip(parts, ("kept", "late"), strict=True))
+    return kept.join(late, "event_type", "full").select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "late")])
+
+
+@query("""SELECT t.event_id AS trigger_id, s.event_id AS stop_id FROM events t JOIN events s ON t.user_id % 20 = s.user_id % 20 AND t.event_type = 'click' AND s.event_type = 'error' AND t.ts > s.ts AND t.ts <= s.ts + INTERVAL 300 SECOND""")
+def stream_cooldown(spark, sf_dir):
+    """Stops and triggers of twenty sites within five minutes."""
+    e = S.read(spark, f"{sf_dir}/events.parquet").withColumn("site", F.col("user_id") % 20)
+    stops = e.where("event_type = 'error'").select("site", "ts", F.col("event_id").alias("stop_id"))
+    triggers = e.where("event_type = 'click'").select("site", "ts", F.col("event_id").alias("trigger_id"))
+    return S.to_table(S.cooled_down(stops, triggers, "site", 300), shared(spark), "append").select("trigger_id", "stop_id")

@@ -83,6 +83,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).join(F.broadcast(nation), F.col("doc_id") % 25 == F.col("nk"), "left")
     site = F.when(n % 3 == 0, "linkedin").when(n % 3 == 1, "indeed").otherwise("glassdoor")
     raw = F.when(n % 3 == 0, F.to_json(linkedin)).when(n % 3 == 1, F.to_json(indeed)).otherwise(F.to_json(glassdoor))
+    raw = F.when((m % 2 == 0) & (m % 9 == 7), F.replace(raw, F.lit('"Moon base"'), F.lit('{"odd":1}'))).otherwise(raw)  # a label that is no text
     when = F.timestamp_millis(F.lit(BASE_MS) + n * 60000)
     return rows.select("doc_id", site.alias("site"), F.concat(F.lit("run-"), n % 40).alias("scan_run_id"), when.alias("scrape_time"), raw.alias("raw"))
 

@@ -10,10 +10,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.runs import DEAD
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as a stream of its files; event times get a zone."""
@@ -33,18 +35,72 @@ def first_per_key(events: DataFrame, keys: list[str], shelf_life: str = "40 days
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    dead, was, notices = state.get if state.exists else (0, False, 0)
-    rows = pd.concat(frames).sort_values(["ts", "event_id"])
-    for down in rows["event_type"] == "error":
-        notices += bool(down) and not was
-        dead, was = dead + bool(down), bool(down)
-    state.update((dead, was, notices))
-    yield pd.DataFrame({"user_id": [key[0]], "notices": [notices], "backoff": [min(64, 2**dead)], "status": ["dead" if was else "live"]})
-
-
-def session_fold(events: DataFrame) -> DataFrame:
-    """Each session's notices, back-off and status after the rows so far: keyed state, updated by batch."""
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_fold, "user_id long, notices long, backoff long, status string", "dead long, was boolean, notices long", "update", GroupStateTimeout.NoTimeout)
+    """One session's probes of a batch, in order of time: the rule of operators.runs.session_fold."""
+    status, failures, notified, notices, backoff = state.get if state.exists else ("unknown", 0, False, 0, 1.0)
+    own = pd.concat(frames).sort_values(["ts", "event_id"])["status"]
+    dead, live = own.isin(DEAD), own == "live"
+    told = dead & (own.shift(fill_value=status) == "live")
+    last = live.to_numpy().nonzero()[0]
+    since = last[-1] if len(last) else 0
+    failures = int(dead.iloc[since:].sum()) + (0 if len(last) else failures)
+    notified = bool(told.iloc[since:].any()) or (notified and not len(last))
+    notices, backoff, status = notices + int(told.sum()), min(64.0, backoff * 2.0 ** min(int((own == "rate_limited").sum()), 7)), own.iloc[-1]
+    state.update((status, failures, notified, notices, backoff))
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "failures": [failures], "notified": [notified], "notices": [notices], "backoff": [int(backoff)]})
+
+
+def session_fold(events: DataFrame, status: Column) -> DataFrame:
+    """Each session's state after the rows so far: keyed state, updated by batch."""
+    rows = events.select("user_id", "ts", "event_id", status.alias("status"))
+    shape = "status string, failures long, notified boolean, notices long"
+    return rows.groupBy("user_id").applyInPandasWithState(_fold, f"user_id long, {shape}, backoff long", f"{shape}, backoff double", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_progress(events: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """The last counter of each key in each span: what a mirror that writes at most once a span would write."""
+    spans = events.withWatermark("ts", "40 days").groupBy(F.window("ts", every).alias("w"), "user_id")
+    return spans.agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def heartbeats(events: DataFrame, dead_after: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Spans of each key's beats; a span ends, and its key counts as dead, when no beat comes for ``dead_after``. Append mode gives closed spans."""
+    w = F.session_window("ts", dead_after)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("beats"), F.max("ts").alias("last_beat"))
+
+
+def without_known(events: DataFrame, keys: list[str], history: DataFrame, known: list[str], shelf_life: str = "40 days") -> DataFrame:
+    """Each key once within the shelf life, and none whose ``known`` columns history has: a stream joined to a table."""
+    return first_per_key(events, keys, shelf_life).join(history.select(*known), known, "left_anti")
+
+
+def split_late(events: DataFrame, now: Column, shelf_life_days: int) -> tuple[DataFrame, DataFrame]:
+    """(rows within the shelf life, rows past it, for a side output)."""
+    late = F.col("ts") < now - F.make_dt_interval(F.lit(shelf_life_days))
+    return events.where(~late), events.where(late)
+
+
+def _locked(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now, applied, ignored = state.get if state.exists else (None, 0, 0)
+    own = pd.concat(frames).sort_values(["ts", "event_id"])["status"]
+    before = own.ffill().shift().fillna(now if now is not None else "")
+    locked = own.isna() & (before == "completed")
+    told = own.dropna()
+    now, applied, ignored = told.iloc[-1] if len(told) else now, applied + int((~locked).sum()), ignored + int(locked.sum())
+    state.update((now, applied, ignored))
+    yield pd.DataFrame({"user_id": [key[0]], "applied": [applied], "ignored": [ignored]})
+
+
+def terminal_lock(events: DataFrame, status: Column) -> DataFrame:
+    """Updates of each run that apply and that are ignored, since the run is completed and they bring no status."""
+    rows = events.select("user_id", "ts", "event_id", status.alias("status"))
+    return rows.groupBy("user_id").applyInPandasWithState(_locked, "user_id long, applied long, ignored long", "now string, applied long, ignored long", "update", GroupStateTimeout.NoTimeout)
+
+
+def cooled_down(stops: DataFrame, triggers: DataFrame, key: str, seconds: int = 5) -> DataFrame:
+    """Triggers that come within ``seconds`` after a stop of their key: two streams joined by key and interval."""
+    a = stops.withWatermark("ts", "1 hour").withColumnsRenamed({key: "_key", "ts": "_stopped"})
+    b = triggers.withWatermark("ts", "1 hour")
+    return b.join(a, (F.col(key) == F.col("_key")) & (F.col("ts") > F.col("_stopped")) & (F.col("ts") <= F.col("_stopped") + F.expr(f"INTERVAL {seconds} SECONDS")))
 
 
 def to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
