@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text, with a space mark before it and for each space, is cut wherever no piece holds the two characters that meet
-there: no piece spans such a cut, so the words between cuts can be encoded apart. The lattice of all words: every
+there: no piece spans such a cut, so the words between cuts can be encoded apart. (Marks are kept as plain spaces here,
+which makes most words strings of one byte a character.) The lattice of all words: every
 substring up to the longest piece is exploded and equi-joined to the piece table; the edges that result are grouped by
 word, and a higher-order aggregate folds them to the path taken. A character without a piece of its own is an edge
 without score and becomes byte pieces.
@@ -45,10 +46,12 @@ FREQUENT = 1 << 18
 CHUNK = 1 << 23
 #: A part of a partition's distinct tokens is counted at once; words that occur fewer times in a full part are not offered as frequent ones.
 _PART, _LEAST = 300_000, 3
+#: Tokens of frequent words only that a task remembers.
+_KNOWN = 200_000
 LONGEST = 4096
 _INNER = -(1 << 31)
 _FEW = 0x250
-_TOKENS = re.compile(f"{MARK}+[^{MARK}]*").findall
+_TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*").findall
 
 
 @dataclass(frozen=True)
@@ -72,31 +75,39 @@ class Pieces:
             model.ParseFromString(f.read())
         table, raw, byte_ids = {}, [], [0] * 256
         for k, p in enumerate(model.pieces):
-            raw.append(p.piece.encode() if p.type in (1, 4) else b"")
+            text = p.piece.replace(MARK, " ")
+            raw.append(text.encode() if p.type in (1, 4) else b"")
             if p.type == 6:
                 byte_ids[int(p.piece[3:5], 16)] = k
                 raw[k] = bytes([int(p.piece[3:5], 16)])
             elif p.type in (1, 4):
-                table[p.piece] = (k, float(p.score))
+                table[text] = (k, float(p.score))
         return cls.of(table, raw, byte_ids, model.trainer_spec.model_type == 2)
 
     @classmethod
     def of(cls, table: dict[str, tuple[int, float]], raw: list[bytes], byte_ids: list[int], merges: bool) -> Pieces:
         joined = frozenset(p[k : k + 2] for p in table for k in range(len(p) - 1))
+        if any(pair[1] == "\n" for pair in joined):
+            raise ValueError("a piece spans the start of a line")
         return cls(table, joined, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), merges)
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """The text with a mark for each space, split before every run of marks."""
-    return _TOKENS(MARK + text.replace(" ", MARK)) if text else []
+    """The text split before every run of spaces and every line break; a token has a space before it, but for one that starts with a line break."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text:
+        return [t[1:] if t[0] == " " else t for t in _TOKENS(" " + text.replace(MARK, " "))]
+    return text.replace("\n", " \n").split(" ")
 
 
 def cut(token: str, joined: frozenset[str]) -> list[str]:
     """The token's words: it is cut between characters that no piece holds together (short runs of plain letters are left)."""
-    if len(token) < 64 and (own := token[1:]).isascii() and own.isalpha():
-        return [token]
-    at = [k for k in range(1, len(token)) if token[k - 1 : k + 1] not in joined]
-    return [token[a:b] for a, b in zip([0, *at], [*at, len(token)], strict=True)]
+    if len(token) < 64 and token.isascii() and token.isalpha():
+        return [" " + token]
+    word = token if token[:1] == "\n" else " " + token
+    at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
+    return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
 
 
 def merged(word: str, table: Pieces) -> list[str]:
@@ -191,7 +202,7 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*order)))).alias("edges"))
 
     # Ids and scores of characters: by code point below _FEW, the others by their place in a string.
-    others = sorted((c for c in table.pieces if len(c) == 1 and ord(c) >= _FEW), key=lambda c: (c != MARK, c))
+    others = sorted(c for c in table.pieces if len(c) == 1 and ord(c) >= _FEW)
     alone = [table.pieces.get(c, (_INNER, table.unknown)) for c in (*map(chr, range(_FEW)), *others)]
     listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
     ids, scores, byte_ids = listed([k for k, _ in alone], "int"), listed([s for _, s in alone], "double"), listed(table.byte_ids, "int")
@@ -246,14 +257,8 @@ def _rare(frequent, joined: frozenset[str]):
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
 
-        class Rare(dict):
-            def __missing__(self, token: str) -> tuple[str, ...]:
-                if len(self) > _PART:
-                    self.clear()
-                self[token] = words = tuple(w for w in cut(token, joined) if w not in known and len(w) <= LONGEST)
-                return words
-
-        of, chunks, size = Rare(), {}, 0
+        plain: set[str] = set()  # tokens of frequent words only
+        chunks, size = {}, 0
 
         def out() -> pa.RecordBatch:
             k = np.repeat(np.fromiter(chunks, np.int64, len(chunks)), list(map(len, chunks.values())))
@@ -263,9 +268,12 @@ def _rare(frequent, joined: frozenset[str]):
             for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = chunks.setdefault(chunk, set())
                 before = len(own)
-                for words in map(of.__getitem__, tokens_of(text.as_py())):
+                for token in set(tokens_of(text.as_py())) - plain:
+                    words = [w for w in cut(token, joined) if w not in known]
                     if words:
-                        own.update(words)
+                        own.update(w for w in words if len(w) <= LONGEST)
+                    elif len(plain) < _KNOWN:
+                        plain.add(token)
                 size += len(own) - before
                 if size > _PART:
                     yield out()
@@ -296,21 +304,17 @@ def _encoder(table, frequent):
         rare: dict[str, bytes] = {}
 
         class Ids(dict):
-            """Token -> ids, as bytes; those with rare words go with their chunk."""
-
-            passing: list[str] = []
+            """Token -> ids, as bytes; those of frequent words only are kept."""
 
             def __missing__(self, token: str) -> bytes:
-                if len(self) > _PART:
-                    self.clear()
-                    self.passing.clear()
-                out = []
+                out, plain = [], len(self) < _KNOWN
                 for w in cut(token, own.joined):
                     if (ids := common.get(w)) is None:
-                        ids = rare[w] if len(w) <= LONGEST else np.array(ids_of(w, own), "<i4").tobytes()
-                        self.passing.append(token)
+                        ids, plain = rare[w] if len(w) <= LONGEST else np.array(ids_of(w, own), "<i4").tobytes(), False
                     out.append(ids)
-                self[token] = ids = b"".join(out)
+                ids = b"".join(out)
+                if plain:
+                    self[token] = ids
                 return ids
 
         ids_by, chunk = Ids(), None
@@ -327,9 +331,6 @@ def _encoder(table, frequent):
                 if now != chunk:
                     chunk = now
                     rare.clear()
-                    for token in ids_by.passing:
-                        ids_by.pop(token, None)
-                    ids_by.passing.clear()
                 if not text_row:
                     rare[words[k].as_py()] = values[offsets[k] : offsets[k + 1]].astype("<i4").tobytes()
                     continue
@@ -374,7 +375,7 @@ def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.
 
 def _decoder(raw: list[bytes]):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, flat, sizes = MARK.encode(), np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw)), np.int64)
+        flat, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw)), np.int64)
         for batch in batches:
             ids, a = batch.column(1), 0
             while a < batch.num_rows:  # a part holds some hundred thousand ids
@@ -386,7 +387,7 @@ def _decoder(raw: list[bytes]):
                 text, ends = gathered(flat, sizes, part.flatten().to_numpy())
                 ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(part.value_lengths().fill_null(0).to_numpy())))].tolist()
                 whole = text.tobytes()
-                texts = [whole[x:y].replace(mark, b" ")[1:].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
+                texts = [whole[x + 1 : y].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), part, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
                 a = b
 

@@ -163,7 +163,7 @@ def test_pieces_odd_texts(spark, monkeypatch):
 def test_pieces_of_a_unigram_table(spark):
     """The fold is Viterbi's where scores are log-probabilities."""
     rng = np.random.default_rng(3)
-    table = {c: (256 + k, -9.0 - float(rng.random())) for k, c in enumerate("abcd▁")}
+    table = {c: (256 + k, -9.0 - float(rng.random())) for k, c in enumerate("abcd ")}
     while len(table) < 60:
         p = "".join(rng.choice(list("abcd"), int(rng.integers(2, 7))))
         table.setdefault(p, (256 + len(table), -float(rng.random()) * 12))
