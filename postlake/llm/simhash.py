@@ -2,7 +2,7 @@
 
 The search is the tiled exact comparison: distinct fingerprints of a block, ordered by population count, are compared
 tile against tile with numpy exclusive-or and bit counts, and tile pairs whose population counts lie further apart
-than the radius are skipped. All tile pairs of a corpus would grow with its square, so blocks come from the pigeonhole
+than the radius are skipped; short blocks share their tiles. All tile pairs of a corpus would grow with its square, so blocks come from the pigeonhole
 principle: 64 bits are cut into radius + 2 parts; two fingerprints within the radius agree on at least two of them, so
 each fingerprint goes to one block for every two parts and no link is lost. Blocks hold distinct fingerprints only:
 copies, however many, are one row. A block sends out a spanning forest of its links, never all of them.
@@ -25,6 +25,8 @@ from .common import components, materialize, salted_lookup, shuffle_partitions
 
 RADIUS = 4
 TILE = 1024
+#: Rows of a tile that several short blocks share, and of such tiles that are compared at once.
+SHORT, SLAB = 32, 256
 
 
 def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
@@ -85,6 +87,27 @@ def tiled_links(fps: np.ndarray, lab: np.ndarray, at: np.ndarray, radius: int) -
     return lab
 
 
+def short_blocks(block: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of the components within each of many short blocks; rows are in order of block, then population count."""
+    n, lab, ones = len(fps), np.arange(len(fps)), np.bitwise_count(fps).astype(np.int64)
+    more = -n % SHORT
+    tiles, of = np.pad(fps, (0, more)).reshape(-1, SHORT), np.pad(block, (0, more), constant_values=-1).reshape(-1, SHORT)
+    ones = np.pad(ones, (0, more)).reshape(-1, SHORT)
+    for shift in range(len(tiles)):
+        a = np.arange(len(tiles) - shift)
+        if shift:
+            a = a[(of[a, -1] == of[a + shift, 0]) & (ones[a + shift, 0] - ones[a, -1] <= radius)]
+        if not len(a):
+            break
+        for at in np.array_split(a, -(-len(a) // SLAB)):
+            near = np.bitwise_count(tiles[at][:, :, None] ^ tiles[at + shift][:, None, :]) <= radius
+            t, i, j = np.nonzero(near & (of[at][:, :, None] == of[at + shift][:, None, :]))
+            i, j = at[t] * SHORT + i, (at[t] + shift) * SHORT + j
+            m = (i < j) & (j < n)
+            lab = join_labels(lab, i[m], j[m])
+    return lab
+
+
 def _cuts(parts: int) -> list[tuple[int, int]]:
     """(shift, width) of each part of the 64 bits."""
     ends = [round(64 * k / parts) for k in range(parts + 1)]
@@ -117,19 +140,15 @@ def _block_links(radius: int):
             return pa.record_batch([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
 
         def found(block, fps):
+            order = np.lexsort((np.bitwise_count(fps), block))
+            block, fps = block[order], fps[order]
             starts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
             sizes = np.diff(np.append(starts, len(block)))
-            small = np.repeat(sizes <= 16, sizes)
-            for d in range(1, min(16, int(sizes.max()))):  # short blocks: every pair is some shift apart
-                m = (block[d:] == block[:-d]) & small[d:]
-                i = np.flatnonzero(m)
-                i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
-                if len(i):
-                    yield out(fps[i], fps[i + d])
-            for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-                own = fps[s : s + n]
-                lab = block_forest(own, radius)
-                m = lab != np.arange(n)
+            short = np.repeat(sizes <= TILE, sizes)
+            parts = [(fps[short], short_blocks(block[short], fps[short], radius))] if short.any() else []
+            parts += [(fps[s : s + n], block_forest(fps[s : s + n], radius)) for s, n in zip(starts, sizes, strict=True) if n > TILE]
+            for own, lab in parts:
+                m = lab != np.arange(len(own))
                 if m.any():
                     yield out(own[m], own[lab[m]])
 
@@ -167,9 +186,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_block_links(radius), "src long, dst long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, uid, fp); fingerprints (fp, class); classes (class, component_id, and uid of the row that stays)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+def _classes(own: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own: doc_id, text, uid. Rows (doc_id, uid, fp); fingerprints (fp, class); classes (class, component_id, and uid of the row that stays)."""
     prints = materialize(own.mapInArrow(_fingerprints(shingle), "doc_id long, uid long, fp long"))
     firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     parts = components(near_links(firsts.select("fp"), radius))
@@ -180,7 +198,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
 
 def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    prints, classes, lowest = _classes(docs, id_col, text_col, radius, shingle)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    prints, classes, lowest = _classes(own, radius, shingle)
     of = salted_lookup(classes, lowest.select("class", "component_id"), ["class"], "fp").select("fp", "component_id")
     return salted_lookup(prints, of, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -188,8 +207,9 @@ def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each class, the one with the smallest id (null last).
 
-    docs: a table as read, whose rows come in the same partitions each time.
+    Rows are written once with a number of their own, since a scan planned again may cut the files otherwise.
     """
-    _, _, lowest = _classes(docs, id_col, text_col, radius, shingle)
-    stay = lowest.select(F.col("uid").alias("_uid"))
-    return docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")).join(stay, "_uid", "left_semi").select("_row.*")
+    rows = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")))
+    own = rows.select(F.col(f"_row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"_row.`{text_col}`").alias("text"), F.col("_uid").alias("uid"))
+    stay = _classes(own, radius, shingle)[2].select(F.col("uid").alias("_uid"))
+    return rows.join(stay, "_uid", "left_semi").select("_row.*")
