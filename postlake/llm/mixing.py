@@ -8,7 +8,8 @@ So a source's words stay the same up to the one document that is left over.
 
 Pairs are made within small groups of each source, larger documents first; each group leaves one document, and those
 meet in groups of the next level of a tree until one is left, which is rounded to the nearer side: a source is at most
-half that document off its target. A source's groups grow in number, not in size.
+half that document off its target. A source's groups grow in number, not in size: documents are dealt to them by id and
+size, or by row where more than ``SAME`` rows share both.
 
 Defined results: a null or empty text has size 0 and takes nothing; chance comes from hashes of ids, so reruns agree,
 and of repeated rows any may get the copies; an empty table gives no row. Groups hold numbers only, never texts.
@@ -30,6 +31,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 GROUP = 2048
 FAN_IN = 64
+SAME = 64
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +106,23 @@ def _round(level: int):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, group: int = GROUP) -> DataFrame:
     """One row per row of docs: uid (its place by monotonically_increasing_id), doc_id, source, size, source_size, target, copies, taken."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("uid"))
+    return _mix(own, weights, share, group)
+
+
+def _mix(own: DataFrame, weights: tuple[int, ...], share: float, group: int) -> DataFrame:
+    """own: doc_id, text, source, uid."""
     sized = materialize(own.mapInArrow(_sizes, "doc_id long, size long, source string, uid long"))
     targets = materialize(source_targets(sized, weights, share).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
-    rows = salted_lookup(sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), targets.drop("source"), ["key"], "uid")
+    tied = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("tie", F.xxhash64("doc_id", "size"))
+    many = tied.groupBy("tie").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") > SAME)
+    rows = salted_lookup(salted_lookup(tied, many, ["tie"], "uid"), targets.drop("source"), ["key"], "uid")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("base", F.floor(want)).withColumn("x", want - F.floor(want))
-    rows = materialize(rows.withColumn("tie", F.xxhash64("doc_id", "size")).withColumn("n_groups", F.ceil(F.col("n_docs") / group)).withColumn("group", F.pmod(F.col("tie"), F.col("n_groups"))))
+    dealt = F.when(F.col("same").isNull(), F.col("tie")).otherwise(F.xxhash64("tie", "uid"))
+    rows = materialize(rows.withColumn("n_groups", F.ceil(F.col("n_docs") / group)).withColumn("group", F.pmod(dealt, F.col("n_groups"))).drop("same"))
     todo = rows.where("size > 0 AND x > 1e-9 AND x < 1 - 1e-9")
     depth, most = 0, (targets.agg(F.max(F.ceil(F.col("n_docs") / group))).first()[0] or 1)
-    n, decided = shuffle_partitions(docs.sparkSession), None
+    n, decided = shuffle_partitions(own.sparkSession), None
     now = todo.select("key", "group", "uid", "size", "x", "tie", "doc_id")
     while True:
         dealt = now.repartition(n, "key", "group").sortWithinPartitions("key", "group", F.desc("size"), "tie", "doc_id", "uid").select("key", "group", "uid", "size", "x")
@@ -128,8 +138,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return final.select("uid", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns. docs: a table as read, whose rows come in the same partitions each time."""
-    copies = mix(docs, id_col, text_col, source_col, weights, share).where("copies > 0").select(F.col("uid").alias("_uid"), "copies")
-    rows = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, group: int = GROUP) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns.
+
+    Rows are written once with a number of their own, since a scan planned again may cut the files otherwise.
+    """
+    rows = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")))
+    own = rows.select(F.col(f"_row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"_row.`{text_col}`").alias("text"), F.col(f"_row.`{source_col}`").cast("string").alias("source"), F.col("_uid").alias("uid"))
+    copies = _mix(own, weights, share, group).where("copies > 0").select(F.col("uid").alias("_uid"), "copies")
     return rows.join(copies, "_uid").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
