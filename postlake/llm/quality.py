@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
 Random indexing: a token's index vector has a few +1 and -1 at places given by its hash; a word vector is the sum of the
-index vectors around all the word's occurrences in the corpus (itself included), so nothing is factorised and partial
-sums of any partition just add up. Words share ``BUCKETS`` vectors by hash; that makes the table of word vectors a fixed
+index vectors around all the word's occurrences in the corpus (itself included), within a document, so nothing is
+factorised and partial sums just add up: they are whole numbers, and the same however the corpus is partitioned. Words share ``BUCKETS`` vectors by hash; that makes the table of word vectors a fixed
 size (BUCKETS x DIMS, 4 MB), whatever the corpus, and so fit to send to every task. A document's input is the mean of its tokens'
 unit word vectors, once plain and once weighted down for frequent words.
 
@@ -11,7 +11,8 @@ hashes of their ids; one training row in eight is kept back to fit the temperatu
 held out by ``held_out`` are never learned from; labels, language, source and id are no inputs.
 
 Defined results: a null text counts as empty; an empty text has the zero vector and gets a score like any other; a null
-id is held out; several labels of one id count by their mean, null labels not at all; with no usable labels of both
+id is held out; several labels of one id count by their mean, null labels not at all; of several texts of one id the one
+with the least pooled vector is learned from; with no usable labels of both
 kinds the score is the share of label 1 (0.5 without any); an empty table gives no row.
 """
 
@@ -56,9 +57,9 @@ def token_ids(text: str, ids: _Ids) -> np.ndarray:
     found, seen = [], set()
     for line in text.split("\n"):
         if len(line) > 20:
-            if (key := hash(line)) in seen:
+            if line in seen:
                 found.append(_AGAIN)
-            seen.add(key)
+            seen.add(line)
         found += [ids[t] for t in _TOKEN.findall(line)]
     own = np.array(found, np.int64)
     if not len(own):
@@ -71,36 +72,39 @@ def token_ids(text: str, ids: _Ids) -> np.ndarray:
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of each token's index vector, the same everywhere."""
     rng = np.random.default_rng(20240)
-    return rng.integers(0, DIMS, (_ROWS, NONZERO)), rng.choice(np.array([-1, 1]), (_ROWS, NONZERO))
+    places, signs = rng.integers(0, DIMS, (_ROWS + 1, NONZERO)), rng.choice(np.array([-1, 1]), (_ROWS + 1, NONZERO))
+    signs[_ROWS] = 0  # the border between documents
+    return places, signs
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of index vectors around each token, over a partition; the last place counts its occurrences."""
     places, signs = index_vectors()
-    ids, sums, counts = _Ids(), np.zeros((_ROWS, DIMS), np.int64), np.zeros(_ROWS, np.int64)
+    ids, sums, counts = _Ids(), np.zeros((_ROWS + 1, DIMS), np.int64), np.zeros(_ROWS + 1, np.int64)
+    border = np.full(WINDOW, _ROWS)
 
     def add(seq: np.ndarray) -> None:
         nonlocal counts
-        counts += np.bincount(seq, minlength=_ROWS)
+        counts += np.bincount(seq, minlength=_ROWS + 1)
         for shift in range(-WINDOW, WINDOW + 1):
             word, near = (seq[-shift:], seq[:shift]) if shift < 0 else (seq[: len(seq) - shift], seq[shift:])
             for k in range(NONZERO):
-                flat = np.bincount(word * DIMS + places[near, k], weights=signs[near, k], minlength=_ROWS * DIMS)
-                sums.__iadd__(flat.astype(np.int64).reshape(_ROWS, DIMS))
+                flat = np.bincount(word * DIMS + places[near, k], weights=signs[near, k], minlength=(_ROWS + 1) * DIMS)
+                sums.__iadd__(flat.astype(np.int64).reshape(_ROWS + 1, DIMS))
 
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         for text in batch.column(0):
             seq = token_ids(text.as_py() or "", ids)
-            held.append(seq)
+            held += [seq, border]
             size += len(seq)
-            if size > 1 << 20:  # documents are joined here; the few pairs across their borders are noise that every run shares
+            if size > 1 << 20:
                 add(np.concatenate(held))
                 held, size = [], 0
     if size:
         add(np.concatenate(held))
-    full = np.flatnonzero(counts)
+    full = np.flatnonzero(counts[:_ROWS])
     if len(full):
         rows = np.concatenate((sums[full], counts[full, None]), axis=1)
         yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["bucket", "sums"])
@@ -218,7 +222,7 @@ def _pool(docs: DataFrame, pool, id_col: str, text_col: str) -> DataFrame:
 
 
 def _fitted(pooled: DataFrame, known: DataFrame) -> Network:
-    rows = pooled.join(known, "doc_id").groupBy("doc_id").agg(F.first("pooled").alias("pooled"), F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = pooled.join(known, "doc_id").groupBy("doc_id").agg(F.min("pooled").alias("pooled"), F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return Network(_stack([r["pooled"] for r in rows]), np.round(np.array([r["y"] for r in rows], float)))
 
 
