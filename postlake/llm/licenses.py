@@ -15,10 +15,12 @@ give a row each; other columns are not looked at; an empty table gives no row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,9 +180,15 @@ class Scanner:
             if need & ~seen == 0:
                 hits += [(rule.priority, m.start() - m.end(), m.start(), m.end(), rule) for m in pattern.finditer(line)]
         kept: list[tuple[int, int, str, float]] = []
+        starts, ends = [], []  # of the kept intervals that no other kept one contains: both ascend
         for _, _, a, b, rule in sorted(hits, key=lambda h: h[:4] + (h[4].label,)):
-            if not any(x <= a and b <= y for x, y, *_ in kept):
-                kept.append((a, b, rule.label, rule.score))
+            at = bisect_right(starts, a)
+            if at and ends[at - 1] >= b:
+                continue
+            kept.append((a, b, rule.label, rule.score))
+            first = at - (at > 0 and starts[at - 1] == a)
+            last = bisect_right(ends, b, first)
+            starts[first:last], ends[first:last] = [a], [b]
         return kept
 
 
@@ -202,7 +210,8 @@ def _scan(table: list[Rule]):
                 line, n = normalized(text.as_py() or b"")
                 base = [(at, label) for p, label in phrases for at in _places(line, p)]
                 hits = scanner.detect(line)
-                word = lambda at: line.count(b" ", 0, at + 1) - 1
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if base or hits else None
+                word = lambda at: int(np.searchsorted(spaces, at, "right")) - 1
                 rows["n_words"].append(n)
                 rows["n_base"].append(len(base))
                 rows["first_word"].append(word(min(base)[0]) if base else None)
