@@ -101,7 +101,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its numbers of owners and repositories and its verdict: live, example, or shared.
     """
     owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  a null is a name of its own
+    repo = F.concat(part("source"), F.lit("/"), part("lang")) if repo is None else repo
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.monotonically_increasing_id().alias("uid"))
     span = "struct<kind: int, start: long, end: long, value: string, random: boolean>"
     scanned = materialize(own.mapInArrow(_scan, f"doc_id long, owner string, repo string, uid long, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<{span}>"))
