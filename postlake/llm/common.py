@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,25 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; without it, in local mode only, a folder of our own."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="postlake-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
+    return _stored(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that materialize() wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() wrote in this process. For when no result that reads them is needed any more."""
+    for path in list(_written):
+        remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,17 +86,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), for nodes with an edge; component is the smallest node.
 
     edges: two long columns, src and dst. Alternates the large-star and small-star steps until no edge changes; each
-    round is written to the shared folder. Hubs need no list of neighbours: a round only takes minima by node.
+    round is written to the shared folder, and the one before deleted. Hubs need no list of neighbours: a round only
+    takes minima by node.
     """
     e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst").distinct()
-    e, last = materialize(e), None
+    (e, path), last = _stored(e), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low")).withColumn("low", F.least("low", "src"))
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src").select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.*")
-        e = materialize(small.where("src > dst").distinct())
+        e, now_at = _stored(small.where("src > dst").distinct())
+        remove(edges.sparkSession, path)
+        path = now_at
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == last:
             break
