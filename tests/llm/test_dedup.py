@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import DATA
 
 from postlake.llm import exact_dedup, queries, simhash, substring_dedup, vector_dedup
@@ -103,6 +104,38 @@ def test_tiled_links(n):
     assert (simhash.block_forest(fps, 4) == np.array([min(np.flatnonzero(np.array(c) == k)) for c in [classes(len(fps), pairs)] for k in c])).all() if n < 100 else len(set(simhash.block_forest(fps, 4))) == len(set(classes(len(fps), pairs)))
 
 
+def test_short_blocks():
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 500, 3000):
+        fps = rng.integers(0, 1 << 12, n, dtype=np.uint64)  # few bits: many near pairs and equal counts
+        block = np.sort(rng.integers(0, max(1, n // 40), n))
+        order = np.lexsort((np.bitwise_count(fps), block))
+        block, fps = block[order], fps[order]
+        pairs = [(a, b) for a in range(n) for b in np.flatnonzero((np.bitwise_count(fps[a] ^ fps[:a]) <= 2) & (block[:a] == block[a]))]
+        lab, of = simhash.short_blocks(block, fps, 2), classes(n, pairs)
+        assert len(set(lab)) == len(set(of)) == len(set(zip(lab, of, strict=True)))
+
+
+@pytest.fixture
+def files(spark, docs, tmp_path):
+    """The documents in 24 files; how Spark packs them depends on the cores that are there when it plans."""
+    docs.repartition(24).write.parquet(f"{tmp_path}/documents")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+    yield spark.read.parquet(f"{tmp_path}/documents")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_rows_stay_the_same_when_cores_change(spark, docs, files):
+    from postlake.llm import mixing
+
+    near, mixed, exact = simhash.keep_one(files), mixing.mixed_rows(files), exact_dedup.keep_one(files)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(near) == ids(simhash.label_near_copies(docs).select(F.col("component_id").alias("doc_id")).distinct())
+    assert ids(mixed) == sorted(r.doc_id for r in mixing.mix(docs).collect() for _ in range(r.copies))
+    assert ids(exact) == ids(exact_dedup.label_copies(docs).where("kept"))
+
+
 def test_vectors(spark):
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label")
     rows = [tuple(r) for r in vectors.collect()]

@@ -142,6 +142,48 @@ def test_licenses_without_under(spark):
     assert {list(want)[r.doc_id]: r.labels for r in licenses.scan_licenses(df).collect()} == want
 
 
+def test_licenses_long_text():
+    """A million words with a hundred thousand detections, and intervals that lie within each other in every way."""
+    import time
+
+    import numpy as np
+
+    scanner = licenses.Scanner(licenses.rules())
+    start = time.time()
+    line, n = licenses.normalized(b"some words of no matter and the mit license here " * 100_000)
+    assert n == 1_000_000 and len(scanner.detect(line)) == 100_000 and time.time() - start < 30
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        words = rng.choice("gnu general public license lesser gpl v3 or later apache 2 0 under the terms of licensed mit cc by nc sa 4".split(), 300)
+        line, _ = licenses.normalized(" ".join(words).encode())
+        seen = scanner.seen(line)
+        hits = [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.score) for (r, p), need in zip(scanner.table, scanner.need, strict=True) if need & ~seen == 0 for m in p.finditer(line)]
+        kept: list[tuple] = []
+        for *_, a, b, label, score in sorted(hits):
+            if not any(x <= a and b <= y for x, y, *_ in kept):
+                kept.append((a, b, label, score))
+        assert scanner.detect(line) == kept
+
+
+def test_secrets_verdicts(spark):
+    """Every candidate's owners, repositories and verdict, counted by hand."""
+    rng, values = __import__("random").Random(4), ["ghp_" + "".join(c) for c in ("a1B2c3D4e5" * 4, "z9Y8x7W6v5" * 4, "k1" * 20, "q7R" * 12)]
+    rows = [(k, " ".join(f"key {v}" for v in values if rng.random() < 0.3) or None, rng.choice(["en", "de", None]), rng.choice(["en", "s1", "s2", None]), 1) for k in range(60)]
+    rows.append((60, "only ghp_" + "m4N5p6Q7r8" * 4, None, None, 1))
+    want: dict[str, list] = {}
+    for _, text, lang, source, _ in rows:
+        for v in re.findall(r"ghp_\w+", text or ""):
+            want.setdefault(v, [set(), set()])
+            want[v][0].add(source)
+            want[v][1].add((source, lang))
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect():
+        own = re.findall(r"ghp_\w+", rows[r.doc_id][1] or "")
+        found = [c for c in r.found or () if c.kind == "prefixed"]
+        assert [(c.n_owners, c.n_repos) for c in found] == [tuple(map(len, want[v])) for v in own]
+        verdict = lambda v: "example" if len(want[v][0]) >= 3 else "live" if len(want[v][0]) == 1 and len(want[v][1]) <= 2 and secrets.looks_random(v) else "shared"
+        assert [c.verdict for c in found] == list(map(verdict, own)) and r.n_live == sum(verdict(v) == "live" for v in own)
+
+
 def test_empty_and_clashing(none, clashing, odd):
     for scan in (secrets.scan_secrets, pii.scan_pii, licenses.scan_licenses):
         assert scan(none).count() == 0
