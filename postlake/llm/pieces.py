@@ -51,6 +51,8 @@ _KNOWN = 200_000
 LONGEST = 4096
 _INNER = -(1 << 31)
 _FEW = 0x250
+_LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").fullmatch
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([!-@\\[-`{-~]*)").fullmatch
 _TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*").findall
 
 
@@ -87,6 +89,8 @@ class Pieces:
     @classmethod
     def of(cls, table: dict[str, tuple[int, float]], raw: list[bytes], byte_ids: list[int], merges: bool) -> Pieces:
         joined = frozenset(p[k : k + 2] for p in table for k in range(len(p) - 1))
+        if len(table) >= 1 << 20 or max(map(len, table)) > 63:
+            raise ValueError("a table of over a million pieces, or a piece of over 63 characters")
         if any(pair[1] == "\n" for pair in joined):
             raise ValueError("a piece spans the start of a line")
         return cls(table, joined, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), merges)
@@ -101,13 +105,29 @@ def tokens_of(text: str | None) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-def cut(token: str, joined: frozenset[str]) -> list[str]:
-    """The token's words: it is cut between characters that no piece holds together (short runs of plain letters are left)."""
-    if len(token) < 64 and token.isascii() and token.isalpha():
-        return [" " + token]
-    word = token if token[:1] == "\n" else " " + token
-    at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
-    return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
+class Cutter(dict):
+    """Cuts tokens into words: between characters that no piece holds together; plain letters are left in one run.
+
+    Remembers what follows such a run: few marks and digits are distinct.
+    """
+
+    def __init__(self, joined: frozenset[str]):
+        self.joined = joined
+        self.plain = not any(_LETTER(pair[0]) and not _LETTER(pair[1]) and pair[1].isascii() for pair in joined)
+
+    def __missing__(self, text: str) -> tuple[str, ...]:
+        at = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.joined]
+        words = tuple(text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True))
+        if len(text) < 8 and len(self) < 50_000:
+            self[text] = words
+        return words
+
+    def __call__(self, token: str) -> tuple[str, ...]:
+        m = _SIMPLE(token) if self.plain and len(token) < 64 else None
+        if m is None or not m[1]:
+            return self[token if token[:1] == "\n" else " " + token]
+        own = (" " + m[1],) if m[1].isascii() else self[" " + m[1]]
+        return (*own, *self[m[2]]) if m[2] else own
 
 
 def merged(word: str, table: Pieces) -> list[str]:
@@ -173,15 +193,17 @@ def _viterbi(n, score_of):
 
 
 def _merging(n):
-    """ids of the column edges, sorted by rank and place: at each place the id of the piece that starts there, or _INNER; a character alone is minus its place."""
+    """ids of the column edges, packed numbers in order of rank and place: at each place the id of the piece that starts there, or _INNER; a character alone is minus its place."""
     inner = F.lit(_INNER)
+    bits = lambda e, at, size: F.shiftright(e, at).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+    unpacked = F.transform("edges", lambda e: F.struct(bits(e, 30, 13).alias("a"), (bits(e, 30, 13) + bits(e, 24, 6)).alias("b"), bits(e, 0, 24).alias("id")))
 
     def step(acc, e):
         ends = (F.element_at(acc, e["a"]) != inner) & ((e["b"] == n) | (F.element_at(acc, F.least(e["b"] + 1, n)) != inner))
         join = lambda x, k: F.when(k + 1 == e["a"], e["id"]).when((k + 1 > e["a"]) & (k < e["b"]), inner).otherwise(x)
         return F.when(ends, F.transform(acc, join)).otherwise(acc)
 
-    return F.filter(F.aggregate("edges", F.transform(F.sequence(F.lit(1), n), lambda a: -a), step), lambda x: x != inner)
+    return F.filter(F.aggregate(unpacked, F.transform(F.sequence(F.lit(1), n), lambda a: -a), step), lambda x: x != inner)
 
 
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
@@ -191,15 +213,18 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     the partitioning by word. Characters alone are edges of every lattice; they are looked up where the fold takes them,
     so that only pieces of two characters and more are exploded and joined.
     """
-    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, k, s) for p, (k, s) in table.pieces.items() if len(p) > 1], "piece string, id int, score double"))
+    rank = {s: r for r, s in enumerate(sorted({-s for _, s in table.pieces.values()}))}
+    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, k, s, rank[-s]) for p, (k, s) in table.pieces.items() if len(p) > 1], "piece string, id int, score double, rank long"))
     n = F.length("word")
     last = F.least(n, F.col("a") + table.longest - 1)
     ends = F.when(F.col("a") == 1, F.sequence(F.lit(1), last)).when(F.col("a") < n, F.sequence(F.col("a") + 1, last))  # the first character stands for its word
     starts = words.withColumn("a", F.explode(F.sequence(F.lit(1), n)))
     parts = starts.withColumn("b", F.explode(ends)).withColumn("piece", F.expr("substring(word, a, b - a + 1)"))
     edges = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR b = 1")
-    order = [(-F.col("score")).alias("rank"), "a", "b", "id"] if table.merges else ["b", "a", "id", "score"]
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*order)))).alias("edges"))
+    a, size = F.col("a").cast("long"), (F.col("b") - F.col("a")).cast("long")
+    packed = F.shiftleft("rank", 43) + F.shiftleft(a, 30) + F.shiftleft(size, 24) + F.col("id")  # 20 bits of rank, 13 of place, 6 of length, 24 of id
+    edge = packed if table.merges else F.struct("b", "a", "id", "score")
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
     # Ids and scores of characters: by code point below _FEW, the others by their place in a string.
     others = sorted(c for c in table.pieces if len(c) == 1 and ord(c) >= _FEW)
@@ -229,13 +254,15 @@ def frequent_words(docs: DataFrame, table: Pieces, most: int = FREQUENT) -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        cut = Cutter(joined)
 
         def out() -> pa.RecordBatch:
             words: Counter[str] = Counter()
+            least = _LEAST if len(seen) >= _PART else 1  # a word that stands in rare tokens only is no frequent one
             for token, k in seen.items():
-                for w in cut(token, joined):
-                    words[w] += k
-            least = _LEAST if len(seen) >= _PART else 1
+                if k > 1 or least == 1:
+                    for w in cut(token):
+                        words[w] += k
             full = [(w, k) for w, k in words.items() if k >= least and len(w) <= LONGEST]
             return pa.record_batch([pa.array([w for w, _ in full], pa.string()), pa.array([k for _, k in full], pa.int64())], names=["word", "n"])
 
@@ -255,8 +282,7 @@ def _rare(frequent, joined: frozenset[str]):
     """Rows (chunk, text): the words of each chunk that are not frequent; each once for a part of a partition."""
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-
+        known, cut = frequent.value, Cutter(joined)
         plain: set[str] = set()  # tokens of frequent words only
         chunks, size = {}, 0
 
@@ -269,7 +295,7 @@ def _rare(frequent, joined: frozenset[str]):
                 own = chunks.setdefault(chunk, set())
                 before = len(own)
                 for token in set(tokens_of(text.as_py())) - plain:
-                    words = [w for w in cut(token, joined) if w not in known]
+                    words = [w for w in cut(token) if w not in known]
                     if words:
                         own.update(w for w in words if len(w) <= LONGEST)
                     elif len(plain) < _KNOWN:
@@ -302,13 +328,14 @@ def _encoder(table, frequent):
 
         own, common, unsqueeze = table.value, frequent.value, zstandard.ZstdDecompressor().decompress
         rare: dict[str, bytes] = {}
+        cut = Cutter(own.joined)
 
         class Ids(dict):
             """Token -> ids, as bytes; those of frequent words only are kept."""
 
             def __missing__(self, token: str) -> bytes:
                 out, plain = [], len(self) < _KNOWN
-                for w in cut(token, own.joined):
+                for w in cut(token):
                     if (ids := common.get(w)) is None:
                         ids, plain = rare[w] if len(w) <= LONGEST else np.array(ids_of(w, own), "<i4").tobytes(), False
                     out.append(ids)
@@ -349,11 +376,24 @@ def _encoder(table, frequent):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
+    rows, encoder = _rows(docs, id_col, text_col, model)
+    return rows.mapInArrow(encoder, "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """decode() of encode(), in one Python worker a task instead of two: doc_id, ids, text."""
+    rows, encoder = _rows(docs, id_col, text_col, model)
+    decoder = _decoder(Pieces.load(model).raw)
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), "doc_id long, ids array<int>, text string")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, model: str):
+    """The rows that an encoder takes, by chunk, and the encoder."""
     spark = docs.sparkSession
     table, n, share = Pieces.load(model), shuffle_partitions(spark), spark.sparkContext.broadcast
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = encode_words(frequent_words(own, table).repartition(n, "word"), table)
-    frequent = share({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in often.toLocalIterator()})  # at most FREQUENT short words
+    frequent = share({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in often.collect()})  # at most FREQUENT short words
     chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string"))
@@ -362,7 +402,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     texts = dealt.mapInArrow(_squeezed, "chunk long, text_row boolean, doc_id long, body binary")
     texts = texts.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
     rows = texts.unionByName(rare).repartition(n, "chunk").sortWithinPartitions("chunk", "text_row")
-    return rows.mapInArrow(_encoder(share(table), frequent), "doc_id long, ids array<int>")
+    return rows, _encoder(share(table), frequent)
 
 
 def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

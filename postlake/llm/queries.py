@@ -30,7 +30,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(pieces.decode(pieces.encode(_docs(spark, sf_dir))))
+    return pieces.digests(pieces.round_trip(_docs(spark, sf_dir)))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
