@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import canonical, cycles, dedup, match, reports, runs, streams, substrate, text
+from . import canonical, corpus, cycles, dedup, match, reports, runs, streams, substrate, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "canonical", "cycles", "dedup", "match", "reports", "runs", "streams", "substrate", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "canonical", "corpus", "cycles", "dedup", "match", "reports", "runs", "streams", "substrate", "text"]

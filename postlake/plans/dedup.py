@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup as D
+from ..sources.store import stored
 from .registry import query, table
 
 _HEAD = """SELECT doc_id, source, 'Role ' || CASE doc_id % 9 WHEN 0 THEN 'Intern' WHEN 1 THEN 'CO-OP' WHEN 2 THEN 'Sales' WHEN 3 THEN 'Manager' ELSE 'Engineer' END AS title, CASE doc_id % 11 WHEN 0 THEN 'Bad Corp' WHEN 1 THEN 'ABC Staffing' WHEN 2 THEN NULL ELSE 'Good' END AS company,
@@ -66,8 +67,9 @@ _PAIRS = f"""{_EQUAL}, s AS (SELECT * FROM o WHERE id = o), words AS (SELECT id,
 
 
 def pairs(spark, sf_dir):
+    """Vectors are written once: pairs read them four times."""
     s = survivors(spark, sf_dir)
-    return D.similar_pairs(D.weights(s), s.select("id", "bucket"), 0.85)
+    return D.similar_pairs(stored(D.weights(s)), s.select("id", "bucket"), 0.85)
 
 
 @query(f"{_PAIRS} SELECT a, b, score FROM pairs")
