@@ -45,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 18
 CHUNK = 1 << 23
 #: A part of a partition's distinct tokens is counted at once; words that occur fewer times in a full part are not offered as frequent ones.
-_PART, _LEAST = 300_000, 3
+_PART = 300_000
 #: Tokens of frequent words only that a task remembers.
 _KNOWN = 200_000
 LONGEST = 4096
@@ -258,7 +258,7 @@ def frequent_words(docs: DataFrame, table: Pieces, most: int = FREQUENT) -> Data
 
         def out() -> pa.RecordBatch:
             words: Counter[str] = Counter()
-            least = _LEAST if len(seen) >= _PART else 1  # a word that stands in rare tokens only is no frequent one
+            least = 1 + (len(seen) > _PART // 15) + (len(seen) >= _PART)  # a word that stands in rare tokens only is no frequent one
             for token, k in seen.items():
                 if k > 1 or least == 1:
                     for w in cut(token):
@@ -396,8 +396,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, model: str):
     frequent = share({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in often.collect()})  # at most FREQUENT short words
     chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string"))
-    coded = encode_words(words.select("word").distinct().repartition(n, "word"), table)
+    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string")).repartition(n, "word")
+    each = words.groupBy("word").agg(F.min("chunk").alias("chunk")).where("chunk >= 0").select("word")  # reads both columns, so that it shares the join's shuffle
+    coded = encode_words(each, table)
     rare = words.join(coded, "word").select("chunk", F.lit(False).alias("text_row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "word", "ids")
     texts = dealt.mapInArrow(_squeezed, "chunk long, text_row boolean, doc_id long, body binary")
     texts = texts.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
