@@ -86,6 +86,56 @@ def blacklist(df: DataFrame, companies: tuple[str, ...], locations: tuple[str, .
     return ordered(rules)
 
 
+def gap(wanted: Column, have: tuple[str, ...]) -> Column:
+    """What is required and not there."""
+    return F.array_except(wanted, F.expr(f"array({', '.join(map(quoted, have))})"))
+
+
+def stage_of(c: dict[str, Column]) -> dict[str, Column]:
+    """Which stages a posting may enter, from the columns that earlier ones fill; all five conditions are of nulls and flags."""
+    base, ok = c["skip_reason"].isNull() & ~c["dismissed"], c["match_skip_reason"].isNull()
+    done = base & c["matched_at"].isNotNull()
+    unsure = (c["match_level"].isin("stretch_match", "weak_match") & (c["fit_score"] > 0) & (c["fit_score"] < 0.85)) | c["jd_incomplete"]
+    stages = {
+        "cpu_work": base & c["matched_at"].isNull(), "llm_extraction": done & ok & c["match_level"].isNull(), "cpu_score": done & ok,
+        "llm_score": done & ok & c["match_level"].isNotNull() & c["confidence"].isNull() & unsure, "extraction_only": c["skip_reason"].isNull(),
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in stages.items()}
+
+
+# Which columns each reset clears.
+_SCORES, _LLM = ("fit_score", "req_coverage", "match_level", "match_reason"), ("confidence", "blocking_gap", "gap_adjacency")
+RESETS = {
+    "gates": ("match_skip_reason",), "score": (*_SCORES, *_LLM), "undo_button3": _SCORES, "undo_button4": _LLM,
+    "all": ("match_skip_reason", "removal_stage", "matched_at", "matching_mode", "jd_incomplete", *_SCORES, *_LLM),
+}
+
+
+def reset(df: DataFrame, kind: str) -> DataFrame:
+    """df with the columns of that reset cleared, so far as df has them, and reset: whether a row had any of them."""
+    cols = [c for c in RESETS[kind] if c in df.columns]
+    had = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in cols], F.lit(False))
+    return df.withColumns({c: F.lit(None).cast(dict(df.dtypes)[c]) for c in cols} | {"reset": had})
+
+
+def field_gates(c: dict[str, Column], titles: tuple[str, ...], industries: tuple[str, ...], languages: tuple[str, ...], degrees: tuple[str, ...]) -> Column:
+    """The first field that rules a posting out, or null; what is not said rules nothing out. Rules on industry and degree are our own."""
+    has = lambda col, words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.lower(col).contains(w))
+    return ordered(
+        [
+            ("title", ~has(c["title"], titles)), ("industry", has(c["industry"], industries)), ("experience", has(c["experience_level"], ("5+ years",))),
+            ("language", ~c["language"].isin(*languages)), ("education", has(c["education_requirements"], degrees)),
+        ]
+    )
+
+
+def routed_tables(df: DataFrame, keys: list[str], now: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """(matched_jobs with their expiry, filtered_jobs with type and reason) of rows with a verdict; every row is in one of them."""
+    kind = F.when(F.col("verdict") == "low_coverage", "coverage").when(F.col("verdict").isin("jd_incomplete") | F.col("verdict").endswith("_gate"), "cpu_gate").otherwise("unresolved")
+    matched = df.where("verdict = 'matched'").select(*keys, (F.to_timestamp(F.lit(now)) + F.make_dt_interval(F.lit(days))).alias("expires_at"))
+    return matched, df.where("verdict <> 'matched'").select(*keys, kind.alias("filter_type"), F.col("verdict").alias("reason"))
+
+
 def skill_counts(df: DataFrame, required: str = "required", preferred: str = "preferred") -> DataFrame:
     """skill, n, n_required, n_preferred over all extracted rows, filtered later or not."""
     each = df.select(F.explode(F.concat(F.transform(required, lambda s: F.struct(s.alias("skill"), F.lit(1).alias("r"))), F.transform(preferred, lambda s: F.struct(s.alias("skill"), F.lit(0).alias("r"))))).alias("e"))

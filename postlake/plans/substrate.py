@@ -76,10 +76,10 @@ def substrate_set_operations(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY ALL) SELECT c_custkey AS c, o.k AS o, n FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN (SELECT * FROM o WHERE k % 2 = 0) o ON c_custkey = o.k""")
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) SELECT c_custkey AS c, o.k AS o, n FROM customer c FULL JOIN o ON c_custkey = o.k""")
 def substrate_full_outer(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("o")).agg(F.count(F.lit(1)).alias("n")).where("o % 2 = 0")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("c"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
     return c.join(o, F.col("c") == F.col("o"), "full")
 
 
