@@ -14,7 +14,7 @@ PROFILE = {"yoe": 4.0, "salary_min": 60000.0, "degree": "bachelor", "needs_spons
 
 
 def texts(spark, sf_dir):
-    """Postings' texts made from doc_id: years, pay, degree, visa, required and nice skills, each sometimes left out."""
+    """Postings' texts: lines made from doc_id (years, pay, degree, visa, required and nice skills, each sometimes left out), then the whole document. Some pages did not load."""
     N = F.col("doc_id")
     word = lambda k, *v: F.expr(f"element_at(array({', '.join(repr(x) for x in v)}), cast(doc_id % {k} + 1 AS INT))")
     body = F.concat(
@@ -22,15 +22,19 @@ def texts(spark, sf_dir):
         word(5, "", "Bachelor degree\n", "Master degree\n", "PhD\n", ""), word(7, "No sponsorship\n", "Sponsorship offered\n", "", "", "", "", ""),
         word(6, "Required: Python, PySpark and SQL\n", "Required: py, Kafka\n", "Required: java, scala\n", "Required: nothing\n", "Required: spark, sql, docker, py\n", ""), word(2, "Nice: SQL, k8s\n", "Nice: none\n"),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(N % 23 == 0, "short").otherwise(body).alias("jd"))
-
-
-_X = """x AS (SELECT doc_id, doc_id % 23 = 0 AS z, CASE WHEN doc_id % 23 <> 0 AND doc_id % 4 > 0 THEN CAST(doc_id % 9 AS DOUBLE) END AS yoe, CASE WHEN doc_id % 23 <> 0 AND doc_id % 3 > 0 THEN (doc_id % 50 + 30) * 1000.0::DOUBLE END AS salary_min, CASE WHEN doc_id % 23 <> 0 AND doc_id % 3 > 0 THEN (doc_id % 50 + 40) * 1000.0::DOUBLE END AS salary_max,
-    CASE WHEN doc_id % 23 = 0 THEN 'none' ELSE (['none', 'bachelor', 'master', 'phd', 'none'])[doc_id % 5 + 1] END AS degree, CASE WHEN doc_id % 23 = 0 THEN 'unknown' ELSE coalesce((['false', 'true'])[doc_id % 7 + 1], 'unknown') END AS visa,
-    CASE WHEN doc_id % 23 = 0 THEN [] ELSE ([['python', 'spark', 'sql'], ['kafka', 'python'], ['java', 'scala'], [], ['docker', 'python', 'spark', 'sql'], []])[doc_id % 6 + 1] END AS required,
-    CASE WHEN doc_id % 23 = 0 OR doc_id % 2 = 1 THEN [] WHEN doc_id % 6 = 0 THEN ['docker'] WHEN doc_id % 6 = 4 THEN [] ELSE ['docker', 'sql'] END AS preferred, (CASE WHEN doc_id % 23 = 0 THEN NULL ELSE ([1.0, 0.5, 0.0, NULL, 0.75, NULL])[doc_id % 6 + 1] END)::DOUBLE AS cover FROM documents),
-    g AS (SELECT *, CASE WHEN yoe > 5 THEN 'yoe_gate' WHEN salary_max < 60000 THEN 'salary_gate' WHEN degree IN ('master', 'phd') THEN 'education_gate' WHEN visa = 'false' THEN 'visa_gate' END AS gate,
-    CASE WHEN doc_id % 23 <> 0 AND doc_id % 6 = 2 THEN 0.05 ELSE 0.0 END AS extra FROM x)"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(N % 23 == 0, "short").otherwise(F.concat(body, F.coalesce("text", F.lit("")))).alias("jd"))
+
+
+_SKILLS = r"""list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_extract(low, '(?s){0}:(.*?)(?:\n|$)', 1), '[a-z0-9+#]+'), lambda w: CASE w WHEN 'py' THEN 'python' WHEN 'pyspark' THEN 'spark' WHEN 'postgres' THEN 'sql' WHEN 'k8s' THEN 'docker' ELSE w END),
+    lambda w: w IN ('python', 'spark', 'sql', 'java', 'scala', 'airflow', 'kafka', 'docker'))))"""
+_COVER = "CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda s: s IN ('python', 'spark', 'sql'))) / len({0}) END"
+_X = rf"""jds AS (SELECT doc_id, lower(CASE WHEN doc_id % 23 = 0 THEN 'short' ELSE 'About us' || chr(10) || CASE WHEN doc_id % 4 > 0 THEN (doc_id % 9) || '+ Years of work' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 > 0 THEN 'Pay $' || (doc_id % 50 + 30) || ',000 - $' || (doc_id % 50 + 40) || ',000' || chr(10) ELSE '' END
+    || (['', 'Bachelor degree' || chr(10), 'Master degree' || chr(10), 'PhD' || chr(10), ''])[doc_id % 5 + 1] || (['No sponsorship' || chr(10), 'Sponsorship offered' || chr(10), '', '', '', '', ''])[doc_id % 7 + 1]
+    || (['Required: Python, PySpark and SQL' || chr(10), 'Required: py, Kafka' || chr(10), 'Required: java, scala' || chr(10), 'Required: nothing' || chr(10), 'Required: spark, sql, docker, py' || chr(10), ''])[doc_id % 6 + 1] || (['Nice: SQL, k8s' || chr(10), 'Nice: none' || chr(10)])[doc_id % 2 + 1] || coalesce(text, '') END) AS low FROM documents),
+    y AS (SELECT doc_id, length(trim(low)) < 20 AS z, TRY_CAST(regexp_extract(low, '([0-9]+)\+? years', 1) AS DOUBLE) AS yoe, TRY_CAST(replace(regexp_extract(low, '\$([0-9][0-9,]*)\s*-\s*\$([0-9][0-9,]*)', 1), ',', '') AS DOUBLE) AS salary_min, TRY_CAST(replace(regexp_extract(low, '\$([0-9][0-9,]*)\s*-\s*\$([0-9][0-9,]*)', 2), ',', '') AS DOUBLE) AS salary_max,
+    CASE WHEN contains(low, 'phd') THEN 'phd' WHEN contains(low, 'master') THEN 'master' WHEN contains(low, 'bachelor') THEN 'bachelor' ELSE 'none' END AS degree, CASE WHEN contains(low, 'no sponsorship') THEN 'false' WHEN contains(low, 'sponsorship') THEN 'true' ELSE 'unknown' END AS visa, {_SKILLS.format('required')} AS required, {_SKILLS.format('nice')} AS nice FROM jds),
+    x AS (SELECT *, list_filter(nice, lambda s: NOT list_contains(required, s)) AS preferred, {_COVER.format('required')} AS cover FROM y),
+    g AS (SELECT *, CASE WHEN yoe > 5 THEN 'yoe_gate' WHEN coalesce(salary_max, salary_min) < 60000 THEN 'salary_gate' WHEN degree IN ('master', 'phd') THEN 'education_gate' WHEN visa = 'false' THEN 'visa_gate' END AS gate, coalesce({_COVER.format('preferred')}, 0.0) * 0.1 AS extra FROM x)"""
 
 
 def extracted(spark, sf_dir):
