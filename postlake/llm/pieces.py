@@ -374,6 +374,16 @@ def _encoder(table, frequent):
     return encode
 
 
+def _known(coded: pa.Table) -> dict[str, bytes]:
+    """word -> ids, as bytes; from Arrow, since a row object for each word would be most of the driver's memory."""
+    out: dict[str, bytes] = {}
+    for batch in coded.to_batches():
+        ids = batch.column(1)
+        values, ends = ids.flatten().to_numpy().astype("<i4"), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
+        out.update((w.as_py(), values[a:b].tobytes()) for w, a, b in zip(batch.column(0), ends, ends[1:]))
+    return out
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
     rows, encoder = _rows(docs, id_col, text_col, model)
@@ -393,7 +403,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, model: str):
     table, n, share = Pieces.load(model), shuffle_partitions(spark), spark.sparkContext.broadcast
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = encode_words(frequent_words(own, table).repartition(n, "word"), table)
-    frequent = share({r["word"]: np.array(r["ids"], "<i4").tobytes() for r in often.collect()})  # at most FREQUENT short words
+    frequent = share(_known(often.toArrow()))  # at most FREQUENT short words
     chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string")).repartition(n, "word")
