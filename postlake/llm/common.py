@@ -28,17 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, codec: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    return _stored(df)[0]
+    return _stored(df, codec)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -406,7 +406,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, model: str):
     frequent = share(_known(often.toArrow()))  # at most FREQUENT short words
     chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
     dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string")).repartition(n, "word")
+    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string"), "zstd").repartition(n, "word")
     each = words.groupBy("word").agg(F.min("chunk").alias("chunk")).where("chunk >= 0").select("word")  # reads both columns, so that it shares the join's shuffle
     coded = encode_words(each, table)
     rare = words.join(coded, "word").select("chunk", F.lit(False).alias("text_row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "word", "ids")
