@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, pieces, pii, quality, secrets, simhash, substring_dedup, vector_dedup
+from . import ctw, exact_dedup, filter_audit, licenses, mixing, periodic, pieces, pii, quality, secrets, simhash, substring_dedup, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_docs(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_exact_dedup, op4_license_scan, op5_sentencepiece, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_simhash_near_dedup, op10_substring_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(_docs(spark, sf_dir))))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(_docs(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_exact_dedup, op4_license_scan, op5_sentencepiece, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_simhash_near_dedup, op10_substring_dedup, op11_periodic_runs, op12_lm_scoring, op13_filter_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
@@ -72,4 +84,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
         FROM texts t LEFT JOIN stay s USING (doc_id)
     """,
+    "op13_filter_audit": r"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        least AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+        failing AS (
+            SELECT d.doc_id, d.part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                   100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text), regexp_matches(d.text, '[#$%&*|]'), coalesce(doc_id > least, least IS NOT NULL)] AS fails
+            FROM docs d JOIN least USING (text)),
+        told AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        masks AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM failing LEFT JOIN told USING (doc_id) GROUP BY part, fails),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) v(letter, k)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        steps AS (SELECT filter_order, step::INT AS step, ks[step] AS k, ks[1:step - 1] AS before FROM orders, range(1, 6) s(step)),
+        counts AS (
+            SELECT part, filter_order, step, k,
+                   sum(CASE WHEN NOT fails[k] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails[k] AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN fails[k] AND earlier THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails[k] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN fails[k] AND NOT earlier THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails[k] AND NOT earlier THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM (SELECT *, len(list_filter(before, lambda x: fails[x])) > 0 AS earlier FROM masks, steps)
+            GROUP BY part, filter_order, step, k)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM counts
+    """,
 }
