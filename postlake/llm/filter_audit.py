@@ -1,7 +1,7 @@
 """Filter interaction audit: what each of five filters removes, alone, after others, and in every order.
 
-1. Each partition combines its own rows: of every distinct text, once, which filters it fails, its least id, and how
-   many rows it has by (id, part). Only these local winners, with the text packed by zstd, are routed.
+1. Each partition combines its own rows: of every distinct text, once, which filters it fails, and how many rows it has
+   by (id, part). Only these local winners, with the text packed by zstd, are written to the shared folder and routed.
 2. They go to partitions by the xxhash of the text. A partition keeps, for every hash, a chain of the different texts
    that have it, each with its least id: full texts are compared, so texts whose hashes collide stay apart. Then it emits
    the ids, and marks those that are not the least of their text.
@@ -25,10 +25,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import materialize, shuffle_partitions
+
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 MIN_WORDS = 200
@@ -55,26 +58,34 @@ def _rank(doc_id: int | None) -> tuple[int, int]:
     return _LAST if doc_id is None else (0, doc_id)
 
 
-def combine_locally(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """rows: (id, text, part). Yields (hash, (packed text, mask of A to D, [(id, part, rows)])), one for each distinct text."""
-    from xxhash import xxh64_intdigest
+LOCAL = "key binary, body binary, mask int, members array<struct<doc_id: bigint, part: string, n: bigint>>"
+_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("n", pa.int64())]))
+
+
+def combine_locally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text, part) to LOCAL rows, one for each distinct text of all batches."""
+    from xxhash import xxh64_digest
     from zstandard import ZstdCompressor
 
     pack = ZstdCompressor(level=1).compress
-    found: dict[bytes, tuple[int, int, Counter]] = {}
-    for doc_id, text, part in rows:
-        raw = (text or "").encode()
-        body = pack(raw)
-        if body not in found:
-            found[body] = (xxh64_intdigest(raw), fails(raw), Counter())
-        found[body][2][doc_id, part or ""] += 1
-    for body, (key, mask, members) in found.items():
-        yield key, (body, mask, [(*k, n) for k, n in members.items()])
+    found: dict[bytes, tuple[bytes, int, Counter]] = {}
+    for batch in batches:
+        for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            raw = text.as_py() or b""
+            body = pack(raw)
+            if body not in found:
+                found[body] = (xxh64_digest(raw), fails(raw), Counter())
+            found[body][2][doc_id, part or ""] += 1
+    listed = list(found.items())
+    for k in range(0, len(listed), 1024):
+        rows = listed[k : k + 1024]
+        members = [[{"doc_id": i, "part": p, "n": n} for (i, p), n in m.items()] for _, (_, _, m) in rows]
+        yield pa.record_batch([pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.int32()), pa.array(members, _MEMBERS)], names=["key", "body", "mask", "members"])
 
 
 def mark_copies(routed: Iterable[tuple]) -> Iterator[tuple]:
-    """routed: what combine_locally() yields. Yields (id, part, mask, rows), with the bit of E where a smaller id has the text."""
-    chains: dict[int, list[list]] = {}
+    """routed: (key, (body, mask, members)). Yields (id, part, mask, rows), with the bit of E where a smaller id has the text."""
+    chains: dict[bytes, list[list]] = {}
     held = []
     for key, (body, mask, members) in routed:
         chain = chains.setdefault(key, [])
@@ -89,14 +100,13 @@ def mark_copies(routed: Iterable[tuple]) -> Iterator[tuple]:
             yield doc_id, part, mask | (_E if _rank(doc_id) > link[1] else 0), n
 
 
-def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", route=lambda key, n: key % n) -> DataFrame:
+def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """(doc_id, part, mask, n): how many rows of an id and a part fail just the filters of a mask."""
     spark = docs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows: RDD = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(part_col).cast("string")).rdd
-    local = rows.mapPartitions(combine_locally)
-    marked = local.partitionBy(width, lambda key: route(key, width)).mapPartitions(mark_copies)
-    return spark.createDataFrame(marked, "doc_id long, part string, mask int, n long", verifySchema=False)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(part_col).cast("string").alias("part"))
+    local: RDD = materialize(rows.mapInArrow(combine_locally, LOCAL)).rdd.map(lambda r: (bytes(r[0]), (bytes(r[1]), r[2], [tuple(m) for m in r[3]])))
+    routed = local.partitionBy(shuffle_partitions(spark), lambda key: int.from_bytes(key, "big"))
+    return spark.createDataFrame(routed.mapPartitions(mark_copies), "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
 def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:

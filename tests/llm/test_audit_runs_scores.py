@@ -10,6 +10,7 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from support import DATA, compare
@@ -228,7 +229,9 @@ def test_op13(spark, odd, none, clashing):
 
 def test_op13_colliding_hashes(odd):
     rows = [(r[0], r[1], r[2]) for r in odd[0]]
-    local = [(7, v) for k in range(3) for _, v in filter_audit.combine_locally(rows[k::3])]
+    batch = lambda part: pa.record_batch([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "part"])
+    found = [r for k in range(3) for b in filter_audit.combine_locally([batch(rows[k::3][:5]), batch(rows[k::3][5:])]) for r in b.to_pylist()]
+    local = [(b"same", (r["body"], r["mask"], [tuple(m.values()) for m in r["members"]])) for r in found]
     got = Counter()
     for i, part, mask, n in filter_audit.mark_copies(local):
         got[i, part, mask] += n
