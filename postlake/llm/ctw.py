@@ -38,7 +38,8 @@ from .common import materialize
 DEPTH = 4
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK = 32 << 20
-_BLOCK = 1 << 21
+#: Bytes whose grams are counted, and scored, at once.
+_BLOCK, _SCORED_AT_ONCE = 1 << 21, 1 << 18
 END = b"\n"
 _PARTS = "chunk long, doc_id long, held_out boolean, body binary, gram long, word binary, n long"
 
@@ -77,6 +78,29 @@ class _Counts:
         self.keys, self.n = keys[starts], np.add.reduceat(n[order], starts) if len(starts) else n
 
 
+class _Lookup:
+    """Values by key, for many keys at once: an open table over the keys' mixed bits, which are compared in full. Every key asked for must be there."""
+
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        mixed = keys.astype(np.uint64) * self._MIX
+        order = np.argsort(mixed)
+        self.mixed, self.values = mixed[order], values[order]
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * self._MIX
+        at = self.start[(mixed >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.mixed[at] != mixed)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.mixed[at[todo]] != mixed[todo]]
+        return self.values[at]
+
+
 def _cut(depth: int, chunk_bytes: int):
     def rows(chunk, doc_id, held_out, body, gram, word, n) -> pa.RecordBatch:
         size = next(len(x) for x in (body, gram, word) if x is not None)
@@ -192,9 +216,7 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def _score(depth: int):
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
         grams = model.filter(pc.is_valid(model.column("gram")))
-        keys, logp = (grams.column(c).to_numpy() for c in ("gram", "value"))
-        order = np.argsort(keys)
-        keys, logp = keys[order], logp[order]
+        logp = _Lookup(*(grams.column(c).to_numpy() for c in ("gram", "value")))
         ids, out_of, bodies = texts.column("doc_id"), texts.column("held_out"), texts.column("body").to_pylist()
         words: dict[bytes, int] = Counter()
         for body, out in zip(bodies, out_of.to_pylist(), strict=True):
@@ -208,11 +230,11 @@ def _score(depth: int):
         start = 0
         while start < len(bodies):
             end, held = start, 0
-            while end < len(bodies) and (end == start or held + len(bodies[end]) <= _BLOCK):
+            while end < len(bodies) and (end == start or held + len(bodies[end]) <= _SCORED_AT_ONCE):
                 held += len(bodies[end])
                 end += 1
             part = bodies[start:end]
-            each = logp[np.searchsorted(keys, gram_keys(part, depth))]
+            each = logp.of(gram_keys(part, depth))
             cuts = np.cumsum([len(b) for b in part])
             for k, s in enumerate(np.add.reduceat(each, np.concatenate(([0], cuts[:-1])))):
                 scores[start + k] = float(s) / math.log(10)
