@@ -69,13 +69,13 @@ def salted_lookup(left: DataFrame, dim: DataFrame, keys: list[str], spread: str,
     return salted.join(wide, [*keys, "_salt"], "left").drop("_salt")
 
 
-def hot_safe_join(left: DataFrame, dim: DataFrame, keys: list[str], rows: str, spread: str, salts: int = 64, part: int = 1000) -> DataFrame:
-    """Inner join to a table with one row per key, of which some keys may hold much of left; left: a table as read.
+def hot_safe_join(left: DataFrame, dim: DataFrame, keys: list[str], rows: str, spread: str, salts: int = 64, part: int = 1000, total: int | None = None) -> DataFrame:
+    """Inner join to a table with one row per key, of which some keys may hold much of left; left: a table as read, or total tells its rows, or more.
 
     dim's column ``rows`` tells how many rows of left have the key. Keys with over 1/part of left's rows are hot; there
     are fewer than ``part`` of them, so their list has a proven bound and is broadcast. Only their rows are salted.
     """
-    least = left.count() / part
+    least = (left.count() if total is None else total) / part
     hot = F.broadcast(dim.where(F.col(rows) > least).select(*keys, F.lit(salts).alias("_salts")))
     salted = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     wide = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > least, salts - 1).otherwise(0))))

@@ -13,11 +13,13 @@ windows long. A segment is the anchor extended both ways as far as its windows r
 3. Overlapping repeats of a document merge to maximal ones, and the words these cover are removed.
 
 Rows meet by segment or by window, both combined in map tasks first, so a passage that a third of all documents hold
-is a few rows to each task, and no pairs of documents are listed; joins back to a hot segment or window are salted. A
-segment or a window is identified by 128 bits: 64 of its anchor's words and 64 of its own.
+is a few rows to each task, and no pairs of documents are listed; joins back to a hot segment or window, and to a hot
+anchor, are salted. A segment or a window is identified by 128 bits: 64 of its anchor's words and 64 of its own. Rows
+are told apart by id and 128 bits of the text: rows of one id and text have the same repeats, which are kept once.
 
 Defined results: a null text has no words; a null doc_id is above every other; repeats within one document alone, or
-among rows of the same doc_id, remove nothing; repeated rows give a row each; an empty table gives no row.
+among rows of the same doc_id, remove nothing; repeated rows give a row each; an empty table gives no row; a text of any
+length is taken whole, at some 150 bytes a word of memory; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -97,34 +99,42 @@ def _scan(length: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "seg", "first", "n"]
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             found, whose, held = [], [], 0
-            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+            for k, text in enumerate(batch.column(3).cast(pa.binary())):
                 if (s := segments((text.as_py() or b"").split(), length, gram)) is not None:
                     found.append(s)
                     whose.append((k, len(s["n"])))
                     held += len(s["n"])
                 if found and (held > 200_000 or k == batch.num_rows - 1):
-                    yield _rows(found, whose, ids, keys, names)
+                    yield _rows(found, whose, own, names)
                     found, whose, held = [], [], 0
             if found:
-                yield _rows(found, whose, ids, keys, names)
+                yield _rows(found, whose, own, names)
 
     return scan
 
 
-def _rows(found, whose, ids, keys, names) -> pa.RecordBatch:
+def _rows(found, whose, own, names) -> pa.RecordBatch:
     k = np.repeat(*(np.array(x) for x in zip(*whose, strict=True)))
     cols = {c: np.concatenate([s[c] for s in found]) for c in names}
-    return pa.record_batch([pa.array(x) for x in (ids[k], keys[k], *(cols[c].view(np.int64) for c in names[:2]), cols["first"].astype(np.int32), cols["n"].astype(np.int32))], names=["did", "key", *names])
+    return pa.record_batch([pa.array(x) for x in (*(c[k] for c in own), *(cols[c].view(np.int64) for c in names[:2]), cols["first"].astype(np.int32), cols["n"].astype(np.int32))], names=["did", "key", "key2", *names])
 
 
 def _extend(length: int):
-    """Rows (did, text, list of segments); yields each window of each segment: its place there and a hash of its words."""
+    """Rows (did, key, key2, text, list of segments); yields each window of each segment: its place there and a hash of its words.
+
+    Of rows with the same keys that follow each other the first is enough.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for did, text, segs in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))), strict=True):
+            for did, key, key2, text, segs in zip(*(c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns), strict=True):
+                now = (did.as_py(), key.as_py(), key2.as_py())
+                if now == last:
+                    continue
+                last, did, text, segs = now, now[0], text.as_py(), segs.as_py()
                 run = _Runs(word_hashes((text or b"").split()), 0xD1342543DE82EF95)
                 for a in range(0, len(segs), 4096):
                     part = segs[a : a + 4096]
@@ -137,20 +147,25 @@ def _extend(length: int):
     return windows
 
 
+_ROW = ["did", "key", "key2"]
+
+
 def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs: did, key, text. Rows (did, key, first, n): n windows from first on are repeats."""
-    found = materialize(docs.mapInArrow(_scan(length, gram), "did long, key int, anchor long, seg long, first int, n int"))
-    segs = found.groupBy("anchor", "seg").agg(F.min(F.struct("did", "key", "first", "n")).alias("one"), F.max("did").alias("most"), F.count(F.lit(1)).alias("rows"))
-    contested = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("anchor")
-    todo = segs.join(contested, "anchor").groupBy("one.did", "one.key").agg(F.collect_list(F.struct("one.first", "one.n", "anchor", "seg")).alias("segs"))
-    wins = materialize(docs.join(todo, ["did", "key"]).select("did", "text", "segs").mapInArrow(_extend(length), "did long, anchor long, seg long, at int, win long"))
+    """docs: did, key, key2, text. Rows (did, key, key2, first, n): n windows from first on are repeats."""
+    found = materialize(docs.mapInArrow(_scan(length, gram), "did long, key long, key2 long, anchor long, seg long, first int, n int"))
+    segs = found.groupBy("anchor", "seg").agg(F.min(F.struct(*_ROW, "first", "n")).alias("one"), F.max("did").alias("most"), F.count(F.lit(1)).alias("rows"))
+    contested = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    own = hot_safe_join(segs.select("anchor", "seg", "one"), contested, ["anchor"], "forms", "seg", total=found.count())
+    todo = own.groupBy("one.did", "one.key", "one.key2").agg(F.collect_list(F.struct("one.first", "one.n", "anchor", "seg")).alias("segs"))
+    wins = materialize(docs.join(todo, _ROW).select(*_ROW, "text", "segs").mapInArrow(_extend(length), "did long, anchor long, seg long, at int, win long"))
     lows = wins.groupBy("anchor", "win").agg(F.min("did").alias("least"), F.max("did").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most").drop("most")
-    partial = hot_safe_join(wins, lows, ["anchor", "win"], "rows", "seg").where("did > least").groupBy("anchor", "seg").agg(F.collect_list("at").alias("at"))
+    partial = hot_safe_join(wins, lows, ["anchor", "win"], "rows", "seg").where("did > least").groupBy("anchor", "seg").agg(F.collect_set("at").alias("at"))
     known = segs.select("anchor", "seg", F.col("one.did").alias("least"), "most", "rows").join(partial, ["anchor", "seg"], "left").where("least < most OR at IS NOT NULL").drop("most")
     whole = F.array(F.struct(F.col("first"), F.col("n")))
     some = F.transform("at", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("n")))
     spans = F.when(F.col("did") > F.col("least"), whole).otherwise(F.coalesce(some, F.array().cast("array<struct<first: int, n: int>>")))
-    return hot_safe_join(found, known, ["anchor", "seg"], "rows", "did").select("did", "key", F.explode(spans).alias("s")).select("did", "key", "s.first", "s.n")
+    each = found.withColumn("_place", F.monotonically_increasing_id())  # spreads rows of one id too
+    return hot_safe_join(each, known, ["anchor", "seg"], "rows", "_place").select(*_ROW, F.explode(spans).alias("s")).select(*_ROW, "s.first", "s.n")
 
 
 def _cut(length: int):
@@ -174,9 +189,10 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
-    spans = repeats(own.select("did", "key", "text"), length, gram).groupBy("did", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    return own.join(spans, ["did", "key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
+    keys = (F.xxhash64(text_col).alias("key"), F.xxhash64(F.lit("second"), text_col).alias("key2"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), *keys, F.col(text_col).alias("text"))
+    spans = repeats(own.select(*_ROW, "text"), length, gram).groupBy(*_ROW).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    return own.join(spans, _ROW, "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(removed: DataFrame) -> DataFrame:

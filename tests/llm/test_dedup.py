@@ -220,3 +220,21 @@ def test_empty_and_clashing(none, clashing, odd):
     for f in (exact_dedup.keep_one, simhash.keep_one):
         assert f(none).count() == 0
         assert f(clashing).columns == clashing.columns and {r._uid for r in f(clashing).collect()} == {1}
+
+
+def test_substring_rows_of_one_id(spark):
+    """Very many rows of one id and text are worked on once."""
+    many = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(" ".join(f"w{k}" for k in range(2_000))).alias("text"))
+    first = spark.createDataFrame([(3, "new " + " ".join(f"w{k}" for k in range(500, 600)))], "doc_id long, text string")
+    rows = substring_dedup.remove_repeats(many.unionByName(first)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, rows)) == [(3, 0, 1), (7, 100, 10_000)]
+
+
+def test_substring_colliding_hashes(spark):
+    """Two texts of null id with the same Spark hash, as 32-bit keys would have merged them."""
+    shared = " ".join(f"w{k}" for k in range(60))
+    texts = spark.range(120_000).select(F.concat(F.lit(shared + " a"), "id").alias("a"), F.concat_ws(" ", *[F.concat(F.lit(f"p{j}q"), "id") for j in range(61)]).alias("b"))
+    one = texts.select(F.hash("a").alias("h"), "a").join(texts.select(F.hash("b").alias("h"), "b"), "h").select("a", "b").first()
+    rows = [(1, shared), (None, one["a"]), (None, one["b"])]
+    got = {r.doc_id if r.doc_id else r.kept[:1]: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, "a": 60, "p": 0}
