@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .ingest import ordered
 
 
@@ -106,9 +107,18 @@ def mailbox_reads(events: DataFrame, key: str, order: list[str], put: Column, re
 
 
 def next_ids(rows: DataFrame, order: list[str], last: int) -> DataFrame:
-    """Adds id: the numbers after ``last``, in order. Numbers come from the partitions' sizes, so no task gets all rows."""
-    numbered = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + last + 1))
-    return rows.sparkSession.createDataFrame(numbered, rows.schema.add("id", "long"))
+    """Adds id: the numbers after ``last``, in order; rows that tie keep to one of their orders.
+
+    Rows are range-partitioned and sorted, and written, with each row's place in its partition; an id is that place and
+    the sizes of all partitions before, a sum over a row a partition.
+    """
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a partition
+    return placed.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_place") + F.col("_before") + last + 1).alias("id"))
 
 
 def may_bootstrap(enabled: Column, test_pending: Column, exit_requested: Column, phase: Column, alarm: Column) -> Column:

@@ -8,9 +8,13 @@ which most postings have, are hardly ever joined on. Equal texts are to be taken
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .ingest import ordered
 
 #: Our own word lists: configuration, not data of any source.
@@ -26,19 +30,56 @@ def mentions(c: Column, terms: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: text.contains(t)) if terms else F.lit(False)
 
 
-def listing_gates(title: Column, company: Column, location: Column, companies: tuple[str, ...], locations: tuple[str, ...], titles: tuple[str, ...], no_agency: bool = True) -> Column:
-    """The first gate that a posting's header fails, or null."""
-    agency = [("agency", mentions(company, TERMS["agency"]))] if no_agency else []
-    return ordered([("company_blacklist", company.isin(*companies)), ("location", mentions(location, locations)), ("title", mentions(title, titles)), ("job_type", mentions(title, TERMS["job_type"])), *agency])
+@dataclass(frozen=True)
+class Gates:
+    """What the filter gates look for. An empty list, or a switch that is off, turns its gate off: it then checks no row."""
+
+    blacklist_companies: tuple[str, ...] = ()
+    blacklist_locations: tuple[str, ...] = ()
+    blacklist_titles: tuple[str, ...] = ()
+    target_titles: tuple[str, ...] = ()
+    no_agency: bool = False
+    no_contract: bool = False
+    remote_only: bool = False
+    needs_sponsorship: bool = False
+
+    @property
+    def enabled(self) -> tuple[str, ...]:
+        on = (self.target_titles, self.no_contract, self.remote_only, self.needs_sponsorship, self.no_agency)
+        return tuple(g for g, yes in zip(TEXT_GATES, on, strict=True) if yes)
+
+
+# The gates of texts, in order.
+TEXT_GATES = ("title_mismatch", "contract_mismatch", "remote_mismatch", "sponsorship", "agency_jd")
+
+
+def listing_gates(title: Column, company: Column, location: Column, g: Gates) -> Column:
+    """The reason of the first gate that a posting's header fails, or null."""
+    agency = [("agency", mentions(company, TERMS["agency"]))] if g.no_agency else []
+    return ordered(
+        [
+            ("blacklisted_company", company.isin(*g.blacklist_companies)), ("blacklisted_location", mentions(location, g.blacklist_locations)),
+            ("title_blacklisted", mentions(title, g.blacklist_titles)), ("job_type", mentions(title, TERMS["job_type"])), *agency,
+        ]
+    )
 
 
-def text_gates(text: Column, title: Column, enabled: dict[str, bool]) -> Column:
-    """The first enabled gate that a posting's text fails, or null; a blank text passes."""
-    gates = {
-        "title_mismatch": mentions(title, ("manager",)), "contract_mismatch": mentions(text, TERMS["contract"]), "remote_mismatch": mentions(text, TERMS["remote"]),
-        "sponsorship": mentions(text, TERMS["sponsorship"]), "agency": mentions(text, TERMS["agency_text"]),
+def is_blank(text: Column) -> Column:
+    return F.trim(F.coalesce(text, F.lit(""))) == ""
+
+
+def text_gates(text: Column, title: Column, g: Gates) -> Column:
+    """The first enabled gate that a posting's text fails, or null; a blank text passes. Contract terms may stand in the title too."""
+    fails = {
+        "title_mismatch": ~mentions(title, g.target_titles), "contract_mismatch": mentions(F.concat_ws("\n", title, text), TERMS["contract"]),
+        "remote_mismatch": mentions(text, TERMS["remote"]), "sponsorship": mentions(text, TERMS["sponsorship"]), "agency_jd": mentions(text, TERMS["agency_text"]),
     }
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", ordered([(k, c) for k, c in gates.items() if enabled.get(k, True)]))
+    return F.when(~is_blank(text), ordered([(k, fails[k]) for k in g.enabled])) if g.enabled else F.lit(None).cast("string")
+
+
+def reason_of(gate: Column) -> Column:
+    """Agencies are one reason, whether the header or the text tells."""
+    return F.when(gate == "agency_jd", "agency").otherwise(gate)
 
 
 def oldest_of_equal(df: DataFrame, digest: Column, at: str = "created_at", key: str = "id") -> DataFrame:
@@ -64,11 +105,74 @@ def weights(df: DataFrame, text: str = "text", key: str = "id", features: int =
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"), "df")
 
 
-def similar_pairs(vectors: DataFrame, buckets: DataFrame, least: float, key: str = "id") -> DataFrame:
-    """vectors: id, term, w, df; buckets: id, bucket. Pairs (a < b) of a bucket with score >= least, rounded to 6 places."""
+def _prefixes(vectors: DataFrame, least: float, key: str) -> DataFrame:
+    """key, term: the rarest terms of each vector, up to where the rest is shorter than ``least``. Similar vectors share one of them."""
     w = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rest = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(w)))  # of this term and all after it
-    prefix = rest.where(F.col("rest") >= least - 1e-5).select(key, "term").join(buckets, key)
+    return rest.where(F.col("rest") >= least - 1e-5).select(key, "term")
+
+
+def _scores(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """pairs: rep, id. Those with score >= least, rounded to 6 places."""
+    left, right = vectors.select(F.col("id").alias("rep"), "term", F.col("w").alias("wa")), vectors.select("id", "term", F.col("w").alias("wb"))
+    dots = pairs.join(left, "rep").join(right, ["id", "term"]).groupBy("rep", "id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
+    return dots.where(F.col("score") >= least)
+
+
+def representatives(vectors: DataFrame, rows: DataFrame, least: float, share: float = 0.2) -> DataFrame:
+    """vectors: id, term, w, df; rows: id, bucket, created_at. Rows id, original, score: those that go, each with the row that stays for it.
+
+    Of a bucket a row stays unless a strictly older one that stays is at least as similar as ``least``; a row that goes is
+    linked to the most similar of those that stay, ties to the smaller id. Pairs of rows that go are never formed, so very
+    many near copies are a row each. Rows without a bucket are compared with none.
+
+    Round by round, rows that are the oldest undecided of all their rare terms stay: at most one time per term and bucket,
+    so comparing them with the rest is linear in the terms. When a round decides less than ``share`` of the undecided,
+    what is left has few near copies; its pairs are formed, and the rule is followed along them.
+    """
+    base = stored(rows.where("bucket IS NOT NULL").select("id", "bucket", "created_at"))
+    terms = stored(_prefixes(vectors, least, "id").join(base, "id"))  # id, term, bucket, created_at
+    undecided, links = base, []
+
+    def linked(stay: DataFrame) -> DataFrame:
+        one = terms.join(stay.select("id"), "id", "left_semi").select("bucket", "term", F.col("id").alias("rep"), F.col("created_at").alias("_since"))
+        found = one.join(terms, ["bucket", "term"]).where("created_at > _since").select("rep", "id").distinct()
+        return stored(_scores(found, vectors, least))
+
+    left = undecided.count()
+    while left:
+        own = terms.join(undecided.select("id"), "id", "left_semi")
+        first = own.groupBy("bucket", "term").agg(F.min("created_at").alias("_first"))
+        blocked = own.join(first, ["bucket", "term"]).where("created_at > _first").select("id").distinct()
+        stay = stored(undecided.join(blocked, "id", "left_anti"))
+        links.append(linked(stay))
+        undecided = stored(undecided.join(stay, "id", "left_anti").join(links[-1], "id", "left_anti"))
+        before, left = left, undecided.count()
+        if left > before * (1 - share):
+            break
+    if left:
+        own = terms.join(undecided.select("id"), "id", "left_semi")
+        one = own.select("bucket", "term", F.col("id").alias("rep"), F.col("created_at").alias("_since"))
+        found = one.join(own, ["bucket", "term"]).where("created_at > _since").select("rep", "id").distinct()
+        edges = stored(_scores(found, vectors, least).select("rep", "id"))
+        kept, open_ = [], undecided.select("id")
+        while True:
+            waits = edges.join(open_.withColumnRenamed("id", "rep"), "rep", "left_semi").select("id").distinct()
+            stay = stored(open_.join(waits, "id", "left_anti"))
+            gone = edges.join(stay.withColumnRenamed("id", "rep"), "rep", "left_semi").select("id").distinct()
+            open_ = stored(open_.join(stay, "id", "left_anti").join(gone, "id", "left_anti"))
+            kept.append(stay)
+            if open_.isEmpty():
+                break
+        links.append(linked(reduce(DataFrame.unionByName, kept)))
+    every = reduce(DataFrame.unionByName, links) if links else vectors.where("false").select("id", F.col("id").alias("rep"), F.lit(0.0).alias("score"))
+    best = every.groupBy("id").agg(F.max(F.struct("score", (-F.col("rep")).alias("o"))).alias("best"))
+    return best.select("id", (-F.col("best.o")).alias("original"), "best.score")
+
+
+def similar_pairs(vectors: DataFrame, buckets: DataFrame, least: float, key: str = "id") -> DataFrame:
+    """vectors: id, term, w, df; buckets: id, bucket. Pairs (a < b) of a bucket with score >= least, rounded to 6 places."""
+    prefix = _prefixes(vectors, least, key).join(buckets, key)
     one, two = prefix.select(F.col(key).alias("a"), "term", "bucket"), prefix.select(F.col(key).alias("b"), "term", "bucket")
     found = one.join(two, ["bucket", "term"]).where("a < b").select("a", "b").distinct()
     left, right = vectors.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))

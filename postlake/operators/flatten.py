@@ -95,6 +95,18 @@ def indeed(df: DataFrame) -> DataFrame:
     return df.select(*kept, *[c.alias(k) for k, c in cols.items()], F.col("v").alias("source_raw"), no_events().alias("ingest_events"))
 
 
+def pair_surfaces(cards: DataFrame, details: DataFrame) -> DataFrame:
+    """cards, details: jobkey, scan_run_id, scrape_time, surface (JSON). One row a key with the payload raw that holds both surfaces, or the one there is.
+
+    A key of several cards has its last one, as a page's map does; so have details. Keys without a value pair with none.
+    """
+    last = lambda df, name: df.where("jobkey <> ''").groupBy("jobkey").agg(F.max_by(F.struct("scan_run_id", "scrape_time", "surface"), F.struct("scrape_time", "surface")).alias(name))
+    both = last(cards, "c").join(last(details, "d"), "jobkey", "full")
+    parts = [F.when(F.col(f"{k}.surface").isNotNull(), F.concat(F.lit(f'"{name}":'), F.col(f"{k}.surface"))) for k, name in (("c", "mosaic"), ("d", "graphql"))]
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return both.select("jobkey", F.coalesce("d.scan_run_id", "c.scan_run_id").alias("scan_run_id"), F.greatest("d.scrape_time", "c.scrape_time").alias("scrape_time"), raw.alias("raw"))
+
+
 def listing_id() -> Column:
     return P.text("v", "$.jobListing.jobDetailsData.listingId")
 

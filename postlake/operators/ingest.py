@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions import vocab
-from ..sources import store
+from ..sources import versions
+from ..sources.versions import Version
 from . import flatten, project
 
 
@@ -69,28 +73,67 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, keys: list[str]) -> Da
 
 
 def outcome_of_insert(batch: DataFrame, target: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Each row of batch with already_exists: an earlier row of the batch, or target, has its key."""
+    """Each row of batch with already_exists: an earlier row of the batch, or target, has its key.
+
+    The first row of a key is a minimum that map tasks combine, so a key that many rows share is no one task's sort.
+    """
     there = target.select(*keys).distinct().withColumn("_there", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return batch.withColumn("_rank", rank).join(there, keys, "left").withColumn("already_exists", F.coalesce("_there", F.lit(False)) | (F.col("_rank") > 1)).drop("_rank", "_there")
+    first = batch.groupBy(*keys).agg(F.min(order).alias("_first")).join(there, keys, "left")
+    return batch.join(first, keys).withColumn("already_exists", F.col("_there").isNotNull() | (F.col(order) > F.col("_first"))).drop("_first", "_there")
+
+
+KEY_BUCKETS = 64
+
+
+def key_table(spark: SparkSession, path: str, buckets: int = KEY_BUCKETS) -> str:
+    """The name of the table of stored keys: bucketed and sorted by key, so a join on the key does not shuffle it."""
+    name = "postlake_keys_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (site STRING, job_url STRING, token STRING) USING parquet CLUSTERED BY (site, job_url) SORTED BY (site, job_url) INTO {buckets} BUCKETS LOCATION '{path}/keys'")
+    spark.catalog.refreshTable(name)
+    return name
+
+
+def unstored(rows: DataFrame, path: str, version: Version) -> DataFrame:
+    """Rows whose key no batch of the version has. Keys of batches that were never published do not count."""
+    spark = rows.sparkSession
+    tokens = spark.createDataFrame([(f.rsplit("/", 1)[-1],) for f in version.batches.values()], "token string")
+    stored = spark.table(key_table(spark, path)).join(F.broadcast(tokens), "token", "left_semi")  # a row a batch
+    return rows.join(stored.select("site", "job_url"), ["site", "job_url"], "left_anti")
 
 
-def write_batch(routed: DataFrame, path: str, batch_id: int) -> str:
-    """Publishes one batch as one folder, and returns it: flat rows by source, canonical rows with their warnings, and rejects.
+def write_batch(routed: DataFrame, path: str, batch_id: int, tries: int = 3) -> str:
+    """Adds a batch to the table at path, and returns the folder of its rows: those whose key is not stored yet, in all parts.
 
-    All is written under another name first, the canonical rows from the flat tables beside them, and the folder appears
-    by one rename: readers see a batch whole or not at all, and a batch that is run again takes its own place.
+    Parts: payloads, a flat table by source, canonical rows with their warnings, rejects. A posting that an earlier batch
+    has adds nothing and changes nothing. Parts and keys are written first, under a name of their own; the version that
+    has them is published last. A batch that is published already is not written again, so a retry after any failure
+    leaves each posting once.
     """
-    spark, building, done = routed.sparkSession, f"{path}/_building/{batch_id}", f"{path}/batch={batch_id}"
+    spark = routed.sparkSession
+    for _ in range(tries):
+        version = versions.current(spark, path)
+        if str(batch_id) in version.batches:
+            return f"{path}/{version.batches[str(batch_id)]}"
+        token = f"{batch_id}-{uuid.uuid4().hex}"
+        _write_parts(routed, path, f"data/{token}", version, token)
+        try:
+            versions.publish(spark, path, version, str(batch_id), f"data/{token}")
+        except versions.Conflict:
+            continue  # what another writer has stored must be looked at
+        return f"{path}/data/{token}"
+    raise versions.Conflict(f"batch {batch_id} of {path} met another writer {tries} times")
+
+
+def _write_parts(routed: DataFrame, path: str, folder: str, version: Version, token: str) -> None:
+    spark = routed.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{building}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{building}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
 
-    rows = accepted(routed).select("site", "job_url", "scan_run_id", "scrape_time", "arrival", F.col("source_raw").alias("raw"))
-    flat = project.flat_rows(kept(first_wins(rows, ["site", "job_url"], "arrival").drop("job_url", "arrival"), "payloads"))
-    flat = {site: kept(df.drop("site"), f"{site}_jobs") for site, df in flat.items()}
+    rows = first_wins(accepted(routed).select("site", "job_url", "scan_run_id", "scrape_time", "arrival", F.col("source_raw").alias("raw")), ["site", "job_url"], "arrival")
+    payloads = kept(unstored(rows, path, version).drop("arrival"), "payloads")
+    flat = {site: kept(df.drop("site"), f"{site}_jobs") for site, df in project.flat_rows(payloads.drop("job_url")).items()}
     kept(project.complete(project.canonical_of(flat), keep_warnings=True), "canonical")
     kept(routed.where("outcome NOT IN ('accepted', 'skipped')").select("website", "scan_run_id", "source_raw", "outcome"), "rejects")
-    store.move(spark, building, done)
-    return done
+    payloads.select("site", "job_url", F.lit(token).alias("token")).write.insertInto(key_table(spark, path))

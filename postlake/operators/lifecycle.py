@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .ingest import ordered
 
 
@@ -17,6 +18,39 @@ def unexpired(df: DataFrame, now: str, days: int, at: str = "scrape_time") -> Da
     return df.where(F.col(at) >= _cutoff(now, days))
 
 
+def write_by_day(df: DataFrame, path: str, at: str = "scrape_time") -> None:
+    """df as a table with a folder a day."""
+    df.withColumn("day", F.to_date(at)).write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def purge_days(spark: SparkSession, path: str, now: str, days: int, at: str = "scrape_time") -> DataFrame:
+    """Purges a table with a folder a day, and returns day, deleted: whole days older than the shelf life go with their folder,
+    and only the day in which the cutoff lies is written anew.
+
+    Rows of whole days are counted from files' footers. The boundary day is replaced in one step, after it is written; to
+    purge again after a failure deletes what is left of it.
+    """
+    rows, cutoff = spark.read.parquet(path), _cutoff(now, days)
+    limit = spark.range(1).select(F.date_format(F.to_date(cutoff), "yyyy-MM-dd")).first()[0]
+    gone = rows.where(F.col("day") < F.lit(limit).cast("date")).groupBy("day").agg(F.count(F.lit(1)).alias("deleted"))
+    edge = rows.where(F.col("day") == F.lit(limit).cast("date"))
+    cut = edge.where(F.col(at) < cutoff).groupBy("day").agg(F.count(F.lit(1)).alias("deleted"))
+    deleted = stored(gone.unionByName(cut))
+    kept = edge.where(F.col(at) >= cutoff)
+    if deleted.where(F.col("day") == F.lit(limit).cast("date")).count() and kept.count():
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        limit_too = False
+    else:
+        limit_too = bool(deleted.where(F.col("day") == F.lit(limit).cast("date")).count())
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(fs_path(path)):
+        name = status.getPath().getName()
+        if name.startswith("day=") and (name[4:] < limit or (limit_too and name[4:] == limit)):
+            fs.delete(status.getPath(), True)
+    return deleted
+
+
 def expired_counts(tables: dict[str, DataFrame], now: str, days: int, at: str = "scrape_time") -> DataFrame:
     """name, deleted: one aggregation per table, united."""
     parts = [df.where(F.col(at) < _cutoff(now, days)).agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(k).alias("name"), "deleted") for k, df in tables.items()]

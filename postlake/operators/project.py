@@ -104,7 +104,7 @@ def glassdoor(df: DataFrame) -> DataFrame:
     }
     events = [
         _period_events("glassdoor"), _unknown(types, vocab.EMPLOYMENT, "unknown_employment_type", "glassdoor", "employment_type"),
-        _unknown(work, vocab.WORKPLACE, "unknown_workplace_type", "glassdoor", "workplace_type"), _odd("employment_type", "glassdoor", "employment_type"), _odd("remote_work_types", "glassdoor", "workplace_type"), _source_events(F.col("salary_source"), "glassdoor"),
+        _unknown(work, vocab.WORKPLACE, "unknown_workplace_type", "glassdoor", "workplace_type"), F.when(F.size(own) > 0, _odd("employment_type", "glassdoor", "employment_type")).otherwise(F.concat(_odd("employment_type", "glassdoor", "employment_type"), _odd("job_type", "glassdoor", "employment_type"))), _odd("remote_work_types", "glassdoor", "workplace_type"), _source_events(F.col("salary_source"), "glassdoor"),
     ]
     return _finish(df, "glassdoor", cols, events)
 

@@ -98,8 +98,21 @@ def match_report(rows: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(levels)).crossJoin(F.broadcast(gates))  # one row each
 
 
-def gate_metrics(rows: DataFrame, gates: list[str]) -> DataFrame:
-    """rows: reason, the first gate that a row failed, or null. For each gate, in order, how many rows came to it and how many it flagged: one pass."""
-    place = F.array_position(F.array(*map(F.lit, gates)), F.col("reason"))
-    each = rows.agg(*[F.struct(F.count_if(F.coalesce(place >= k + 1, F.lit(True))).alias("checked"), F.count_if(F.coalesce(place == k + 1, F.lit(False))).alias("flagged")).alias(g) for k, g in enumerate(gates)])
-    return each.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(f"{g}.checked").alias("checked"), F.col(f"{g}.flagged").alias("flagged")) for g in gates])).alias("g")).select("g.*")
+def gate_metrics(rows: DataFrame, text_gates: tuple[str, ...], enabled: tuple[str, ...]) -> DataFrame:
+    """rows: pass0, pass1 (the gate failed, or null), blank (no text), same, similar (copies). Of each gate, in order: rows checked, rows flagged. One pass.
+
+    A gate checks the rows that no gate before has flagged. One that is off checks none, nor do gates of texts and the
+    comparison of texts check a row without text.
+    """
+    place = F.array_position(F.array(*map(F.lit, text_gates)), F.col("pass1"))
+    left = F.col("pass0").isNull()
+    counts = {"pass_0": (F.lit(True), ~left)}
+    for k, g in enumerate(text_gates):
+        on = left & ~F.col("blank") if g in enabled else F.lit(False)
+        counts[g] = (on & F.coalesce(place >= k + 1, F.lit(True)), on & F.coalesce(place == k + 1, F.lit(False)))
+    left &= F.col("pass1").isNull()
+    counts["hash_exact"] = (left, left & F.col("same"))
+    left &= ~F.col("same")
+    counts["cosine"] = (left & ~F.col("blank"), left & ~F.col("blank") & F.col("similar"))
+    each = rows.agg(*[F.struct(F.count_if(c).alias("checked"), F.count_if(f).alias("flagged")).alias(g) for g, (c, f) in counts.items()])
+    return each.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(f"{g}.checked").alias("checked"), F.col(f"{g}.flagged").alias("flagged")) for g in counts])).alias("g")).select("g.*")

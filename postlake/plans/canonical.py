@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, lifecycle, listing, project
-from ..sources import adapter
+from ..sources import adapter, versions
+from ..sources.store import shared
 from ..sources.store import stored as stored_table
 from .expected import CANON, EMP, stored
 from .registry import query
@@ -139,6 +141,18 @@ def ingest_insert_if_absent(spark, sf_dir):
     return new.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{_ROUTED}, k AS (SELECT DISTINCT n, CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END AS batch FROM r WHERE outcome = 'accepted') SELECT batch, ['linkedin', 'indeed', 'glassdoor'][n % 3 + 1] AS site, count(*) AS n FROM k GROUP BY ALL")
+def ingest_across_batches(spark, sf_dir):
+    """Two of the sites arrive in a first batch, and all of them again in a second: it adds the third site's postings only."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
+    sent = adapter.envelopes(spark, sf_dir)
+    ingest.write_batch(ingest.route(sent.where("doc_id % 3 > 0")), path, 1)
+    ingest.write_batch(ingest.route(sent), path, 2)
+    version = versions.current(spark, path)
+    parts = [spark.read.parquet(f"{path}/{version.batches[str(b)]}/canonical").select(F.lit(b).alias("batch"), F.col("source_site").alias("site")) for b in (1, 2)]
+    return parts[0].unionByName(parts[1]).groupBy("batch", "site").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     stored(f"""SELECT id, source_site, source_row_id, site_job_id, scan_run_id, job_url, strftime(scrape_time, {DUCK_STAMP}) AS scrape_time, matched, dismissed, title, company, location_text, sha256(description) AS description,
     remote, apply_url, experience_level, industry, CAST(CAST(salary_min AS BIGINT) AS VARCHAR) AS salary_min, CAST(CAST(salary_max AS BIGINT) AS VARCHAR) AS salary_max, salary_currency, salary_period,

@@ -8,8 +8,9 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import dedup as D
 from ..operators import reports as P
+from ..sources.store import stored as kept_table
 from .canonical import canon
-from .dedup import _DECIDED, _EQUAL, _GATE0, _GATE1, _HEAD, _PAIRS, aged, gated, pairs
+from .dedup import _DECIDED, _EQUAL, _GATE0, _GATE1, _HEAD, _PAIRS, _TEXT, GATES, aged, gated, greedy, pairs
 from .expected import CANON
 from .registry import query, table
 
@@ -31,15 +32,29 @@ def dedup_decided_with_scores(spark, sf_dir):
     return decided(spark, sf_dir)
 
 
-_GATES = "['company_blacklist', 'location', 'title', 'job_type', 'agency', 'title_mismatch', 'contract_mismatch', 'remote_mismatch', 'sponsorship', 'already_scraped']"
-GATES = ("company_blacklist", "location", "title", "job_type", "agency", "title_mismatch", "contract_mismatch", "remote_mismatch", "sponsorship", "already_scraped")
+@query(
+    f"""{_EQUAL}, g AS (SELECT {_GATE0} AS p0, {_TEXT} AS p1, trim(coalesce(jd, '')) = '' AS blank, o.id <> o.o AS same FROM ({_HEAD}) h JOIN o ON o.id = h.doc_id), t AS (SELECT *, list_position(['title_mismatch', 'contract_mismatch', 'remote_mismatch', 'sponsorship', 'agency_jd'], p1) AS k FROM g)
+    SELECT 'pass_0' AS gate, count(*) AS checked, count(p0) AS flagged FROM t UNION ALL SELECT 'title_mismatch', count(*) FILTER (p0 IS NULL AND NOT blank), count(*) FILTER (p0 IS NULL AND k = 1) FROM t
+    UNION ALL SELECT 'contract_mismatch', count(*) FILTER (p0 IS NULL AND NOT blank AND (k IS NULL OR k >= 2)), count(*) FILTER (p0 IS NULL AND k = 2) FROM t UNION ALL SELECT 'remote_mismatch', count(*) FILTER (p0 IS NULL AND NOT blank AND (k IS NULL OR k >= 3)), count(*) FILTER (p0 IS NULL AND k = 3) FROM t
+    UNION ALL SELECT 'sponsorship', 0, 0 UNION ALL SELECT 'agency_jd', count(*) FILTER (p0 IS NULL AND NOT blank AND (k IS NULL OR k = 5)), count(*) FILTER (p0 IS NULL AND k = 5) FROM t
+    UNION ALL SELECT 'hash_exact', count(*) FILTER (p0 IS NULL AND p1 IS NULL), count(*) FILTER (p0 IS NULL AND p1 IS NULL AND same) FROM t UNION ALL SELECT 'cosine', count(*) FILTER (p0 IS NULL AND p1 IS NULL AND NOT same AND NOT blank), 0 FROM t"""
+)
+def dedup_gate_metrics(spark, sf_dir):
+    """A gate that is off checks none, rows without text are checked by no gate of texts; here similar texts are not looked for."""
+    same = D.oldest_of_equal(aged(spark, sf_dir), X.content_hash(F.col("text"))).select(F.col("id").alias("doc_id"), F.col("original").isNotNull().alias("same"))
+    rows = gated(spark, sf_dir).join(same, "doc_id").select("pass0", F.col("gate1").alias("pass1"), D.is_blank(F.col("jd")).alias("blank"), "same", F.lit(False).alias("similar"))
+    return P.gate_metrics(rows, D.TEXT_GATES, GATES.enabled)
 
 
-@query(f"{_DECIDED} SELECT g AS gate, count(*) FILTER (reason IS NULL OR list_position({_GATES}, reason) >= k) AS checked, count(*) FILTER (reason = g) AS flagged FROM d, (SELECT unnest({_GATES}) AS g, unnest(range(1, 11)) AS k) GROUP BY ALL")
-def dedup_gate_metrics(spark, sf_dir):
-    same = D.oldest_of_equal(aged(spark, sf_dir), X.content_hash(F.col("text"))).select(F.col("id").alias("doc_id"), "original")
-    rows = gated(spark, sf_dir).join(same, "doc_id").select(F.coalesce("pass0", "pass1", F.when(F.col("original").isNotNull(), "already_scraped")).alias("reason"))
-    return P.gate_metrics(rows, list(GATES))
+@query(f"{_DECIDED} SELECT count(*) AS rows, count(*) FILTER (doc_id % 10 = 9) AS ingest_reasons, 0 AS dedup_reasons, count(*) FILTER (reason IS NOT NULL AND doc_id % 10 <> 9) AS decided FROM d")
+def dedup_reset_after_decide(spark, sf_dir):
+    """What dedup decided on stored rows is taken back whole; a reason given at ingest stays."""
+    stored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 9, "no_response").alias("skip_reason"), F.lit(None).cast("long").alias("original"), F.lit(None).cast("double").alias("score"))
+    same = D.oldest_of_equal(aged(spark, sf_dir), X.content_hash(F.col("text"))).where("original IS NOT NULL").select("id", "original")
+    rows = gated(spark, sf_dir).select(F.col("doc_id").alias("id"), "pass0", "pass1")
+    after = C.apply_decisions(stored, C.decide(rows, same, same.where("false").withColumn("score", F.lit(0.0)))).select("*", F.col("skip_reason").alias("before"))
+    reset = C.reset(after)
+    return reset.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("skip_reason") == "no_response").alias("ingest_reasons"), F.count_if(F.col("skip_reason") != "no_response").cast("int").alias("dedup_reasons"), F.count_if(F.col("before") != "no_response").alias("decided"))
 
 
 @query(f"{_EQUAL}, z AS (SELECT id, id % 2 = 0 AS asks FROM aged) SELECT count(*) AS flags FROM z WHERE FALSE")
@@ -139,6 +154,38 @@ def bucket_exact_audit(spark, sf_dir):
     return C.audit(flags.select("id", "original", F.lit(1.0).alias("score")), rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SAME_BUCKET = """rows0 AS (SELECT id, source_site, text, bucket, created_at FROM (SELECT id, source_site, text, bucket, epoch_us(scrape_time) AS created_at FROM bk UNION ALL SELECT id + 1000000, 'glassdoor', text || ' again ' || id, bucket, epoch_us(scrape_time) + 3600000000 FROM bk WHERE id % 4 = 1) WHERE bucket IS NOT NULL),
+    aged AS (SELECT *, first_value(id) OVER (PARTITION BY bucket, trim(text) ORDER BY created_at, id) AS o FROM rows0), s AS (SELECT * FROM aged WHERE id = o), words AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM s), tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL),
+    dims AS (SELECT term, ln((1 + (SELECT count(DISTINCT id) FROM tf)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000), v AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM tf JOIN dims USING (term)),
+    pairs AS (SELECT a.id AS a, b.id AS b, round(sum(x.w * y.w), 6) AS score FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id JOIN v x ON x.id = a.id JOIN v y ON y.id = b.id AND y.term = x.term GROUP BY ALL HAVING round(sum(x.w * y.w), 6) >= 0.85)"""
+
+
+def reposted(spark, sf_dir):
+    """Canonical postings with their buckets, and a quarter of them again an hour later, slightly changed, on one of the sites."""
+    rows = C.bucketed(canon(spark, sf_dir)).select(F.col("site_job_id").cast("long").alias("id"), "source_site", F.col("description").alias("text"), "bucket", F.unix_micros("scrape_time").alias("created_at"))
+    again = rows.where("id % 4 = 1").select((F.col("id") + 1000000).alias("id"), F.lit("glassdoor").alias("source_site"), F.concat("text", F.lit(" again "), "id").alias("text"), "bucket", (F.col("created_at") + 3600000000).alias("created_at"))
+    return rows.unionByName(again).where("bucket IS NOT NULL")
+
+
+_REPOSTS = f"""WITH RECURSIVE {CANON}, {_BUCKET}, {_SAME_BUCKET}, {greedy('pairs', 's')}, f AS (SELECT id, o AS original, 1.0::DOUBLE AS score FROM aged WHERE id <> o UNION ALL SELECT id, original, score FROM gone),
+    recorded AS (SELECT f.id, original, score, CASE WHEN a.source_site = b.source_site THEN 'repost' ELSE 'cross_post' END AS kind FROM f JOIN rows0 a ON a.id = f.id JOIN rows0 b ON b.id = original)"""
+
+
+@query(f"{_REPOSTS} SELECT id, original, score, kind FROM recorded")
+def dedup_company_region(spark, sf_dir):
+    """Equal, then similar texts of one company in one region: the earliest stays, and every other is recorded with it, its score and kind."""
+    rows = kept_table(reposted(spark, sf_dir))
+    flagged = D.oldest_of_equal(rows, F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)))
+    same = flagged.where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score"))
+    left = kept_table(flagged.where("original IS NULL").select("id", "text", "bucket", "created_at"))
+    return C.audit(same.unionByName(D.representatives(kept_table(D.weights(left)), left, 0.85)), rows).select("id", "original", "score", "kind")
+
+
+@query(f"{_REPOSTS} SELECT kind, count(*) AS n FROM recorded GROUP BY ALL")
+def dedup_bucketed_audit(spark, sf_dir):
+    return dedup_company_region(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {CANON} SELECT count(*) FILTER (doc_id % 11 = 4 AND remote IS NOT TRUE AND remote IS NOT NULL) AS reentered, count(*) FILTER (doc_id % 11 = 4) AS matched FROM canon")
 def blacklist_reentry(spark, sf_dir):
     rows = canon(spark, sf_dir).withColumn("matched", F.col("site_job_id").cast("long") % 11 == 4)

@@ -9,10 +9,13 @@ from ..operators import dedup as D
 from ..sources.store import stored
 from .registry import query, table
 
-_HEAD = """SELECT doc_id, source, 'Role ' || CASE doc_id % 9 WHEN 0 THEN 'Intern' WHEN 1 THEN 'CO-OP' WHEN 2 THEN 'Sales' WHEN 3 THEN 'Manager' ELSE 'Engineer' END AS title, CASE doc_id % 11 WHEN 0 THEN 'Bad Corp' WHEN 1 THEN 'ABC Staffing' WHEN 2 THEN NULL ELSE 'Good' END AS company,
+_HEAD = """SELECT doc_id, source, 'Role ' || CASE doc_id % 9 WHEN 0 THEN 'Intern' WHEN 1 THEN 'CO-OP' WHEN 2 THEN 'Sales' WHEN 3 THEN 'Manager' WHEN 4 THEN 'Engineer, FIXED TERM' ELSE 'Engineer' END AS title, CASE doc_id % 11 WHEN 0 THEN 'Bad Corp' WHEN 1 THEN 'ABC Staffing' WHEN 2 THEN NULL ELSE 'Good' END AS company,
     CASE doc_id % 13 WHEN 0 THEN 'Far North' WHEN 1 THEN NULL ELSE 'City' END AS location, CASE doc_id % 10 WHEN 0 THEN 'A contract position' WHEN 1 THEN 'On-site only' WHEN 2 THEN 'NO SPONSORSHIP' WHEN 3 THEN 'for our client' WHEN 4 THEN ' ' WHEN 5 THEN NULL ELSE 'plain' END AS jd FROM documents"""
-_GATE0 = "CASE WHEN company = 'Bad Corp' THEN 'company_blacklist' WHEN location = 'Far North' THEN 'location' WHEN doc_id % 9 = 2 THEN 'title' WHEN doc_id % 9 < 2 THEN 'job_type' WHEN company = 'ABC Staffing' THEN 'agency' END"
-_GATE1 = "CASE WHEN trim(coalesce(jd, '')) = '' THEN NULL WHEN doc_id % 9 = 3 THEN 'title_mismatch' WHEN doc_id % 10 = 0 THEN 'contract_mismatch' WHEN doc_id % 10 = 1 THEN 'remote_mismatch' WHEN doc_id % 10 = 3 THEN 'agency' END"
+# Twins of the gates, each from its rule: names and order are those of the gates, a gate that is off is left out.
+_GATE0 = "CASE WHEN company = 'Bad Corp' THEN 'blacklisted_company' WHEN contains(lower(location), 'far north') THEN 'blacklisted_location' WHEN contains(lower(title), 'sales') THEN 'title_blacklisted' WHEN regexp_matches(lower(title), 'intern|co-op') THEN 'job_type' WHEN regexp_matches(lower(company), 'staffing|recruiting') THEN 'agency' END"
+_TEXT = "CASE WHEN trim(coalesce(jd, '')) = '' THEN NULL WHEN NOT regexp_matches(lower(title), 'engineer|architect') THEN 'title_mismatch' WHEN regexp_matches(lower(title || ' ' || jd), 'contract position|fixed term') THEN 'contract_mismatch' WHEN regexp_matches(lower(jd), 'on-site only|no remote') THEN 'remote_mismatch' WHEN regexp_matches(lower(jd), 'our client|on behalf of') THEN 'agency_jd' END"
+_GATE1 = f"replace({_TEXT}, 'agency_jd', 'agency')"
+GATES = D.Gates(("Bad Corp",), ("far north",), ("sales",), ("engineer", "architect"), no_agency=True, no_contract=True, remote_only=True)
 
 
 def heads(spark, sf_dir):
@@ -20,15 +23,15 @@ def heads(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     case = lambda k, values, other: F.expr(f"CASE doc_id % {k} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + f" ELSE {other!r} END")
     return d.select(
-        "doc_id", "source", F.concat(F.lit("Role "), case(9, ("Intern", "CO-OP", "Sales", "Manager"), "Engineer")).alias("title"), case(11, ("Bad Corp", "ABC Staffing", None), "Good").alias("company"),
+        "doc_id", "source", F.concat(F.lit("Role "), case(9, ("Intern", "CO-OP", "Sales", "Manager", "Engineer, FIXED TERM"), "Engineer")).alias("title"), case(11, ("Bad Corp", "ABC Staffing", None), "Good").alias("company"),
         case(13, ("Far North", None), "City").alias("location"), case(10, ("A contract position", "On-site only", "NO SPONSORSHIP", "for our client", " ", None), "plain").alias("jd"),
     )
 
 
 def gated(spark, sf_dir):
     h = heads(spark, sf_dir)
-    first = D.listing_gates(F.col("title"), F.col("company"), F.col("location"), ("Bad Corp",), ("far north",), ("sales",))
-    return h.withColumns({"pass0": first, "pass1": D.text_gates(F.col("jd"), F.col("title"), {"sponsorship": False})})
+    first, gate = D.listing_gates(F.col("title"), F.col("company"), F.col("location"), GATES), D.text_gates(F.col("jd"), F.col("title"), GATES)
+    return h.withColumns({"pass0": first, "gate1": gate, "pass1": D.reason_of(gate)})
 
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT {_GATE0} AS reason FROM ({_HEAD})) GROUP BY ALL")
@@ -41,6 +44,13 @@ def dedup_pass1(spark, sf_dir):
     return gated(spark, sf_dir).groupBy(F.col("pass1").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT CASE WHEN regexp_matches(lower(jd), 'no sponsorship|must be citizen') THEN 'sponsorship' END AS gate, count(*) AS n FROM ({_HEAD}) GROUP BY ALL")
+def dedup_pass1_other_switches(spark, sf_dir):
+    """Without target titles, and with all switches off but one, only that gate flags."""
+    gate = D.text_gates(F.col("jd"), F.col("title"), D.Gates(needs_sponsorship=True))
+    return heads(spark, sf_dir).groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def aged(spark, sf_dir):
     """Documents as postings: id, text, bucket, created_at (days; some share one)."""
     N = F.col("doc_id")
@@ -82,10 +92,19 @@ def dedup_similar_flags(spark, sf_dir):
     return D.flag_similar(pairs(spark, sf_dir), aged(spark, sf_dir))
 
 
-@query(f"{_PAIRS}, k AS (SELECT CASE WHEN x.created_at > y.created_at THEN a ELSE b END AS id, CASE WHEN x.created_at > y.created_at THEN b ELSE a END AS original, score FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE x.created_at <> y.created_at), f AS (SELECT id, arg_max(original, (score, -original)) AS original FROM k GROUP BY ALL) SELECT CASE WHEN f.id % 3 = original % 3 THEN 'repost' ELSE 'cross_post' END AS kind, count(*) AS n FROM f GROUP BY ALL")
-def dedup_bucketed_audit(spark, sf_dir):
-    flags = D.flag_similar(pairs(spark, sf_dir), aged(spark, sf_dir))
-    return flags.groupBy(F.when(F.col("id") % 3 == F.col("original") % 3, "repost").otherwise("cross_post").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+def greedy(pairs: str, rows: str) -> str:
+    """SQL: rows id, original, score that go. pairs: a, b, score; rows: id, created_at. Rows are decided one after the other, oldest first."""
+    return f"""ln AS (SELECT CASE WHEN x.created_at > y.created_at THEN a ELSE b END AS id, CASE WHEN x.created_at > y.created_at THEN b ELSE a END AS rep, score FROM {pairs} JOIN {rows} x ON x.id = a JOIN {rows} y ON y.id = b WHERE x.created_at <> y.created_at),
+    nd AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS k, coalesce((SELECT list(rep) FROM ln WHERE ln.id = r.id), []) AS older FROM {rows} r WHERE id IN (SELECT id FROM ln UNION SELECT rep FROM ln)),
+    st AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT nd.k, CASE WHEN len(list_intersect(older, kept)) > 0 THEN kept ELSE list_append(kept, id) END FROM st JOIN nd ON nd.k = st.k + 1),
+    fin AS (SELECT kept FROM st ORDER BY k DESC LIMIT 1), gone AS (SELECT id, arg_max(rep, (score, -rep)) AS original, max(score) AS score FROM ln, fin WHERE list_contains(kept, rep) GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS.removeprefix('WITH ')}, {greedy('pairs', 's')} SELECT id, original, score FROM gone")
+def dedup_representatives(spark, sf_dir):
+    """What goes because an older posting of its bucket that stays is similar, each with the most similar of those; no list of pairs."""
+    s = survivors(spark, sf_dir)
+    return D.representatives(stored(D.weights(s)), s, 0.85)
 
 
 @query("""WITH RECURSIVE l AS (SELECT doc_id AS id, CASE WHEN doc_id % 60 = 58 THEN doc_id + 1 ELSE doc_id - 1 END AS original FROM documents WHERE doc_id % 30 <> 0 AND doc_id > 0),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources.store import shared
 from ..streaming import jobs as S
-from .registry import query, table
+from ..streaming import timers
+from .registry import ORACLE_SQL, query, table
 from .runs import FOLD_SQL, LOCK_SQL, LOCK_STATUS, PROBE
 
+
 @query("SELECT strftime(date_trunc('minute', ts) - k * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest(range(5)) AS k) GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     out = S.to_table(S.windowed_counts(S.read(spark, f"{sf_dir}/events.parquet")), shared(spark), "update")
@@ -56,9 +60,37 @@ def stream_without_known(spark, sf_dir):
 
 @query("SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-22' - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-22' - INTERVAL 7 DAY) AS late FROM events GROUP BY ALL")
 def stream_split_late(spark, sf_dir):
-    parts = S.split_late(S.read(spark, f"{sf_dir}/events.parquet"), F.to_timestamp(F.lit("2024-01-22")), 7)
-    kept, late = (S.to_table(p.select("event_type"), shared(spark), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias(n)) for p, n in zip(parts, ("kept", "late"), strict=True))
-    return kept.join(late, "event_type", "full").select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "late")])
+    """Two tables of one stream: what is late goes to the side output."""
+    late = S.is_late(F.to_timestamp(F.lit("2024-01-22")), 7)
+    tables = S.to_tables(S.read(spark, f"{sf_dir}/events.parquet").select("ts", "event_type"), shared(spark), {"kept": ~late, "late": late})
+    kept, side = (df.groupBy("event_type").agg(F.count(F.lit(1)).alias(n)) for n, df in tables.items())
+    return kept.join(side, "event_type", "full").select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "late")])
+
+
+def in_batches(spark, sf_dir, files=4):
+    """The events as a stream of several micro-batches in order of time, where every tenth row comes fifty minutes late."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").withColumn("seen", F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 10 == 0, 3_000_000_000).otherwise(0))
+    low, high = rows.agg(F.min("seen"), F.max("seen")).first()
+    for k in range(files):  # one after the other: a stream takes files in the order in which they were written
+        rows.where(F.floor((F.col("seen") - low) * files / (high - low + 1)) == k).drop("seen").coalesce(1).write.mode("append").parquet(path)
+    return S.read(spark, path, 1)
+
+
+@query(ORACLE_SQL["stream_heartbeats"])
+def stream_dead_by_timer(spark, sf_dir):
+    """Dead keys told by timers, over several micro-batches, some rows of which come late: the spans of the batch form."""
+    timers.use_rocksdb(spark)
+    out = S.to_table(timers.dead_keys(in_batches(spark, sf_dir)), shared(spark), "append")
+    return out.select("user_id", F.date_format("first_beat", "yyyy-MM-dd HH:mm:ss").alias("first_beat"), F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"), "beats")
+
+
+@query(FOLD_SQL)
+def stream_session_state_ttl(spark, sf_dir):
+    """The session rule on a value of state that a timer drops once its key has been silent for sixty days."""
+    timers.use_rocksdb(spark)
+    out = S.to_table(timers.sessions(S.read(spark, f"{sf_dir}/events.parquet"), F.expr(PROBE), "60 days"), shared(spark), "update")
+    return S.latest(out, ["user_id"]).select("user_id", "status", "failures", "notified", "notices", "backoff")
 
 
 @query("""SELECT t.event_id AS trigger_id, s.event_id AS stop_id FROM events t JOIN events s ON t.user_id % 20 = s.user_id % 20 AND t.event_type = 'click' AND s.event_type = 'error' AND t.ts > s.ts AND t.ts <= s.ts + INTERVAL 300 SECOND""")

@@ -41,3 +41,11 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     fs.mkdirs(path(target).getParent())
     if not fs.rename(path(source), path(target)):
         raise OSError(f"{source} could not be renamed to {target}")
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df written as a table bucketed and sorted by keys: joins and groupings on them read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"postlake_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -17,10 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.runs import DEAD
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
     """A Parquet table as a stream of its files; event times get a zone."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, it may be one file or a folder
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, it may be one file or a folder
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -73,10 +73,9 @@ def without_known(events: DataFrame, keys: list[str], history: DataFrame, known:
     return first_per_key(events, keys, shelf_life).join(history.select(*known), known, "left_anti")
 
 
-def split_late(events: DataFrame, now: Column, shelf_life_days: int) -> tuple[DataFrame, DataFrame]:
-    """(rows within the shelf life, rows past it, for a side output)."""
-    late = F.col("ts") < now - F.make_dt_interval(F.lit(shelf_life_days))
-    return events.where(~late), events.where(late)
+def is_late(now: Column, shelf_life_days: int) -> Column:
+    """Past the shelf life: such rows go to a side output."""
+    return F.col("ts") < now - F.make_dt_interval(F.lit(shelf_life_days))
 
 
 def _locked(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -115,6 +114,26 @@ def to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def to_tables(stream: DataFrame, folder: str, sinks: dict[str, Column]) -> dict[str, DataFrame]:
+    """Runs the stream to its end and writes each batch to several tables, to each the rows of its condition: the input is read once.
+
+    A batch is kept while its tables are written; a batch that runs again overwrites what it wrote.
+    """
+    spark = stream.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}"
+
+    def publish(df: DataFrame, batch: int) -> None:
+        df.persist()
+        try:
+            for name, cond in sinks.items():
+                df.where(cond).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        finally:
+            df.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(publish).start().awaitTermination()
+    return {name: spark.read.parquet(f"{path}/{name}") for name in sinks}
+
+
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
     """Of an update-mode table, each key's row of its last batch."""
     cols = [c for c in table.columns if c not in (*keys, "batch")]

@@ -14,7 +14,7 @@ from postlake.functions import tokens as T
 from postlake.operators import corpus as C
 from postlake.operators import cycles, ingest, listing, project, runs
 from postlake.operators import dedup as D
-from postlake.sources import adapter
+from postlake.sources import adapter, versions
 
 
 def values(spark, fn, given, kind="string"):
@@ -92,27 +92,69 @@ def test_stream_session_rule_over_batches():
         assert out.iloc[0].tolist() == [1, "unknown", 0, False, 2, 4]
 
 
-def test_ingest_publishes_a_batch_whole(spark, tmp_path):
+PARTS = ("canonical", "payloads", "linkedin_jobs", "indeed_jobs", "glassdoor_jobs")
+
+
+def test_ingest_across_batches(spark, tmp_path):
+    """A posting that an earlier batch has adds nothing, in any part; a batch that is run again changes nothing."""
+    path = f"file://{tmp_path}/out"
+    sent = adapter.envelopes(spark, "/root/testdata/sf0.001")
+    old, every = ingest.route(sent.where("doc_id < 100")), ingest.route(sent)
+    count = lambda: {t: versions.read(spark, path, t).count() for t in PARTS}
+    assert versions.read(spark, path, "canonical") is None
+    first = ingest.write_batch(old, path, 7)
+    before = count()
+    assert before["canonical"] == before["payloads"] == sum(before[f"{s}_jobs"] for s in ("linkedin", "indeed", "glassdoor")) > 0
+    assert ingest.write_batch(old, path, 7) == first and count() == before
+    ingest.write_batch(old, path, 8)
+    assert count() == before and versions.current(spark, path).number == 2
+    ingest.write_batch(every, path, 9)
+    whole = count()
+    assert whole["canonical"] == ingest.first_wins(ingest.accepted(every).select("site", "job_url", "arrival"), ["site", "job_url"], "arrival").count() > before["canonical"]
+    rows = versions.read(spark, path, "canonical")
+    assert rows.select("id").distinct().count() == whole["canonical"] and versions.vacuum(spark, path) == 0
+
+
+def test_ingest_dies_between_any_two_steps(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/out"
-    routed = ingest.route(adapter.envelopes(spark, "/root/testdata/sf0.001"))
-    read = lambda: {t: spark.read.parquet(f"{path}/batch=7/{t}") for t in ("canonical", "rejects", "linkedin_jobs", "indeed_jobs", "glassdoor_jobs")}
-    assert ingest.write_batch(routed, path, 7) == f"{path}/batch=7"
-    first = {k: df.count() for k, df in read().items()}
-    assert first["canonical"] == sum(first[f"{s}_jobs"] for s in ("linkedin", "indeed", "glassdoor")) > 0 and first["rejects"] > 0
-    ids = sorted(r.id for r in read()["canonical"].collect())
-    ingest.write_batch(routed, path, 7)
-    assert {k: df.count() for k, df in read().items()} == first and sorted(r.id for r in read()["canonical"].collect()) == ids
-
-    def fails(_):
+    routed = ingest.route(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 40"))
+    ingest.write_batch(routed.where("doc_id < 20"), path, 1)
+    ids = lambda: sorted(r.id for r in versions.read(spark, path, "canonical").select("id").collect())
+    before = ids()
+
+    def fails(*_, **__):
         raise ValueError("no")
 
-    whole, project.canonical_of = project.canonical_of, fails
+    for place, name in ((project, "flat_rows"), (project, "canonical_of"), (project, "complete"), (ingest, "key_table"), (versions, "publish")):
+        with monkeypatch.context() as m:
+            m.setattr(place, name, fails)
+            with pytest.raises(ValueError):
+                ingest.write_batch(routed, path, 2)
+        assert ids() == before
+    publish, met = versions.publish, []
+
+    def late(spark, path, base, batch, folder):
+        if not met:  # another writer takes the version first
+            met.append(publish(spark, path, base, "other", base.batches["1"]))
+        return publish(spark, path, base, batch, folder)
+
+    monkeypatch.setattr(versions, "publish", late)
+    ingest.write_batch(routed, path, 2)
+    monkeypatch.undo()
+    assert len(met) == 1 and versions.current(spark, path).number == 3
+    assert versions.vacuum(spark, path) >= 5 and len(set(ids())) == ingest.first_wins(ingest.accepted(routed).select("site", "job_url", "arrival"), ["site", "job_url"], "arrival").count()
+
+
+def test_stored_keys_are_not_shuffled(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    ingest.write_batch(ingest.route(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 20")), path, 1)
+    rows = spark.createDataFrame([("indeed", "u")], "site string, job_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        with pytest.raises(ValueError):
-            ingest.write_batch(routed, path, 8)
+        plan = ingest.unstored(rows, path, versions.current(spark, path))._jdf.queryExecution().executedPlan().toString()
     finally:
-        project.canonical_of = whole
-    assert not (tmp_path / "out/batch=8").exists() and read()["canonical"].count() == first["canonical"]
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_settings(spark, tmp_path):
