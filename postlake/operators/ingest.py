@@ -57,6 +57,11 @@ def accepted(routed: DataFrame) -> DataFrame:
     return routed.where("outcome = 'accepted'").withColumn("job_url", job_url(F.col("site")))
 
 
+def keyed(routed: DataFrame) -> DataFrame:
+    """routed with job_url, without the parsed payload. To be written before it is filtered or joined: each payload is parsed once then."""
+    return routed.withColumn("job_url", job_url(F.col("site"))).drop("v")
+
+
 def first_wins(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """Of the rows of a key, the first in the given order.
 
@@ -104,7 +109,7 @@ def unstored(rows: DataFrame, path: str, version: Version) -> DataFrame:
 def write_batch(routed: DataFrame, path: str, batch_id: int, tries: int = 3) -> str:
     """Adds a batch to the table at path, and returns the folder of its rows: those whose key is not stored yet, in all parts.
 
-    Parts: payloads, a flat table by source, canonical rows with their warnings, rejects. A posting that an earlier batch
+    Parts: arrivals with their outcome, payloads, a flat table by source, canonical rows with their warnings, rejects. A posting that an earlier batch
     has adds nothing and changes nothing. Parts and keys are written first, under a name of their own; the version that
     has them is published last. A batch that is published already is not written again, so a retry after any failure
     leaves each posting once.
@@ -131,9 +136,11 @@ def _write_parts(routed: DataFrame, path: str, folder: str, version: Version, to
         df.write.mode("overwrite").parquet(f"{path}/{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
 
-    rows = first_wins(accepted(routed).select("site", "job_url", "scan_run_id", "scrape_time", "arrival", F.col("source_raw").alias("raw")), ["site", "job_url"], "arrival")
-    payloads = kept(unstored(rows, path, version).drop("arrival"), "payloads")
+    arrived = kept(keyed(routed), "arrivals")
+    good = arrived.where("outcome = 'accepted'")
+    first = unstored(first_wins(good.select("site", "job_url", "arrival"), ["site", "job_url"], "arrival"), path, version)
+    payloads = kept(good.join(first, ["site", "job_url", "arrival"], "left_semi").select("site", "job_url", "scan_run_id", "scrape_time", F.col("source_raw").alias("raw")), "payloads")
     flat = {site: kept(df.drop("site"), f"{site}_jobs") for site, df in project.flat_rows(payloads.drop("job_url")).items()}
     kept(project.complete(project.canonical_of(flat), keep_warnings=True), "canonical")
-    kept(routed.where("outcome NOT IN ('accepted', 'skipped')").select("website", "scan_run_id", "source_raw", "outcome"), "rejects")
+    kept(arrived.where("outcome NOT IN ('accepted', 'skipped')").select("website", "scan_run_id", "source_raw", "outcome"), "rejects")
     payloads.select("site", "job_url", F.lit(token).alias("token")).write.insertInto(key_table(spark, path))

@@ -117,26 +117,42 @@ _ROUTED = """WITH e AS (SELECT doc_id AS n, unnest([0, 1]) AS round FROM documen
 
 @query(f"{_ROUTED} SELECT outcome, CASE WHEN n % 37 = 5 THEN 'monster' ELSE ['linkedin', 'indeed', 'glassdoor'][n % 3 + 1] END AS site, count(*) AS n FROM r GROUP BY ALL")
 def ingest_reject_routing(spark, sf_dir):
-    return ingest.route(adapter.envelopes(spark, sf_dir)).groupBy("outcome", "site").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.route(sent(spark, sf_dir)).groupBy("outcome", "site").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sent(spark, sf_dir):
+    """What arrives, written: a table of raw payloads, as a crawler leaves it."""
+    return stored_table(adapter.envelopes(spark, sf_dir))
+
+
+def arrived(spark, sf_dir):
+    """The keys of accepted envelopes."""
+    return stored_table(ingest.keyed(ingest.route(sent(spark, sf_dir))).select("site", "job_url", "doc_id", "arrival", "outcome")).where("outcome = 'accepted'").drop("outcome")
+
+
+def known(spark, sf_dir):
+    """Keys of every second posting, as the flat tables have them."""
+    parts = [df.where(F.col("job_url").isNotNull()).select(F.lit(site).alias("site"), "job_url", F.col(key).alias("site_job_id")) for (site, df), key in zip(flat_tables(spark, sf_dir).items(), ("job_posting_id", "jobkey", "listing_id"), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("site_job_id").cast("long") % 2 == 0).select("site", "job_url")
 
 
 @query(f"{_ROUTED} SELECT ['linkedin', 'indeed', 'glassdoor'][n % 3 + 1] AS site, n AS doc_id, min(n + round * 1000000000) AS arrival FROM r WHERE outcome = 'accepted' GROUP BY ALL")
 def ingest_dedup_first_wins(spark, sf_dir):
-    rows = ingest.accepted(ingest.route(adapter.envelopes(spark, sf_dir))).select("site", "job_url", "doc_id", "arrival")
+    rows = arrived(spark, sf_dir)
     return ingest.first_wins(rows, ["site", "job_url"], "arrival").select("site", "doc_id", "arrival")
 
 
 @query(f"{_ROUTED} SELECT ['linkedin', 'indeed', 'glassdoor'][n % 3 + 1] AS site, round = 1 OR n % 2 = 0 AS already_exists, count(*) AS n FROM r WHERE outcome = 'accepted' GROUP BY ALL")
 def ingest_already_exists(spark, sf_dir):
-    rows = ingest.accepted(ingest.route(adapter.envelopes(spark, sf_dir))).select("site", "job_url", "doc_id", "arrival")
-    target = canon(spark, sf_dir).where(F.col("site_job_id").cast("long") % 2 == 0).select(F.col("source_site").alias("site"), "job_url")
+    rows = arrived(spark, sf_dir)
+    target = known(spark, sf_dir)
     return ingest.outcome_of_insert(rows, target, ["site", "job_url"], "arrival").groupBy("site", "already_exists").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_ROUTED} SELECT ['linkedin', 'indeed', 'glassdoor'][n % 3 + 1] AS site, count(*) AS n FROM r WHERE outcome = 'accepted' AND round = 0 AND n % 2 = 1 GROUP BY ALL")
 def ingest_insert_if_absent(spark, sf_dir):
-    rows = ingest.accepted(ingest.route(adapter.envelopes(spark, sf_dir))).select("site", "job_url", "doc_id", "arrival")
-    target = canon(spark, sf_dir).where(F.col("site_job_id").cast("long") % 2 == 0).select(F.col("source_site").alias("site"), "job_url")
+    rows = arrived(spark, sf_dir)
+    target = known(spark, sf_dir)
     new = ingest.insert_if_absent(ingest.first_wins(rows, ["site", "job_url"], "arrival"), target, ["site", "job_url"])
     return new.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
 
@@ -145,9 +161,9 @@ def ingest_insert_if_absent(spark, sf_dir):
 def ingest_across_batches(spark, sf_dir):
     """Two of the sites arrive in a first batch, and all of them again in a second: it adds the third site's postings only."""
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
-    sent = adapter.envelopes(spark, sf_dir)
-    ingest.write_batch(ingest.route(sent.where("doc_id % 3 > 0")), path, 1)
-    ingest.write_batch(ingest.route(sent), path, 2)
+    every = sent(spark, sf_dir)
+    ingest.write_batch(ingest.route(every.where("doc_id % 3 > 0")), path, 1)
+    ingest.write_batch(ingest.route(every), path, 2)
     version = versions.current(spark, path)
     parts = [spark.read.parquet(f"{path}/{version.batches[str(b)]}/canonical").select(F.lit(b).alias("batch"), F.col("source_site").alias("site")) for b in (1, 2)]
     return parts[0].unionByName(parts[1]).groupBy("batch", "site").agg(F.count(F.lit(1)).alias("n"))

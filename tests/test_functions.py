@@ -15,6 +15,7 @@ from postlake.operators import corpus as C
 from postlake.operators import cycles, ingest, listing, project, runs
 from postlake.operators import dedup as D
 from postlake.sources import adapter, versions
+from postlake.sources.store import stored
 
 
 def values(spark, fn, given, kind="string"):
@@ -98,7 +99,7 @@ PARTS = ("canonical", "payloads", "linkedin_jobs", "indeed_jobs", "glassdoor_job
 def test_ingest_across_batches(spark, tmp_path):
     """A posting that an earlier batch has adds nothing, in any part; a batch that is run again changes nothing."""
     path = f"file://{tmp_path}/out"
-    sent = adapter.envelopes(spark, "/root/testdata/sf0.001")
+    sent = stored(adapter.envelopes(spark, "/root/testdata/sf0.001"))
     old, every = ingest.route(sent.where("doc_id < 100")), ingest.route(sent)
     count = lambda: {t: versions.read(spark, path, t).count() for t in PARTS}
     assert versions.read(spark, path, "canonical") is None
@@ -117,7 +118,7 @@ def test_ingest_across_batches(spark, tmp_path):
 
 def test_ingest_dies_between_any_two_steps(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/out"
-    routed = ingest.route(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 40"))
+    routed = ingest.route(stored(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 40")))
     ingest.write_batch(routed.where("doc_id < 20"), path, 1)
     ids = lambda: sorted(r.id for r in versions.read(spark, path, "canonical").select("id").collect())
     before = ids()
@@ -147,7 +148,7 @@ def test_ingest_dies_between_any_two_steps(spark, tmp_path, monkeypatch):
 
 def test_stored_keys_are_not_shuffled(spark, tmp_path):
     path = f"file://{tmp_path}/out"
-    ingest.write_batch(ingest.route(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 20")), path, 1)
+    ingest.write_batch(ingest.route(stored(adapter.envelopes(spark, "/root/testdata/sf0.001").where("doc_id < 20"))), path, 1)
     rows = spark.createDataFrame([("indeed", "u")], "site string, job_url string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
