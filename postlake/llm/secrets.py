@@ -36,12 +36,12 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are matched whole, so this is: all runs, short ones dropped
 _MORE = (
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("key_block", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s{0,4}([A-Za-z0-9+/=\s]{16,}+)"), 1),
     ("prefixed", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"), 0),
     ("url_login", re.compile(r"://[A-Za-z0-9._-]{1,64}:([^\s/@:]{6,128})@"), 1),
 )
-_GATES = {"jwt": "eyJ", "key_block": "PRIVATE KEY", "prefixed": "_", "url_login": "://"}
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_GATES = {"key_block": "PRIVATE KEY", "prefixed": "_", "url_login": "://"}
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("random", pa.bool_())])
 
 
@@ -52,12 +52,32 @@ def looks_random(value: str) -> bool:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= 3.0
 
 
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of three runs of letters, digits, - and _ with dots between: the first holds eyJ, the second begins with it. Each run is looked at once."""
+    if "eyJ" not in text:
+        return
+    head = payload = None
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        joined = payload is not None and start == payload[1] + 1 and text[start - 1] == "."
+        if joined and head is not None and end - start >= 8:
+            yield head, end
+            head = payload = None
+            continue
+        head = None
+        if joined and text.startswith("eyJ", start) and end - start >= 11:  # the second of three, if the run before holds a beginning
+            at = text.find("eyJ", payload[0], payload[1])
+            head = at if at >= 0 and payload[1] - at >= 11 else None
+        payload = (start, end)
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) in order of start, then kind; ends are exclusive, places are code points."""
     found = [(0, *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(1, *m.span(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, *m.span(), m[0]) for m in _HEX.finditer(text)]
+    found += [(KINDS.index("jwt"), start, end, text[start:end]) for start, end in web_tokens(text)]
     for name, pattern, group in _MORE:
         if _GATES[name] in text:
             found += [(KINDS.index(name), *m.span(), m[group]) for m in pattern.finditer(text)]

@@ -201,7 +201,7 @@ def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
     prints, classes, lowest = _classes(own, radius, shingle)
     of = salted_lookup(classes, lowest.select("class", "component_id"), ["class"], "fp").select("fp", "component_id")
-    return salted_lookup(prints, of, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_lookup(prints, of, ["fp"], "uid").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:

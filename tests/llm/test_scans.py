@@ -188,3 +188,17 @@ def test_empty_and_clashing(none, clashing, odd):
     for scan in (secrets.scan_secrets, pii.scan_pii, licenses.scan_licenses):
         assert scan(none).count() == 0
         assert scan(clashing).count() == len(odd[0])
+
+
+def test_web_tokens_are_found_once_and_in_linear_time():
+    import random
+    import re
+    import time
+
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choice(("eyJ", "eyJabcdefgh", ".", ".", "a", "-", " ", "abcdefgh", "x")) for _ in range(rng.randint(0, 14)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in pattern.finditer(text)], text
+    start = time.time()
+    assert list(secrets.web_tokens("aeyJ" * 500_000)) == [] and time.time() - start < 5
