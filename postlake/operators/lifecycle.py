@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def orphans(rows: DataFrame, parents: DataFrame, key: str = "source_row_id") ->
     return rows.join(parents, key, "left_anti")
 
 
+def orphans_of(rows: DataFrame, parents: dict[str, DataFrame], site: str = "source_site", key: str = "source_row_id") -> DataFrame:
+    """Rows whose parent is in none of the sources' tables: a key counts in its own site's table only."""
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(s).alias(site), key) for s, df in parents.items()])
+    return rows.join(every, [site, key], "left_anti")
+
+
 def disagreements(a: DataFrame, b: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Rows of a whose column differs from b's; nulls agree with nulls only."""
     return a.join(b.select(*keys, F.col(column).alias("_other")), keys).where(~F.col(column).eqNullSafe(F.col("_other"))).drop("_other")

@@ -73,10 +73,14 @@ def newest_match(triggers: DataFrame, runs: DataFrame, site: str, at: str, run_a
     return best.select("trigger_id", F.col("_best.run_id").alias("run_id"))
 
 
-def matrix(spark, sites: list[str], keywords: list[str]) -> DataFrame:
-    """Every site with every keyword, in the order of a scan."""
-    one = spark.range(1).select(F.posexplode(F.array(*map(F.lit, sites))).alias("site_idx", "site"))
-    return one.select("*", F.posexplode(F.array(*map(F.lit, keywords))).alias("kw_idx", "keyword")).select("site_idx", "kw_idx", "site", "keyword")
+def matrix(sites: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Every enabled site with every keyword, in the order of a scan: by site, then by keyword. sites: site, place; keywords: keyword, place.
+
+    Both are settings that validation bounds (30 scans at most), so each is one row with an array.
+    """
+    listed = lambda df, c: df.agg(F.transform(F.array_sort(F.collect_set(F.struct("place", c))), lambda x: x[c]).alias(f"{c}s"))
+    one = listed(sites, "site").join(F.broadcast(listed(keywords, "keyword")))  # a row each
+    return one.select("keywords", F.posexplode("sites").alias("site_idx", "site")).select("site_idx", "site", F.posexplode("keywords").alias("kw_idx", "keyword")).select("site_idx", "kw_idx", "site", "keyword")
 
 
 def eligible(sites: DataFrame, states: DataFrame, most_failures: int) -> DataFrame:

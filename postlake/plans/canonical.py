@@ -246,6 +246,17 @@ def orphan_check(spark, sf_dir):
     return lifecycle.orphans(rows, parents).select("id", "source_site")
 
 
+@query(stored("SELECT source_site, count(*) AS n FROM stored WHERE (doc_id % 3 = 0 AND doc_id % 50 = 17) OR (doc_id % 3 = 1 AND doc_id % 40 = 9) GROUP BY ALL"))
+def orphans_of_three_tables(spark, sf_dir):
+    """Canonical rows against the three flat tables, of which two lack some rows; a row of another site's table is no parent."""
+    flat = flat_tables(spark, sf_dir)
+    row_id = lambda site: F.sha2(F.concat(F.lit(f"row:{site}:"), "job_url"), 256).alias("source_row_id")
+    key = {"linkedin": "job_posting_id", "indeed": "jobkey", "glassdoor": "listing_id"}
+    gone = {"linkedin": "% 50 = 17", "indeed": "% 40 = 9", "glassdoor": "< 0"}
+    parents = {site: df.where(f"NOT cast({key[site]} AS BIGINT) {gone[site]}").select(row_id(site)) for site, df in flat.items()}
+    return lifecycle.orphans_of(table(spark, sf_dir), parents).groupBy("source_site").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(stored("SELECT source_site, count(*) AS n FROM stored WHERE (doc_id % 11 = 4) IS DISTINCT FROM (doc_id % 22 = 4) GROUP BY ALL"))
 def agreement_check(spark, sf_dir):
     rows = table(spark, sf_dir)

@@ -124,12 +124,13 @@ def trigger_run_match(spark, sf_dir):
     return R.newest_match(triggers, o.where("status = 'completed'"), "site", "at", "started_at", 10, 5)
 
 
-_WORDS = "['data engineer', 'analyst', 'backend', 'platform']"
-
-
-@query(f"SELECT CAST(i AS INTEGER) AS site_idx, CAST(k AS INTEGER) AS kw_idx, (['linkedin', 'indeed', 'glassdoor'])[i + 1] AS site, ({_WORDS})[k + 1] AS keyword FROM range(3) a(i), range(4) b(k)")
+@query("""WITH s AS (SELECT r_name AS site, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region WHERE r_regionkey < 3), k AS (SELECT c_mktsegment AS keyword, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS j FROM customer GROUP BY c_mktsegment)
+    SELECT CAST(i AS INTEGER) AS site_idx, CAST(j AS INTEGER) AS kw_idx, site, keyword FROM s, k""")
 def site_keyword_matrix(spark, sf_dir):
-    return R.matrix(spark, ["linkedin", "indeed", "glassdoor"], ["data engineer", "analyst", "backend", "platform"])
+    """Enabled sites and keywords from tables, each in its table's order."""
+    sites = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_name").alias("site"), F.col("r_regionkey").alias("place"))
+    keywords = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("keyword")).agg(F.min("c_custkey").alias("place"))
+    return R.matrix(sites, keywords)
 
 
 @query("SELECT 's' || s_suppkey AS site FROM supplier WHERE s_suppkey % 5 = 0 OR (s_suppkey % 6 < 3 AND s_nationkey % 7 <> 0)")
