@@ -19,15 +19,30 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 DUCK_STAMP = "'%Y-%m-%d %H:%M:%S'"
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells an input from what it was before: its files with their sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 @lru_cache(maxsize=8)
-def flat_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The flat tables as ingest leaves them, written once for each input of a session."""
+def _flat_tables(spark: SparkSession, sf_dir: str, stamp: tuple) -> dict[str, DataFrame]:
     return {site: stored_table(df.drop("source_raw", "site")) for site, df in project.flat_rows(adapter.payloads(spark, sf_dir)).items()}
 
 
 @lru_cache(maxsize=8)  # of plans, not rows: building one takes seconds
+def _canon(spark: SparkSession, sf_dir: str, stamp: tuple) -> DataFrame:
+    return project.canonical_of(_flat_tables(spark, sf_dir, stamp))
+
+
+def flat_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The flat tables as ingest leaves them, written once for each state of an input in a session."""
+    return _flat_tables(spark, sf_dir, _stamp(spark, sf_dir))
+
+
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project.canonical_of(flat_tables(spark, sf_dir))
+    return _canon(spark, sf_dir, _stamp(spark, sf_dir))
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
