@@ -10,7 +10,8 @@ The content is shuffled as a zstd frame, made by one library at one level: equal
 other way round.
 
 Defined results: a null text counts as empty; a null doc_id is below every other; among rows with the same text and the
-same largest doc_id one stays; an empty table gives an empty result; other columns are carried by keep_one().
+same largest doc_id one stays; an empty table gives an empty result; other columns are carried by keep_one(); a text of
+any length is compared whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ is suppressed. Base phrases are reported whatever the rules say.
 Everything is a map over rows: no shuffle, and memory for one batch.
 
 Defined results: a null text counts as empty (no words, null first and last word, empty labels, score 0); repeated rows
-give a row each; other columns are not looked at; an empty table gives no row.
+give a row each; other columns are not looked at; a text of any length is scanned whole; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ half that document off its target. A source's groups grow in number, not in size
 size, or by row where more than ``SAME`` rows share both.
 
 Defined results: a null or empty text has size 0 and takes nothing; chance comes from hashes of ids, so reruns agree,
-and of repeated rows any may get the copies; an empty table gives no row. Groups hold numbers only, never texts.
+and of repeated rows any may get the copies; an empty table gives no row; a text of any length is counted whole; mixed_rows()
+carries other columns. Groups hold numbers only, never texts.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ part of all instances. Instances leave the scan as hashes.
 Base shapes are found in time linear in the text: an email is looked for around each @, digits from the start of a run.
 
 Defined results: a null text counts as empty; repeated rows give a row each; an empty table gives no row; other
-columns are not looked at.
+columns are not looked at; a text of any length is scanned whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ held out by ``held_out`` are never learned from; labels, language, source and id
 Defined results: a null text counts as empty; an empty text has the zero vector and gets a score like any other; a null
 id is held out; several labels of one id count by their mean, null labels not at all; of several texts of one id the one
 with the least pooled vector is learned from; with no usable labels of both
-kinds the score is the share of label 1 (0.5 without any); an empty table gives no row.
+kinds the score is the share of label 1 (0.5 without any); an empty table gives no row; a text of any length is pooled whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ examples go back to the candidates, salted, since one example key may stand in a
 the scan as SHA-256 only.
 
 Defined results: a null text counts as empty; a null owner or repository counts as one of its own; repeated rows give a
-row each; an empty table gives no row.
+row each; a text of any length is scanned whole, in time linear in it; other columns are not looked at; an empty table
+gives no row.
 """
 
 from __future__ import annotations
