@@ -9,7 +9,11 @@ unseen instances as spans of the kind context.
 What looks like an identifier only starts this: patterns that are sure of such instances then propose whatever fills
 their slots, of any shape, in a second scan. The pattern's score is then taken again over all instances and fillers,
 where only seeds count for it, so that a pattern which leads to ordinary words is no longer sure; those still sure
-report their fillers.
+report their fillers. Of fillers that overlap, the leftmost counts.
+
+How many patterns are sure grows with the corpus, so their list goes nowhere whole: tasks get a Bloom filter of fixed
+size (``SIEVE``), propose what may fill a slot, and a join with the patterns decides. False positives only add
+proposals.
 
 The graph has one edge for each distinct pattern and instance, so it is as small as the vocabulary of contexts; sums by
 pattern are combined in map tasks, and scores go back to edges by salted joins, since one pattern may lead to a large
@@ -27,16 +31,22 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_lookup
+from .common import materialize, salted_lookup, shuffle_partitions
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
 PATTERN_SCORE = 0.8
 SEEDS = 5
+#: The Bloom filter of sure patterns has 2**SIEVE bits: 1 MB.
+SIEVE = 23
+_HASHES = 4
+_SEEN = 1 << 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -118,21 +128,52 @@ def _letters(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalpha())
 
 
-def fillers(text: str, taken: list[tuple[int, int, int]], sure: _Sure) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, sure patterns) of what fills the slots of sure patterns, apart from taken.
+class Sieve:
+    """Bloom filter of strings: false for one that was not put in, but for false positives."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = bits, len(bits) * 8 - 1
+        self.seen: dict[str, bool] = {}
+
+    def __contains__(self, key: str) -> bool:
+        known = self.seen.get(key)
+        if known is None:
+            h = xxhash.xxh64_intdigest(key, 42)
+            low, step = h & 0xFFFFFFFF, h >> 32
+            places = [(low + k * step) & self.mask for k in range(_HASHES)]
+            known = all(self.bits[p >> 3] >> (p & 7) & 1 for p in places)
+            if len(self.seen) < _SEEN:
+                self.seen[key] = known
+        return known
+
+
+def sieve_of(patterns: DataFrame, bits: int = SIEVE) -> Sieve:
+    """patterns: pattern. Filter of 2**bits bits of the patterns and of the words before their slots."""
+    before = F.element_at(F.split(F.element_at(F.split("pattern", " _"), 1), " "), -1)
+    h = F.xxhash64(F.col("key"))
+    low, step = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    place = F.explode(F.array(*((low + k * step).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(_HASHES))))
+    keys = patterns.select(F.explode(F.array("pattern", before)).alias("key")).distinct()
+    cells = keys.select(place.alias("place")).select(F.shiftright("place", 3).cast("int").alias("cell"), F.expr("shiftleft(1, CAST(place & 7 AS INT))").alias("bit"))
+    table = cells.groupBy("cell").agg(F.bit_or("bit").alias("byte")).toArrow()  # at most 2**(bits - 3) rows
+    out = np.zeros(1 << bits - 3, np.uint8)
+    out[table.column("cell").to_numpy()] = table.column("byte").to_numpy()
+    return Sieve(out.tobytes())
+
+
+def fillers(text: str, taken: list[tuple[int, int, int]], sure) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, sure patterns) of what fills the slots of sure patterns, apart from taken; they may overlap.
 
     A filler is a token between spaces without the marks around it; tokens with digits, and those that "at" or "dot"
-    join, are one.
+    join, are one. sure tells of a pattern, and of a word before a slot, whether it is one.
     """
-    ones, spans, s = sure.ones, sorted((a, b) for _, a, b in taken), 0
+    spans, s = sorted((a, b) for _, a, b in taken), 0
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     words: dict[str, str] = {}
     two = one = ""
-    k = 0
-    while k < len(tokens):
-        a, b = tokens[k]
-        first = k
-        if one in ones:
+    for first, (a, b) in enumerate(tokens):
+        if one and one in sure:
+            k = first
             while k + 1 < len(tokens) and tokens[k + 1][0] - b <= 2 and b - a <= _LONGEST:
                 c, d = tokens[k + 1]
                 if text[b - 1] not in ",;!?" and _DIGIT.search(text, tokens[k][0], b) and _DIGIT.search(text, c, d):
@@ -154,51 +195,46 @@ def fillers(text: str, taken: list[tuple[int, int, int]], sure: _Sure) -> Iterat
                 own = [p for p, ok in ((f"{one} _", True), (f"{two} {one} _", two), (f"{one} _ {after}", after)) if ok and p in sure]
                 if own:
                     yield x, y, own
-                else:
-                    k = first
-            else:
-                k = first
-        for j in range(max(first, k - 1), k + 1):
-            token = text[tokens[j][0] : tokens[j][1]]
-            word = words.get(token)
-            if word is None:
-                word = words[token] = _letters(token)
-            two, one = one, word
-        k += 1
+        token = text[slice(*tokens[first])]
+        word = words.get(token)
+        if word is None:
+            word = words[token] = _letters(token)
+        two, one = one, word
 
 
-class _Sure(frozenset):
-    """Patterns, with their words before the slot."""
-
-    @property
-    def ones(self) -> set[str]:
-        if not hasattr(self, "_ones"):
-            self._ones = {p.split(" _")[0].split(" ")[-1] for p in self}
-        return self._ones
-
-
-def _slots(sure: list[str], places: bool):
-    """Fillers of the slots of sure patterns: (uid, start, end, instance), or the distinct edges (pattern, instance) of a batch."""
+def _slots(bits: bytes):
+    """(text, uid) -> a row for each thing that may fill a slot."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Sure(sure)
+        sieve = Sieve(bits)
         for batch in batches:
-            out: dict[tuple, None] = {}
+            out = []
             for text, uid in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py() or ""
-                for a, b, own in fillers(text, base_spans(text), known):
-                    key = instance(text[a:b])
-                    if places:
-                        out[uid, a, b, key] = None
-                    else:
-                        out.update(dict.fromkeys((p, key) for p in own))
-            names = ["uid", "start", "end", "instance"] if places else ["pattern", "instance"]
-            types = [pa.int64()] * 4 if places else [pa.string(), pa.int64()]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names=names)
+                out += [(uid, a, b, instance(text[a:b]), own) for a, b, own in fillers(text, base_spans(text), sieve)]
+            types = [pa.int64()] * 4 + [pa.list_(pa.string())]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], names=["uid", "start", "end", "instance", "patterns"])
 
     return slots
 
 
+def leftmost(proposed: DataFrame) -> DataFrame:
+    """proposed: uid, start, end, instance, pattern. The rows of each uid's spans from left to right that do not begin inside the last one kept."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = uid = None
+        for batch in batches:
+            rows = []
+            for u, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if u != uid or a >= last[1]:
+                    uid, last = u, (a, b)
+                rows.append((a, b) == last)
+            yield batch.filter(pa.array(rows, pa.bool_()))
+
+    by = proposed.select("uid", "start", "end", "instance", "pattern").repartition(shuffle_partitions(proposed.sparkSession), "uid").sortWithinPartitions("uid", "start")
+    return by.mapInArrow(keep, by.schema)
+
+
 def instance(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -248,11 +284,13 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     edges = materialize(edges)
     pats, insts = score_graph(edges, rounds)
     sure = materialize(pats.where((F.col("score") >= pattern_score) & (F.col("seeds") >= seeds)).select("pattern", F.lit(True).alias("sure")))
-    slots = own.select("text", "uid")
-    filled = slots.mapInArrow(_slots([r.pattern for r in sure.collect()], False), "pattern string, instance long").withColumn("seed", F.lit(False))
+    proposed = own.select("text", "uid").mapInArrow(_slots(sieve_of(sure).bits), "uid long, start long, end long, instance long, patterns array<string>")
+    proposed = salted_lookup(proposed.select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure").drop("sure")
+    proposed = materialize(proposed)
+    filled = leftmost(proposed).select("pattern", "instance").distinct().withColumn("seed", F.lit(False))
     rated = edges.unionByName(filled).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).groupBy("pattern").agg((F.count_if("seed") / (F.count(F.lit(1)) + 1.0)).alias("score"))
-    still = rated.join(sure, "pattern", "left_semi").where(F.col("score") >= pattern_score)
-    filled = slots.mapInArrow(_slots([r.pattern for r in still.collect()], True), "uid long, start long, end long, instance long")
+    still = rated.join(sure, "pattern", "left_semi").where(F.col("score") >= pattern_score).select("pattern", F.lit(True).alias("still"))
+    filled = leftmost(salted_lookup(proposed, still, ["pattern"], "uid").where("still"))
     led = salted_lookup(found.where("kind = 4").select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure")
     led = salted_lookup(led.select("uid", "start", "end", "instance").distinct(), insts, ["instance"], "uid").where(F.col("score") >= pattern_score)
     led = led.select("uid", "start", "end").unionByName(filled.select("uid", "start", "end")).distinct()

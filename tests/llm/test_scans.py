@@ -82,6 +82,103 @@ def test_personal_context_of_any_shape(spark):
     assert all(out[300 + k].n_context == 0 for k in range(26))
 
 
+def context_by_brute_force(texts):
+    """Spans of the kind context of each text, by dictionaries and one pass from left to right."""
+    from math import prod
+
+    letters = lambda t: "".join(c for c in t.lower() if c.isalpha())
+    found = [(k, kind, a, b) for k, t in enumerate(texts) for kind, a, b in pii.base_spans(t) + [(4, *s) for s in pii.unseen(t, pii.base_spans(t))]]
+    edges = {}
+    for k, kind, a, b in found:
+        for p in pii.patterns(texts[k], a, b):
+            edges[p, texts[k][a:b]] = edges.get((p, texts[k][a:b]), False) or kind < 4
+    own = {}
+    for _ in range(pii.ROUNDS):
+        score, seeds, insts = {}, {}, {}
+        for p in {p for p, _ in edges}:
+            rates = [(1.0 if seed else own.get(i, 0.0), seed) for (q, i), seed in edges.items() if q == p]
+            score[p], seeds[p] = sum(r for r, _ in rates) / (len(rates) + 1), sum(seed for _, seed in rates)
+        for (p, i), seed in edges.items():
+            if not seed:
+                insts.setdefault(i, []).append(score[p])
+        own = {i: 1 - prod(1 - x for x in xs) for i, xs in insts.items()}
+    sure = {p for p in score if score[p] >= pii.PATTERN_SCORE and seeds[p] >= pii.SEEDS}
+
+    def slots(text, known):
+        taken, tokens, k, out = pii.base_spans(text), [m.span() for m in re.finditer(r"\S+", text)], 0, []
+        while k < len(tokens):
+            one, two = letters(text[slice(*tokens[k - 1])]) if k else "", letters(text[slice(*tokens[k - 2])]) if k > 1 else ""
+            end, digit = k, lambda j: re.search("[0-9]", text[slice(*tokens[j])])
+            while end + 1 < len(tokens) and tokens[end + 1][0] - tokens[end][1] <= 2 and tokens[end][1] - tokens[k][0] <= 64:
+                if digit(end) and digit(end + 1) and text[tokens[end][1] - 1] not in ",;!?":
+                    end += 1
+                elif end + 2 < len(tokens) and text[slice(*tokens[end + 1])].strip("()[]{}<>").lower() in ("at", "dot"):
+                    end += 2
+                else:
+                    break
+            a, b = tokens[k][0], tokens[end][1]
+            while a < b and text[a] in "\"'`<[{,;:=":
+                a += 1
+            while a < b and text[b - 1] in "\"'`>]},;:.!?":
+                b -= 1
+            after = letters(text[slice(*tokens[end + 1])]) if end + 1 < len(tokens) else ""
+            ps = {p for p, ok in ((f"{one} _", one), (f"{two} {one} _", one and two), (f"{one} _ {after}", one and after)) if ok and p in known}
+            if ps and a < b and all(y <= a or x >= b for _, x, y in taken):
+                out.append((a, b, ps))
+                k = end
+            k += 1
+        return out
+
+    every = dict(edges)
+    for t in texts:
+        for a, b, ps in slots(t, sure):
+            for p in ps:
+                every.setdefault((p, t[a:b]), False)
+    part = {p: [seed for (q, _), seed in every.items() if q == p] for p in sure}
+    still = {p for p, xs in part.items() if sum(xs) / (len(xs) + 1) >= pii.PATTERN_SCORE}
+    out = []
+    for k, t in enumerate(texts):
+        spans = {(a, b) for j, kind, a, b in found if j == k and kind == 4 and own[t[a:b]] >= pii.PATTERN_SCORE and sure & set(pii.patterns(t, a, b))}
+        spans |= {(a, b) for a, b, _ in slots(t, still)}
+        out.append(sorted(s for s in spans if not any((a <= s[0] and s[1] <= b) and (a, b) != s for a, b in spans)))
+    return out
+
+
+def test_personal_context_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    shapes = [
+        lambda: f"+1 555 {digits(3)} {digits(4)}", lambda: f"+1 555 {digits(3)} {digits(4)}", lambda: f"u{digits(4)}@mail.org", lambda: f"10.{rng.randint(0, 255)}.0.{rng.randint(0, 255)}", lambda: f"ID-{digits(7)}",
+        lambda: f"{digits(3)} {digits(3)} {digits(4)}", lambda: f"u{digits(2)} at mail dot org", lambda: rng.choice(("the", "later", "at 5", "home:", "(x)")),
+    ]
+    lead = ("call me at", "reach us on", "dial", "write to", "see page", "host")
+    weights = {"call me at": [9, 9, 0, 0, 1, 1, 1, 0], "reach us on": [5, 5, 5, 0, 1, 1, 0, 0], "dial": [9, 9, 0, 0, 0, 2, 0, 1], "write to": [0, 0, 9, 0, 1, 0, 2, 9], "see page": [0, 0, 0, 0, 9, 1, 0, 5], "host": [0, 0, 0, 9, 1, 0, 0, 0]}
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            name = rng.choice(lead)
+            parts.append(f"{name} {rng.choices(shapes, weights[name])[0]()}{rng.choice(('', ' now', ',', '.'))}")
+        texts.append(" ".join(parts))
+    texts += ["", "dial " * 200 + "555 010 9999", "call me at dial 555 010 1234 at home dot org now"]
+    want = context_by_brute_force(texts)
+    got = {r.doc_id: r.spans for r in pii.scan_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = lambda s: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("context:")]
+    assert [spans(got[k]) for k in range(len(texts))] == want
+    assert sum(map(len, want)) > 50
+
+
+def test_sieve_holds_all_that_was_put_in(spark):
+    put = [f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]} _ {'abcdefghij'[k // 100]}x" for k in range(1000)]
+    for bits, most in ((23, 0), (10, 5000)):
+        sieve = pii.sieve_of(spark.createDataFrame([(p,) for p in put], "pattern string"), bits)
+        assert len(sieve.bits) == 2**bits // 8 and all(p in sieve and p.split(" _")[0] in sieve for p in put)
+        assert sum(f"no {k} _" in sieve for k in range(5000)) <= most
+    assert "x _" not in pii.sieve_of(spark.createDataFrame([], "pattern string"))
+
+
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
