@@ -9,7 +9,7 @@ unseen instances as spans of the kind context.
 What looks like an identifier only starts this: patterns that are sure of such instances then propose whatever fills
 their slots, of any shape, in a second scan. The pattern's score is then taken again over all instances and fillers,
 where only seeds count for it, so that a pattern which leads to ordinary words is no longer sure; those still sure
-report their fillers. Of fillers that overlap, the leftmost counts.
+report their fillers. Of fillers that overlap, the leftmost is reported; scores count all.
 
 How many patterns are sure grows with the corpus, so their list goes nowhere whole: tasks get a Bloom filter of fixed
 size (``SIEVE``), propose what may fill a slot, and a join with the patterns decides. False positives only add
@@ -46,6 +46,8 @@ SEEDS = 5
 #: The Bloom filter of sure patterns has 2**SIEVE bits: 1 MB.
 SIEVE = 23
 _HASHES = 4
+#: One document of so many tells first which patterns are unsure for certain.
+FIRST = 16
 _SEEN = 1 << 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,6 +136,17 @@ class Sieve:
     def __init__(self, bits: bytes):
         self.bits, self.mask = bits, len(bits) * 8 - 1
         self.seen: dict[str, bool] = {}
+        self.words: dict[str, tuple[str, bool]] = {}
+
+    def word(self, token: str) -> tuple[str, bool]:
+        """The token's letters, and whether they stand before a slot."""
+        known = self.words.get(token)
+        if known is None:
+            word = _letters(token)
+            known = word, word != "" and word in self
+            if len(self.words) < _SEEN:
+                self.words[token] = known
+        return known
 
     def __contains__(self, key: str) -> bool:
         known = self.seen.get(key)
@@ -161,18 +174,19 @@ def sieve_of(patterns: DataFrame, bits: int = SIEVE) -> Sieve:
     return Sieve(out.tobytes())
 
 
-def fillers(text: str, taken: list[tuple[int, int, int]], sure) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, sure patterns) of what fills the slots of sure patterns, apart from taken; they may overlap.
+def fillers(text: str, sure: Sieve) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, sure patterns) of what fills the slots of sure patterns, apart from base spans; they may overlap.
 
     A filler is a token between spaces without the marks around it; tokens with digits, and those that "at" or "dot"
-    join, are one. sure tells of a pattern, and of a word before a slot, whether it is one.
+    join, are one.
     """
-    spans, s = sorted((a, b) for _, a, b in taken), 0
+    spans, s = None, 0
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    words: dict[str, str] = {}
-    two = one = ""
+    two, one, leads = "", "", False
     for first, (a, b) in enumerate(tokens):
-        if one and one in sure:
+        if leads:
+            if spans is None:
+                spans = sorted((x, y) for _, x, y in base_spans(text))
             k = first
             while k + 1 < len(tokens) and tokens[k + 1][0] - b <= 2 and b - a <= _LONGEST:
                 c, d = tokens[k + 1]
@@ -195,11 +209,7 @@ def fillers(text: str, taken: list[tuple[int, int, int]], sure) -> Iterator[tupl
                 own = [p for p, ok in ((f"{one} _", True), (f"{two} {one} _", two), (f"{one} _ {after}", after)) if ok and p in sure]
                 if own:
                     yield x, y, own
-        token = text[slice(*tokens[first])]
-        word = words.get(token)
-        if word is None:
-            word = words[token] = _letters(token)
-        two, one = one, word
+        two, (one, leads) = one, sure.word(text[tokens[first][0] : tokens[first][1]])
 
 
 def _slots(bits: bytes):
@@ -211,7 +221,7 @@ def _slots(bits: bytes):
             out = []
             for text, uid in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py() or ""
-                out += [(uid, a, b, instance(text[a:b]), own) for a, b, own in fillers(text, base_spans(text), sieve)]
+                out += [(uid, a, b, instance(text[a:b]), own) for a, b, own in fillers(text, sieve)]
             types = [pa.int64()] * 4 + [pa.list_(pa.string())]
             yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], names=["uid", "start", "end", "instance", "patterns"])
 
@@ -274,6 +284,19 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     return pats, insts
 
 
+def _proposed(texts: DataFrame, sure: DataFrame) -> DataFrame:
+    """What may fill the slots of sure patterns: uid, start, end, instance, pattern, sure."""
+    slots = texts.select("text", "uid").mapInArrow(_slots(sieve_of(sure).bits), "uid long, start long, end long, instance long, patterns array<string>")
+    return salted_lookup(slots.select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure")
+
+
+def _still(edges: DataFrame, sure: DataFrame, proposed: DataFrame, least: float) -> DataFrame:
+    """The sure patterns of which seeds are still the share ``least`` of all instances and proposed fillers."""
+    every = edges.join(sure, "pattern", "left_semi").unionByName(proposed.select("pattern", "instance", F.lit(False).alias("seed")))
+    shares = every.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).groupBy("pattern").agg((F.count_if("seed") / (F.count(F.lit(1)) + 1.0)).alias("score"))
+    return shares.where(F.col("score") >= least).select("pattern", F.lit(True).alias("sure"))
+
+
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE, seeds: int = SEEDS) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context."""
     own = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid")))
@@ -283,15 +306,13 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     edges = found.select(F.explode("patterns").alias("pattern"), "instance", (F.col("kind") < 4).alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = materialize(edges)
     pats, insts = score_graph(edges, rounds)
-    sure = materialize(pats.where((F.col("score") >= pattern_score) & (F.col("seeds") >= seeds)).select("pattern", F.lit(True).alias("sure")))
-    proposed = own.select("text", "uid").mapInArrow(_slots(sieve_of(sure).bits), "uid long, start long, end long, instance long, patterns array<string>")
-    proposed = salted_lookup(proposed.select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure").drop("sure")
-    proposed = materialize(proposed)
-    filled = leftmost(proposed).select("pattern", "instance").distinct().withColumn("seed", F.lit(False))
-    rated = edges.unionByName(filled).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).groupBy("pattern").agg((F.count_if("seed") / (F.count(F.lit(1)) + 1.0)).alias("score"))
-    still = rated.join(sure, "pattern", "left_semi").where(F.col("score") >= pattern_score).select("pattern", F.lit(True).alias("still"))
-    filled = leftmost(salted_lookup(proposed, still, ["pattern"], "uid").where("still"))
-    led = salted_lookup(found.where("kind = 4").select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), sure, ["pattern"], "uid").where("sure")
+    led_by = materialize(pats.where((F.col("score") >= pattern_score) & (F.col("seeds") >= seeds)).select("pattern", F.lit(True).alias("sure")))
+    # Fillers only lower a score, so patterns that those of some documents make unsure are unsure: the scan of all documents is spared them.
+    first = own.where(F.pmod(F.xxhash64("uid"), F.lit(FIRST)) == 0)
+    sure = materialize(_still(edges, led_by, _proposed(first, led_by), pattern_score))
+    proposed = materialize(_proposed(own, sure))
+    filled = leftmost(salted_lookup(proposed.drop("sure"), _still(edges, sure, proposed, pattern_score), ["pattern"], "uid").where("sure"))
+    led = salted_lookup(found.where("kind = 4").select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern")), led_by, ["pattern"], "uid").where("sure")
     led = salted_lookup(led.select("uid", "start", "end", "instance").distinct(), insts, ["instance"], "uid").where(F.col("score") >= pattern_score)
     led = led.select("uid", "start", "end").unionByName(filled.select("uid", "start", "end")).distinct()
     # Of spans that lie within each other the longest stays.

@@ -104,7 +104,7 @@ def context_by_brute_force(texts):
         own = {i: 1 - prod(1 - x for x in xs) for i, xs in insts.items()}
     sure = {p for p in score if score[p] >= pii.PATTERN_SCORE and seeds[p] >= pii.SEEDS}
 
-    def slots(text, known):
+    def slots(text, known, apart):
         taken, tokens, k, out = pii.base_spans(text), [m.span() for m in re.finditer(r"\S+", text)], 0, []
         while k < len(tokens):
             one, two = letters(text[slice(*tokens[k - 1])]) if k else "", letters(text[slice(*tokens[k - 2])]) if k > 1 else ""
@@ -125,13 +125,13 @@ def context_by_brute_force(texts):
             ps = {p for p, ok in ((f"{one} _", one), (f"{two} {one} _", one and two), (f"{one} _ {after}", one and after)) if ok and p in known}
             if ps and a < b and all(y <= a or x >= b for _, x, y in taken):
                 out.append((a, b, ps))
-                k = end
+                k = end if apart else k
             k += 1
         return out
 
     every = dict(edges)
     for t in texts:
-        for a, b, ps in slots(t, sure):
+        for a, b, ps in slots(t, sure, False):
             for p in ps:
                 every.setdefault((p, t[a:b]), False)
     part = {p: [seed for (q, _), seed in every.items() if q == p] for p in sure}
@@ -139,7 +139,7 @@ def context_by_brute_force(texts):
     out = []
     for k, t in enumerate(texts):
         spans = {(a, b) for j, kind, a, b in found if j == k and kind == 4 and own[t[a:b]] >= pii.PATTERN_SCORE and sure & set(pii.patterns(t, a, b))}
-        spans |= {(a, b) for a, b, _ in slots(t, still)}
+        spans |= {(a, b) for a, b, _ in slots(t, still, True)}
         out.append(sorted(s for s in spans if not any((a <= s[0] and s[1] <= b) and (a, b) != s for a, b in spans)))
     return out
 
