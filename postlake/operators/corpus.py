@@ -71,8 +71,7 @@ def similar_to_corpus(queries: DataFrame, others: DataFrame, percent: int, featu
     n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("texts"), F.count_if("asks").alias("asks")).first()
     if not percent or not n["asks"] or n["rows"] < 10 or n["texts"] < 2:
         return rows.where("false").select("id", F.col("id").alias("original"), F.lit(0.0).alias("score"))
-    pairs = dedup.similar_pairs(dedup.weights(rows, features=features), rows.where("bucket IS NOT NULL").select("id", "bucket"), percent / 100)
-    return dedup.flag_similar(pairs, rows).join(rows.where("asks").select("id"), "id", "left_semi")
+    return dedup.similar_flags(dedup.weights(rows, features=features), rows, percent / 100, F.col("asks"))
 
 
 def decide(rows: DataFrame, same: DataFrame, similar: DataFrame) -> DataFrame:

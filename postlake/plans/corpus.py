@@ -10,7 +10,7 @@ from ..operators import dedup as D
 from ..operators import reports as P
 from ..sources.store import stored as kept_table
 from .canonical import canon
-from .dedup import _DECIDED, _EQUAL, _GATE0, _GATE1, _HEAD, _PAIRS, _TEXT, GATES, aged, gated, greedy, pairs
+from .dedup import _DECIDED, _EQUAL, _GATE0, _GATE1, _HEAD, _PAIRS, _TEXT, GATES, aged, flags, gated, greedy, survivors
 from .expected import CANON
 from .registry import query, table
 
@@ -23,8 +23,7 @@ _DUPS = f"""{_PAIRS}, k AS (SELECT CASE WHEN x.created_at > y.created_at THEN a
 def decided(spark, sf_dir):
     """Gates, equal texts and similar texts of all postings, each in the place that the rule gives it."""
     same = D.oldest_of_equal(aged(spark, sf_dir), X.content_hash(F.col("text"))).where("original IS NOT NULL").select("id", "original")
-    similar = D.flag_similar(pairs(spark, sf_dir), aged(spark, sf_dir))
-    return C.decide(gated(spark, sf_dir).select(F.col("doc_id").alias("id"), "pass0", "pass1"), same, similar)
+    return C.decide(gated(spark, sf_dir).select(F.col("doc_id").alias("id"), "pass0", "pass1"), same, flags(spark, sf_dir))
 
 
 @query(f"{_DUPS} SELECT id, reason, original, score FROM decided")
@@ -67,7 +66,7 @@ def dedup_threshold_zero(spark, sf_dir):
 @query(f"{_PAIRS}, k AS (SELECT CASE WHEN x.created_at > y.created_at THEN a ELSE b END AS id, CASE WHEN x.created_at > y.created_at THEN b ELSE a END AS original, score FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE x.created_at <> y.created_at) SELECT id, arg_max(original, (score, -original)) AS original, max(score) AS score FROM k WHERE id % 2 = 0 GROUP BY ALL")
 def dedup_wider_corpus(spark, sf_dir):
     """A batch, the even postings, against all survivors: only its own rows are flagged."""
-    rows = D.oldest_of_equal(aged(spark, sf_dir), X.content_hash(F.col("text"))).where("original IS NULL").select("id", "text", "bucket", "created_at")
+    rows = kept_table(survivors(spark, sf_dir).select("id", "text", "bucket", "created_at"))
     return C.similar_to_corpus(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 85)
 
 
@@ -178,7 +177,7 @@ def dedup_company_region(spark, sf_dir):
     flagged = D.oldest_of_equal(rows, F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)))
     same = flagged.where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score"))
     left = kept_table(flagged.where("original IS NULL").select("id", "text", "bucket", "created_at"))
-    return C.audit(same.unionByName(D.representatives(kept_table(D.weights(left)), left, 0.85)), rows).select("id", "original", "score", "kind")
+    return C.audit(same.unionByName(D.representatives(D.weights(left), left, 0.85)), rows).select("id", "original", "score", "kind")
 
 
 @query(f"{_REPOSTS} SELECT kind, count(*) AS n FROM recorded GROUP BY ALL")

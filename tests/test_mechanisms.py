@@ -190,3 +190,41 @@ def test_side_output_reads_its_input_once(spark):
     """Both tables come from one stream: each row is in one of them."""
     counts = streams.stream_split_late(spark, str(DATA)).agg(F.sum("kept"), F.sum("late")).first()
     assert sum(counts) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_tiles_find_what_brute_force_finds(spark, monkeypatch):
+    """Blocks of few terms and parts of few rows: all pairs, and the best older row, across blocks, parts and buckets."""
+    from postlake.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK", 300)
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(80)}" for _ in range(n)] for n in (3, 12, 30)]
+    rows = []
+    for k in range(120):
+        words = list(rng.choice(bases))
+        words[rng.randrange(len(words))] = f"w{rng.randrange(80)}"
+        rows.append((k, " ".join(words), rng.choice(("a", "a", "b", None)), rng.choice((None, *range(40)))))
+    cosine = cosines([r[1] for r in rows])
+    pairs = {(a, b): cosine(a, b) for a, _, p, _ in rows for b, _, q, _ in rows if a < b and p and p == q and cosine(a, b) >= 0.85}
+    df = stored(spark.createDataFrame(rows, "id long, text string, bucket string, created_at long"))
+    vectors = stored(D.weights(df))
+    assert {(r.a, r.b): r.score for r in D.similar_pairs(vectors, df, 0.85).collect()} == pairs and len(pairs) > 50
+    ages, both = {r[0]: r[3] for r in rows}, [(*p, s) for p, s in pairs.items()] + [(b, a, s) for (a, b), s in pairs.items()]
+    for asks, least in ((None, 1), (F.col("id") % 3 == 0, 3)):
+        want = {}
+        for a, b, s in both:
+            if a % least == 0 and None not in (ages[a], ages[b]) and ages[b] < ages[a]:
+                want[a] = max(want.get(a, (0, 0)), (s, -b))
+        got = {r.id: (r.score, -r.original) for r in D.similar_flags(vectors, df, 0.85, asks).collect()}
+        assert got == want and got
+
+
+def test_flags_do_not_list_pairs(spark):
+    """Near copies of one bucket: tiles give a row for each row that goes, not its pairs."""
+    from postlake.operators import similar
+
+    text = " ".join(f"w{k}" for k in range(400))
+    df = stored(spark.range(2000).select("id", F.concat(F.lit(text + " x"), F.col("id") % 50).alias("text"), F.lit("b").alias("bucket"), F.col("id").alias("created_at")))
+    rows = similar.packed(D.weights(df), df)
+    assert similar._compared(rows, None, 0.85, True).count() <= 2000
+    assert similar.best_older(rows, 0.85).count() == 1999
