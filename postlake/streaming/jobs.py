@@ -96,10 +96,16 @@ def terminal_lock(events: DataFrame, status: Column) -> DataFrame:
 
 
 def cooled_down(stops: DataFrame, triggers: DataFrame, key: str, seconds: int = 5) -> DataFrame:
-    """Triggers that come within ``seconds`` after a stop of their key: two streams joined by key and interval."""
-    a = stops.withWatermark("ts", "1 hour").withColumnsRenamed({key: "_key", "ts": "_stopped"})
-    b = triggers.withWatermark("ts", "1 hour")
-    return b.join(a, (F.col(key) == F.col("_key")) & (F.col("ts") > F.col("_stopped")) & (F.col("ts") <= F.col("_stopped") + F.expr(f"INTERVAL {seconds} SECONDS")))
+    """Triggers that come within ``seconds`` after a stop of their key: two streams joined by key and interval.
+
+    The join's key has the span of ``seconds`` too, and a stop stands in its own span and the next, so that a trigger meets
+    the stops near it and each once, not all of its key.
+    """
+    span = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000))
+    a = stops.withWatermark("ts", "1 hour").withColumn("_near", F.explode(F.array(span, span + 1))).withColumnsRenamed({key: "_key", "ts": "_stopped"})
+    b = triggers.withWatermark("ts", "1 hour").withColumn("_span", span)
+    near = (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_near"))
+    return b.join(a, near & (F.col("ts") > F.col("_stopped")) & (F.col("ts") <= F.col("_stopped") + F.expr(f"INTERVAL {seconds} SECONDS"))).drop("_near", "_span")
 
 
 def to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
