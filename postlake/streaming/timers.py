@@ -35,7 +35,7 @@ def merge_spans(spans: list[tuple[int, int, int]], times: list[int], gap: int) -
 
 
 class Heartbeats(StatefulProcessor):
-    """Open spans of a key, each with a timer ``gap_ms`` after its last beat; a timer that fires tells that the key is dead."""
+    """Open spans of a key, and one timer, ``gap_ms`` after the last beat of the span that ends first; when it fires, the spans that are over tell that the key was dead."""
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms * 1000
@@ -48,26 +48,29 @@ class Heartbeats(StatefulProcessor):
         """The span is over once the watermark is here, in milliseconds."""
         return -(-(last + self.gap) // 1000)
 
+    def _next(self, spans: list[tuple[int, int, int]]) -> int:
+        """The timer of the key: spans are in order of time."""
+        return self._due(spans[0][1])
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = [tuple(s) for s in self.open.get()]
-        before = {self._due(s[1]) for s in spans}
-        for frame in rows:
-            spans = merge_spans(spans, frame["at"].tolist(), self.gap)
-        after = {self._due(s[1]) for s in spans}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
+        before = [tuple(s) for s in self.open.get()]
+        spans = merge_spans(before, [t for frame in rows for t in frame["at"].tolist()], self.gap)
+        if not before or self._next(before) != self._next(spans):
+            if before:
+                self.handle.deleteTimer(self._next(before))
+            self.handle.registerTimer(self._next(spans))
         self.open.put(spans)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(s) for s in self.open.get()]
-        over = [s for s in spans if self._due(s[1]) <= due]
-        left = [s for s in spans if self._due(s[1]) > due]
+        due, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        over, left = [], []
+        for s in self.open.get():
+            at = self._due(s[1])
+            (over if at <= due or at < now else left).append(tuple(s))
         if left:
             self.open.put(left)
+            self.handle.registerTimer(self._next(left))
         else:
             self.open.clear()
         stamp = lambda k: pd.to_datetime([s[k] for s in over], unit="us", utc=True)

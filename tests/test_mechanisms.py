@@ -220,11 +220,63 @@ def test_tiles_find_what_brute_force_finds(spark, monkeypatch):
 
 
 def test_flags_do_not_list_pairs(spark):
-    """Near copies of one bucket: tiles give a row for each row that goes, not its pairs."""
+    """Near copies of one bucket: tiles give at most a row for each row and block, here two, not its pairs."""
     from postlake.operators import similar
 
     text = " ".join(f"w{k}" for k in range(400))
     df = stored(spark.range(2000).select("id", F.concat(F.lit(text + " x"), F.col("id") % 50).alias("text"), F.lit("b").alias("bucket"), F.col("id").alias("created_at")))
     rows = similar.packed(D.weights(df), df)
-    assert similar._compared(rows, None, 0.85, True).count() <= 2000
+    assert similar._compared(rows, None, 0.85, True).count() <= 4000
     assert similar.best_older(rows, 0.85).count() == 1999
+
+
+def test_a_key_has_one_timer(spark):
+    """Spans apart wait for one timer of their key; it tells all that are over and is set again for the rest."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.spans, self.timers = [], set()
+
+        getListState = lambda self, *a: self
+        get = lambda self: iter(self.spans)
+
+        def put(self, spans):
+            self.spans = list(spans)
+
+        def clear(self):
+            self.spans = []
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Fired:
+        def __init__(self, t):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: t
+
+    h, p = Handle(), timers.Heartbeats(10)
+    p.init(h)
+    list(p.handleInputRows((1,), iter([pd.DataFrame({"at": [0, 50_000, 100_000, 900_000]})]), None))
+    assert len(h.spans) == 4 and h.timers == {10}
+    list(p.handleInputRows((1,), iter([pd.DataFrame({"at": [5_000]})]), None))
+    assert h.timers == {15}
+    h.timers.remove(15)  # as Spark does with one that fires
+    first = pd.concat(p.handleExpiredTimer((1,), Fired(200), Fired(15)))
+    assert first["beats"].tolist() == [2, 1, 1] and h.timers == {910} and len(h.spans) == 1
+    h.timers.remove(910)
+    assert pd.concat(p.handleExpiredTimer((1,), Fired(1000), Fired(910)))["beats"].tolist() == [1] and not h.spans and not h.timers
+
+
+def test_cooldown_joins_by_spans_of_time(spark, tmp_path):
+    """On the edges of spans of time, with the time in the key of the join: a site's rows are not each compared with each."""
+    rows = [(k, f"2024-01-01 00:{m:02d}:{s:02d}", "error" if k % 2 else "click") for k, (m, s) in enumerate([(4, 59), (5, 0), (5, 0), (0, 0), (10, 0), (10, 0), (10, 1), (9, 59), (15, 0), (4, 58)])]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string").selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "event_type", "1L AS site").write.parquet(f"{tmp_path}/in")
+    e = jobs.read(spark, f"{tmp_path}/in")
+    stream = jobs.cooled_down(e.where("event_type = 'error'").select("site", "ts", F.col("event_id").alias("s")), e.where("event_type = 'click'").select("site", "ts", F.col("event_id").alias("t")), "site", 300)
+    at = {k: (lambda m, s: int(m) * 60 + int(s))(*t[14:].split(":")) for k, t, _ in rows}
+    want = sorted((t, s) for t in at for s in at if t % 2 == 0 and s % 2 and 0 < at[t] - at[s] <= 300)
+    assert sorted((r.t, r.s) for r in jobs.to_table(stream, shared(spark), "append").collect()) == want and len(want) > 5
+    assert "_span" in stream._jdf.queryExecution().analyzed().toString()  # from the plan
