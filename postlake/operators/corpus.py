@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from . import dedup
 
 # Reasons that dedup itself gives, and so may take back.
@@ -71,7 +72,8 @@ def similar_to_corpus(queries: DataFrame, others: DataFrame, percent: int, featu
     n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("texts"), F.count_if("asks").alias("asks")).first()
     if not percent or not n["asks"] or n["rows"] < 10 or n["texts"] < 2:
         return rows.where("false").select("id", F.col("id").alias("original"), F.lit(0.0).alias("score"))
-    return dedup.similar_flags(dedup.weights(rows, features=features), rows, percent / 100, F.col("asks"))
+    texts = stored(dedup.bags(rows, "id", "bucket", "created_at", "asks"))
+    return dedup.similar_flags(dedup.vectors(texts, dedup.vocabulary(texts, features)), None, percent / 100, F.col("asks"))
 
 
 def decide(rows: DataFrame, same: DataFrame, similar: DataFrame) -> DataFrame:

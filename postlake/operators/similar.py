@@ -20,8 +20,13 @@ BLOCK, PART = 1 << 19, 512
 _BEST, _PAIR = "id long, original long, score double", "a long, b long, score double"
 
 
-def packed(vectors: DataFrame, rows: DataFrame) -> DataFrame:
-    """vectors: id, no, w; rows: id, bucket, created_at. A row for each vector of a bucket, with arrays no and w; written once."""
+def packed(vectors: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """vectors: id, no, w, a row a term; rows: id, bucket, created_at. A row for each vector of a bucket, with arrays no and w; written once.
+
+    Without rows, vectors has all these columns, arrays no and w, and a row a vector: nothing is shuffled then.
+    """
+    if rows is None:
+        return stored(vectors.where("bucket IS NOT NULL").withColumn("created_at", F.col("created_at").cast("long")))
     v = vectors.groupBy("id").agg(F.collect_list(F.struct("no", "w")).alias("v"))
     own = rows.where("bucket IS NOT NULL").select("id", "bucket", F.col("created_at").cast("long").alias("created_at"))
     return stored(own.join(v, "id").select("id", "bucket", "created_at", F.col("v.no").alias("no"), F.col("v.w").alias("w")))

@@ -280,3 +280,33 @@ def test_cooldown_joins_by_spans_of_time(spark, tmp_path):
     want = sorted((t, s) for t in at for s in at if t % 2 == 0 and s % 2 and 0 < at[t] - at[s] <= 300)
     assert sorted((r.t, r.s) for r in jobs.to_table(stream, shared(spark), "append").collect()) == want and len(want) > 5
     assert "_span" in stream._jdf.queryExecution().analyzed().toString()  # from the plan
+
+
+def shuffled(spark, run) -> int:
+    """Rows that the shuffles of run() wrote."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(s.shuffleWriteRecords() for s in _listed(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+    before = written()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def _listed(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_words_of_postings_are_not_shuffled(spark):
+    """300 texts of 500 words of their own: 150,000 rows of words, of which a shuffle sees no more than the terms' totals, and the vectors no row a word."""
+    from postlake.operators import bags
+
+    words = F.expr("transform(sequence(1, 500), k -> concat('w', id, '_', k))")
+    df = stored(spark.range(300).select("id", F.array_join(words, " ").alias("text"), F.lit("b").alias("bucket"), F.col("id").alias("created_at")))
+    texts = D.bags(df, "id", "bucket", "created_at")
+    assert shuffled(spark, lambda: texts.write.format("noop").mode("overwrite").save()) == 0
+    terms = D.vocabulary(texts)
+    assert shuffled(spark, lambda: D.similar_flags(D.vectors(texts, terms), None, 0.85).collect()) < 2_000
+    odd = spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "id long, text string")
+    got = {r.id: dict(zip(r.word, r.n, strict=True)) for r in bags.counted(odd, F.split("text", " "), "id").collect()}
+    assert got == {1: {"a": 1, "b": 2}, 2: {}, 3: {"": 1}}
