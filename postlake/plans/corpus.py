@@ -173,11 +173,12 @@ _REPOSTS = f"""WITH RECURSIVE {CANON}, {_BUCKET}, {_SAME_BUCKET}, {greedy('pairs
 @query(f"{_REPOSTS} SELECT id, original, score, kind FROM recorded")
 def dedup_company_region(spark, sf_dir):
     """Equal, then similar texts of one company in one region: the earliest stays, and every other is recorded with it, its score and kind."""
-    rows = kept_table(reposted(spark, sf_dir))
-    flagged = D.oldest_of_equal(rows, F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)))
+    every = reposted(spark, sf_dir)
+    rows = kept_table(every.select("id", "source_site", "created_at", F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)).alias("digest")))
+    flagged = D.oldest_of_equal(rows, F.col("digest"))
     same = flagged.where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score"))
-    left = kept_table(flagged.where("original IS NULL").select("id", "text", "bucket", "created_at"))
-    return C.audit(same.unionByName(D.representatives(D.weights(left), left, 0.85)), rows).select("id", "original", "score", "kind")
+    left = kept_table(D.bags(every, "id", "bucket", "created_at").join(flagged.where("original IS NULL").select("id"), "id", "left_semi"))
+    return C.audit(same.unionByName(D.representatives(D.vectors(left, D.vocabulary(left)), None, 0.85)), rows).select("id", "original", "score", "kind")
 
 
 @query(f"{_REPOSTS} SELECT kind, count(*) AS n FROM recorded GROUP BY ALL")
