@@ -87,9 +87,10 @@ _LANG = r"""tw AS (SELECT doc_id, lang AS told, unnest(regexp_extract_all(lower(
 def languages(spark, sf_dir):
     """doc_id, lang as a model tells it that has learned from four fifths of the labelled documents; null where a text tells none."""
     docs = table(spark, sf_dir, "documents")
-    own = stored(L.words(docs, "doc_id").join(docs.select("doc_id", F.col("lang").alias("told")), "doc_id"))
+    texts = stored(L.bags(docs.select("doc_id", F.col("lang").alias("told"), "text"), "doc_id", "told"))
+    own = L.each_word(texts)
     model = stored(L.profiles(own.where("doc_id % 5 > 0"), "told"))
-    return docs.select("doc_id", F.col("lang").alias("told")).join(L.predict(own, model, "doc_id"), "doc_id", "left")
+    return texts.select("doc_id", "told").join(L.predict(own.drop("told"), model, "doc_id"), "doc_id", "left")
 
 
 @query(f"WITH {_LANG} SELECT doc_id, best.lang AS lang, CASE WHEN best.lang <> 'en' THEN 'language' END AS gate FROM documents LEFT JOIN best USING (doc_id)")

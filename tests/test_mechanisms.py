@@ -310,3 +310,15 @@ def test_words_of_postings_are_not_shuffled(spark):
     odd = spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "id long, text string")
     got = {r.id: dict(zip(r.word, r.n, strict=True)) for r in bags.counted(odd, F.split("text", " "), "id").collect()}
     assert got == {1: {"a": 1, "b": 2}, 2: {}, 3: {"": 1}}
+
+
+def test_words_of_languages_are_not_shuffled(spark):
+    """A text's words stay in its task but for rare ones; whatever counts as frequent, texts get the same language."""
+    rows = [(k, ("de", "en")[k % 2], " ".join(f"{('ich', 'the')[k % 2]}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}" for j in range(k % 7, 400))) for k in range(200)]
+    df = stored(spark.createDataFrame(rows, "id long, lang string, text string"))
+    texts = stored(language.bags(df, "id", "lang"))
+    own = language.each_word(texts)
+    model = stored(language.profiles(own, "lang"))
+    told = [{r.id: r.lang for r in language.predict(own.drop("lang"), model, "id", n).collect()} for n in (1, 100, 1 << 16)]
+    assert told == [{r[0]: r[1] for r in rows}] * 3
+    assert shuffled(spark, lambda: language.predict(own.drop("lang"), model, "id").collect()) < 40_000  # 80,000 words
