@@ -8,8 +8,17 @@ header with something after it rules its own line, a header alone rules the line
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from ..sources.store import stored
+from .bags import lists, rows_of
+
+#: A vocabulary of at most so many aliases is sent to every task; n-grams of texts are shuffled to a larger one.
+FEW = 1 << 16
 
 #: Our own configuration: what may open a section.
 HEADERS = {
@@ -44,28 +53,51 @@ def grown(rows: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
 
 def lines(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key, line (from 0), section, body: the lines of each text, headers cut off."""
-    each = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "raw"))
     head = {k: rf"(?i)^\s*(?:{p})\s*:\s*" for k, p in HEADERS.items()}
-    opens = F.coalesce(*[F.when(F.col("raw").rlike(p), k) for k, p in head.items()])
-    body = F.col("raw")
-    for k, p in head.items():
-        body = F.when(F.col("opens") == k, F.regexp_replace("raw", p, "")).otherwise(body)
-    each = each.withColumn("opens", opens).withColumn("body", body)
-    alone = F.col("opens").isNotNull() & (F.trim("body") == "")
-    blank = F.trim("raw") == ""
-    # what holds after this line: a header alone rules on, a blank line or a header with its text ends what ruled
-    state = F.when(alone, F.col("opens")).when(blank | F.col("opens").isNotNull(), F.lit("other"))
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    section = F.coalesce("opens", F.last(state, ignorenulls=True).over(w), F.lit("other"))
-    return each.withColumn("section", section).select(key, "line", "section", "body")
+    opens = lambda raw: F.coalesce(*[F.when(raw.rlike(p), k) for k, p in head.items()])
+
+    def body_of(raw: Column, own: Column) -> Column:
+        out = raw
+        for k, p in head.items():
+            out = F.when(own == k, F.regexp_replace(raw, p, "")).otherwise(out)
+        return out
+
+    def parted(raw: Column) -> Column:
+        own = opens(raw)
+        return F.struct(own.alias("opens"), body_of(raw, own).alias("body"), (F.trim(raw) == "").alias("blank"))
+
+    def state(x: Column) -> Column:
+        """What holds after this line: a header alone rules on, a blank line or a header with its text ends what ruled."""
+        alone = x["opens"].isNotNull() & (F.trim(x["body"]) == "")
+        return F.when(alone, x["opens"]).when(x["blank"] | x["opens"].isNotNull(), F.lit("other"))
+
+    rows = texts.select(key, F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), parted).alias("x"))
+    rows = rows.select(key, "x", _ruling(F.transform("x", state)).alias("rules"))
+    each = rows.select(key, F.posexplode(F.arrays_zip("x", "rules")).alias("line", "l"))
+    return each.select(key, "line", F.coalesce("l.x.opens", "l.rules", F.lit("other")).alias("section"), F.col("l.x.body").alias("body"))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _ruling(states: pa.Array) -> pa.Array:
+    """Of each line the last state that is told before it in its text, so that lines need no shuffle and no sort."""
+    flat, row = states.flatten(), rows_of(states)
+    at = np.arange(len(flat))
+    last = np.maximum.accumulate(np.where(flat.is_valid().to_numpy(zero_copy_only=False), at, -1)) if len(flat) else at
+    last = np.concatenate([[-1], last[:-1]])[: len(flat)]
+    sizes = states.value_lengths().fill_null(0).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return lists(offsets, flat.take(pa.array(last, mask=last < offsets[row])))
 
 
 def matches(parts: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
     """parts: key, line, section, body; vocab: as vocabulary() gives it. Rows key, line, section, skill, start, n: words start .. start + n - 1 of the line."""
-    longest = vocab.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
+    vocab = stored(vocab)
+    size = vocab.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    longest, known = size["n"], vocab.select("alias", "skill")
+    known = F.broadcast(known) if size["rows"] <= FEW else known
     words = parts.select(key, "line", "section", words_of(F.col("body")).alias("w")).where(F.size("w") > 0)
     grams = F.flatten(F.expr(f"transform(sequence(1, least({longest}, size(w))), k -> transform(sequence(1, size(w) - k + 1), i -> named_struct('start', i - 1, 'n', k, 'alias', array_join(slice(w, i, k), ' '))))"))
-    found = words.select(key, "line", "section", F.explode(grams).alias("g")).select(key, "line", "section", "g.*").join(vocab.select("alias", "skill"), "alias")
+    found = words.select(key, "line", "section", F.explode(grams).alias("g")).select(key, "line", "section", "g.*").join(known, "alias")
     before = Window.partitionBy(key, "line").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.max(F.col("start") + F.col("n")).over(before) >= F.col("start") + F.col("n"), F.lit(False))
     return found.withColumn("_inside", inside).where(~F.col("_inside")).select(key, "line", "section", "skill", "start", "n")

@@ -322,3 +322,13 @@ def test_words_of_languages_are_not_shuffled(spark):
     told = [{r.id: r.lang for r in language.predict(own.drop("lang"), model, "id", n).collect()} for n in (1, 100, 1 << 16)]
     assert told == [{r[0]: r[1] for r in rows}] * 3
     assert shuffled(spark, lambda: language.predict(own.drop("lang"), model, "id").collect()) < 40_000  # 80,000 words
+
+
+def test_lines_and_grams_of_postings_are_not_shuffled(spark):
+    """20 texts of 2,000 lines: neither the lines nor their n-grams are shuffled to a small vocabulary; a text's state does not reach the next."""
+    body = "Required:\nspark\n\nnothing" + "\nplain words here" * 2_000
+    texts = stored(spark.range(20).select("id", F.when(F.col("id") % 2 == 0, F.lit(body)).otherwise(F.lit("spark\nNice:\nspark")).alias("text")).coalesce(1))
+    vocab = K.vocabulary(spark.createDataFrame([("spark", None)], "skill string, alias string"))
+    got: list = []
+    assert shuffled(spark, lambda: got.extend(K.matches(K.lines(texts), vocab).collect())) < 1_000
+    assert sorted((r.id % 2, r.line, r.section) for r in got) == sorted([(0, 1, "required"), (1, 0, "other"), (1, 2, "preferred")] * 10)
