@@ -133,7 +133,7 @@ def _write_parts(routed: DataFrame, path: str, folder: str, version: Version, to
     spark = routed.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{folder}/{name}", compression="zstd")
         return spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
 
     arrived = kept(keyed(routed), "arrivals")
