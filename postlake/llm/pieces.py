@@ -13,13 +13,14 @@ table of merges (BPE) are ranks, whose sums mean nothing: there the fold takes t
 and an edge replaces the pieces within it if both its ends are still ends of pieces. That is the merging itself, since
 every piece of such a table is what its own text merges to: while its ends stand, nothing outside touches it.
 
-Every word of the corpus takes this way once. The ``FREQUENT`` most frequent words, a list of a proven size, go to every
-task as they are encoded. Documents are dealt to chunks of some ``CHUNK`` characters by a hash of id and text; for
-every chunk the other words in it meet by word, are encoded and go back by chunk, where the chunk's texts follow
-them: each is put together from both lists. So what is shuffled beside the texts is rare words, once for each chunk.
+Texts are read once. A task cuts its texts into words and numbers the words of each ``CHUNK`` characters; it writes
+a row for each such chunk: its words, and for every place in its texts the number of the word there. The words of all
+chunks meet by word, each is encoded once, and its ids go back to the chunks that have it. The rows of chunks are in
+buckets by chunk, so they are not shuffled; a task puts a chunk's ids together by their numbers. So what is shuffled
+is the distinct words of chunks, and their ids.
 
 A word of over ``LONGEST`` characters (a run that no cut divides) is encoded by the same rule in the task that has its
-text, since its edges would be one row too large for a fold.
+chunk, since its edges would be one row too large for a fold.
 
 Defined results: a null text counts as empty and has no pieces; a mark (U+2581) in a text decodes to a space, as with
 the library; repeated rows give a row each; an empty table gives no row; a text of any length is encoded whole.
@@ -28,32 +29,28 @@ the library; repeated rows give a row each; an empty table gives no row; a text
 from __future__ import annotations
 
 import heapq
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bucketed, shuffle_partitions
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 18
-CHUNK = 1 << 23
-#: A part of a partition's distinct tokens is counted at once; words that occur fewer times in a full part are not offered as frequent ones.
-_PART = 300_000
-#: Tokens of frequent words only that a task remembers.
-_KNOWN = 200_000
+#: Characters whose distinct words are numbered together, and those that are cut at once.
+CHUNK = 1 << 24
+_PART = 1 << 20
+#: Words whose ids are put together at once.
+_PLACES = 1 << 20
 LONGEST = 4096
 _INNER = -(1 << 31)
 _FEW = 0x250
-_LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").fullmatch
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([!-@\\[-`{-~]*)").fullmatch
-_TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*").findall
 
 
 @dataclass(frozen=True)
@@ -96,38 +93,33 @@ class Pieces:
         return cls(table, joined, raw, byte_ids, min(s for _, s in table.values()) - 10, max(map(len, table)), merges)
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """The text split before every run of spaces and every line break; a token has a space before it, but for one that starts with a line break."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return [t[1:] if t[0] == " " else t for t in _TOKENS(" " + text.replace(MARK, " "))]
-    return text.replace("\n", " \n").split(" ")
-
-
-class Cutter(dict):
-    """Cuts tokens into words: between characters that no piece holds together; plain letters are left in one run.
-
-    Remembers what follows such a run: few marks and digits are distinct.
-    """
+class Cutter:
+    """Cuts texts into words: between characters that no piece holds together."""
 
     def __init__(self, joined: frozenset[str]):
-        self.joined = joined
-        self.plain = not any(_LETTER(pair[0]) and not _LETTER(pair[1]) and pair[1].isascii() for pair in joined)
-
-    def __missing__(self, text: str) -> tuple[str, ...]:
-        at = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.joined]
-        words = tuple(text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True))
-        if len(text) < 8 and len(self) < 50_000:
-            self[text] = words
-        return words
-
-    def __call__(self, token: str) -> tuple[str, ...]:
-        m = _SIMPLE(token) if self.plain and len(token) < 64 else None
-        if m is None or not m[1]:
-            return self[token if token[:1] == "\n" else " " + token]
-        own = (" " + m[1],) if m[1].isascii() else self[" " + m[1]]
-        return (*own, *self[m[2]]) if m[2] else own
+        first, second = ({c: k for k, c in enumerate(sorted({p[at] for p in joined}), 1)} for at in (0, 1))
+        self.first, self.second = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        for of, numbers, step in ((self.first, first, len(second) + 1), (self.second, second, 1)):
+            of[[ord(c) for c in numbers]] = [k * step for k in numbers.values()]
+        self.apart = np.ones((len(first) + 1) * (len(second) + 1), bool)
+        self.apart[[self.first[ord(p[0])] + self.second[ord(p[1])] for p in joined]] = False
+
+    def __call__(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, one after the other, and how many each text has; an empty text has none."""
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        whole = "".join(x for t in texts if t for x in (" ", t)).replace(MARK, " ")
+        chars, body = np.frombuffer(whole.encode("utf-32-le"), "<u4"), whole.encode()
+        starts = np.ones(len(chars) + 1, bool)
+        if len(chars):
+            starts[1:-1] = self.apart[self.first[chars[:-1]] + self.second[chars[1:]]]
+        text_starts = np.cumsum(sizes) - sizes
+        starts[text_starts] = True
+        at = np.flatnonzero(starts)
+        n_words = np.diff(np.searchsorted(at, np.append(text_starts, len(chars))))
+        if len(body) > len(chars):
+            at = np.concatenate(([0], np.cumsum(1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000))))[at]
+        words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(body))
+        return words.dictionary_encode(), n_words
 
 
 def merged(word: str, table: Pieces) -> list[str]:
@@ -248,172 +240,161 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     return lattice.select("word", fold.alias("ids")).select("word", F.when(F.exists("ids", lambda k: k < 0), whole).otherwise(F.col("ids")).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, table: Pieces, most: int = FREQUENT) -> DataFrame:
-    """docs: text. The most frequent words, near enough: it decides which words go to every task, not what they become."""
-    joined = table.joined
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Packed: the lowest bytes of all numbers, then the next ones, by zstd."""
+    import zstandard
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        cut = Cutter(joined)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-        def out() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            least = 1 + (len(seen) > _PART // 15) + (len(seen) >= _PART)  # a word that stands in rare tokens only is no frequent one
-            for token, k in seen.items():
-                if k > 1 or least == 1:
-                    for w in cut(token):
-                        words[w] += k
-            full = [(w, k) for w, k in words.items() if k >= least and len(w) <= LONGEST]
-            return pa.record_batch([pa.array([w for w, _ in full], pa.string()), pa.array([k for _, k in full], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens_of(text.as_py()))
-                if len(seen) >= _PART:
-                    yield out()
-                    seen.clear()
-        yield out()
+def grown(body: bytes) -> np.ndarray:
+    """The numbers that shrunk() packed, below 2**31."""
+    import zstandard
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _rare(frequent, joined: frozenset[str]):
-    """Rows (chunk, text): the words of each chunk that are not frequent; each once for a part of a partition."""
+_CHUNKS = "chunk long, doc_ids array<long>, n_words array<int>, places binary, words array<string>, long_words array<struct<k: int, word: string>>"
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = frequent.value, Cutter(joined)
-        plain: set[str] = set()  # tokens of frequent words only
-        chunks, size = {}, 0
 
-        def out() -> pa.RecordBatch:
-            k = np.repeat(np.fromiter(chunks, np.int64, len(chunks)), list(map(len, chunks.values())))
-            return pa.record_batch([pa.array(k), pa.array([w for own in chunks.values() for w in own], pa.string())], names=["chunk", "word"])
+def _chunks(joined: frozenset[str], most: int, longest: int):
+    """Rows _CHUNKS: words that are not too long by number, frequent ones first, the others with their numbers; places: the packed number of each place's word."""
 
-        for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = chunks.setdefault(chunk, set())
-                before = len(own)
-                for token in set(tokens_of(text.as_py())) - plain:
-                    words = [w for w in cut(token) if w not in known]
-                    if words:
-                        own.update(w for w in words if len(w) <= LONGEST)
-                    elif len(plain) < _KNOWN:
-                        plain.add(token)
-                size += len(own) - before
-                if size > _PART:
-                    yield out()
-                    chunks.clear()
-                    size = 0
-        if chunks:
-            yield out()
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return rare
+        cut, task = Cutter(joined), TaskContext.get().partitionId()
+        doc_ids, texts, parts, counts, size, held, n = [], [], [], [], 0, 0, 0
 
+        def cut_part() -> None:
+            nonlocal held
+            words, n_words = cut(texts)
+            parts.append(words)
+            counts.append(n_words)
+            texts.clear()
+            held = 0
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+        def out() -> pa.RecordBatch:
+            nonlocal size, n
+            whole = pa.chunked_array(parts).unify_dictionaries()
+            places = np.concatenate([x.indices.to_numpy() for x in whole.chunks])
+            words = whole.chunk(0).dictionary
+            by_count = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), np.int32)
+            number[by_count] = np.arange(len(words), dtype=np.int32)
+            words = words.take(pa.array(by_count))
+            too_long = pc.greater(pc.utf8_length(words), longest)
+            far = [{"k": k, "word": words[k].as_py()} for k in np.flatnonzero(too_long.to_numpy(zero_copy_only=False)).tolist()]
+            row = {
+                "chunk": pa.array([task << 32 | n], pa.int64()),
+                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
+                "n_words": pa.array([np.concatenate(counts)], pa.list_(pa.int32())),
+                "places": pa.array([shrunk(number[places])], pa.binary()),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.if_else(too_long, None, words).cast(pa.string())),
+                "long_words": pa.array([far], pa.list_(pa.struct([("k", pa.int32()), ("word", pa.string())]))),
+            }
+            for own in (doc_ids, parts, counts):
+                own.clear()
+            size, n = 0, n + 1
+            return pa.RecordBatch.from_pydict(row)
 
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = [squeeze(t) if (t := text.as_py()) else None for text in batch.column(2).cast(pa.binary())]
-        yield pa.record_batch([batch.column(0), pa.array([True] * len(texts), pa.bool_()), batch.column(1), pa.array(texts, pa.binary())], names=["chunk", "text_row", "doc_id", "body"])
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                doc_ids.append(doc_id)
+                texts.append(text)
+                size, held = size + len(text) + 1, held + len(text) + 1
+                if held >= min(_PART, most):
+                    cut_part()
+                if size >= most:
+                    if texts:
+                        cut_part()
+                    yield out()
+        if texts:
+            cut_part()
+        if doc_ids:
+            yield out()
 
+    return chunks
 
-def _encoder(table, frequent):
-    """Rows by chunk: first those of its words (word, ids), then those of its texts. A row for each text."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def frequent_words(docs: DataFrame, table: Pieces, most: int = FREQUENT) -> DataFrame:
+    """docs: doc_id, text. The words that are in the most chunks. encode() needs no such list: each word is encoded once."""
+    words = docs.select("doc_id", "text").mapInArrow(_chunks(table.joined, CHUNK, LONGEST), _CHUNKS).select(F.explode("words").alias("word"))
+    return words.where("word IS NOT NULL").groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
 
-        own, common, unsqueeze = table.value, frequent.value, zstandard.ZstdDecompressor().decompress
-        rare: dict[str, bytes] = {}
-        cut = Cutter(own.joined)
 
-        class Ids(dict):
-            """Token -> ids, as bytes; those of frequent words only are kept."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (chunk, k, ids): for each chunk the numbers of words, how many ids each has, and the ids; packed."""
 
-            def __missing__(self, token: str) -> bytes:
-                out, plain = [], len(self) < _KNOWN
-                for w in cut(token):
-                    if (ids := common.get(w)) is None:
-                        ids, plain = rare[w] if len(w) <= LONGEST else np.array(ids_of(w, own), "<i4").tobytes(), False
-                    out.append(ids)
-                ids = b"".join(out)
-                if plain:
-                    self[token] = ids
-                return ids
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        ids, chunk, k = rows["ids"].combine_chunks(), rows["chunk"].to_numpy(), rows["k"].to_numpy()
+        order = np.lexsort((k, chunk))
+        sizes = ids.value_lengths().to_numpy()
+        (values, ends), chunk, k, sizes = gathered(ids.flatten().to_numpy(), sizes, order), chunk[order], k[order], sizes[order]
+        firsts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+        ends, cuts = np.concatenate(([0], ends)), [*firsts.tolist(), len(chunk)]
+        packed = [(shrunk(k[a:b]), shrunk(sizes[a:b]), shrunk(values[ends[a] : ends[b]])) for a, b in zip(cuts, cuts[1:])]
+        return pa.record_batch([pa.array(chunk[firsts]), *(pa.array(x, pa.binary()) for x in zip(*packed))], names=["of", "ks", "sizes", "ids"])
 
-        ids_by, chunk = Ids(), None
-        for batch in batches:
-            chunks, is_text, doc_ids, bodies, words, ids = batch.columns
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            out, sizes, whose = [], [0], []
-
-            def done() -> pa.RecordBatch:
-                got = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                return pa.record_batch([pa.array(whose, pa.int64()), got], names=["doc_id", "ids"])
-
-            for k, (now, text_row) in enumerate(zip(chunks.to_pylist(), is_text.to_pylist(), strict=True)):
-                if now != chunk:
-                    chunk = now
-                    rare.clear()
-                if not text_row:
-                    rare[words[k].as_py()] = values[offsets[k] : offsets[k + 1]].astype("<i4").tobytes()
-                    continue
-                body = bodies[k].as_py()
-                out.append(b"".join(map(ids_by.__getitem__, tokens_of(unsqueeze(body).decode()))) if body else b"")
-                sizes.append(len(out[-1]) // 4)
-                whose.append(doc_ids[k].as_py())
-                if len(whose) >= 1000:
-                    yield done()
-                    out, sizes, whose = [], [0], []
-            if whose:
-                yield done()
-
-    return encode
-
-
-def _known(coded: pa.Table) -> dict[str, bytes]:
-    """word -> ids, as bytes; from Arrow, since a row object for each word would be most of the driver's memory."""
-    out: dict[str, bytes] = {}
-    for batch in coded.to_batches():
-        ids = batch.column(1)
-        values, ends = ids.flatten().to_numpy().astype("<i4"), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
-        out.update((w.as_py(), values[a:b].tobytes()) for w, a, b in zip(batch.column(0), ends, ends[1:]))
-    return out
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _PLACES:
+            yield out(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield out(pa.Table.from_batches(held))
+
+
+def _joiner(table, then=None):
+    """Of a chunk's coded words, packed, and its row: doc_id, ids; a row for each text. then: what follows, batch by batch."""
+
+    def join(coded: pa.Table, chunk: pa.Table) -> pa.Table:
+        row = chunk.combine_chunks().to_batches()[0]
+        doc_ids, n_words, far = (row.column(name).flatten() for name in ("doc_ids", "n_words", "long_words"))
+        places = grown(row.column("places")[0].as_buffer())
+        own = [ids_of(w, table.value) for w in far.field("word").to_pylist()]
+        k, sizes, values = (np.concatenate([*(grown(x.as_buffer()) for x in coded[name]), np.array(more, np.int32)]) for name, more in (("ks", far.field("k").to_pylist()), ("sizes", list(map(len, own))), ("ids", [x for ids in own for x in ids])))
+        order = np.argsort(k)
+        if not np.array_equal(k[order], np.arange(int(places.max()) + 1 if len(places) else 0)):
+            raise RuntimeError("a chunk whose words are not all there once")
+        values, sizes = gathered(values, sizes, order)[0], sizes[order]
+        ends, a, out = np.concatenate(([0], np.cumsum(n_words.to_numpy(), dtype=np.int64))), 0, []
+        while a < len(doc_ids):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _PLACES, "right")) - 1)
+            got, places_end = gathered(values, sizes, places[ends[a] : ends[b]])
+            text_ends = np.concatenate(([0], places_end))[ends[a : b + 1] - ends[a]]
+            out.append(pa.record_batch([doc_ids[a:b], pa.ListArray.from_arrays(pa.array(text_ends, pa.int32()), pa.array(got))], names=["doc_id", "ids"]))
+            a = b
+        return pa.Table.from_batches(list(then(out)) if then else out)
+
+    return join
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
-    rows, encoder = _rows(docs, id_col, text_col, model)
-    return rows.mapInArrow(encoder, "doc_id long, ids array<int>")
+    table = Pieces.load(model)
+    return _by_chunk(docs, id_col, text_col, table).applyInArrow(_joiner(docs.sparkSession.sparkContext.broadcast(table)), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """decode() of encode(), in one Python worker a task instead of two: doc_id, ids, text."""
-    rows, encoder = _rows(docs, id_col, text_col, model)
-    decoder = _decoder(Pieces.load(model).raw)
-    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), "doc_id long, ids array<int>, text string")
+    table = Pieces.load(model)
+    join = _joiner(docs.sparkSession.sparkContext.broadcast(table), _decoder(table.raw))
+    return _by_chunk(docs, id_col, text_col, table).applyInArrow(join, "doc_id long, ids array<int>, text string")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, model: str):
-    """The rows that an encoder takes, by chunk, and the encoder."""
-    spark = docs.sparkSession
-    table, n, share = Pieces.load(model), shuffle_partitions(spark), spark.sparkContext.broadcast
+def _by_chunk(docs: DataFrame, id_col: str, text_col: str, table: Pieces):
+    """What _joiner() takes: by chunk, its coded words, packed, and its row."""
+    n = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    often = encode_words(frequent_words(own, table).repartition(n, "word"), table)
-    frequent = share(_known(often.toArrow()))  # at most FREQUENT short words
-    chunks = max(1, -(-(own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // CHUNK))
-    dealt = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    words = materialize(dealt.select("chunk", "text").mapInArrow(_rare(frequent, table.joined), "chunk long, word string"), "zstd").repartition(n, "word")
-    each = words.groupBy("word").agg(F.min("chunk").alias("chunk")).where("chunk >= 0").select("word")  # reads both columns, so that it shares the join's shuffle
-    coded = encode_words(each, table)
-    rare = words.join(coded, "word").select("chunk", F.lit(False).alias("text_row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "word", "ids")
-    texts = dealt.mapInArrow(_squeezed, "chunk long, text_row boolean, doc_id long, body binary")
-    texts = texts.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
-    rows = texts.unionByName(rare).repartition(n, "chunk").sortWithinPartitions("chunk", "text_row")
-    return rows, _encoder(share(table), frequent)
+    chunks = bucketed(own.mapInArrow(_chunks(table.joined, CHUNK, LONGEST), _CHUNKS), "chunk", n)
+    words = chunks.select("chunk", F.posexplode("words").alias("k", "word")).where("word IS NOT NULL").repartition(n, "word")
+    each = words.groupBy("word").agg(F.min(F.col("chunk") + F.col("k")).alias("least")).where("least >= 0").select("word")  # reads all columns, so that it shares the join's shuffle
+    coded = words.join(encode_words(each, table).hint("merge"), "word").select("chunk", "k", "ids").mapInArrow(_pack, "of long, ks binary, sizes binary, ids binary")
+    return coded.groupBy("of").cogroup(chunks.select("chunk", "doc_ids", "n_words", "places", "long_words").groupBy("chunk"))
 
 
 def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -179,6 +179,42 @@ def test_pieces_empty(none, clashing, odd):
     assert pieces.encode(clashing).count() == len(odd[0])
 
 
+def test_pieces_read_texts_once(spark, docs, monkeypatch):
+    """The plan that returns rows has no scan of texts, and the rows of chunks meet their words without a shuffle; bulk copies are split."""
+    from postlake.llm import common
+
+    plan = pieces.round_trip(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+    of_chunks = plan[plan.rindex("Sort [chunk#") :]
+    assert "places" in of_chunks and "Bucketed: true" in of_chunks and "Exchange" not in of_chunks
+    monkeypatch.setattr(pieces, "CHUNK", 1000)
+    texts = ["The same text. " * 20, None, ""]
+    df = spark.createDataFrame([(1, texts[k % 3]) for k in range(60)], "doc_id long, text string").coalesce(2)
+    got = pieces.decode(pieces.encode(df)).collect()
+    path = common._written[-1]
+    name = path.rpartition("/")[2]
+    assert spark.table(name).count() > 4 and spark.table(name).select("chunk").distinct().count() == spark.table(name).count()
+    want = {t or "": library().encode(t or "") for t in texts}
+    assert len(got) == 60 and all(list(r.ids) == want[r.text] for r in got)
+    common.remove(spark, path)
+    assert not spark.catalog.tableExists(name)
+    nothing = pieces.encode(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")).collect()
+    assert sorted(map(repr, nothing)) == ["Row(doc_id=1, ids=[])", "Row(doc_id=None, ids=[])"]
+
+
+def test_words_are_cut_where_no_piece_holds_both():
+    table = pieces.Pieces.load()
+    texts = ["a  b, c1.", "", "\n\n x\u2581y", "é漢字\U0001f600 end", "x", "\u00a0 1 2", "Straße 10%"]
+    words, sizes = pieces.Cutter(table.joined)(texts)
+    words = words.to_pylist()
+    for text, n in zip(texts, sizes.tolist(), strict=True):
+        own, words = words[:n], words[n:]
+        whole = (" " + text).replace("\u2581", " ") if text else ""
+        want = "".join("|" * (k > 0 and whole[k - 1 : k + 1] not in table.joined) + c for k, c in enumerate(whole))
+        assert "|".join(own) == want
+    assert words == []
+
+
 def test_pipeline(spark, docs):
     """Each stage against what its operator says of the same input."""
     import corpus_pipeline as c
