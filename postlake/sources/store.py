@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -33,6 +34,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str | None:
+    """The path as Arrow's file systems take it, or null if Arrow knows none for it."""
+    from pyarrow import fs
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    whole = "file:///" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+    try:
+        system, inner = fs.FileSystem.from_uri(whole)
+        return whole if system.get_file_info(inner).type == fs.FileType.Directory else None
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Renames a folder, in place of what is there under the new name."""
     path = spark._jvm.org.apache.hadoop.fs.Path
