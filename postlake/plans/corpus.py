@@ -66,7 +66,7 @@ def dedup_threshold_zero(spark, sf_dir):
 @query(f"{_PAIRS}, k AS (SELECT CASE WHEN x.created_at > y.created_at THEN a ELSE b END AS id, CASE WHEN x.created_at > y.created_at THEN b ELSE a END AS original, score FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE x.created_at <> y.created_at) SELECT id, arg_max(original, (score, -original)) AS original, max(score) AS score FROM k WHERE id % 2 = 0 GROUP BY ALL")
 def dedup_wider_corpus(spark, sf_dir):
     """A batch, the even postings, against all survivors: only its own rows are flagged."""
-    rows = kept_table(survivors(spark, sf_dir).select("id", "text", "bucket", "created_at"))
+    rows = survivors(spark, sf_dir).select("id", "text", "bucket", "created_at")
     return C.similar_to_corpus(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 85)
 
 
@@ -175,9 +175,8 @@ def dedup_company_region(spark, sf_dir):
     """Equal, then similar texts of one company in one region: the earliest stays, and every other is recorded with it, its score and kind."""
     every = reposted(spark, sf_dir)
     rows = kept_table(every.select("id", "source_site", "created_at", F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)).alias("digest")))
-    flagged = D.oldest_of_equal(rows, F.col("digest"))
-    same = flagged.where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score"))
-    left = kept_table(D.bags(every, "id", "bucket", "created_at").join(flagged.where("original IS NULL").select("id"), "id", "left_semi"))
+    same = kept_table(D.oldest_of_equal(rows, F.col("digest")).where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score")))
+    left = kept_table(D.bags(D.left_out(every, same.select("id")), "id", "bucket", "created_at"))
     return C.audit(same.unionByName(D.representatives(D.vectors(left, D.vocabulary(left)), None, 0.85)), rows).select("id", "original", "score", "kind")
 
 

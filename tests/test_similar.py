@@ -57,3 +57,13 @@ def test_a_vector_is_shuffled_once(spark, monkeypatch):
     texts = stored(D.bags(df, "id", "bucket", "created_at"))
     vectors = D.vectors(texts, D.vocabulary(texts))
     assert shuffled(spark, lambda: D.similar_flags(vectors, None, 0.85).collect()) < 20_000  # 80,000 of vectors alone, were each sent to each block
+
+
+def test_texts_are_not_shuffled_to_leave_out_equal_ones(spark, monkeypatch):
+    """Few ids are sent to the tasks; more are joined, with the same rows. A row without an id is left out."""
+    df = stored(spark.createDataFrame([(k if k != 7 else None, f"text {k}") for k in range(300)], "id long, text string"))
+    gone = stored(df.where("id % 3 = 0").select("id"))
+    got: list = []
+    assert shuffled(spark, lambda: got.extend(D.left_out(df, gone).collect())) < 100
+    monkeypatch.setattr(D, "SENT", 10)
+    assert sorted(got) == sorted(D.left_out(df, gone).collect()) and sorted(r.id for r in got) == [k for k in range(300) if k % 3 and k != 7]
