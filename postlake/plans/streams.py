@@ -67,14 +67,19 @@ def stream_split_late(spark, sf_dir):
     return kept.join(side, "event_type", "full").select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "late")])
 
 
-def in_batches(spark, sf_dir, files=4):
-    """The events as a stream of several micro-batches in order of time, where every tenth row comes fifty minutes late."""
+def in_batches(spark, sf_dir, files=4, rows_a_file=1_000_000):
+    """The users' beats as a stream of several micro-batches in order of time, where every tenth row comes fifty minutes late. A batch of many rows is as many files, written at once."""
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events").withColumn("seen", F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 10 == 0, 3_000_000_000).otherwise(0))
-    low, high = rows.agg(F.min("seen"), F.max("seen")).first()
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 10 == 0, 3_000_000_000).otherwise(0)).alias("seen"))
+    low, high, n = rows.agg(F.min("seen"), F.max("seen"), F.count("seen")).first()
+    batch = F.floor((F.col("seen") - low) * files / (high - low + 1))
+    each = {r["k"]: r["n"] for r in rows.groupBy(batch.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # no more than files
+    wide = -(-max(each.get(k, 0) for k in range(files)) // rows_a_file)
+    wide = wide if min(each.get(k, 0) for k in range(files)) >= 1000 * wide else 1  # no file is empty: a batch is just so many
     for k in range(files):  # one after the other: a stream takes files in the order in which they were written
-        rows.where(F.floor((F.col("seen") - low) * files / (high - low + 1)) == k).drop("seen").coalesce(1).write.mode("append").parquet(path)
-    return S.read(spark, path, 1)
+        own = rows.where(batch == k).drop("seen")
+        (own.repartition(wide) if wide > 1 else own.coalesce(1)).write.mode("append").parquet(path)
+    return S.read(spark, path, wide)
 
 
 @query(ORACLE_SQL["stream_heartbeats"])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +81,83 @@ class Heartbeats(StatefulProcessor):
         pass
 
 
+#: Keys share so many states: one call into the state store serves all keys of a crowd, and a crowd's spans are arrays.
+CROWDS = 1024
+
+
+def merge_crowd(spans: np.ndarray, keys: np.ndarray, times: np.ndarray, gap: int) -> np.ndarray:
+    """``merge_spans`` of many keys at once. spans: rows of key, first, last, beats; with a beat at each of ``times`` of ``keys``. The result is in order of key and time."""
+    n, m = len(spans), len(times)
+    key = np.concatenate([spans[:, 0], spans[:, 0], keys])
+    at = np.concatenate([spans[:, 1], spans[:, 2], times])
+    beats = np.concatenate([spans[:, 3], np.zeros(n, np.int64), np.ones(m, np.int64)])
+    opens = np.repeat([1, -1, 0], [n, n, m])  # a span begins, and ends; beats within it belong to it
+    order = np.lexsort((-opens, at, key))
+    key, at, beats = key[order], at[order], beats[order]
+    if not len(key):
+        return spans
+    within = np.cumsum(opens[order])[:-1] > 0
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (~within & (at[1:] - at[:-1] >= gap))]))
+    last = np.append(first[1:], len(key)) - 1
+    return np.stack([key[first], at[first], at[last], np.add.reduceat(beats, first)], 1)
+
+
+class Crowd(StatefulProcessor):
+    """The rule of ``Heartbeats`` for many keys in one state: the open spans of all, packed, and one timer, for the span of them that ends first."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "spans binary")
+
+    def _spans(self) -> np.ndarray:
+        state = self.open.get()
+        return np.frombuffer(bytes(state[0]) if state else b"", np.int64).reshape(-1, 4)
+
+    def _due(self, last: np.ndarray) -> np.ndarray:
+        """Spans are over once the watermark is here, in milliseconds."""
+        return -(-(last + self.gap) // 1000)
+
+    def _next(self, spans: np.ndarray) -> int:
+        return int(self._due(spans[:, 2].min()))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, frames = self._spans(), list(rows)
+        keys, times = (np.concatenate([f[c].to_numpy(np.int64) for f in frames]) for c in ("user_id", "at"))
+        spans = merge_crowd(before, keys, times, self.gap)
+        if not len(before) or self._next(before) != self._next(spans):
+            if len(before):
+                self.handle.deleteTimer(self._next(before))
+            self.handle.registerTimer(self._next(spans))
+        self.open.update((spans.tobytes(),))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        spans = self._spans()
+        at = self._due(spans[:, 2])
+        over = (at <= expiredTimerInfo.getExpiryTimeInMs()) | (at < timerValues.getCurrentWatermarkInMs())
+        left = spans[~over]
+        if len(left):
+            self.open.update((left.tobytes(),))
+            self.handle.registerTimer(self._next(left))
+        else:
+            self.open.clear()
+        stamp = lambda k: pd.to_datetime(spans[over, k], unit="us", utc=True)
+        told = spans[over, 0] if key[0] >= 0 else [None] * np.count_nonzero(over)
+        yield pd.DataFrame({"user_id": told, "first_beat": stamp(1), "last_beat": stamp(2), "beats": spans[over, 3]})
+
+    def close(self) -> None:
+        pass
+
+
 def dead_keys(events: DataFrame, dead_after: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """One row each time a key has been silent for ``dead_after``, told by its timer: when the watermark passes, not when the next beat comes."""
-    beats = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"))
+    """One row each time a key has been silent for ``dead_after``, told by a timer: when the watermark passes, not when the next beat comes."""
+    crowd = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(CROWDS)))  # rows without a key are one key
+    beats = events.where("ts IS NOT NULL").withWatermark("ts", late).select(F.coalesce("user_id", F.lit(0)).alias("user_id"), "ts", F.unix_micros("ts").alias("at"), crowd.alias("crowd"))
     gap_ms = int(pd.Timedelta(dead_after).total_seconds() * 1000)
-    return beats.groupBy("user_id").transformWithStateInPandas(Heartbeats(gap_ms), _DEAD, "append", "EventTime")
+    return beats.groupBy("crowd").transformWithStateInPandas(Crowd(gap_ms), _DEAD, "append", "EventTime")
 
 
 class Sessions(StatefulProcessor):
