@@ -73,7 +73,7 @@ def similar_to_corpus(queries: DataFrame, others: DataFrame, percent: int, featu
     if not percent or not n["asks"] or n["rows"] < 10 or n["texts"] < 2:
         return rows.where("false").select("id", F.col("id").alias("original"), F.lit(0.0).alias("score"))
     texts = stored(dedup.bags(rows, "id", "bucket", "created_at", "asks"))
-    return dedup.similar_flags(dedup.vectors(texts, dedup.vocabulary(texts, features)), None, percent / 100, F.col("asks"))
+    return dedup.similar_flags(dedup.counts(texts, dedup.vocabulary(texts, features)), None, percent / 100, F.col("asks"))
 
 
 def decide(rows: DataFrame, same: DataFrame, similar: DataFrame) -> DataFrame:

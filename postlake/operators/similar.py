@@ -33,12 +33,25 @@ GROUPS, FEW, AT_ONCE, STRIP = (64, 128, 256, 512, 1024), 64, 1 << 16, 8
 _BEST, _PAIR = "id long, original long, score double, home string, part int", "a long, b long, score double"
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Vectors as counts, which are small where weights are not. rows: id, bucket, created_at, others, and arrays no and n; a weight is n times the term's idf, over the row's norm."""
+
+    rows: DataFrame
+    idf: np.ndarray
+
+
 @dataclass(frozen=True)
 class Packed:
-    """Vectors in blocks. rows: id, bucket, created_at, no, w, others, and the block: home and part; a bucket has one home, which small ones share."""
+    """Vectors in blocks. rows: id, bucket, created_at, no, w (or n, with idf), others, and the block: home and part; a bucket has one home, which small ones share."""
 
     rows: DataFrame
     path: str
+    idf: np.ndarray | None = None
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return ("id", "bucket", "created_at", "no", "w" if self.idf is None else "n")
 
     def heads(self) -> DataFrame:
         return self.rows.select("id", "created_at", "home", "part")
@@ -47,8 +60,11 @@ class Packed:
         return self.rows.count()
 
 
-def packed(vectors: DataFrame, rows: DataFrame | None) -> Packed:
-    """vectors: id, no, w, a row a term; rows: id, bucket, created_at. Without rows, vectors has all these columns, arrays no and w, and a row a vector. Rows without a bucket are left out."""
+def packed(vectors: DataFrame | Counts, rows: DataFrame | None) -> Packed:
+    """vectors: id, no, w, a row a term; rows: id, bucket, created_at. Without rows, vectors has all these columns, arrays no and w, and a row a vector, or is Counts. Rows without a bucket are left out."""
+    idf = None
+    if isinstance(vectors, Counts):
+        vectors, idf = vectors.rows, vectors.idf
     if rows is None:
         every = vectors.where("bucket IS NOT NULL").withColumn("created_at", F.col("created_at").cast("long"))
     else:
@@ -60,15 +76,15 @@ def packed(vectors: DataFrame, rows: DataFrame | None) -> Packed:
     homes = max(1, -(-(sizes.where(small).agg(F.sum("terms")).first()[0] or 0) // BLOCK))
     large = sizes.where(~small).select("bucket", F.concat(F.lit("b"), F.md5("bucket")).alias("home"), F.ceil(F.col("terms") / BLOCK).cast("int").alias("parts"))  # no more than twice the blocks
     shares = F.concat(F.lit("s"), F.pmod(F.xxhash64("bucket"), F.lit(homes)))
-    return _written(every.join(F.broadcast(large), "bucket", "left").withColumns({"home": F.coalesce("home", shares), "parts": F.coalesce("parts", F.lit(1))}))
+    return _written(every.join(F.broadcast(large), "bucket", "left").withColumns({"home": F.coalesce("home", shares), "parts": F.coalesce("parts", F.lit(1))}), idf)
 
 
-def _written(rows: DataFrame) -> Packed:
+def _written(rows: DataFrame, idf: np.ndarray | None) -> Packed:
     spark = rows.sparkSession
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "home", "part").write.partitionBy("home", "part").parquet(path, compression="zstd")
-    return Packed(spark.read.schema(dealt.schema).parquet(path), path)
+    return Packed(spark.read.schema(dealt.schema).parquet(path), path, idf)
 
 
 def subset(rows: Packed, ids: DataFrame) -> Packed:
@@ -76,7 +92,7 @@ def subset(rows: Packed, ids: DataFrame) -> Packed:
     own = _in_blocks(rows, ids)
     sizes = stored(own.groupBy("home").agg(F.sum(F.size("no")).alias("terms")))
     large = sizes.where(F.col("terms") > BLOCK).select("home", F.ceil(F.col("terms") / BLOCK).cast("int").alias("parts"))
-    return _written(own.drop("part").join(F.broadcast(large), "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    return _written(own.drop("part").join(F.broadcast(large), "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), rows.idf)
 
 
 def _listed(ids: DataFrame | None, name: str) -> DataFrame | None:
@@ -122,13 +138,17 @@ def expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 class _Block:
     """Rows by bucket. timed: rows without a time are left out."""
 
-    def __init__(self, t: pa.Table, ids: np.ndarray | None, timed: bool):
+    def __init__(self, t: pa.Table, ids: list[int] | None, timed: bool, idf: np.ndarray | None):
         t = t.filter(pa.array(np.isin(t["id"].to_numpy(), ids))) if ids is not None else t
         t = (t.filter(t["created_at"].is_valid()) if timed else t).combine_chunks()
         get = lambda c: pa.concat_arrays(t[c].chunks) if t[c].num_chunks else pa.array([], t.schema.field(c).type)
         self.id, self.at = get("id").to_numpy(), get("created_at").fill_null(0).to_numpy()
-        self.n, self.no, self.w = get("no").value_lengths().to_numpy(), get("no").flatten().to_numpy(), get("w").flatten().to_numpy()
+        self.n, self.no = get("no").value_lengths().to_numpy(), get("no").flatten().to_numpy()
         self.start = np.cumsum(self.n) - self.n
+        self.w = get("w" if idf is None else "n").flatten().to_numpy()
+        if idf is not None:
+            row, w = np.repeat(np.arange(len(self.n)), self.n), self.w * idf[self.no]
+            self.w = w / np.sqrt(np.bincount(row, w * w, len(self.n)))[row]
         bucket = get("bucket").dictionary_encode()
         order = np.argsort(bucket.indices.to_numpy(), kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(bucket.indices.to_numpy(), minlength=len(bucket.dictionary)))])
@@ -339,7 +359,7 @@ def _compared(rows: Packed, among: Packed | None, least: float, best: bool, own:
     tiles = stored(tiles.where("i <= j") if one_set else tiles)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tiles.count() // 16)
     uris = [arrow_uri(spark, r.path) for r in ((rows,) if one_set else (rows, among))]
-    columns = ("id", "bucket", "created_at", "no", "w")
+    columns, idf = rows.columns, rows.idf
 
     def run(home: str, i: int, j: int, x: _Block, y: _Block) -> Iterator[pa.RecordBatch]:
         both = one_set
@@ -356,9 +376,9 @@ def _compared(rows: Packed, among: Packed | None, least: float, best: bool, own:
                 key = (t["home"], t["i"])
                 if last[0] != key:
                     last = None, None
-                    last = key, _Block(_folder(uris[0], *key, columns), t.get("of_i"), best)
+                    last = key, _Block(_folder(uris[0], *key, columns), t.get("of_i"), best, idf)
                 x = last[1]
-                y = x if one_set and t["i"] == t["j"] else _Block(_folder(uris[-1], t["home"], t["j"], columns), t.get("of_j"), best)
+                y = x if one_set and t["i"] == t["j"] else _Block(_folder(uris[-1], t["home"], t["j"], columns), t.get("of_j"), best, idf)
                 yield from run(t["home"], t["i"], t["j"], x, y)
 
     dealt = tiles.repartition(tasks, "home", "i", F.floor(F.col("j") / STRIP)).sortWithinPartitions("home", "i", "j")
@@ -367,18 +387,18 @@ def _compared(rows: Packed, among: Packed | None, least: float, best: bool, own:
 
 def _shuffled(rows: Packed, among: Packed | None, tiles: DataFrame, tasks: int, run, best: bool) -> DataFrame:
     """The tiles with their rows, shuffled to them once for each tile: for shared folders that Arrow can't read."""
-    one_set = among is None
+    one_set, columns, idf = among is None, rows.columns, rows.idf
 
     def side(r: Packed, k: str, number: int) -> DataFrame:
-        own = tiles.withColumn("part", F.col(k)).join(r.rows.select("id", "bucket", "created_at", "no", "w", "home", "part"), ["home", "part"])
+        own = tiles.withColumn("part", F.col(k)).join(r.rows.select(*columns, "home", "part"), ["home", "part"])
         own = own.where(F.array_contains(f"of_{k}", F.col("id"))) if f"of_{k}" in tiles.columns else own
-        return own.select("home", "i", "j", "id", "bucket", "created_at", "no", "w", F.lit(number).alias("side"))
+        return own.select("home", "i", "j", *columns, F.lit(number).alias("side"))
 
     both = side(rows, "i", 0).unionByName(side(rows, "j", 1).where("i < j") if one_set else side(among, "j", 1))
 
     def grouped(key: tuple, t: pa.Table) -> pa.Table:
         home, i, j = (k.as_py() for k in key)
-        one, two = (_Block(t.filter(pa.array(t["side"].to_numpy() == k)), None, best) for k in (0, 1))
+        one, two = (_Block(t.filter(pa.array(t["side"].to_numpy() == k)), None, best, idf) for k in (0, 1))
         kinds = {"id": pa.int64(), "original": pa.int64(), "score": pa.float64(), "home": pa.string(), "part": pa.int32()} if best else {"a": pa.int64(), "b": pa.int64(), "score": pa.float64()}
         return pa.Table.from_batches(run(home, i, j, one, one if one_set and i == j else two), pa.schema(kinds))
 

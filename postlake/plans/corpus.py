@@ -177,7 +177,7 @@ def dedup_company_region(spark, sf_dir):
     rows = kept_table(every.select("id", "source_site", "created_at", F.concat("bucket", F.lit("|"), F.sha2(F.trim("text"), 256)).alias("digest")))
     same = kept_table(D.oldest_of_equal(rows, F.col("digest")).where("original IS NOT NULL").select("id", "original", F.lit(1.0).alias("score")))
     left = kept_table(D.bags(D.left_out(every, same.select("id")), "id", "bucket", "created_at"))
-    return C.audit(same.unionByName(D.representatives(D.vectors(left, D.vocabulary(left)), None, 0.85)), rows).select("id", "original", "score", "kind")
+    return C.audit(same.unionByName(D.representatives(D.counts(left, D.vocabulary(left)), None, 0.85)), rows).select("id", "original", "score", "kind")
 
 
 @query(f"{_REPOSTS} SELECT kind, count(*) AS n FROM recorded GROUP BY ALL")

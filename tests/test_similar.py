@@ -37,7 +37,8 @@ def test_bounds_leave_out_no_similar_pair(spark, monkeypatch, readable):
     pairs = {(a, b): s for a, _, p, _ in rows for b, _, q, _ in rows if a < b and p == q and (s := cosine(a, b)) >= 0.85}
     df = stored(spark.createDataFrame(rows, "id long, text string, bucket string, created_at long"))
     texts = stored(D.bags(df, "id", "bucket", "created_at"))
-    vectors = D.vectors(texts, D.vocabulary(texts))
+    terms = D.vocabulary(texts)
+    vectors, counts = D.vectors(texts, terms), D.counts(texts, terms)
     want: dict = {}
     for (a, b), s in pairs.items():
         for one, two in ((a, b), (b, a)):
@@ -46,7 +47,7 @@ def test_bounds_leave_out_no_similar_pair(spark, monkeypatch, readable):
     for block in (1 << 20, 5000):
         monkeypatch.setattr(similar, "BLOCK", block)
         assert {(r.a, r.b): r.score for r in D.similar_pairs(vectors, None, 0.85).collect()} == pytest.approx(pairs, abs=1.1e-6) and len(pairs) > 50
-        got = {r.id: (r.score, -r.original) for r in D.similar_flags(vectors, None, 0.85).collect()}
+        got = {r.id: (r.score, -r.original) for r in D.similar_flags(counts, None, 0.85).collect()}
         assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
 
 
